@@ -35,8 +35,12 @@ def attribute(tag: Column, name: str) -> Column:
     raw = F.regexp_extract(
         tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1
     )
-    bare = F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2")
-    return F.when(raw != "", strip(decode_entities(bare)))
+    return let(
+        raw,
+        lambda v: F.when(
+            v != "", strip(decode_entities(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
+        ),
+    )
 
 
 def page_title(marked: Column | str) -> Column:
@@ -91,20 +95,30 @@ def extract_links(marked: Column | str, base: Column | str) -> Column:
     anchors = F.split(col(marked), r"(?i)<a\s", -1)
 
     def link(anchor: Column) -> Column:
-        tag = F.regexp_extract(anchor, r"""^(?:[^>"']++|"[^"]*+"|'[^']*+')*+""", 0)
+        return let(
+            F.regexp_extract(anchor, r"""^(?:[^>"']++|"[^"]*+"|'[^']*+')*+""", 0),
+            lambda tag: let(
+                F.coalesce(attribute(F.concat(F.lit(" "), tag), "href"), F.lit("")),
+                lambda href: with_target(anchor, tag, href),
+            ),
+        )
+
+    def with_target(anchor: Column, tag: Column, href: Column) -> Column:
         body = F.substring(anchor, F.length(tag) + 2, F.length(anchor))
         text = inner_text(F.regexp_extract(body, r"(?is)^(.*?)(?:</a\b|\z)", 1))
-        href = attribute(F.concat(F.lit(" "), tag), "href")
-        skip = F.coalesce(href, F.lit("")) == ""
+        skip = href == ""
         for prefix in vocab.SKIPPED_HREF_PREFIXES:
             skip = skip | href.startswith(prefix)
-        return F.struct(
-            F.left(text, F.lit(vocab.MAX_LINK_TEXT_CHARS)).alias("text"),
-            F.when(~skip, absolute_url(base, href)).alias("url"),
+        return F.when(
+            ~skip,
+            F.struct(
+                F.left(text, F.lit(vocab.MAX_LINK_TEXT_CHARS)).alias("text"),
+                absolute_url(base, href).alias("url"),
+            ),
         )
 
     links = F.transform(F.slice(anchors, 2, F.greatest(F.size(anchors) - 1, F.lit(0))), link)
-    return _first_per_url(F.filter(links, lambda x: x["url"].isNotNull() & _is_web(x["url"])))
+    return _first_per_url(F.filter(links, lambda x: x.isNotNull() & _is_web(x["url"])))
 
 
 _MD_LINK = r"\[([^\]]*)\]\((https?://[^\s)]+|/[^\s)]*)\)"
@@ -259,8 +273,7 @@ def _number_lists(fragment: Column) -> Column:
             )
         )
 
-    numbered_lists = F.array_join(F.transform(F.split(fragment, r"(?i)<ol\b[^>]*>", -1), block), "")
-    return F.when(fragment.rlike(r"(?i)<ol\b"), numbered_lists).otherwise(fragment)
+    return F.array_join(F.transform(F.split(fragment, r"(?i)<ol\b[^>]*>", -1), block), "")
 
 
 def render(fragment: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from accountlake import vocab
-from accountlake.functions.text import any_contained, col, first_marker
+from accountlake.functions.text import any_contained, col
 from accountlake.functions.urls import is_root
 
 HONEST, SOFT, BLIND = "honest_404", "soft_404", "soft_404_blind"
@@ -42,21 +42,17 @@ def path_verdict(
     final_url: Column | str,
     status: Column | str,
     fetch_error: Column | str,
-    text: Column | str,
+    length: Column | str,
+    gated: Column | str,
+    missing: Column | str,
     mode: Column | str,
     similarity: Column | str,
     topic_hit: Column | str,
-    gated_markers: Sequence[str] = vocab.GATED_MARKERS,
-    missing_markers: Sequence[str] = vocab.MISSING_MARKERS,
 ) -> Column:
     """``struct<verdict,reason,confidence>``; the first rule that fires decides."""
-    path, final_url, status, fetch_error, text, mode, similarity, topic_hit = map(
-        col, (path, final_url, status, fetch_error, text, mode, similarity, topic_hit)
-    )
-    text = F.coalesce(text, F.lit(""))
-    gated, missing = first_marker(text, gated_markers), first_marker(text, missing_markers)
+    path, final_url, status, fetch_error, length = map(col, (path, final_url, status, fetch_error, length))
+    gated, missing, mode, similarity, topic_hit = map(col, (gated, missing, mode, similarity, topic_hit))
     similar = (mode == SOFT) & (similarity > vocab.SOFT_404_SIMILARITY)
-    length = F.length(text)
 
     def say(verdict: str, reason: Column | str, sure: float) -> Column:
         reason = F.lit(reason) if isinstance(reason, str) else reason

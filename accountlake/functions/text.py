@@ -67,11 +67,13 @@ def _decode_reference(piece: Column) -> Column:
 
 def decode_entities(c: Column | str) -> Column:
     """Replace HTML character references, each exactly once."""
-    c = col(c)
-    pieces = F.transform(
-        F.split(c, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_reference(p))
-    )
-    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
+    def decode(text: Column) -> Column:
+        pieces = F.transform(
+            F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_reference(p))
+        )
+        return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+    return let(col(c), decode)
 
 
 def content_hash(c: Column | str) -> Column:
@@ -135,11 +137,13 @@ def first_marker(c: Column | str, markers: Sequence[str], window: int = vocab.MA
 
 def truncate(c: Column | str, limit: int = vocab.MAX_MARKDOWN_CHARS) -> Column:
     """Cut long text back to its last line break and say so."""
-    c = col(c)
-    cut = F.left(c, F.lit(limit))
-    last_line = F.length(F.substring_index(cut, "\n", -1))
-    kept = F.when(cut.contains("\n"), F.left(cut, F.length(cut) - last_line - 1)).otherwise(cut)
-    return F.when(F.length(c) > limit, F.concat(kept, F.lit(vocab.TRUNCATION_MARK))).otherwise(c)
+    def shorten(text: Column) -> Column:
+        cut = F.left(text, F.lit(limit))
+        last_line = F.length(F.substring_index(cut, "\n", -1))
+        kept = F.when(cut.contains("\n"), F.left(cut, F.length(cut) - last_line - 1)).otherwise(cut)
+        return F.when(F.length(text) > limit, F.concat(kept, F.lit(vocab.TRUNCATION_MARK))).otherwise(text)
+
+    return let(col(c), shorten)
 
 
 def normalise_text(c: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from accountlake.functions.text import WHITESPACE, blank_to_null, col, let, strip
+from accountlake.functions.text import col, let, strip
 
 _SPLIT_URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)"
 
@@ -84,20 +84,18 @@ def absolute_url(base: Column | str, href: Column) -> Column:
             F.concat(F.lit("/"), F.regexp_replace(base_path, "[^/]*$", ""), path), "/{2,}", "/"
         )
     )
-    dotted = let(
-        F.split(rooted, "/"), lambda segments: F.array_join(_fold_dots(segments), "/")
-    )
-    resolved = F.when(rooted.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.ltrim(dotted, F.lit("/")))).otherwise(rooted)
+
+    def resolve(p: Column) -> Column:
+        folded = let(F.split(p, "/"), lambda segments: F.array_join(_fold_dots(segments), "/"))
+        return F.when(
+            p.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.ltrim(folded, F.lit("/")))
+        ).otherwise(p)
+
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("?"), F.concat(site, base_path, href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(site, resolved, suffix))
+        .otherwise(F.concat(site, let(rooted, resolve), suffix))
     )
 
-
-__all__ = [
-    "WHITESPACE", "absolute_url", "blank_to_null", "candidate_urls", "domain_error",
-    "domain_of", "is_root", "url_host", "url_path", "url_scheme",
-]

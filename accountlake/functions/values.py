@@ -47,16 +47,9 @@ def coerce(c: Column, data_type: T.DataType, value_type: str, destination: str)
 
 def number_text(c: Column) -> Column:
     """A double the way people write it: no exponent, no trailing zeros, whole numbers without a point."""
-    plain = F.regexp_replace(F.format_string("%.15f", c), r"0+$", "")
-    exact = F.when(
-        F.abs(c).between(1e-4, 1e15),
-        F.when(c.cast("decimal(38,18)").cast("double") == c, c.cast("decimal(38,18)").cast("string")),
-    )
-    digits = F.regexp_replace(F.coalesce(exact, plain), r"(\.[0-9]*?)0+$", "$1")
-    return (
-        F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string"))
-        .otherwise(F.regexp_replace(digits, r"\.$", ""))
-    )
+    whole = F.when(c == F.floor(c), c.try_cast("decimal(38,0)").cast("string"))
+    digits = c.cast("string").try_cast("decimal(38,18)").cast("string")
+    return F.coalesce(whole, F.regexp_replace(digits, r"\.?0+$", ""), c.cast("string"))
 
 
 def comparable(c: Column, data_type: T.DataType) -> Column:
