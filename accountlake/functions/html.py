@@ -11,11 +11,12 @@ from pyspark.sql import Column, functions as F
 
 from accountlake import vocab
 from accountlake.functions.text import (
-    any_contained, any_matches, blank_to_null, col, decode_entities, let, squash, strip,
+    WHITESPACE, any_contained, any_matches, blank_to_null, col, decode_entities, let, squash, strip,
 )
 from accountlake.functions.urls import absolute_url
 
 _TAG = "<[^>]*>"
+_BLANKS = WHITESPACE.replace("\n", "")
 _SCRIPTS = "|".join((
     "<!--.*?-->",
     r"(<(?:script|style)\b[^>]*/>)",
@@ -224,33 +225,54 @@ def main_fragment(marked: Column | str) -> Column:
     return let(F.regexp_replace(col(marked), _NOISE_BLOCKS, ""), choose)
 
 
-_BLOCKS = "p|div|article|section|ul|ol|dl|dt|dd|table|pre|figcaption|hr|body|head|title"
-_HREF = r"""(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*"""
-# Rendered inline marks travel as pseudo tags, so that escaping leaves them alone:
-# <[>text<](url)>, <**>, <*>, <~~>, and <`(>code<`)>.
-_EMPHASIS = (
-    ("b|strong", "<**>", "<**>"),
-    ("em|i", "<*>", "<*>"),
-    ("del|s", "<~~>", "<~~>"),
-    ("code|kbd|samp", "<`(>", "<`)>"),
+_BLOCK_TAGS = (
+    "p", "div", "article", "section", "ul", "ol", "dl", "dt", "dd", "table", "pre",
+    "figcaption", "hr", "body", "head", "title",
 )
+# What a start or end tag leaves behind; every other tag leaves nothing.
+_TAG_TEXT = {
+    **{t: "\n\n" for name in _BLOCK_TAGS for t in (name, f"/{name}")},
+    **{f"h{n}": "\n\n" + "#" * n + " " for n in range(1, 7)},
+    **{f"/h{n}": "\n\n" for n in range(1, 7)},
+    "blockquote": "\n\n> ", "/blockquote": "\n\n",
+    "br": "\n", "/br": "\n", "li": "\n* ", "tr": "\n| ", "/td": " | ", "/th": " | ",
+}
+_MARKS = {
+    "b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~",
+    "code": "`", "kbd": "`", "samp": "`",
+}
+_HREF = r"""(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*"""
+_LINE_BREAKS = r"\r\n\x0b\x0c\x1c-\x1e\x85  "
 
 
-def _escape_text(fragment: Column) -> Column:
-    """Backslash ``*`` and ``_`` outside tags and code."""
-    def escape(c: Column) -> Column:
-        return F.regexp_replace(c, r"([*_])", r"\\$1")
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    literal = F.create_map(*[F.lit(x) for item in table.items() for x in item])
+    return F.try_element_at(literal, key)
 
-    def piece(p: Column, i: Column) -> Column:
-        tag = F.regexp_extract(p, "^[^>]*>?", 0)
-        rest = F.substring(p, F.length(tag) + 1, F.length(p))
-        return (
-            F.when(i == 0, escape(p))
-            .when(p.startswith("`(>"), p)
-            .otherwise(F.concat(tag, escape(rest)))
-        )
 
-    return F.array_join(F.transform(F.split(fragment, "<", -1), piece), "<")
+def _collapse_spaces(fragment: Column) -> Column:
+    """One space, or one line break, per run of whitespace."""
+    untidy = fragment.rlike(rf"[{_LINE_BREAKS}\t]| {{2}}")
+    spaces = F.regexp_replace(fragment, r"[ \t]+", " ")
+    return F.when(
+        untidy, F.regexp_replace(spaces, rf" ?[{_LINE_BREAKS}][{_LINE_BREAKS} ]*", "\n")
+    ).otherwise(fragment)
+
+
+def _mark_links(fragment: Column) -> Column:
+    """``<a href="u">t</a>`` becomes ``<[>t<](u)>``: pieces that split like tags."""
+    marked = F.regexp_replace(
+        fragment, rf"(?is)<a\s{_HREF}>(\s*)(.*?)(\s*)</a\s*>", "$4<[>$5<]($1$2$3)>$6"
+    )
+    return let(
+        marked,
+        lambda x: F.when(
+            x.contains("<[>"),
+            F.regexp_replace(
+                F.regexp_replace(x, r"<\[><\]\([^>]*\)>", ""), r"<\[>([^<]+)<\]\(\1\)>", "<=$1>"
+            ),
+        ).otherwise(x),
+    )
 
 
 def _number_lists(fragment: Column) -> Column:
@@ -273,40 +295,91 @@ def _number_lists(fragment: Column) -> Column:
             )
         )
 
-    return F.array_join(F.transform(F.split(fragment, r"(?i)<ol\b[^>]*>", -1), block), "")
+    rewritten = F.array_join(F.transform(F.split(fragment, r"(?i)<ol\b[^>]*>", -1), block), "")
+    return F.when(fragment.rlike(r"(?i)<ol\b"), rewritten).otherwise(fragment)
 
 
-def render(fragment: Column | str) -> Column:
-    """Markdown of an HTML fragment: headings, links, lists, emphasis, blank-line blocks."""
-    r = F.regexp_replace
-    x = F.translate(col(fragment), "\x0b\x0c\x1c\x1d\x1e\x85  \t", "\n" * 8 + " ")
-    x = r(r(x, " {2,}", " "), r" ?[\r\n][\r\n ]*", "\n")
-    x = r(x, r"(?i)<img\b[^>]*>", "")
-    for tags, opening, closing in _EMPHASIS:
-        x = r(
-            x,
-            rf"(?i)<(?:{tags})(?:\s[^>]*)?>(\s*)([^<\s][^<]*?)(\s*)</(?:{tags})\s*>",
-            f"$1{opening}$2{closing}$3",
+def _render_tags(fragment: Column) -> Column:
+    """Every tag to what it leaves behind, text escaped; one pass over the pieces between ``<``."""
+    def escape(text: Column) -> Column:
+        return F.replace(F.replace(text, F.lit("*"), F.lit("\\*")), F.lit("_"), F.lit("\\_"))
+
+    def parse(piece: Column) -> Column:
+        tag = F.substring_index(piece, ">", 1)
+        return F.struct(
+            F.lower(F.regexp_extract(tag, "^/?[A-Za-z][A-Za-z0-9]*", 0)).alias("name"),
+            F.substring(piece, F.length(tag) + 2, F.length(piece)).alias("text"),
         )
-    x = r(x, rf"(?is)<a\s{_HREF}>(\s*)(.*?)(\s*)</a\s*>", "$4<[>$5<]($1$2$3)>$6")
-    x = r(r(x, r"<\[><\]\([^>]*\)>", ""), r"<\[>([^<]+)<\]\(\1\)>", "<\x01$1>")
-    x = _escape_text(x)
-    x = _number_lists(x)
-    x = r(x, rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n\n")
-    x = r(x, r"(?i)<h([1-6])\b[^>]*>", "\n\n<h$1>")
-    for level in range(1, 7):
-        x = F.replace(x, F.lit(f"<h{level}>"), F.lit("#" * level + " "))
-    x = r(x, r"(?i)</h[1-6]\s*>", "\n\n")
-    x = r(r(x, r"(?i)<blockquote\b[^>]*>", "\n\n> "), r"(?i)</blockquote\s*>", "\n\n")
-    x = r(r(x, r"(?i)<br\b[^>]*>", "\n"), r"(?i)<li\b[^>]*>", "\n* ")
-    x = r(r(x, r"(?i)<tr\b[^>]*>", "\n| "), r"(?i)</t[dh]\s*>", " | ")
-    x = r(x, r"<[A-Za-z/!?][^>]*>", "")
-    x = r(x, r"<(\[|\]\([^>]*\)|\*\*|\*|~~)>", "$1")
-    x = r(r(x, r"<`[()]>", "`"), "<\x01([^>]*)>", "\x01$1\x02")
-    x = F.translate(decode_entities(x), "\x01\x02", "<>")
-    x = r(x, r"[\p{Zs}\t]+(?=\n|\z)", "")
-    x = r(F.concat(F.lit("\n"), x), r"\n[\p{Zs}\t|•·>-]++(?=\n|\z)", "")
-    return strip(r(x, r"\n{3,}", "\n\n"))
+
+    def render_all(pieces: Column, tags: Column) -> Column:
+        def emphasised(start: Column, end: Column) -> Column:
+            """An inline element that is closed by the very next tag and has text."""
+            return (end["name"] == F.concat(F.lit("/"), start["name"])) & (F.btrim(start["text"], F.lit(" \n")) != "")
+
+        def edge(text: Column, pattern: str) -> Column:
+            return F.regexp_extract(text, pattern, 0)
+
+        def one(piece: Column, i: Column) -> Column:
+            this, after, before = F.get(tags, i), F.get(tags, i + 1), F.get(tags, i - 1)
+            name, text = this["name"], this["text"]
+            mark, closing = _lookup(_MARKS, name), _lookup(_MARKS, before["name"])
+            bare = F.btrim(text, F.lit(" \n"))
+            opened = F.concat(
+                edge(text, "^[ \n]*"), mark, F.when(mark == "`", bare).otherwise(escape(bare))
+            )
+            closed = F.concat(closing, edge(before["text"], "[ \n]*$"), escape(text))
+            plain = F.concat(F.coalesce(_lookup(_TAG_TEXT, name), F.lit("")), escape(text))
+            return (
+                F.when(i == 0, escape(piece))
+                .when(mark.isNotNull() & emphasised(this, after), opened)
+                .when(name.startswith("/") & closing.isNotNull() & emphasised(before, this), closed)
+                .when((name != "") | piece.rlike("^[/!?]"), plain)
+                .when(piece.startswith("[>"), F.concat(F.lit("["), escape(text)))
+                .when(piece.startswith("]("), F.concat(F.substring_index(piece, ">", 1), escape(text)))
+                .when(
+                    piece.startswith("="),
+                    F.concat(F.lit("<"), F.substring(F.substring_index(piece, ">", 1), 2, 100_000), F.lit(">"), escape(text)),
+                )
+                .otherwise(F.concat(F.lit("<"), escape(piece)))
+            )
+
+        return F.array_join(F.transform(pieces, one), "")
+
+    return let(
+        F.split(fragment, "<", -1),
+        lambda pieces: let(F.transform(pieces, parse), lambda tags: render_all(pieces, tags)),
+    )
+
+
+_SEPARATORS = ("|", "•", "·", ">", "-")
+
+
+def _tidy_lines(text: Column) -> Column:
+    """No trailing blanks, no lines of separators only, at most one blank line in a row."""
+    lines = F.transform(F.split(text, "\n", -1), lambda line: F.rtrim(line, F.lit(_BLANKS)))
+    kept = F.filter(
+        lines,
+        lambda line: ~(F.left(F.ltrim(line, F.lit(_BLANKS)), F.lit(1)).isin(*_SEPARATORS)
+                       & line.rlike(r"^[\p{Zs}\t|•·>-]+$")),
+    )
+    return let(
+        kept,
+        lambda ls: strip(F.array_join(
+            F.filter(ls, lambda line, i: (i == 0) | (line != "") | (F.get(ls, i - 1) != "")), "\n"
+        )),
+    )
+
+
+def render(fragment: Column | str) -> Column:
+    """Markdown of an HTML fragment: headings, links, lists, emphasis, blank-line blocks.
+
+    Inline elements that are never closed, or that hold other tags, come out as plain text.
+    """
+    tidy = let(col(fragment), _collapse_spaces)
+    no_images = let(
+        tidy, lambda x: F.when(x.rlike(r"(?i)<img\b"), F.regexp_replace(x, r"(?i)<img\b[^>]*>", "")).otherwise(x)
+    )
+    return _tidy_lines(decode_entities(_render_tags(let(_mark_links(no_images), _number_lists))))
 
 
 def html_to_text(html: Column | str) -> Column:

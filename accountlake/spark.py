@@ -33,6 +33,7 @@ def local_session(cores: int | str = "*", memory: str = "16g", shuffle_partition
         .appName("accountlake")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     spark = configure(builder.getOrCreate())
