@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from accountlake import vocab
 from accountlake.functions.text import (
-    WHITESPACE, any_contained, any_matches, blank_to_null, col, decode_entities, let, squash, strip,
+    WHITESPACE, any_contained, any_matches, blank_to_null, col, decode_entities, let, lookup, squash, strip,
 )
 from accountlake.functions.urls import absolute_url
 
@@ -31,17 +31,18 @@ def markup(html: Column | str) -> Column:
     return F.regexp_replace(col(html), f"(?is){_SCRIPTS}", "$1$2$3")
 
 
+def _raw_attribute(tag: Column, name: str) -> Column:
+    """Attribute value as written, quotes included; empty when absent."""
+    return F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+
+
+def _unquote(raw: Column) -> Column:
+    return strip(decode_entities(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2")))
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """Decoded, trimmed attribute value of a start tag; null when absent."""
-    raw = F.regexp_extract(
-        tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1
-    )
-    return let(
-        raw,
-        lambda v: F.when(
-            v != "", strip(decode_entities(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
-        ),
-    )
+    """Decoded, trimmed attribute value of a start tag; empty when absent."""
+    return _unquote(_raw_attribute(tag, name))
 
 
 def page_title(marked: Column | str) -> Column:
@@ -53,17 +54,18 @@ def meta_description(marked: Column | str) -> Column:
     """``name=description``, else ``property=og:description``."""
     metas = F.regexp_extract_all(col(marked), F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
 
-    def pick(tags: Column, key: str, value: str) -> Column:
-        first = F.try_element_at(F.filter(tags, lambda t: attribute(t, key) == value), F.lit(1))
-        content = attribute(first, "content")
-        return F.when(content != "", F.left(squash(content), F.lit(vocab.MAX_DESCRIPTION_CHARS)))
+    def first(tags: Column, key: str, value: str) -> Column:
+        named = F.filter(tags, lambda t: F.btrim(_raw_attribute(t, key), F.lit("\"'")) == value)
+        return blank_to_null(_raw_attribute(F.try_element_at(named, F.lit(1)), "content"))
 
-    return let(
+    raw = let(
         metas,
-        lambda tags: F.coalesce(
-            pick(tags, "name", "description"), pick(tags, "property", "og:description")
-        ),
+        lambda tags: F.coalesce(*[
+            F.nullif(F.nullif(first(tags, key, value), F.lit('""')), F.lit("''"))
+            for key, value in (("name", "description"), ("property", "og:description"))
+        ]),
     )
+    return blank_to_null(F.left(squash(_unquote(raw)), F.lit(vocab.MAX_DESCRIPTION_CHARS)))
 
 
 def inner_text(fragment: Column) -> Column:
@@ -99,7 +101,7 @@ def extract_links(marked: Column | str, base: Column | str) -> Column:
         return let(
             F.regexp_extract(anchor, r"""^(?:[^>"']++|"[^"]*+"|'[^']*+')*+""", 0),
             lambda tag: let(
-                F.coalesce(attribute(F.concat(F.lit(" "), tag), "href"), F.lit("")),
+                attribute(F.concat(F.lit(" "), tag), "href"),
                 lambda href: with_target(anchor, tag, href),
             ),
         )
@@ -143,16 +145,15 @@ def asset_urls(marked: Column | str, base: Column | str) -> Column:
     """Absolute lower-case URLs of scripts, link targets, images and frames."""
     marked, base = col(marked), col(base)
 
-    def urls(tag: str, attr: str) -> Column:
+    def values(tag: str, attr: str) -> Column:
         tags = F.regexp_extract_all(marked, F.lit(rf"(?is)(<{tag}\s[^>]*>)"), 1)
-        values = F.filter(
-            F.transform(tags, lambda t: attribute(t, attr)), lambda v: v.isNotNull() & (v != "")
-        )
-        return F.transform(values, lambda v: F.lower(absolute_url(base, v)))
+        return F.transform(tags, lambda t: _raw_attribute(t, attr))
 
-    return F.concat(
-        urls("script", "src"), urls("link", "href"), urls("img", "src"), urls("iframe", "src")
+    raw = F.concat(
+        values("script", "src"), values("link", "href"), values("img", "src"), values("iframe", "src")
     )
+    found = F.filter(F.transform(raw, _unquote), lambda v: v != "")
+    return F.transform(found, lambda v: F.lower(absolute_url(base, v)))
 
 
 def detect_vendors(assets: Column | str, signatures: dict[str, str] | None = None) -> Column:
@@ -245,11 +246,6 @@ _HREF = r"""(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*"""
 _LINE_BREAKS = r"\r\n\x0b\x0c\x1c-\x1e\x85  "
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    literal = F.create_map(*[F.lit(x) for item in table.items() for x in item])
-    return F.try_element_at(literal, key)
-
-
 def _collapse_spaces(fragment: Column) -> Column:
     """One space, or one line break, per run of whitespace."""
     untidy = fragment.rlike(rf"[{_LINE_BREAKS}\t]| {{2}}")
@@ -322,13 +318,13 @@ def _render_tags(fragment: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
             this, after, before = F.get(tags, i), F.get(tags, i + 1), F.get(tags, i - 1)
             name, text = this["name"], this["text"]
-            mark, closing = _lookup(_MARKS, name), _lookup(_MARKS, before["name"])
+            mark, closing = lookup(_MARKS, name), lookup(_MARKS, before["name"])
             bare = F.btrim(text, F.lit(" \n"))
             opened = F.concat(
                 edge(text, "^[ \n]*"), mark, F.when(mark == "`", bare).otherwise(escape(bare))
             )
             closed = F.concat(closing, edge(before["text"], "[ \n]*$"), escape(text))
-            plain = F.concat(F.coalesce(_lookup(_TAG_TEXT, name), F.lit("")), escape(text))
+            plain = F.concat(F.coalesce(lookup(_TAG_TEXT, name), F.lit("")), escape(text))
             return (
                 F.when(i == 0, escape(piece))
                 .when(mark.isNotNull() & emphasised(this, after), opened)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -11,8 +11,8 @@ from accountlake import vocab
 
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
-_NAMED = {**name2codepoint, "apos": 39}
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)"
+_NAMED = {name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
 
 
 def col(c: Column | str) -> Column:
@@ -26,7 +26,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strings(values: Sequence[str]) -> Column:
     """Literal string array; typed also when empty."""
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    return F.split(F.lit("\x1e".join(values)), "\x1e") if values else F.array().cast("array<string>")
+
+
+def lookup(table: Mapping[str, str], key: Column) -> Column:
+    """Value of a key in a fixed table, else null. The table is one literal, folded into the plan once."""
+    text = "\x1e".join(f"{k}\x1f{v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\x1e"), F.lit("\x1f")), key)
 
 
 def strip(c: Column | str) -> Column:
@@ -50,16 +56,13 @@ def _character(code: Column) -> Column:
 
 
 def _decode_reference(piece: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for name, code in _NAMED.items() for x in (name, chr(code))])
-    rest = F.regexp_replace(piece, _REFERENCE, "")
-
     def by_kind(name: Column) -> Column:
-        number = F.when(
+        after = F.length(name) + 1
+        rest = F.regexp_replace(F.substring(piece, after, F.length(piece)), "^;", "")
+        digits = F.when(
             F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)
         ).otherwise(F.substring(name, 2, 7))
-        character = F.when(name.startswith("#"), _character(number.cast("long"))).otherwise(
-            F.try_element_at(names, name)
-        )
+        character = F.when(name.startswith("#"), _character(digits.cast("long"))).otherwise(lookup(_NAMED, name))
         return F.coalesce(F.concat(character, rest), F.concat(F.lit("&"), piece))
 
     return let(F.regexp_extract(piece, _REFERENCE, 1), by_kind)
