@@ -50,7 +50,7 @@ CASES = {
     "not_in": (Condition("lifecycle", "not_in", ["building", "household"]), "lifecycle NOT IN ('building', 'household')"),
     "greater_than": (Condition("balance", "greater_than", 5000), "balance > 5000"),
     "less_than": (Condition("balance", "less_than", 0), "balance < 0"),
-    "contains": (Condition("name", "contains", "#00000_1"), "contains(name, '#00000_1')"),
+    "contains": (Condition("name", "contains", "#0000001"), "contains(name, '#0000001')"),
     "contains_text": (Condition("lifecycle", "contains", "il"), "contains(lifecycle, 'il')"),
     "older_than_days": (Condition("enriched_at", "older_than_days", 40.5), "enriched_at < TIMESTAMP '2001-08-01' - INTERVAL 3499200 SECOND"),
     "newer_than_days": (Condition("enriched_at", "newer_than_days", 40), "enriched_at > TIMESTAMP '2001-08-01' - INTERVAL 40 DAY"),
