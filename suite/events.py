@@ -1 +1,211 @@
-"""To come."""
+"""Change events, in batches and as streams."""
+
+from __future__ import annotations
+
+from datetime import datetime, timezone
+
+from pyspark.sql import functions as F
+
+from accountlake.config import Mapping, Profile
+from accountlake.operators import report
+from accountlake.plans.enrich import enrich_pages, plan_writes
+from accountlake.spark import shared_dir
+from accountlake.streaming import events as E
+from accountlake.streaming.jobs import run_jobs
+from accountlake.streaming.retry import first_attempt, ready_jobs, wait_for_website
+from suite.pages import rendered
+from suite.registry import query, table
+
+SUBSCRIPTION = "CASE event_type WHEN 'signup' THEN 'company.creation' WHEN 'error' THEN 'company.deletion' ELSE 'company.propertyChange' END"
+PROPERTY = "CASE event_type WHEN 'click' THEN 'domain' WHEN 'purchase' THEN 'website' WHEN 'view' THEN 'phone' END"
+
+
+def crm_events(raw):
+    """Site events as change events of company records; expensive ones carry no id of their own."""
+    return raw.select(
+        F.when(F.col("value") <= 30, F.col("event_id")).alias("eventId"), F.col("user_id").alias("objectId"),
+        F.expr(SUBSCRIPTION).alias("subscriptionType"), F.expr(PROPERTY).alias("propertyName"),
+        F.when(F.col("value") < 5, "").when(F.col("event_type").isin("click", "purchase"), F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(".example"))).alias("propertyValue"),
+        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("occurredAt"), F.col("ts").cast("timestamp").alias("ingest_ts"),
+        "event_id",
+    )
+
+
+def with_redeliveries(raw):
+    """Every event twice, the second time an hour later."""
+    return raw.unionByName(raw.withColumn("ts", F.col("ts") + F.expr("interval 1 hour")))
+
+
+def events(spark, sf):
+    return table(spark, sf, "events")
+
+
+CRM_SQL = f"""crm AS (SELECT event_id, CASE WHEN value <= 30 AND event_id <> 0 THEN event_id END AS eid, user_id, {SUBSCRIPTION} AS sub, {PROPERTY} AS prop,
+  CASE WHEN value < 5 THEN '' WHEN event_type IN ('click', 'purchase') THEN 'user' || user_id || '.example' END AS val, ts FROM events),
+jobs AS (SELECT 'hubspot:' || CASE WHEN eid IS NOT NULL THEN eid::VARCHAR ELSE user_id || ':' || coalesce(prop, 'None') || ':' || epoch_ms(date_trunc('day', ts)::TIMESTAMP) END AS key,
+  'hubspot' AS system, user_id::VARCHAR AS record_id, CASE WHEN prop IN ('domain', 'website') THEN nullif(val, '') END AS domain, sub AS event, event_id, ts
+  FROM crm WHERE sub = 'company.creation' OR (sub = 'company.propertyChange' AND prop IN ('domain', 'website')))"""
+
+
+@query("crm_jobs", f"WITH {CRM_SQL} SELECT key, system, record_id, domain, event FROM jobs")
+def crm_jobs(spark, sf):
+    return E.crm_jobs(crm_events(events(spark, sf))).drop("ingest_ts")
+
+
+@query("event_keys", f"WITH {CRM_SQL} SELECT event_id, 'hubspot:' || CASE WHEN eid IS NOT NULL THEN eid::VARCHAR ELSE user_id || ':' || coalesce(prop, 'None') || ':' || epoch_ms(date_trunc('day', ts)::TIMESTAMP) END AS key, CASE WHEN prop IN ('domain', 'website') THEN nullif(val, '') END AS domain FROM crm")
+def event_keys(spark, sf):
+    e = crm_events(events(spark, sf))
+    return e.select(
+        "event_id", E.event_key("eventId", "objectId", "propertyName", "occurredAt").alias("key"), E.event_domain("propertyName", "propertyValue").alias("domain")
+    )
+
+
+def account_records(spark, sf):
+    return events(spark, sf).select(
+        F.when(F.col("event_type").isin("view", "click"), F.col("user_id").cast("string")).when(F.col("event_type") == "error", "").alias("record_id"),
+        F.when(F.col("event_type").isin("click", "signup"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example"))).alias("website"),
+        F.col("ts").cast("timestamp").alias("ingest_ts"), "event_id",
+    )
+
+
+ACCOUNT_SQL = """acc AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN user_id::VARCHAR END AS rid,
+  CASE WHEN event_type IN ('click', 'signup') THEN 'u' || user_id || '.example' END AS site, ts, event_id FROM events),
+ajobs AS (SELECT 'salesforce:' || coalesce(rid, site) AS key, 'salesforce' AS system, rid AS record_id, site AS domain, ts, event_id FROM acc WHERE coalesce(rid, site) IS NOT NULL)"""
+
+
+@query("account_jobs", f"WITH {ACCOUNT_SQL} SELECT key, system, record_id, domain FROM ajobs")
+def account_jobs(spark, sf):
+    return E.account_jobs(account_records(spark, sf)).select("key", "system", "record_id", "domain")
+
+
+@query("refused_replays", "SELECT event_type, count(*) FILTER (WHERE value * 10 > 300) AS refused, count(*) FILTER (WHERE value * 10 <= 300) AS accepted FROM (SELECT event_type, trunc(value * 10000) / 10000 AS value FROM events) GROUP BY 1")
+def refused_replays(spark, sf):
+    """Deliveries that arrive ``value * 10`` seconds after they were signed."""
+    sent = events(spark, sf).select("event_type", F.col("ts").cast("timestamp").alias("sent"), "value")
+    late = sent.withColumn("arrived", F.timestamp_millis(F.unix_millis("sent") + F.floor(F.col("value") * 10000)))
+    accepted, refused = E.split_replays(late, "sent", "arrived")
+    each = accepted.select("event_type", F.lit(0).alias("r")).unionByName(refused.select("event_type", F.lit(1).alias("r")))
+    return each.groupBy("event_type").agg(F.count_if(F.col("r") == 1).alias("refused"), F.count_if(F.col("r") == 0).alias("accepted"))
+
+
+@query("first_event_per_key", f"WITH {CRM_SQL} SELECT key, arg_min(event_id, ts) AS event_id, arg_min(domain, ts) FILTER (WHERE true) AS first_known_domain FROM jobs GROUP BY key")
+def first_event_per_key(spark, sf):
+    e = crm_events(with_redeliveries(events(spark, sf)))
+    jobs = e.where(E.event_wanted("subscriptionType", "propertyName")).select(
+        E.event_key("eventId", "objectId", "propertyName", "occurredAt").alias("key"), "event_id",
+        E.event_domain("propertyName", "propertyValue").alias("domain"), "ingest_ts",
+    )
+    first_domain = E.dedupe_batch(jobs.where("domain is not null")).select("key", F.col("domain").alias("first_known_domain"))
+    return E.dedupe_batch(jobs).select("key", "event_id").join(first_domain, "key", "left")
+
+
+def accounts(spark, sf):
+    return table(spark, sf, "customer").where("c_acctbal > 0").select(
+        F.col("c_custkey").cast("string").alias("record_id"), F.concat(F.lower("c_mktsegment"), F.col("c_custkey").cast("string"), F.lit(".example")).alias("domain")
+    )
+
+
+RESOLVED_SQL = CRM_SQL + """,
+resolved AS (SELECT j.key, j.event_id, j.event, record_id, ts, coalesce(domain, CASE WHEN c_acctbal > 0 THEN lower(c_mktsegment) || c_custkey || '.example' END) AS domain
+  FROM jobs j LEFT JOIN customer ON c_custkey::VARCHAR = record_id)"""
+
+
+@query("resolve_event_domain", f"WITH {RESOLVED_SQL} SELECT key, record_id, domain, event FROM resolved")
+def resolve_event_domain(spark, sf):
+    """Domains looked up by record id; the busiest records are spread over several tasks."""
+    jobs = E.crm_jobs(crm_events(events(spark, sf)))
+    return E.resolve_event_domain(jobs, accounts(spark, sf), rows_per_task=100).select("key", "record_id", "domain", "event")
+
+
+@query("delivery_counts", f"WITH {CRM_SQL} SELECT c.user_id AS delivery, count(*) AS received, count(j.event_id) AS queued, count(*) - count(j.event_id) AS skipped FROM crm c LEFT JOIN jobs j USING (event_id) GROUP BY 1")
+def delivery_counts(spark, sf):
+    e = crm_events(events(spark, sf)).select(F.col("objectId").alias("delivery"), E.event_wanted("subscriptionType", "propertyName").alias("queued"))
+    return report.delivery_counts(e)
+
+
+@query("first_attempts", f"WITH {RESOLVED_SQL} SELECT key, CASE WHEN domain IS NULL THEN 'pending' ELSE 'ready' END AS status, CASE WHEN domain IS NULL THEN strftime(ts + INTERVAL 30 SECOND, '%Y-%m-%d %H:%M:%S') END AS run_after, CASE WHEN domain IS NULL THEN 'record ' || record_id || ' has no website yet' END AS last_error FROM resolved")
+def first_attempts(spark, sf):
+    jobs = E.resolve_event_domain(E.crm_jobs(crm_events(events(spark, sf))), accounts(spark, sf))
+    return first_attempt(jobs).select("key", "status", F.date_format("run_after", "yyyy-MM-dd HH:mm:ss").alias("run_after"), "last_error")
+
+
+@query("jobs_by_status", f"WITH {RESOLVED_SQL} SELECT CASE WHEN domain IS NULL THEN 'pending' ELSE 'ready' END AS status, count(*) AS n FROM resolved GROUP BY 1")
+def jobs_by_status(spark, sf):
+    jobs = E.resolve_event_domain(E.crm_jobs(crm_events(events(spark, sf))), accounts(spark, sf))
+    return report.jobs_by_status(first_attempt(jobs))
+
+
+@query("ready_jobs", "SELECT event_id AS id, user_id FROM events WHERE event_type = 'signup' AND ts + value * INTERVAL 1 MINUTE <= TIMESTAMP '2024-01-15'")
+def ready_jobs_query(spark, sf):
+    jobs = events(spark, sf).select(
+        F.col("event_id").alias("id"), "user_id", F.when(F.col("event_type") == "signup", "pending").otherwise("done").alias("status"),
+        (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=F.lit(0), secs=F.col("value") * 60)).alias("run_after"),
+    )
+    return ready_jobs(jobs, datetime(2024, 1, 15, tzinfo=timezone.utc)).select("id", "user_id")
+
+
+# --- streams ---------------------------------------------------------------
+
+
+def event_stream(spark, sf):
+    """The events file as a stream source."""
+    schema = events(spark, sf).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def drain(df, purpose, mode="append"):
+    """Run a stream over everything there is and read back what it wrote."""
+    spark = df.sparkSession
+    out, checkpoint = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-checkpoint")
+    started = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    started.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query("stream_jobs", f"WITH {CRM_SQL} SELECT key, system, record_id, domain, event FROM jobs")
+def stream_jobs(spark, sf):
+    return drain(E.crm_jobs(crm_events(event_stream(spark, sf))), "jobs").drop("ingest_ts")
+
+
+@query("stream_dedupe", f"WITH {ACCOUNT_SQL} SELECT DISTINCT key, system FROM ajobs")
+def stream_dedupe(spark, sf):
+    """Redeliveries dropped; a record id counts once within the time it is remembered."""
+    raw = with_redeliveries(event_stream(spark, sf))
+    jobs = E.account_jobs(raw.select(
+        F.when(F.col("event_type").isin("view", "click"), F.col("user_id").cast("string")).alias("record_id"),
+        F.when(F.col("event_type").isin("click", "signup"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example"))).alias("website"),
+        F.col("ts").cast("timestamp").alias("ingest_ts"),
+    ))
+    return drain(E.dedupe_stream(jobs), "dedupe").select("key", "system")
+
+
+@query("stream_resolve_domain", f"WITH {RESOLVED_SQL} SELECT key, record_id, domain, event FROM resolved")
+def stream_resolve_domain(spark, sf):
+    jobs = E.crm_jobs(crm_events(event_stream(spark, sf)))
+    return drain(E.resolve_event_domain(jobs, accounts(spark, sf)), "resolved").select("key", "record_id", "domain", "event")
+
+
+@query("stream_wait_for_website", f"WITH {CRM_SQL}, keys AS (SELECT key, count(*) AS n FROM jobs WHERE domain IS NULL GROUP BY key) SELECT key, 1::BIGINT AS first_attempt FROM keys")
+def stream_wait_for_website(spark, sf):
+    """Domain-less jobs; every job is seen, tried first at once, and never more than three times."""
+    jobs = E.crm_jobs(crm_events(event_stream(spark, sf))).withWatermark("ingest_ts", "10 minutes")
+    tries = drain(wait_for_website(jobs), "waiting")
+    return tries.groupBy("key").agg(F.min("attempts").cast("long").alias("first_attempt"), F.max("attempts").alias("_last")).where("_last <= 3").drop("_last")
+
+
+@query("stream_enrich_and_plan", f"WITH {RESOLVED_SQL} SELECT DISTINCT domain, 'would_create' AS action FROM resolved WHERE domain IS NOT NULL")
+def stream_enrich_and_plan(spark, sf):
+    """Events to planned writes; every domain's homepage is the page numbered like its record."""
+    out, checkpoint = shared_dir(spark, "planned"), shared_dir(spark, "planned-checkpoint")
+    mapping = Mapping.default()
+
+    def write_plan(targets):
+        number = F.regexp_extract("domain", "([0-9]+)", 1).cast("long")
+        n_pages = rendered(spark, sf).agg(F.max("page_id")).first()[0] + 1
+        pages = targets.withColumn("page_id", number % n_pages).join(rendered(spark, sf).drop("domain"), "page_id")
+        pages = pages.drop("page_id").withColumn("error", F.lit(None).cast("string"))
+        return plan_writes(enrich_pages(pages, Profile.default()), mapping, "hubspot", None)
+
+    jobs = E.crm_jobs(crm_events(event_stream(spark, sf)))
+    run_jobs(jobs, lambda: accounts(spark, sf), write_plan, out=out, checkpoint=checkpoint).awaitTermination()
+    return spark.read.parquet(f"{out}/writes").select("domain", "action")
