@@ -31,9 +31,9 @@ def crm_events(raw):
     )
 
 
-def with_redeliveries(raw):
+def with_redeliveries(df, arrival="ingest_ts"):
     """Every event twice, the second time an hour later."""
-    return raw.unionByName(raw.withColumn("ts", F.col("ts") + F.expr("interval 1 hour")))
+    return df.unionByName(df.withColumn(arrival, F.col(arrival) + F.expr("interval 1 hour")))
 
 
 def events(spark, sf):
@@ -90,7 +90,7 @@ def refused_replays(spark, sf):
 
 @query("first_event_per_key", f"WITH {CRM_SQL} SELECT key, arg_min(event_id, ts) AS event_id, arg_min(domain, ts) FILTER (WHERE true) AS first_known_domain FROM jobs GROUP BY key")
 def first_event_per_key(spark, sf):
-    e = crm_events(with_redeliveries(events(spark, sf)))
+    e = with_redeliveries(crm_events(events(spark, sf)))
     jobs = e.where(E.event_wanted("subscriptionType", "propertyName")).select(
         E.event_key("eventId", "objectId", "propertyName", "occurredAt").alias("key"), "event_id",
         E.event_domain("propertyName", "propertyValue").alias("domain"), "ingest_ts",
@@ -170,7 +170,7 @@ def stream_jobs(spark, sf):
 @query("stream_dedupe", f"WITH {ACCOUNT_SQL} SELECT DISTINCT key, system FROM ajobs")
 def stream_dedupe(spark, sf):
     """Redeliveries dropped; a record id counts once within the time it is remembered."""
-    raw = with_redeliveries(event_stream(spark, sf))
+    raw = with_redeliveries(event_stream(spark, sf), "ts")
     jobs = E.account_jobs(raw.select(
         F.when(F.col("event_type").isin("view", "click"), F.col("user_id").cast("string")).alias("record_id"),
         F.when(F.col("event_type").isin("click", "signup"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example"))).alias("website"),

@@ -14,12 +14,13 @@ from accountlake.operators.payload import build_payloads
 from accountlake.operators.upsert import to_write, upsert_plan
 from accountlake.plans.enrich import enrich, in_input_order, plan_writes
 from accountlake.sources.sinks import flat_payloads
-from suite.pages import crawl
+from suite.pages import KIND_SQL, STATUS_SQL, crawl
 from suite.registry import query, table
 from suite.scoring import (
     ANALYSED_SQL, AREAS, B2B, B2C, BIG, CART, CATEGORIES, GOOD, NOTES, PATTERNS, PROFILE, SERVICES, SMALL, analysed,
     _score_sql, found,
 )
+from suite.sqltext import host
 
 ANALYSED_AT = datetime(2024, 5, 6, 7, 8, 9, 250000, tzinfo=timezone.utc)
 
@@ -255,7 +256,19 @@ PATTERNS_ALL = {**PATTERNS, **{n: (p,) for n, p in {
 }.items()}}
 
 
-@query("enrich_accounts")
+STATUS_ERROR = f"""CASE WHEN {STATUS_SQL} >= 400 THEN 'HTTP ' || {STATUS_SQL} WHEN NOT contains(lower({KIND_SQL}), 'html') THEN 'not HTML (' || {KIND_SQL} || ')'
+  WHEN length(text) < 200 THEN 'page rendered to ' || length(text) || ' chars (likely JS-only)' END"""
+RUN_SQL = ANALYSED_SQL + f""",
+tries AS (SELECT *, CASE WHEN starts_with(host, 'www.') THEN 2 ELSE 1 END AS k, {STATUS_ERROR} AS problem FROM scored
+  QUALIFY row_number() OVER (PARTITION BY domain, k ORDER BY page_id DESC) = 1),
+best AS (SELECT domain, arg_min(page_id, k) AS page_id FROM tries WHERE problem IS NULL GROUP BY domain),
+errors AS (SELECT domain, string_agg('https://' || CASE k WHEN 2 THEN 'www.' ELSE '' END || domain || '/: ' || problem, '; ' ORDER BY k) AS error FROM tries WHERE problem IS NOT NULL GROUP BY domain),
+run AS (SELECT d.domain, d.ord, b.page_id IS NOT NULL AS ok, CASE WHEN b.page_id IS NULL THEN e.error END AS error, s.company, CASE WHEN b.page_id IS NOT NULL THEN {_score_sql(len(GOOD))}::BIGINT END AS score
+  FROM (SELECT domain, min(page_id) * 2 AS ord FROM site GROUP BY domain) d LEFT JOIN best b USING (domain) LEFT JOIN errors e USING (domain) LEFT JOIN scored s ON s.page_id = b.page_id
+  UNION ALL SELECT 'page ' || page_id, page_id * 2 + 1, false, 'Not a domain: ' || chr(39) || 'page ' || page_id || chr(39), NULL, NULL FROM pages)"""
+
+
+@query("enrich_accounts", RUN_SQL + " SELECT domain, ord, ok, error, company, score FROM run")
 def enrich_accounts(spark, sf):
     """Accounts and crawl to ordered results, unusable inputs included."""
     return in_input_order(run_results(spark, sf)).select(
@@ -263,11 +276,13 @@ def enrich_accounts(spark, sf):
     )
 
 
-@query("enrich_and_plan")
+@query("enrich_and_plan", RUN_SQL + f""" SELECT run.domain, CASE WHEN NOT ok THEN 'failed' WHEN r.id IS NULL THEN 'created' ELSE 'updated' END AS action,
+  CASE WHEN ok THEN r.id END AS record_id, error FROM run LEFT JOIN (
+    SELECT {host('url')} AS h, min('R' || page_id) AS id FROM pages GROUP BY 1) r ON r.h = run.domain""")
 def enrich_and_plan(spark, sf):
     existing_sites = table(spark, sf, "pages").select(
         F.concat(F.lit("R"), F.col("page_id").cast("string")).alias("record_id"), F.regexp_extract("url", "^https?://([^/]*)", 1).alias("domain"),
         F.lit("x").alias("name"),
     )
     plan = plan_writes(run_results(spark, sf), Mapping.default(), "hubspot", existing_sites)
-    return plan.select("domain", "action", "record_id", F.size("changed_fields").cast("long").alias("fields"), "error")
+    return plan.select("domain", "action", "record_id", "error")
