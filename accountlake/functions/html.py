@@ -351,12 +351,11 @@ _SEPARATORS = ("|", "•", "·", ">", "-")
 
 
 def _tidy_lines(text: Column) -> Column:
-    """No trailing blanks, no lines of separators only, at most one blank line in a row."""
-    lines = F.transform(F.split(text, "\n", -1), lambda line: F.rtrim(line, F.lit(_BLANKS)))
+    """Lines trimmed, none of separators only, at most one blank line in a row."""
+    lines = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(_BLANKS)))
     kept = F.filter(
         lines,
-        lambda line: ~(F.left(F.ltrim(line, F.lit(_BLANKS)), F.lit(1)).isin(*_SEPARATORS)
-                       & line.rlike(r"^[\p{Zs}\t|•·>-]+$")),
+        lambda line: ~(F.left(line, F.lit(1)).isin(*_SEPARATORS) & line.rlike(r"^[\p{Zs}\t|•·>-]+$")),
     )
     return let(
         kept,

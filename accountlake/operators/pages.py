@@ -10,6 +10,7 @@ from accountlake import vocab
 from accountlake.functions import html as H
 from accountlake.functions.text import blank_to_null, content_hash, let, strip, truncate
 from accountlake.functions.urls import candidate_urls, domain_error, domain_of
+from accountlake.operators.robots import robots_gate
 
 
 def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
@@ -96,13 +97,16 @@ def with_signals(pages: DataFrame, patterns: Mapping[str, tuple[str, ...]] | Non
 # --- homepages -------------------------------------------------------------
 
 
-def resolve_homepages(domains: DataFrame, crawl: DataFrame, **build) -> DataFrame:
+def resolve_homepages(
+    domains: DataFrame, crawl: DataFrame, *, robots: DataFrame | None = None, agent: str = "*", **build
+) -> DataFrame:
     """One row per domain: its first usable homepage, or the reasons there is none.
 
     ``crawl`` holds answers by requested ``url`` (several crawls of one URL: the
     newest counts). Only rows whose URL is a candidate homepage of their own domain
     are looked at, and each task reduces them to two per domain before they are
-    shuffled. Everything after that stays partitioned by domain: two exchanges in all.
+    shuffled. Everything after that stays partitioned by domain: two exchanges in all,
+    and one more lookup when ``robots`` rules (``host, status, body``) are to be kept.
     """
     tried = let(candidate_urls("domain"), lambda urls: F.array_position(urls, F.col("url")))
     crawl = crawl.withColumn("domain", domain_of("url"))
@@ -117,15 +121,21 @@ def resolve_homepages(domains: DataFrame, crawl: DataFrame, **build) -> DataFram
     tries = domains.join(answers, "domain", "left").select(
         *domains.columns, F.explode_outer(F.array_compact(F.array("_a1", "_a2"))).alias("_r")
     )
-    pages = build_pages(tries.select(*domains.columns, "_r.*"), **build)
+    asked = tries.select(*domains.columns, "_r.*").withColumn("allowed", F.lit(True))
+    if robots is not None:
+        asked = robots_gate(asked.drop("allowed"), robots, agent)
+    content = [blank_to_null(c) for c in ("html", "markdown") if c in columns]
+    asked = asked.withColumn("_empty", F.coalesce(*content).isNull())
+    pages = build_pages(asked, **build)
     url = F.col("url")
+    forbidden = F.when(~F.col("allowed"), F.concat(url, F.lit(": disallowed by robots.txt")))
     kind = F.col("content_type") if "content_type" in columns else None
     fetch_error = F.col("fetch_error") if "fetch_error" in columns else F.lit(None).cast("string")
-    empty = F.when(F.col("markdown") == "", F.concat(url, F.lit(": returned no content")))
+    empty = F.when(F.col("_empty"), F.concat(url, F.lit(": returned no content")))
     pages = pages.withColumn(
         "_error",
         F.coalesce(
-            fetch_error, response_error(url, F.col("status_code"), kind),
+            forbidden, fetch_error, response_error(url, F.col("status_code"), kind),
             empty, thin_error(url, F.col("markdown")),
         ),
     )

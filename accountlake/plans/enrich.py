@@ -79,7 +79,7 @@ def enrich(accounts: DataFrame, crawl: DataFrame, profile: Profile, *, raw: str
     ``accounts`` has the raw domain and ``ord``, its place in the input.
     """
     domains, rejects = targets(accounts, raw)
-    build = {"signatures": options.pop("signatures")} if "signatures" in options else {}
+    build = {k: options.pop(k) for k in ("signatures", "max_chars", "robots", "agent") if k in options}
     results = enrich_pages(resolve_homepages(domains, crawl, **build), profile, **options)
     return results.unionByName(rejected(rejects, results.schema["page_signals"].dataType))
 

@@ -20,6 +20,9 @@ def connect(sf_dir: str):
     return con
 
 
+SQL_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def plain(v):
     if isinstance(v, bool) or v is None:
         return v
@@ -46,6 +49,11 @@ def both(spark, con, run, sql: str, sf_dir: str):
     if sorted(sql_names) != names:
         return raw, sql_raw, [f"columns {names} != {sorted(sql_names)}"]
     order = [sql_names.index(n) for n in names]
+    sql_types = {d[0]: str(d[1]) for d in cur.description}
+    for name, spark_type in df.dtypes:
+        want = SQL_TYPES.get(spark_type)
+        if want != sql_types[name] and sql_types[name] != '"NULL"':
+            problems.append(f"type of {name}: {spark_type} against {sql_types[name]}")
     sql_rows = [tuple(r[i] for i in order) for r in sql_raw]
     for i, n in enumerate(names):
         a = {kind(r[i]) for r in raw if r[i] is not None}
