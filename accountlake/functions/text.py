@@ -11,9 +11,6 @@ from accountlake import vocab
 
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)"
-_NAMED = {name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
-
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -24,15 +21,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def let_sql(value: Column, body: str) -> Column:
+    """``let`` with the body as a SQL lambda, for long bodies that are used in many places."""
+    return F.call_function("transform", F.array(value), F.expr(body))[0]
+
+
 def strings(values: Sequence[str]) -> Column:
     """Literal string array; typed also when empty."""
     return F.split(F.lit("\x1e".join(values)), "\x1e") if values else F.array().cast("array<string>")
 
 
+def sql_table(table: Mapping[str, str]) -> str:
+    """A fixed table as a SQL map literal."""
+    text = "\x1e".join(f"{k}\x1f{v}" for k, v in table.items()).replace("\\", "\\\\").replace("'", "\\'")
+    return f"str_to_map('{text}', '\x1e', '\x1f')"
+
+
 def lookup(table: Mapping[str, str], key: Column) -> Column:
     """Value of a key in a fixed table, else null. The table is one literal, folded into the plan once."""
-    text = "\x1e".join(f"{k}\x1f{v}" for k, v in table.items())
-    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\x1e"), F.lit("\x1f")), key)
+    return F.try_element_at(F.expr(sql_table(table)), key)
 
 
 def strip(c: Column | str) -> Column:
@@ -49,34 +56,26 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
-def _character(code: Column) -> Column:
-    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    four_bytes = F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0"))
-    return F.decode(four_bytes, "UTF-32")
-
-
-def _decode_reference(piece: Column) -> Column:
-    def by_kind(name: Column) -> Column:
-        after = F.length(name) + 1
-        rest = F.regexp_replace(F.substring(piece, after, F.length(piece)), "^;", "")
-        digits = F.when(
-            F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)
-        ).otherwise(F.substring(name, 2, 7))
-        character = F.when(name.startswith("#"), _character(digits.cast("long"))).otherwise(lookup(_NAMED, name))
-        return F.coalesce(F.concat(character, rest), F.concat(F.lit("&"), piece))
-
-    return let(F.regexp_extract(piece, _REFERENCE, 1), by_kind)
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)"
+_NAMED = {name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
+_CODE = """CASE WHEN lower(substring(n, 2, 1)) = 'x' THEN conv(substring(n, 3, 6), 16, 10) ELSE substring(n, 2, 7) END"""
+_CHARACTER = """decode(unhex(lpad(hex(
+    CASE WHEN k BETWEEN 1 AND 1114111 AND k NOT BETWEEN 55296 AND 57343 THEN k ELSE 65533 END), 8, '0')), 'UTF-32')"""
+# One reference: p is the text after an ampersand, n the reference's name or number.
+_DECODE_PIECE = f"""transform(array(regexp_extract(p, r'{_REFERENCE}', 1)), n -> coalesce(
+    concat(
+        CASE WHEN startswith(n, '#') THEN transform(array(cast({_CODE} AS bigint)), k -> {_CHARACTER})[0]
+             ELSE try_element_at({sql_table(_NAMED)}, n) END,
+        regexp_replace(substring(p, length(n) + 1), '^;', '')),
+    concat('&', p)))[0]"""
+_DECODE = f"""v -> CASE WHEN contains(v, '&') THEN
+    array_join(transform(split(v, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {_DECODE_PIECE} END), '')
+    ELSE v END"""
 
 
 def decode_entities(c: Column | str) -> Column:
     """Replace HTML character references, each exactly once."""
-    def decode(text: Column) -> Column:
-        pieces = F.transform(
-            F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_reference(p))
-        )
-        return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
-
-    return let(col(c), decode)
+    return let_sql(col(c), _DECODE)
 
 
 def content_hash(c: Column | str) -> Column:

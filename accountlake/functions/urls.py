@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from accountlake.functions.text import col, let, strip
+from accountlake.functions.text import col, let_sql, strip
 
 _SPLIT_URL = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)"
 
@@ -58,44 +58,27 @@ def is_root(url: Column | str) -> Column:
     return F.btrim(url_path(url), F.lit("/")) == ""
 
 
-def _fold_dots(segments: Column) -> Column:
-    """Resolve ``.`` and ``..`` path segments."""
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .when(s == ".", done)
-        .otherwise(F.concat(done, F.array(s))),
-    )
-    last = F.element_at(segments, -1)
-    return F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+_FOLD_DOTS = """aggregate(split(p, '/'), cast(array() AS array<string>), (done, s) ->
+    CASE WHEN s = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) WHEN s = '.' THEN done
+         ELSE concat(done, array(s)) END)"""
+_RESOLVE = f"""v -> CASE
+    WHEN v.href RLIKE r'^[A-Za-z][A-Za-z0-9+.-]*:' THEN v.href
+    WHEN startswith(v.href, '//') THEN concat(regexp_extract(v.base, r'{_SPLIT_URL}', 1), ':', v.href)
+    WHEN startswith(v.href, '#') THEN concat(regexp_replace(v.base, '#.*$', ''), v.href)
+    WHEN startswith(v.href, '?') THEN concat(regexp_extract(v.base, r'{_SPLIT_URL}', 0), v.href)
+    ELSE concat(
+        regexp_extract(v.base, r'{_SPLIT_URL}', 1), '://', regexp_extract(v.base, r'{_SPLIT_URL}', 2),
+        transform(
+            array(CASE WHEN startswith(v.href, '/') THEN regexp_extract(v.href, '^[^?#]*', 0)
+                  ELSE regexp_replace(concat('/', regexp_replace(regexp_extract(v.base, r'{_SPLIT_URL}', 3), '[^/]*$', ''),
+                                             regexp_extract(v.href, '^[^?#]*', 0)), '/{{2,}}', '/') END),
+            p -> CASE WHEN p RLIKE r'/\\.\\.?(/|$)'
+                      THEN concat('/', ltrim('/', array_join(
+                          concat({_FOLD_DOTS}, CASE WHEN p RLIKE r'/\\.\\.?$' THEN array('') ELSE array() END), '/')))
+                      ELSE p END)[0],
+        regexp_extract(v.href, r'[?#].*$', 0)) END"""
 
 
 def absolute_url(base: Column | str, href: Column) -> Column:
-    """Resolve a link against the page it was found on."""
-    base = col(base)
-    scheme = F.regexp_extract(base, _SPLIT_URL, 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(base, _SPLIT_URL, 2))
-    base_path = F.regexp_extract(base, _SPLIT_URL, 3)
-    path = F.regexp_extract(href, "^[^?#]*", 0)
-    suffix = F.regexp_extract(href, "[?#].*$", 0)
-    rooted = F.when(path.startswith("/"), path).otherwise(
-        F.regexp_replace(
-            F.concat(F.lit("/"), F.regexp_replace(base_path, "[^/]*$", ""), path), "/{2,}", "/"
-        )
-    )
-
-    def resolve(p: Column) -> Column:
-        folded = let(F.split(p, "/"), lambda segments: F.array_join(_fold_dots(segments), "/"))
-        return F.when(
-            p.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.ltrim(folded, F.lit("/")))
-        ).otherwise(p)
-
-    return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("?"), F.concat(site, base_path, href))
-        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(site, let(rooted, resolve), suffix))
-    )
-
+    """Resolve a link against the page it was found on; ``.`` and ``..`` segments are folded."""
+    return let_sql(F.struct(col(base).alias("base"), href.alias("href")), _RESOLVE)

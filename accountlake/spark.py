@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators rely on. Shuffle partition counts are left
 # to the cluster: AQE coalesces them, and splits skewed ones.
@@ -41,6 +41,18 @@ def local_session(cores: int | str = "*", memory: str = "16g", shuffle_partition
     return spark
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for text-heavy work.
+
+    At scale the files have far more splits than the cluster has cores and are read as
+    they are. A table of few, large row groups would keep most cores idle while a few
+    tasks do all the string work, so its rows are dealt out first.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accountlake.spark import configure
+from accountlake.spark import configure, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,5 +29,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+TEXT_TABLES = ("pages", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return scan(spark, path) if name in TEXT_TABLES else spark.read.parquet(path)
