@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from accountlake import vocab
 
+# The processor travels to the workers as code, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RETRY_SCHEMA = (
     "key string, system string, record_id string, domain string, event string, "
     "status string, attempts int, run_after timestamp, last_error string"

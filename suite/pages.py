@@ -35,7 +35,7 @@ def page_title(spark, sf):
 
 
 @query("meta_description", """
-SELECT page_id, left(trim(regexp_replace(split_part(replace(html, '<meta charset="utf-8">', ''), '<title>', 2), '<.*$', '', 's')), 500) AS description
+SELECT page_id, left(replace(trim(regexp_replace(split_part(replace(html, '<meta charset="utf-8">', ''), '<title>', 2), '<.*$', '', 's')), '&amp', '&'), 500) AS description
 FROM (SELECT page_id, replace(replace(html, '&amp;', 'and'), '&quot;', '') AS html FROM pages)""")
 def meta_description(spark, sf):
     """Descriptions made from the pages' own titles, in both spellings of the tag."""
