@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from accountlake.functions.text import strings
 from accountlake.functions.values import comparable
 from accountlake.operators.keys import lookup_join
 
@@ -25,10 +24,16 @@ def _one_record_per_key(existing: DataFrame, key: Column) -> DataFrame:
     )
 
 
+def _nowhere() -> Column:
+    """A key that no record has, for failed payloads: they pass through the join without piling up on null."""
+    return F.concat(F.lit("\x00"), F.spark_partition_id().cast("string"), F.lit(":"), F.col("domain"))
+
+
 def find_by_key(payloads: DataFrame, existing: DataFrame, match_key: str) -> DataFrame:
     """Payloads with ``_found``: the existing record of the same key, or null."""
     found = _one_record_per_key(existing, _key(F.col(match_key)))
-    return payloads.withColumn("_key", _key(F.col("match_value"))).join(found, "_key", "left").drop("_key")
+    key = F.coalesce(_key(F.col("match_value")), _nowhere())
+    return payloads.withColumn("_key", key).join(found, "_key", "left").drop("_key")
 
 
 def _label_keys(website: Column) -> Column:
@@ -69,13 +74,14 @@ def find_by_contains(payloads: DataFrame, existing: DataFrame, match_key: str, *
     An equality join on label keys finds the possible pairs, ``contains`` settles
     them; equal texts are reduced to one record first and hot keys are spread.
     """
-    records = _one_record_per_key(existing, F.lower(F.col(match_key)))
-    texts = records.select(
-        F.col("_key").alias("_text"), F.col("_found.record_id").alias("_id"),
-        F.explode(_label_keys(F.col("_key"))).alias("_label"),
+    texts = (
+        existing.select(F.lower(F.col(match_key)).alias("_text"), "record_id")
+        .where("_text is not null")
+        .groupBy("_text").agg(F.min("record_id").alias("_id"))
+        .select("_text", "_id", F.explode(_label_keys(F.col("_text"))).alias("_label"))
     )
     needle = F.lower(F.btrim(F.regexp_replace(F.col("match_value"), "^.*//", ""), F.lit("/")))
-    wanted = payloads.select(needle.alias("_needle")).where("_needle like '%.%'").distinct()
+    wanted = payloads.select(needle.alias("_needle")).where(F.col("_needle").contains(".")).distinct()
     wanted = wanted.withColumn("_label", _search_key(F.col("_needle")))
     hits = (
         lookup_join(texts, wanted, ["_label"], salt_by=["_text"], how="inner", **join)
@@ -83,9 +89,9 @@ def find_by_contains(payloads: DataFrame, existing: DataFrame, match_key: str, *
         .groupBy("_needle").agg(F.min("_id").alias("_id"))
     )
     found = hits.join(
-        records.select(F.col("_found.record_id").alias("_id"), "_found"), "_id"
+        existing.select(F.col("record_id").alias("_id"), F.struct(*existing.columns).alias("_found")), "_id"
     ).select("_needle", "_found")
-    return payloads.withColumn("_needle", needle).join(found, "_needle", "left").drop("_needle")
+    return payloads.withColumn("_needle", F.coalesce(needle, _nowhere())).join(found, "_needle", "left").drop("_needle")
 
 
 def upsert_plan(
@@ -106,17 +112,11 @@ def upsert_plan(
     """
     kinds = payloads.schema["properties"].dataType
     assert isinstance(kinds, T.StructType)
-    failed = payloads.where("error is not null").select(
-        "domain", F.lit(destination).alias("destination"), F.lit("failed").alias("action"),
-        F.lit(None).cast("string").alias("record_id"), strings(()).alias("changed_fields"),
-        F.lit(None).cast("string").alias("changes"), "error",
-    )
-    good = payloads.where("error is null")
     if existing is None:
-        found, old_kinds = good.withColumn("_found", F.lit(None).cast("struct<record_id:string>")), {}
+        found, old_kinds = payloads.withColumn("_found", F.lit(None).cast("struct<record_id:string>")), {}
     else:
         finder = {"key": find_by_key, "contains": find_by_contains}[match]
-        found = finder(good, existing, match_key, **join)
+        found = finder(payloads, existing, match_key, **join)
         old_kinds = {f.name: f.dataType for f in existing.schema}
 
     exists = F.col("_found").isNotNull()
@@ -132,18 +132,19 @@ def upsert_plan(
     compared = found.withColumn("_fields", F.array_compact(F.array(*changed)))
     dry = dry_run or existing is None
     action = (
-        F.when(~exists, "would_create" if dry else "created")
+        F.when(F.col("error").isNotNull(), "failed")
+        .when(~exists, "would_create" if dry else "created")
         .when(F.size("_fields") == 0, "skipped")
         .otherwise("would_update" if dry else "updated")
     )
-    planned = compared.select(
+    # Failed and good payloads stay in one plan: splitting them would run all that led here twice.
+    return compared.select(
         "domain", F.lit(destination).alias("destination"), action.alias("action"),
         F.col("_found.record_id").cast("string").alias("record_id"),
         F.col("_fields").alias("changed_fields"),
         F.when(F.size("_fields") > 0, F.to_json(F.struct(*values))).alias("changes"),
-        F.lit(None).cast("string").alias("error"),
+        "error",
     )
-    return planned.unionByName(failed)
 
 
 def to_write(plan: DataFrame) -> DataFrame:

@@ -6,9 +6,8 @@ import sys
 from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from accountlake import vocab
@@ -16,10 +15,8 @@ from accountlake import vocab
 # The processor travels to the workers as code, so they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RETRY_SCHEMA = (
-    "key string, system string, record_id string, domain string, event string, "
-    "status string, attempts int, run_after timestamp, last_error string"
-)
+_OUTPUT = "key string, system string, record_id string, event string, status string, attempts int, due_ms bigint"
+_Try = Row("key", "system", "record_id", "event", "status", "attempts", "due_ms")
 _STATE = "attempts int, system string, record_id string, event string"
 
 
@@ -50,49 +47,38 @@ def ready_jobs(jobs: DataFrame, now: datetime, n: int = 0) -> DataFrame:
 class _WaitForWebsite(StatefulProcessor):
     """One state per job: how often it was tried. Event-time timers bring it back."""
 
-    def __init__(self, retry_seconds: int, max_attempts: int, time: str) -> None:
+    def __init__(self, retry_seconds: int, max_attempts: int) -> None:
         self.retry_ms = retry_seconds * 1000
         self.max_attempts = max_attempts
-        self.time = time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", _STATE)
 
-    def _out(self, key, job, status: str, attempts: int, run_after_ms: int | None) -> pd.DataFrame:
-        error = f"record {job[1]} has no website yet"
-        run_after = None if run_after_ms is None else pd.Timestamp(run_after_ms, unit="ms")
-        return pd.DataFrame({
-            "key": [key], "system": [job[0]], "record_id": [job[1]], "domain": [None], "event": [job[2]],
-            "status": [status], "attempts": [attempts],
-            "run_after": pd.Series([run_after], dtype="datetime64[ns]"), "last_error": [error],
-        })
-
-    def _wait(self, key, job, attempts: int, now_ms: int) -> pd.DataFrame:
+    def _wait(self, key: str, job: tuple, attempts: int, now_ms: int) -> Row:
         due = now_ms + self.retry_ms * attempts
         self.job.update((attempts, *job))
         self.handle.registerTimer(due)
-        return self._out(key, job, "pending", attempts, due)
+        return _Try(key, *job, "pending", attempts, due)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            if self.job.exists() or batch.empty:
-                continue  # a job is one row; a repeat changes nothing
-            row = batch.iloc[0]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.job.exists():
+            return  # a job is one row; a repeat changes nothing
+        row = next(iter(rows), None)
+        if row is not None:
             job = (row["system"], row["record_id"], row["event"])
-            arrived = int(pd.Timestamp(row[self.time]).value // 1_000_000)
-            yield self._wait(key[0], job, 1, arrived)
+            yield self._wait(key[0], job, 1, row["arrived_ms"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if not self.job.exists():
             return
         attempts, *job = self.job.get()
         attempts += 1
         if attempts >= self.max_attempts:
             self.job.clear()
-            yield self._out(key[0], job, "failed", attempts, None)
+            yield _Try(key[0], *job, "failed", attempts, None)
         else:
-            yield self._wait(key[0], job, attempts, expiredTimerInfo.getExpiryTimeInMs())
+            yield self._wait(key[0], tuple(job), attempts, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -114,13 +100,18 @@ def wait_for_website(
     # The condition names the event time so that it stays above the watermark: jobs
     # that have a domain are dropped, but they too must move the clock.
     no_domain = F.when(F.col(time).isNull(), F.lit("")).otherwise(F.col("domain")).isNull()
-    return (
+    tries = (
         jobs.where(no_domain)
+        .select("key", "system", "record_id", "event", time, F.unix_millis(time).alias("arrived_ms"))
         .groupBy("key")
-        .transformWithStateInPandas(
-            statefulProcessor=_WaitForWebsite(retry_seconds, max_attempts, time),
-            outputStructType=RETRY_SCHEMA,
+        .transformWithState(
+            statefulProcessor=_WaitForWebsite(retry_seconds, max_attempts),
+            outputStructType=_OUTPUT,
             outputMode="Append",
             timeMode="EventTime",
         )
     )
+    return tries.select(
+        "key", "system", "record_id", F.lit(None).cast("string").alias("domain"), "event", "status", "attempts",
+        F.timestamp_millis("due_ms").alias("run_after"), no_website("record_id").alias("last_error"),
+    )

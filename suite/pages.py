@@ -20,9 +20,9 @@ def marked(spark, sf):
     return table(spark, sf, "pages").withColumn("m", H.markup("html"))
 
 
-def rendered(spark, sf):
+def rendered(spark, sf, pages=None):
     """Pages as ``build_pages`` gives them, with the id."""
-    raw = table(spark, sf, "pages").select(
+    raw = (table(spark, sf, "pages") if pages is None else pages).select(
         "page_id", U.domain_of("url").alias("domain"), F.col("url").alias("final_url"), F.lit(200).alias("status_code"),
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id")).alias("fetched_at"), "html",
     )

@@ -56,9 +56,8 @@ GATED = ("anmeld", "eau le la", "erst the")
 MISSING = ("nicht", "tion tion", "stand er")
 
 
-def _answers(spark, sf):
+def _answers(pages):
     """Rendered pages as answers: failures, redirects and statuses told from the URL."""
-    pages = rendered(spark, sf)
     url = F.col("final_url")
     return pages.select(
         "page_id", "domain", "fetched_at",
@@ -71,9 +70,11 @@ def _answers(spark, sf):
     )
 
 
-def _controls(answers):
+def _controls(spark, sf):
     """The first page of every site stands in for its control page; some sites are made honest or blind."""
-    first = one_per_key(answers, ["domain"], ["page_id"])
+    raw = table(spark, sf, "pages")
+    firsts = raw.groupBy(U.domain_of("url").alias("d")).agg(F.min("page_id").alias("page_id")).select("page_id")
+    first = _answers(rendered(spark, sf, raw.join(firsts, "page_id", "left_semi")))
     blank = F.when(F.col("domain").startswith("blog."), "Loading").otherwise(F.col("text"))
     status = F.when(F.col("domain").endswith(".net"), 404).otherwise(200)
     return first.select("domain", status.alias("status_code"), F.lit(None).cast("string").alias("fetch_error"), blank.alias("text"))
@@ -91,7 +92,7 @@ modes AS (SELECT *, CASE WHEN status >= 400 THEN 'honest_404' WHEN length(ctext)
 
 @query("control_mode", ANSWERS_SQL + f""" SELECT domain, mode, CASE WHEN mode = 'soft_404' THEN len({TOKENS_SQL.format('ctext')})::BIGINT END AS control_tokens FROM modes""")
 def control_mode(spark, sf):
-    modes = calibrate(_controls(_answers(spark, sf)))
+    modes = calibrate(_controls(spark, sf))
     return modes.select("domain", "mode", F.when(F.col("control_tokens").isNotNull(), F.size("control_tokens")).cast("long").alias("control_tokens"))
 
 
@@ -104,7 +105,7 @@ _TOPIC_SQL = "CASE path " + " ".join(f"WHEN '{p}' THEN {_has(ws)}" for p, ws in
 
 @query("on_topic", ANSWERS_SQL + f" SELECT page_id, {_TOPIC_SQL} AS on_topic FROM answers")
 def on_topic(spark, sf):
-    return _answers(spark, sf).select("page_id", P.on_topic("path", "text", TOPICS).alias("on_topic"))
+    return _answers(rendered(spark, sf)).select("page_id", P.on_topic("path", "text", TOPICS).alias("on_topic"))
 
 
 def _marker_sql(words):
@@ -130,9 +131,9 @@ SELECT page_id, mode, round(sim, 9) AS similarity,
     WHEN 8 THEN 0.95 WHEN 9 THEN 0.5 WHEN 10 THEN 0.6 ELSE 0.8 END::DOUBLE AS confidence
 FROM k""")
 def path_verdicts_query(spark, sf):
-    answers = _answers(spark, sf)
+    answers = _answers(rendered(spark, sf))
     judged = path_verdicts(
-        answers.drop("fetched_at"), _controls(answers), gated_markers=GATED, missing_markers=MISSING, topics=TOPICS,
+        answers.drop("fetched_at"), _controls(spark, sf), gated_markers=GATED, missing_markers=MISSING, topics=TOPICS,
         rows_per_task=10_000,
     )
     return judged.select("page_id", "mode", F.round("similarity", 9).alias("similarity"), "verdict", "reason", "confidence")
@@ -151,10 +152,10 @@ SELECT domain, path, CASE WHEN absent OR failed OR status >= 400 OR sim > 0.85 O
        WHEN topic THEN 0.95 WHEN mode = 'soft_404_blind' THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence FROM s""")
 def probe_paths_query(spark, sf):
     """Four paths on every site; the newest page under a path is its answer."""
-    answers = _answers(spark, sf)
+    answers = _answers(rendered(spark, sf))
     crawl = answers.select(
         F.concat(F.lit("https://"), "domain", "path").alias("url"), F.concat(F.lit("https://"), "domain", "path").alias("final_url"),
         "status_code", "fetch_error", "fetched_at", F.col("text").alias("markdown"), F.lit(None).cast("string").alias("html"),
     )
-    judged = probe_paths(_controls(answers), crawl, TOPICS, gated_markers=("~none~",), missing_markers=("~none~",))
+    judged = probe_paths(_controls(spark, sf), crawl, TOPICS, gated_markers=("~none~",), missing_markers=("~none~",))
     return judged.select("domain", "path", "verdict", "confidence")
