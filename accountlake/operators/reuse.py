@@ -23,7 +23,8 @@ def stale_domains(
 ) -> DataFrame:
     """Domains without a page young enough to reuse."""
     oldest = F.lit(now) - F.make_dt_interval(secs=F.lit(ttl_hours * 3600.0))
-    fresh = snapshots.where(F.col("fetched_at") >= oldest).select("domain")
+    # distinct first: a domain crawled very often must not fill one task of the join
+    fresh = snapshots.where(F.col("fetched_at") >= oldest).select("domain").distinct()
     return domains.join(fresh, "domain", "left_anti")
 
 
@@ -51,7 +52,7 @@ def reuse_analyses(pages: DataFrame, prior: DataFrame, *, analyzer: str, profile
 
 def pages_to_analyse(pages: DataFrame, prior: DataFrame, *, analyzer: str, profile: str) -> DataFrame:
     """Only the pages ``reuse_analyses`` finds nothing for."""
-    known = prior.where("analysis is not null").select(*ANALYSIS_KEY)
+    known = prior.where("analysis is not null").select(*ANALYSIS_KEY).distinct()
     return (
         _keyed(pages, analyzer, profile)
         .join(known, list(ANALYSIS_KEY), "left_anti")

@@ -88,7 +88,7 @@ def test_category_ties_and_minimum(one):
 
 
 @pytest.mark.parametrize(("title", "expected"), [
-    ("Wistia | The Video Marketing Platform", "Wistia"), ("Long name here – Gong", "Gong"), ("Just one title", "Just one title"),
+    ("Delta | The Signal Marketing Platform", "Delta"), ("Long name here – Gong", "Gong"), ("Just one title", "Just one title"),
     ("ab - cd", "ab"), (" | x", "Acme"), (None, "Acme"), ("y" * 61, "Acme"),
 ])
 def test_company_name(one, title, expected):

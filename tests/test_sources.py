@@ -119,3 +119,12 @@ def test_run_log_keeps_the_last_recorded_start(spark, tmp_path):
     assert got == {"k": 20, "other": 1}
     assert last_run(log, "k") == (NOW + 2 * day).replace(tzinfo=None)
     assert last_run(log, "never") is None
+
+
+def test_scratch_goes_to_the_shared_folder(spark):
+    from accountlake.spark import shared_dir
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    first, second = shared_dir(spark, "a"), shared_dir(spark, "a")
+    root = root or spark.sparkContext.getCheckpointDir()
+    assert first.startswith(root) and first != second
