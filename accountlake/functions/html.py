@@ -334,7 +334,7 @@ def _render_tags(fragment: Column) -> Column:
                 .when(piece.startswith("]("), F.concat(F.substring_index(piece, ">", 1), escape(text)))
                 .when(
                     piece.startswith("="),
-                    F.concat(F.lit("<"), F.substring(F.substring_index(piece, ">", 1), 2, 100_000), F.lit(">"), escape(text)),
+                    F.concat(F.lit("<"), F.substring(F.substring_index(piece, ">", 1), 2, F.length(piece)), F.lit(">"), escape(text)),
                 )
                 .otherwise(F.concat(F.lit("<"), escape(piece)))
             )

@@ -172,7 +172,7 @@ def company_name(title: Column | str, domain: Column | str) -> Column:
         lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i"), p.alias("part")),
     )
     label = F.substring_index(domain, ".", 1)
-    fallback = F.concat(F.upper(F.left(label, F.lit(1))), F.lower(F.substring(label, 2, 10_000)))
+    fallback = F.concat(F.upper(F.left(label, F.lit(1))), F.lower(F.substring(label, 2, F.length(label))))
     return let(
         strip(F.array_min(parts)["part"]),
         lambda best: F.when(F.length(best).between(2, 60), best).otherwise(fallback),

@@ -11,6 +11,7 @@ from accountlake.functions import html as H
 from accountlake.functions.text import blank_to_null, content_hash, let, strip, truncate
 from accountlake.functions.urls import candidate_urls, domain_error, domain_of
 from accountlake.operators.robots import robots_gate
+from accountlake.schemas import RAW_PAGE
 
 
 def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
@@ -111,7 +112,7 @@ def resolve_homepages(
     tried = let(candidate_urls("domain"), lambda urls: F.array_position(urls, F.col("url")))
     crawl = crawl.withColumn("domain", domain_of("url"))
     c = crawl.withColumn("_try", tried.cast("int")).where("_try > 0")
-    columns = [x for x in crawl.columns if x != "domain"]
+    columns = [x for x in crawl.columns if x in RAW_PAGE.names]
     order = F.struct("fetched_at", F.xxhash64("html", "final_url"))
 
     def newest(k: int) -> Column:

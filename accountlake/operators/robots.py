@@ -41,7 +41,7 @@ def rule_groups(body: Column | str) -> Column:
             return F.filter(lines, lambda m: F.left(m, F.lit(1)).isin(*kinds))
 
         def value(m: Column) -> Column:
-            return F.substring(m, 2, 1_000_000)
+            return F.substring(m, 2, F.length(m))
 
         return F.struct(
             F.transform(starting("U"), value).alias("agents"),

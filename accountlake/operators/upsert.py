@@ -115,6 +115,9 @@ def upsert_plan(
     if existing is None:
         found, old_kinds = payloads.withColumn("_found", F.lit(None).cast("struct<record_id:string>")), {}
     else:
+        # only what is compared is read and shuffled, however wide the existing table is
+        needed = {"record_id", match_key, *kinds.names}
+        existing = existing.select(*[c for c in existing.columns if c in needed])
         finder = {"key": find_by_key, "contains": find_by_contains}[match]
         found = finder(payloads, existing, match_key, **join)
         old_kinds = {f.name: f.dataType for f in existing.schema}

@@ -140,6 +140,15 @@ def test_second_upsert_writes_nothing(spark, results):
     assert all(r.changed_fields == ["gtm_icp_fit_score"] and json.loads(r.changes) == {"gtm_icp_fit_score": 67} for r in updates)
 
 
+def test_upsert_reads_only_compared_columns(spark):
+    """A wide table of existing records is pruned at the scan."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    old = orders.withColumnRenamed("o_orderkey", "record_id").withColumnRenamed("o_orderpriority", "domain")
+    plan = upsert_plan(payloads(spark, [("a.io", (1, "n", True, "a.io"), None)]), old, destination="x", match_key="domain")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>" in text
+
+
 @pytest.mark.parametrize("rows_per_task", [1, 1_000_000])
 def test_contains_match_equals_brute_force(spark, rows_per_task):
     rng = random.Random(7)
