@@ -114,11 +114,18 @@ def any_contained(haystack: Column, needles: Sequence[str]) -> Column:
     return hit
 
 
+_SPECIAL = frozenset(".^$*+?{}[]\\|()")
+
+
 def any_matches(haystack: Column, patterns: Sequence[str]) -> Column:
-    """True when one of the patterns is found; ``\\b`` and ``\\s`` know all of Unicode."""
+    """True when one of the patterns is found; ``\\b`` and ``\\s`` know all of Unicode.
+
+    A pattern without special characters is a plain substring test.
+    """
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | haystack.rlike(f"(?U){p}")
+        literal = _SPECIAL.isdisjoint(p)
+        hit = hit | (haystack.contains(p) if literal else haystack.rlike(f"(?U){p}" if "\\" in p else p))
     return hit
 
 
@@ -150,7 +157,7 @@ def truncate(c: Column | str, limit: int = vocab.MAX_MARKDOWN_CHARS) -> Column:
 
 def normalise_text(c: Column | str) -> Column:
     """Lower case, punctuation to spaces, runs of whitespace to one space."""
-    return squash(F.regexp_replace(F.lower(col(c)), r"(?U)[^a-z0-9\s]+", " "))
+    return F.btrim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " "))
 
 
 def first_paragraph(c: Column | str) -> Column:
