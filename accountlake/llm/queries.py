@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accountlake.llm import fingerprints, mixing, secret_scan, token_counts, toxicity
+from accountlake.llm import exact_dedup, fingerprints, jaccard_join, lbl, mixing, revisits, secret_scan, suffix_pieces, token_counts, toxicity
 from accountlake.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,31 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.secret_spans(_read(spark, sf_dir, "documents")))
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.report(revisits.resolve_revisits(revisits.capture_log(_read(spark, sf_dir, "pages"))))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op5_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.scores(_read(spark, sf_dir, "documents"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(_read(spark, sf_dir, "documents")).drop("bucket", "chain")
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_pieces.piece_report(_read(spark, sf_dir, "documents"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links", "class_size")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
@@ -39,9 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
+    "op3_revisits": op3_revisits,
     "op4_mix": op4_mix,
+    "op5_lbl_scores": op5_lbl_scores,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_sentence_pieces": op7_sentence_pieces,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {"op4_mix": mixing.REPORT_SQL}
+ORACLE: dict[str, str] = {
+    "op3_revisits": revisits.REPORT_SQL,
+    "op4_mix": mixing.REPORT_SQL,
+    "op6_exact_dedup": exact_dedup.COPIES_SQL,
+}
