@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +73,12 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("row.*").toDF(*columns)
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A value of bounded size for the tasks, its classes with it; call the result to get it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def fold(key: Column, n: int) -> Column:
     """``crc32`` of the key as text, modulo ``n``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n

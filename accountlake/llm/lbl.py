@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountlake.llm.common import fold, pick, saved
+from accountlake.llm.common import fold, pick, saved, shipped
 
 WORDS = 700  # words that are units of their own
 CLASSES = 320  # classes by ending
@@ -230,7 +230,7 @@ def train(model: Model, positions: np.ndarray, noise: np.ndarray, rate: float =
 def sampled_positions(texts: DataFrame, vocab, every: int = EVERY) -> DataFrame:
     """Of every text the positions ``offset, offset + every, ...``, the offset a hash of the text's batch place."""
     def run(batches):
-        v, serial = vocab.value, 0
+        v, serial = vocab(), 0
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
@@ -279,7 +279,7 @@ def _mean(parts: DataFrame) -> tuple[np.ndarray, float] | None:
 
 def fitted(texts: DataFrame, vocab, rounds: int = ROUNDS) -> Model:
     """The model after some rounds of local training and averaging, over positions of all training texts."""
-    v = vocab.value
+    v = vocab()
     model = Model.start(v.unit_counts)
     noise = (v.unit_counts + 1) ** 0.75
     noise = noise / noise.sum()
@@ -288,15 +288,14 @@ def fitted(texts: DataFrame, vocab, rounds: int = ROUNDS) -> Model:
     if not total:
         return model
     dealt = places.repartition(math.ceil(total / SHARD))
-    context = texts.sparkSession.sparkContext
     for turn in range(rounds):
-        sent = context.broadcast(model)
+        sent = shipped(texts.sparkSession, model)
 
         def run(batches, sent=sent, turn=turn):
             rows = [np.frombuffer(x, np.int16).reshape(-1, 3) for b in batches for x in b.column(0).to_pylist()]
             if rows:
                 here = np.concatenate(rows)
-                got = train(sent.value, here, noise, rate=0.1 / (1 + turn), seed=turn)
+                got = train(sent(), here, noise, rate=0.1 / (1 + turn), seed=turn)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([got.flat().tobytes()], pa.binary()), pa.array([float(len(here))], pa.float64())],
                     names=["flat", "n"])
@@ -315,10 +314,10 @@ def tables(spark, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     near = (model.context @ model.near @ model.unit.T + model.bias).astype(np.float32)
     far = (model.context @ model.far @ model.unit.T).astype(np.float32)
-    sent = spark.sparkContext.broadcast(model)
+    sent = shipped(spark, model)
 
     def run(batches):
-        m = sent.value
+        m = sent()
         made = m.context @ m.near
         for batch in batches:
             for a in batch.column(0).to_pylist():
@@ -341,8 +340,8 @@ def _scored(vocab, sent):
     ])
 
     def run(batches):
-        v = vocab.value
-        near, far, z = sent.value
+        v = vocab()
+        near, far, z = sent()
         end_log = math.log10(v.ends + 1)
         for batch in batches:
             rows, rare_rows, rare_words, rare_counts = [], [], [], []
@@ -387,9 +386,9 @@ def scores(docs: DataFrame) -> DataFrame:
     training = texts.where(fold(F.col("doc_id"), 7) != 2)
     counts = saved(word_counts(training), "counts")
     vocab, least = vocabulary(counts)
-    sent_vocab = spark.sparkContext.broadcast(vocab)
+    sent_vocab = shipped(spark, vocab)
     model = fitted(training, sent_vocab)
-    sent_tables = spark.sparkContext.broadcast(tables(spark, model))
+    sent_tables = shipped(spark, tables(spark, model))
     run = _scored(sent_vocab, sent_tables)
     scored = saved(
         texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(

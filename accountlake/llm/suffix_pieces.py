@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accountlake.llm.common import pick
+from accountlake.llm.common import pick, shipped
 
 SPACE = "▁"
 INDEX_BYTES = 1 << 20  # words indexed together
@@ -57,9 +57,6 @@ class Vocabulary:
     byte_ids: np.ndarray
     runs: dict[int, int]  # spaces in a row -> piece
 
-    def __getstate__(self):
-        return self.__dict__
-
 
 def _merge_last(word: str, rank: dict[str, int]) -> tuple[str, str] | None:
     """The last two pieces that merging makes of a word; None if it does not end as one piece."""
@@ -366,11 +363,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` of every whole text; null and empty texts have none. One pass, no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path or model_path()))
+    sent = shipped(docs.sparkSession, vocabulary(path or model_path()))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        encoder = Encoder(sent.value)
+        encoder = Encoder(sent())
         for batch in batches:
             rows = encoder.encode(batch.column(1).to_pylist())
             ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in rows]))).astype(np.int32)
@@ -383,12 +380,13 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and ``text`` of rows of ``ids``; null ids give the empty text."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary(path or model_path()))
+    sent = shipped(rows.sparkSession, vocabulary(path or model_path()))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
+        v = sent()
         for batch in batches:
-            texts = [decode(sent.value, x or ()) for x in batch.column(1).to_pylist()]
+            texts = [decode(v, x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
 
     return pick(rows, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -400,19 +398,19 @@ def piece_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     One row per row of ``docs``. ``ids_sha256`` is over the ids as 32-bit little-endian numbers. ``same`` tells
     whether decoding gave the text, its U+2581 counted as spaces, as the vocabulary has them.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path or model_path()))
+    sent = shipped(docs.sparkSession, vocabulary(path or model_path()))
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()),
         ("decoded_sha256", pa.string()), ("same", pa.bool_()),
     ])
 
     def run(batches):
-        encoder = Encoder(sent.value)
+        encoder = Encoder(sent())
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out = []
             for text, ids in zip(texts, encoder.encode(texts), strict=True):
-                back = decode(sent.value, np.frombuffer(ids, "<i4").tolist())
+                back = decode(encoder.v, np.frombuffer(ids, "<i4").tolist())
                 out.append((
                     len(text), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(),
                     back == text.replace(SPACE, " "),
