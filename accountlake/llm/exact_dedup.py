@@ -57,11 +57,11 @@ def _before(a, b) -> bool:
     return b is not None and (a is None or a < b)
 
 
-def _combiner(text_field: int, row_type: pa.DataType):
-    schema = pa.schema([
-        ("kind", pa.int32()), ("entry", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("first", pa.bool_()),
-        ("bytes", pa.int64()), ("copies", pa.int64()), ("text_sha256", pa.string()), ("row", row_type),
-    ])
+def _combiner(text_field: int):
+    names = [x.split()[0] for x in ENTRY.split(", ")] + ["row"]
+    types = [
+        pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(),
+    ]
 
     def emit(entries, members, rows, part, serial):
         """Member rows, then one entry per text with the row that stays among those combined."""
@@ -74,9 +74,9 @@ def _combiner(text_field: int, row_type: pa.DataType):
         ]
         where = [e[5] for e in entries]  # (batch, position) of each entry's row
         kept = [rows[b].slice(i, 1) for b, i in where]
-        column = pa.concat_arrays([pa.nulls(n, row_type), *kept])
-        flat = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
-        whole = pa.RecordBatch.from_arrays([*flat, column], schema=schema)
+        column = pa.concat_arrays([pa.nulls(n, rows[0].type), *kept])
+        flat = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+        whole = pa.RecordBatch.from_arrays([*flat, column], names=names)
         for s in range(0, whole.num_rows, 2000):
             yield whole.slice(s, 2000)
 
@@ -113,12 +113,9 @@ def _combiner(text_field: int, row_type: pa.DataType):
     return run
 
 
-def _owner(text_field: int, row_type: pa.DataType, with_rows: bool):
-    fields = [
-        ("entry", pa.int64()), ("bucket", pa.int64()), ("key", pa.int64()), ("chain", pa.int32()), ("keep_id", pa.int64()),
-        ("group_size", pa.int64()), ("wins", pa.bool_()), ("text_sha256", pa.string()),
-    ]
-    schema = pa.schema(fields + ([("row", row_type)] if with_rows else []))
+def _owner(text_field: int, with_rows: bool):
+    names = [x.split()[0] for x in FOUND.split(", ")] + ["row"] * with_rows
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
     def finish(chain):
         out, rows = [], []
@@ -130,17 +127,17 @@ def _owner(text_field: int, row_type: pa.DataType, with_rows: bool):
         return out, rows
 
     def batch_of(out, rows):
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
         if with_rows:
-            columns.append(pa.concat_arrays([pa.nulls(1, row_type) if r is None else r for r in rows]))
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+            kind = next(r.type for r in rows if r is not None)
+            columns.append(pa.concat_arrays([pa.nulls(1, kind) if r is None else r for r in rows]))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches):
         current, chain = None, []  # the entries of one key, told apart by their bytes
         out, rows, held = [], [], 0
         for batch in batches:
-            names = batch.schema.names
-            row = batch.column(names.index("row"))
+            row = batch.column(batch.schema.names.index("row"))
             texts = row.field(text_field)
             narrow = batch.select(["bucket", "key", "entry", "doc_id", "copies", "text_sha256"]).to_pylist()
             for i, r in enumerate(narrow):
@@ -178,12 +175,8 @@ def _owner(text_field: int, row_type: pa.DataType, with_rows: bool):
 
 def _index(rows: DataFrame, text_field: int, capacity: int, with_rows: bool) -> tuple[DataFrame, DataFrame]:
     """Entries (files in the shared folder) and what the owners found, from ``key, doc_id, row``."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = rows.schema["row"].dataType
-    ddl = kind.simpleString()
-    arrow = to_arrow_type(kind)
-    entries = saved(rows.mapInArrow(_combiner(text_field, arrow), f"{ENTRY}, row {ddl}"), "entries")
+    ddl = rows.schema["row"].dataType.simpleString()
+    entries = saved(rows.mapInArrow(_combiner(text_field), f"{ENTRY}, row {ddl}"), "entries")
     texts = entries.where("kind = 1")
     buckets, depth = directory(texts.select("key", "bytes"), capacity)
     dealt = (
@@ -191,7 +184,7 @@ def _index(rows: DataFrame, text_field: int, capacity: int, with_rows: bool) ->
         .select("bucket", "key", "entry", "doc_id", "copies", "text_sha256", "row")
         .repartition("bucket").sortWithinPartitions("bucket", "key", "entry")
     )
-    found = dealt.mapInArrow(_owner(text_field, arrow, with_rows), FOUND + (f", row {ddl}" if with_rows else ""))
+    found = dealt.mapInArrow(_owner(text_field, with_rows), FOUND + (f", row {ddl}" if with_rows else ""))
     return entries, found
 
 

@@ -30,8 +30,8 @@ CLASSES = 320  # classes by ending
 TABLE = 60_000  # words whose counts every task holds
 SIZE = 24  # length of the vectors
 NOISE = 64  # noise words, shared by a batch
-BATCH = 512
-EVERY = 8  # one position in so many is trained on, in every text
+BATCH = 128
+EVERY = 16  # one position in so many is trained on, in every text
 ROUNDS = 2
 SHARD = 500_000  # positions a task trains on
 FLUSH = 300_000  # distinct words a task counts before it sends them on
@@ -184,10 +184,13 @@ class Model:
 
 
 def train(model: Model, positions: np.ndarray, noise: np.ndarray, rate: float = 0.1, seed: int = 0) -> Model:
-    """One pass of noise-contrastive estimation over ``positions`` (rows of far, near and target unit), by Adagrad."""
+    """One pass of noise-contrastive estimation over ``positions`` (rows of far, near and target unit), by Adagrad.
+
+    Gradients are sums over a batch; squares start at 1, so that first steps are small.
+    """
     rng = np.random.default_rng(seed)
     m = Model(*[x.copy() for x in model.arrays()])
-    past = [np.full(x.shape, 1e-2, np.float32) for x in m.arrays()]
+    past = [np.ones(x.shape, np.float32) for x in m.arrays()]
     order = rng.permutation(len(positions))
     log_noise = np.log(noise).astype(np.float32) + np.float32(math.log(NOISE))
     edges = np.cumsum(noise)
@@ -206,14 +209,13 @@ def train(model: Model, positions: np.ndarray, noise: np.ndarray, rate: float =
 
     for s in range(0, len(order), BATCH):
         far, near, word = positions[order[s : s + BATCH]].T.astype(np.int64)
-        b = len(word)
         drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE) * edges[-1]), len(edges) - 1)
         r_near, r_far = m.context[near], m.context[far]
         made = r_near @ m.near + r_far @ m.far
         real = (made * m.unit[word]).sum(1) + m.bias[word] - log_noise[word]
         fake = made @ m.unit[drawn].T + m.bias[drawn] - log_noise[drawn]
-        g_real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1).astype(np.float32) / b
-        g_fake = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))).astype(np.float32) / b
+        g_real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1).astype(np.float32)
+        g_fake = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))).astype(np.float32)
         g_made = g_real[:, None] * m.unit[word] + g_fake @ m.unit[drawn]
         g_unit = np.concatenate([g_real[:, None] * made, g_fake.T @ made])
         g_bias = np.concatenate([g_real, g_fake.sum(0)])
@@ -277,13 +279,13 @@ def _mean(parts: DataFrame) -> tuple[np.ndarray, float] | None:
     return sum(np.frombuffer(r["flat"], np.float32).astype(np.float64) * r["n"] for r in rows) / n, n
 
 
-def fitted(texts: DataFrame, vocab, rounds: int = ROUNDS) -> Model:
+def fitted(texts: DataFrame, vocab, every: int = EVERY, rounds: int = ROUNDS) -> Model:
     """The model after some rounds of local training and averaging, over positions of all training texts."""
     v = vocab()
     model = Model.start(v.unit_counts)
     noise = (v.unit_counts + 1) ** 0.75
     noise = noise / noise.sum()
-    places = saved(sampled_positions(texts, vocab), "positions")
+    places = saved(sampled_positions(texts, vocab, every), "positions")
     total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return model
@@ -375,7 +377,7 @@ def _scored(vocab, sent):
     return run
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: held out or not, tokens, known ones, ``base_score`` and the model's ``score``.
 
     Trained on rows whose ``crc32(doc_id) % 7`` is not 2; a null id counts as the empty text. A null or empty
@@ -387,7 +389,7 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = saved(word_counts(training), "counts")
     vocab, least = vocabulary(counts)
     sent_vocab = shipped(spark, vocab)
-    model = fitted(training, sent_vocab)
+    model = fitted(training, sent_vocab, every, rounds)
     sent_tables = shipped(spark, tables(spark, model))
     run = _scored(sent_vocab, sent_tables)
     scored = saved(

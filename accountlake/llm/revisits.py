@@ -38,8 +38,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def lowered(headers: Column) -> Column:
-    """A header map under lower-case names; of names that fall together the last one counts."""
-    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    """A header map under lower-case names; of names that fall together the last by code point counts."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
     return F.map_from_arrays(
         names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"]))
