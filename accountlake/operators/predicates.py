@@ -6,13 +6,12 @@ from collections.abc import Sequence
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from functools import reduce
-from itertools import product
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from accountlake import vocab
-from accountlake.config import DAYS, Condition, FilterError, FilterSpec
+from accountlake.config import DAYS, NO_VALUE, Condition, FilterError, FilterSpec
 
 TABLE = "table"
 
@@ -108,23 +107,26 @@ def modified_since(df: DataFrame, column: str, last_run: datetime | None) -> Dat
 
 
 def to_dnf(spec: FilterSpec, max_groups: int = vocab.MAX_FILTER_GROUPS) -> list[list[Condition]]:
-    """The filter as alternatives of plain conjunctions, for systems without "or is null"."""
-    choices = []
-    for cond in spec.conditions:
-        plain = replace(cond, or_unknown=False)
-        if cond.or_unknown and cond.op not in ("is_known", "is_unknown"):
-            choices.append([plain, Condition(cond.field, "is_unknown")])
-        else:
-            choices.append([plain])
-    groups = 1
-    for options in choices:
-        groups *= len(options)
-    if groups > max_groups:
+    """The filter as alternatives of plain conjunctions, for systems without "or is null".
+
+    Every condition that an unknown value may satisfy is a yes-or-no choice, so the
+    alternatives are the numbers below two to the count of these, read bit by bit.
+    """
+    wide = [i for i, c in enumerate(spec.conditions) if c.or_unknown and c.op not in NO_VALUE]
+    if 1 << len(wide) > max_groups:
         raise FilterError(
-            f"filter expands to {groups} groups, more than {max_groups}; "
-            "use fewer 'or_unknown' or write it as a raw predicate"
+            f"{len(wide)} conditions accept unknown values, which makes {1 << len(wide)} groups of at most {max_groups}; "
+            "a raw predicate has no such bound"
         )
-    return [list(group) for group in product(*choices)]
+    bit = {i: len(wide) - 1 - n for n, i in enumerate(wide)}
+
+    def member(i: int, number: int) -> Condition:
+        cond = spec.conditions[i]
+        if i in bit and number >> bit[i] & 1:
+            return Condition(cond.field, "is_unknown")
+        return replace(cond, or_unknown=False)
+
+    return [[member(i, number) for i in range(len(spec.conditions))] for number in range(1 << len(wide))]
 
 
 def dnf_filter(spec: FilterSpec, *, system: str = TABLE, max_groups: int = vocab.MAX_FILTER_GROUPS) -> FilterSpec:
@@ -143,10 +145,10 @@ def _unresolved(df: DataFrame, text: str) -> list[str]:
     """Column names in raw predicate text that the table lacks; analysis only, no job."""
     missing: list[str] = []
     probe = df
-    for _ in range(100):
+    while True:
         try:
             probe.where(F.expr(text))
-            break
+            return missing
         except AnalysisException as exc:
             if "UNRESOLVED_COLUMN" not in (exc.getCondition() or ""):
                 raise
@@ -155,7 +157,6 @@ def _unresolved(df: DataFrame, text: str) -> list[str]:
                 raise
             missing.append(name)
             probe = probe.withColumn(name.split(".")[0], F.lit(None).cast("string"))
-    return missing
 
 
 def preflight(df: DataFrame, spec: FilterSpec, *, domain_col: str = "domain", system: str = TABLE) -> list[str]:

@@ -179,3 +179,20 @@ def test_profile_fingerprint_follows_prose_and_keywords():
     assert a.fingerprint() == b.fingerprint()
     assert a.fingerprint(with_keywords=True) != b.fingerprint(with_keywords=True)
     assert a.fingerprint() != Profile("n", "e").fingerprint()
+
+
+def test_no_limit_unless_written(accounts):
+    assert FilterSpec.from_dict({"name": "n"}).limit == 0
+
+
+def test_all_missing_columns_are_named(spark):
+    names = [f"c{i}" for i in range(120)]
+    spec = FilterSpec("t", raw={"table": " AND ".join(f"{n} = 1" for n in names)})
+    assert preflight(spark.range(1).withColumnRenamed("id", "domain"), spec) == sorted(names)
+
+
+def test_problems_of_a_section_are_told_at_once():
+    with pytest.raises(ConfigError, match="name.*description"):
+        Profile.from_dict({"good_fit": ["a"]})
+    with pytest.raises(ConfigError, match="a list is needed"):
+        Mapping.from_dict({"objects": {}, "match_keys": {}, "fields": "x"})

@@ -35,9 +35,9 @@ def page(spark):
 def test_analysis_of_the_sample_page(page):
     r = analyse(page, Profile.default(), analyzed_at=NOW).first()
     a = r.analysis
-    assert a.company_name == "Acme Analytics" and a.category == "analytics" and a.sells_to == "B2B"
+    assert a.company_name == "Ladle Metrics" and a.category == "analytics" and a.sells_to == "B2B"
     assert a.business_model == "SaaS" and a.primary_cta == "Book a demo" and a.segment == "Enterprise"
-    assert a.one_liner.startswith("Acme Analytics helps") and a.confidence <= 0.4
+    assert a.one_liner.startswith("Ladle Metrics tells") and a.confidence <= 0.4
     assert a.buying_signals == ["Careers page is live (hiring)"]
     assert [e.claim for e in a.evidence] == ["one_liner", "category"]
     assert r.provenance.analyzer == "heuristic:v1" and r.provenance.content_hash == r.content_hash
@@ -45,10 +45,10 @@ def test_analysis_of_the_sample_page(page):
 
 def test_poor_fit_terms_cost_points(page):
     neutral = Profile("t", "d", good_keywords=("webinar",))
-    rival = replace(neutral, poor_keywords=("product analytics",))
+    rival = replace(neutral, poor_keywords=("kitchen analytics",))
     base, docked = (analyse(page, p).first().analysis for p in (neutral, rival))
     assert (base.icp_fit_score, docked.icp_fit_score) == (85, 70)
-    assert docked.disqualifiers[0] == "Poor-fit ICP terms present: product analytics"
+    assert docked.disqualifiers[0] == "Poor-fit ICP terms present: kitchen analytics"
 
 
 def test_thin_page(page):
@@ -56,7 +56,7 @@ def test_thin_page(page):
     assert a.confidence == 0.2 and any("thin" in d for d in a.disqualifiers)
 
 
-def test_bigrams_of_prose(one):
+def test_bigrams_of_prose(spark, one):
     bullets = ["consumer social or entertainment streaming", "a video platform, of video-hosting for teams; x:y z"]
     keys = S.profile_bigrams(bullets)
     assert keys[0] == ["consumer social", "social entertainment", "entertainment streaming"]
@@ -65,7 +65,7 @@ def test_bigrams_of_prose(one):
 
 
 def test_prose_profile_scores_per_bullet(page):
-    profile = Profile("t", "d", good_fit=("acme analytics connects", "nothing here fits"), poor_fit=("closed won revenue",))
+    profile = Profile("t", "d", good_fit=("ladle metrics tells", "nothing here fits"), poor_fit=("went back there",))
     a = analyse(page, profile).first().analysis
     assert a.icp_fit_score == 50 + 28 - 15 and "1 good-fit and 1 poor-fit" in a.icp_fit_rationale
 
@@ -193,6 +193,18 @@ GOOD = {
     ({"mood": 1}, "mood: unknown field"),
     ({"category": None}, "category: missing or wrong type"),
     ({"icp_fit_score": "high"}, "icp_fit_score: missing or wrong type"),
+    ({"icp_fit_score": 78.5}, "icp_fit_score: missing or wrong type"),
+    ({"icp_fit_score": 78.0}, None),
+    ({"icp_fit_score": "78"}, None),
+    ({"confidence": "0.5"}, None),
+    ({"company_name": 5}, "company_name: missing or wrong type"),
+    ({"industries_served": [None]}, "industries_served: missing or wrong type"),
+    ({"industries_served": "x"}, "industries_served: missing or wrong type"),
+    ({"buying_signals": [1, 2]}, "buying_signals: missing or wrong type"),
+    ({"evidence": [{"claim": "c"}]}, "evidence: missing or wrong type"),
+    ({"evidence": [{"claim": "c", "quote": 1}]}, "evidence: missing or wrong type"),
+    ({"evidence": [{"claim": "c", "quote": "q", "more": 1}]}, None),
+    ({"evidence": []}, None),
 ])
 def test_answer_validation(spark, change, problem):
     df = spark.createDataFrame([(json.dumps({**GOOD, **change}),)], "answer string")
@@ -232,7 +244,7 @@ def test_fallback_to_keywords(spark, page):
     good = run(key.content_hash, json.dumps(GOOD))
     assert good.analysis.icp_fit_score == 78 and good.provenance.analyzer == "openai:gpt-5" and good.provenance.input_tokens == 100
     for r in (run(key.content_hash, "{}"), run("other", json.dumps(GOOD))):
-        assert r.analysis.company_name == "Acme Analytics" and r.provenance.analyzer == "heuristic:v1" and r.provenance.cost_usd is None
+        assert r.analysis.company_name == "Ladle Metrics" and r.provenance.analyzer == "heuristic:v1" and r.provenance.cost_usd is None
 
 
 def test_prompts(page):

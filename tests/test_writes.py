@@ -26,7 +26,7 @@ def crawl_rows(spark):
 
     rows = [
         ("https://acme.example/", "https://acme.example/", 200, HOMEPAGE, NOW),
-        ("https://www.beta.example/", "https://www.beta.example/", 200, HOMEPAGE.replace("Acme", "Beta"), NOW),
+        ("https://www.beta.example/", "https://www.beta.example/", 200, HOMEPAGE.replace("Ladle", "Beta"), NOW),
         ("https://gone.example/", "https://gone.example/", 404, "x", NOW),
     ]
     return spark.createDataFrame(rows, "url string, final_url string, status_code int, html string, fetched_at timestamp")
@@ -50,14 +50,14 @@ def test_results_keep_input_order_and_failures(results):
 
 def test_summary_lines(results):
     lines = [r[0] for r in in_input_order(results).select(summary_line("domain", "ok", "error", "analysis")).collect()]
-    assert lines[0] == "acme.example: Acme Analytics — analytics — ICP 67"
+    assert lines[0] == "acme.example: Ladle Metrics — analytics — ICP 59"
     assert lines[2] == "not a domain: FAILED (Not a domain: 'not a domain')"
 
 
 def test_payload_shapes(results):
     hub = build_payloads(results, Mapping.default(), "hubspot").where("domain = 'acme.example'").first()
     assert (hub.object_type, hub.match_key, hub.match_value) == ("companies", "domain", "acme.example")
-    assert hub.properties["gtm_icp_fit_score"] == 67 and hub.properties["gtm_has_demo_cta"] == "true"
+    assert hub.properties["gtm_icp_fit_score"] == 59 and hub.properties["gtm_has_demo_cta"] == "true"
     assert hub.properties["gtm_enriched_at"] == "2026-01-02T00:00:00+00:00" and hub.properties["domain"] == "acme.example"
     assert hub.properties["gtm_industries_served"] is None and hub.properties["gtm_tech_signals"] == "HubSpot; Segment; WordPress"
     sf = build_payloads(results, Mapping.default(), "salesforce").where("domain = 'acme.example'").first()
@@ -137,7 +137,7 @@ def test_second_upsert_writes_nothing(spark, results):
     assert {r.action for r in again.where("error is null").collect()} == {"skipped"}
     stale = stored.withColumn("gtm_icp_fit_score", F.lit("12"))
     updates = plan_writes(results, mapping, "hubspot", stale).where("error is null").collect()
-    assert all(r.changed_fields == ["gtm_icp_fit_score"] and json.loads(r.changes) == {"gtm_icp_fit_score": 67} for r in updates)
+    assert all(r.changed_fields == ["gtm_icp_fit_score"] and json.loads(r.changes) == {"gtm_icp_fit_score": 59} for r in updates)
 
 
 def test_upsert_reads_only_compared_columns(spark):
@@ -176,7 +176,7 @@ def test_lookup_join_equals_plain_join(spark, how, rows_per_task):
     )
     lookup = spark.createDataFrame([("hot", 1), ("hot", 2), ("5", 3), ("x", 4)], "k string, v int")
     plain = rows.join(lookup, "k", how)
-    spread = lookup_join(rows, lookup, ["k"], salt_by=["id"], how=how, rows_per_task=rows_per_task)
+    spread = lookup_join(rows, lookup, ["k"], how=how, rows_per_task=rows_per_task)
     assert sorted(((r.id, r.k, r.v) for r in spread.collect()), key=repr) == sorted(((r.id, r.k, r.v) for r in plain.collect()), key=repr)
 
 
@@ -189,7 +189,7 @@ def test_lookup_join_spreads_the_hot_key(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         sizes = lambda df: max(r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
         assert sizes(rows.join(lookup, "k")) >= 1500
-        assert sizes(lookup_join(rows, lookup, ["k"], salt_by=["id"], rows_per_task=100)) < 1000
+        assert sizes(lookup_join(rows, lookup, ["k"], rows_per_task=100)) < 1000
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
