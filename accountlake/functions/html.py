@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from accountlake import vocab
 from accountlake.functions.text import (
-    WHITESPACE, any_contained, any_matches, blank_to_null, col, decode_entities, let, lookup, squash, strip,
+    WHITESPACE, any_contained, any_matches, blank_to_null, col, decode_entities, let, lookup, shortened, squash, strip,
 )
 from accountlake.functions.urls import absolute_url
 
@@ -45,13 +45,14 @@ def attribute(tag: Column, name: str) -> Column:
     return _unquote(_raw_attribute(tag, name))
 
 
-def page_title(marked: Column | str) -> Column:
+def page_title(marked: Column | str, limit: int | None = None) -> Column:
+    """The title; its first ``limit`` characters where that is asked for."""
     text = F.regexp_extract(col(marked), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return blank_to_null(F.left(squash(decode_entities(text)), F.lit(vocab.MAX_TITLE_CHARS)))
+    return blank_to_null(shortened(squash(decode_entities(text)), limit))
 
 
-def meta_description(marked: Column | str) -> Column:
-    """``name=description``, else ``property=og:description``."""
+def meta_description(marked: Column | str, limit: int | None = None) -> Column:
+    """``name=description``, else ``property=og:description``; cut only where ``limit`` is given."""
     metas = F.regexp_extract_all(col(marked), F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
 
     def first(tags: Column, key: str, value: str) -> Column:
@@ -65,7 +66,7 @@ def meta_description(marked: Column | str) -> Column:
             for key, value in (("name", "description"), ("property", "og:description"))
         ]),
     )
-    return blank_to_null(F.left(squash(_unquote(raw)), F.lit(vocab.MAX_DESCRIPTION_CHARS)))
+    return blank_to_null(shortened(squash(_unquote(raw)), limit))
 
 
 def inner_text(fragment: Column) -> Column:
@@ -92,8 +93,8 @@ def _is_web(url: Column) -> Column:
     return url.rlike("(?i)^https?:")
 
 
-def extract_links(marked: Column | str, base: Column | str) -> Column:
-    """``array<struct<text,url>>`` of the page's web links, one per URL."""
+def extract_links(marked: Column | str, base: Column | str, limit: int | None = None) -> Column:
+    """``array<struct<text,url>>`` of the page's web links, one per URL; link texts cut where ``limit`` is given."""
     base = col(base)
     anchors = F.split(col(marked), r"(?i)<a\s", -1)
 
@@ -115,7 +116,7 @@ def extract_links(marked: Column | str, base: Column | str) -> Column:
         return F.when(
             ~skip,
             F.struct(
-                F.left(text, F.lit(vocab.MAX_LINK_TEXT_CHARS)).alias("text"),
+                shortened(text, limit).alias("text"),
                 absolute_url(base, href).alias("url"),
             ),
         )
@@ -127,14 +128,14 @@ def extract_links(marked: Column | str, base: Column | str) -> Column:
 _MD_LINK = r"\[([^\]]*)\]\((https?://[^\s)]+|/[^\s)]*)\)"
 
 
-def extract_links_markdown(markdown: Column | str, base: Column | str) -> Column:
-    """Links of a page that came as markdown only."""
+def extract_links_markdown(markdown: Column | str, base: Column | str, limit: int | None = None) -> Column:
+    """Links of a page that came as markdown only; link texts cut where ``limit`` is given."""
     base = col(base)
     found = F.regexp_extract_all(F.coalesce(col(markdown), F.lit("")), F.lit(f"({_MD_LINK})"), 1)
     links = F.transform(
         found,
         lambda m: F.struct(
-            F.left(squash(F.regexp_extract(m, _MD_LINK, 1)), F.lit(vocab.MAX_LINK_TEXT_CHARS)).alias("text"),
+            shortened(squash(F.regexp_extract(m, _MD_LINK, 1)), limit).alias("text"),
             absolute_url(base, F.regexp_extract(m, _MD_LINK, 2)).alias("url"),
         ),
     )
@@ -173,10 +174,10 @@ def detect_vendors(assets: Column | str, signatures: dict[str, str] | None = Non
     )
 
 
-def signal_corpus(links: Column | str, text: Column | str) -> Column:
-    """Lower-case link targets and texts, then the opening copy."""
+def signal_corpus(links: Column | str, text: Column | str, limit: int | None = None) -> Column:
+    """Lower-case link targets and texts, then the copy; its first ``limit`` characters where that is asked for."""
     lines = F.transform(col(links), lambda x: F.concat(x["url"], F.lit(" "), x["text"]))
-    opening = F.left(F.coalesce(col(text), F.lit("")), F.lit(vocab.SIGNAL_COPY_CHARS))
+    opening = shortened(F.coalesce(col(text), F.lit("")), limit)
     return F.lower(F.concat(F.array_join(lines, "\n"), F.lit("\n"), opening))
 
 

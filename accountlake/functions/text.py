@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -56,18 +56,29 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)"
-_NAMED = {name: chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
-_CODE = """CASE WHEN lower(substring(n, 2, 1)) = 'x' THEN conv(substring(n, 3, 6), 16, 10) ELSE substring(n, 2, 7) END"""
-_CHARACTER = """decode(unhex(lpad(hex(
-    CASE WHEN k BETWEEN 1 AND 1114111 AND k NOT BETWEEN 55296 AND 57343 THEN k ELSE 65533 END), 8, '0')), 'UTF-32')"""
+# Names with their semicolon, and the old ones that also count without it (the longest that fits).
+_NAMED = {name: text for name, text in html5.items() if name.endswith(";")}
+_BARE = {name: text for name, text in html5.items() if not name.endswith(";")}
+_BARE_NAME = "|".join(sorted(_BARE, key=lambda name: (-len(name), name)))
+# Numbers 128 to 159 mean characters of this code page.
+_WESTERN = {str(128 + i): text for i, text in enumerate(bytes(range(128, 160)).decode("cp1252", "replace")) if text != "\ufffd"}
+_NUMBER = r"^#(?:[xX][0-9a-fA-F]+|[0-9]+)"
+_DIGITS = "regexp_replace(substring(n, 2), '^[xX]?0*', '')"
+# More than eight digits are out of range whatever they are.
+_CODE = f"""CASE WHEN length({_DIGITS}) > 8 THEN 1114112 WHEN lower(substring(n, 2, 1)) = 'x'
+    THEN cast(conv(concat('0', {_DIGITS}), 16, 10) AS bigint) ELSE cast(concat('0', {_DIGITS}) AS bigint) END"""
+_CHARACTER = f"""coalesce(try_element_at({sql_table(_WESTERN)}, cast(k AS string)), decode(unhex(lpad(hex(
+    CASE WHEN k BETWEEN 1 AND 1114111 AND k NOT BETWEEN 55296 AND 57343 THEN k ELSE 65533 END), 8, '0')), 'UTF-32'))"""
 # One reference: p is the text after an ampersand, n the reference's name or number.
-_DECODE_PIECE = f"""transform(array(regexp_extract(p, r'{_REFERENCE}', 1)), n -> coalesce(
-    concat(
-        CASE WHEN startswith(n, '#') THEN transform(array(cast({_CODE} AS bigint)), k -> {_CHARACTER})[0]
-             ELSE try_element_at({sql_table(_NAMED)}, n) END,
-        regexp_replace(substring(p, length(n) + 1), '^;', '')),
-    concat('&', p)))[0]"""
+_DECODE_NUMBER = f"""transform(array(regexp_extract(p, r'{_NUMBER}', 0)), n -> concat(
+    transform(array({_CODE}), k -> {_CHARACTER})[0], regexp_replace(substring(p, length(n) + 1), '^;', '')))[0]"""
+_DECODE_NAME = f"""coalesce(
+    transform(array(regexp_extract(p, r'^[A-Za-z][A-Za-z0-9]*;', 0)), n -> concat(
+        try_element_at({sql_table(_NAMED)}, n), substring(p, length(n) + 1)))[0],
+    transform(array(regexp_extract(p, r'^(?:{_BARE_NAME})', 0)), n -> concat(
+        try_element_at({sql_table(_BARE)}, n), substring(p, length(n) + 1)))[0],
+    concat('&', p))"""
+_DECODE_PIECE = f"""CASE WHEN p RLIKE r'{_NUMBER}' THEN {_DECODE_NUMBER} ELSE {_DECODE_NAME} END"""
 _DECODE = f"""v -> CASE WHEN contains(v, '&') THEN
     array_join(transform(split(v, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {_DECODE_PIECE} END), '')
     ELSE v END"""
@@ -136,7 +147,10 @@ def occurrences(haystack: Column, needle: str) -> Column:
 
 
 def first_marker(c: Column | str, markers: Sequence[str], window: int = vocab.MARKER_WINDOW) -> Column:
-    """First marker, in list order, that occurs in the opening of the text; else null."""
+    """First marker, in list order, that occurs in the first ``window`` characters of the text; else null.
+
+    Not-found and sign-in copy stands at the top of a page; further down the words are ordinary prose.
+    """
     opening = F.lower(F.left(F.coalesce(col(c), F.lit("")), F.lit(window)))
     return let(
         opening,
@@ -144,8 +158,16 @@ def first_marker(c: Column | str, markers: Sequence[str], window: int = vocab.MA
     )
 
 
-def truncate(c: Column | str, limit: int = vocab.MAX_MARKDOWN_CHARS) -> Column:
-    """Cut long text back to its last line break and say so."""
+def shortened(c: Column | str, limit: int | None) -> Column:
+    """The first ``limit`` characters; the whole text where none is asked for."""
+    return col(c) if limit is None else F.left(col(c), F.lit(limit))
+
+
+def truncate(c: Column | str, limit: int | None = None) -> Column:
+    """Cut text longer than ``limit`` back to its last line break and say so; None keeps the whole text."""
+    if limit is None:
+        return col(c)
+
     def shorten(text: Column) -> Column:
         cut = F.left(text, F.lit(limit))
         last_line = F.length(F.substring_index(cut, "\n", -1))

@@ -45,18 +45,30 @@ def coerce(c: Column, data_type: T.DataType, value_type: str, destination: str)
     return text_value(c)
 
 
+def plain_text(decimal: Column) -> Column:
+    """Exact digits of a decimal, without zeros at the end of its fraction."""
+    digits = decimal.cast("string")
+    return F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
+
+
 def number_text(c: Column) -> Column:
-    """A double the way people write it: no exponent, no trailing zeros, whole numbers without a point."""
+    """A double the way people write it: no trailing zeros, whole numbers without a point.
+
+    Digits are written out where that keeps the value; other numbers stay as Spark prints them, exponent
+    and all. So two different doubles never have the same text.
+    """
     whole = F.when(c == F.floor(c), c.try_cast("decimal(38,0)").cast("string"))
-    digits = c.cast("string").try_cast("decimal(38,18)").cast("string")
-    return F.coalesce(whole, F.regexp_replace(digits, r"\.?0+$", ""), c.cast("string"))
+    digits = c.cast("string").try_cast("decimal(38,18)")
+    return F.coalesce(whole, F.when(digits.cast("double") == c, plain_text(digits)), c.cast("string"))
 
 
 def comparable(c: Column, data_type: T.DataType) -> Column:
     """Text form in which 78 equals "78", true equals "true", and null equals ''."""
     if isinstance(data_type, T.BooleanType):
         text = c.cast("string")
-    elif isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType)):
+    elif isinstance(data_type, T.DecimalType):
+        text = plain_text(c)
+    elif isinstance(data_type, (T.DoubleType, T.FloatType)):
         text = number_text(c.cast("double"))
     else:
         text = strip(c.cast("string"))

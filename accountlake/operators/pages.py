@@ -60,13 +60,13 @@ def build_pages(
     raw_pages: DataFrame,
     *,
     signatures: Mapping[str, str] | None = None,
-    max_chars: int = vocab.MAX_MARKDOWN_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Add title, description, markdown, links, vendors and content hash to raw pages.
 
     Needs ``final_url`` and ``html``; a backend's own ``markdown``, ``title`` and
     ``description`` win where present. The cleaned markup is computed once, in its
-    own projection, and dropped.
+    own projection, and dropped. Whole texts are kept and hashed; ``max_chars`` cuts them.
     """
     for name in ("markdown", "title", "description"):
         if name not in raw_pages.columns:
@@ -105,23 +105,28 @@ def resolve_homepages(
 
     ``crawl`` holds answers by requested ``url`` (several crawls of one URL: the
     newest counts). Only rows whose URL is a candidate homepage of their own domain
-    are looked at, and each task reduces them to two per domain before they are
-    shuffled. Everything after that stays partitioned by domain: two exchanges in all,
-    and one more lookup when ``robots`` rules (``host, status, body``) are to be kept.
+    are looked at. The newest per candidate is found on narrow rows, then joined to the
+    crawl, so no aggregate holds page text; one more lookup when ``robots`` rules
+    (``host, status, body``) are to be kept.
     """
     tried = let(candidate_urls("domain"), lambda urls: F.array_position(urls, F.col("url")))
     crawl = crawl.withColumn("domain", domain_of("url"))
     c = crawl.withColumn("_try", tried.cast("int")).where("_try > 0")
     columns = [x for x in crawl.columns if x in RAW_PAGE.names]
-    order = F.struct("fetched_at", F.xxhash64("html", "final_url"))
-
-    def newest(k: int) -> Column:
-        return F.max_by(F.struct("_try", *columns), F.when(F.col("_try") == k, order))
-
-    answers = c.groupBy("domain").agg(newest(1).alias("_a1"), newest(2).alias("_a2"))
-    tries = domains.join(answers, "domain", "left").select(
-        *domains.columns, F.explode_outer(F.array_compact(F.array("_a1", "_a2"))).alias("_r")
+    # The newest answer is chosen on a few bytes a row; page texts travel once, for the chosen rows only.
+    stamp = F.xxhash64("html", "final_url")
+    newest = c.select("domain", "_try", "fetched_at", stamp.alias("_stamp")).groupBy("domain", "_try").agg(
+        F.max(F.struct("fetched_at", "_stamp")).alias("_m")
+    ).select("domain", "_try", F.col("_m.fetched_at").alias("_when"), F.col("_m._stamp").alias("_stamp"))
+    wanted = domains.join(newest, "domain", "left")
+    answers = c.withColumn("_stamp", stamp).select(
+        "domain", "_try", F.col("fetched_at").alias("_when"), "_stamp", F.struct("_try", *columns).alias("_r")
+    )
+    same = (
+        (wanted["domain"] == answers["domain"]) & (wanted["_try"] == answers["_try"])
+        & wanted["_when"].eqNullSafe(answers["_when"]) & (wanted["_stamp"] == answers["_stamp"])
     )
+    tries = wanted.join(answers, same, "left").select(*[wanted[x] for x in domains.columns], answers["_r"])
     asked = tries.select(*domains.columns, "_r.*").withColumn("allowed", F.lit(True))
     if robots is not None:
         asked = robots_gate(asked.drop("allowed"), robots, agent)
@@ -147,9 +152,9 @@ def resolve_homepages(
     usable = F.col("_try").isNotNull() & F.col("_error").isNull()
     best = pages.groupBy(*domains.columns).agg(
         F.min_by(F.struct(*page_columns), F.when(usable, F.col("_try"))).alias("page"),
-        # at most the two candidate URLs per domain
+        # at most the two candidate URLs per domain; an answer that was stored twice counts once
         F.array_sort(
-            F.collect_list(F.when(F.col("_error").isNotNull(), F.struct("_try", "_error")))
+            F.collect_set(F.when(F.col("_error").isNotNull(), F.struct("_try", "_error")))
         ).alias("_errors"),
     )
     error = F.array_join(F.transform("_errors", lambda e: e["_error"]), "; ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from accountlake import vocab
 from accountlake.config import FilterSpec
@@ -13,37 +13,53 @@ from accountlake.functions.text import strip
 from accountlake.operators.predicates import TABLE, predicate
 
 
-def read_account_file(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+def _in_file_order(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``ord``: files by path, and the rows of a file from top to bottom.
+
+    Spark deals files to tasks by size, so a row's place follows from its file, its block and its
+    place in the block: blocks are counted, and a block's rows are numbered on from those before it.
+    """
+    block = ["_file", "_block"]
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    counts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("_at"))
+    return placed.withColumn("_i", inside).join(starts, block).withColumn("ord", F.col("_start") + F.col("_i") - 1)
+
+
+def read_account_file(spark: SparkSession, path: str, limit: int = 0, *, multiline: bool = False) -> DataFrame:
     """``domain, source, ord`` from a CSV or a plain list.
 
     A CSV's domain column is the first known name in its header; without one it is
-    the first column, whose first row counts when it has a dot in it. In any other
-    file every line is a domain, but for blank lines and ``#`` comments.
+    the first column, whose first row counts when it has a dot in it. Quotes inside quoted
+    fields are doubled. ``multiline`` reads quoted line breaks too, at the price of one task per file. In any other
+    file every line is a domain, but for blank lines and ``#`` comments. A folder's files count in order of
+    their names; ``limit`` keeps the first rows.
     """
+    here = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
     if not path.lower().endswith(".csv"):
-        lines = spark.read.text(path).select(F.col("value").alias("domain"))
+        lines = spark.read.text(path).select(F.col("value").alias("domain"), *here)
         found = lines.where(~F.col("domain").startswith("#"))
     else:
+        options = {"quote": '"', "escape": '"', "multiLine": multiline}
         # One header line is read on the driver; it decides which column to read.
-        first = spark.read.csv(path, header=False).limit(1).collect()
+        first = spark.read.csv(path, header=False, **options).limit(1).collect()
         header = [(c or "") for c in first[0]] if first else []
         names = [c.strip().lower() for c in header]
         column = next((c for c in vocab.DOMAIN_COLUMNS if c in names), None)
         if not header:
-            found = spark.createDataFrame([], "domain string")
+            found = spark.createDataFrame([], "domain string, _file string, _block long")
         elif column is None:
             keep_first = "." in header[0]
-            table = spark.read.csv(path, header=not keep_first)
-            found = table.select(F.col(f"`{table.columns[0]}`").alias("domain"))
+            table = spark.read.csv(path, header=not keep_first, **options)
+            found = table.select(F.col(f"`{table.columns[0]}`").alias("domain"), *here)
         else:
-            table = spark.read.csv(path, header=True, enforceSchema=True)
-            found = table.select(F.col(f"`{table.columns[names.index(column)]}`").alias("domain"))
-    found = (
-        found.select(strip("domain").alias("domain")).where("domain <> ''")
-        .withColumn("source", F.lit("file"))
-        .withColumn("ord", F.monotonically_increasing_id())
-    )
-    return found.limit(limit) if limit else found
+            table = spark.read.csv(path, header=True, enforceSchema=True, **options)
+            found = table.select(F.col(f"`{table.columns[names.index(column)]}`").alias("domain"), *here)
+    found = _in_file_order(found.withColumn("domain", strip("domain")).where("domain <> ''"))
+    found = found.select("domain", F.lit("file").alias("source"), "ord")
+    return found.orderBy("ord").limit(limit) if limit else found
 
 
 def read_accounts(

@@ -22,6 +22,23 @@ def _sql(text):
     return text.replace("'", "''")
 
 
+PROFILE = Profile(
+    "Nordic shops", "Shops of the north.", good_fit=("sells the tion", "und mehr"), poor_fit=("nicht der",), scoring_notes="Be strict.",
+)
+_BLOCK = """ICP: Nordic shops
+
+Shops of the north.
+
+Strong fit signals:
+- sells the tion
+- und mehr
+
+Poor fit signals:
+- nicht der
+
+Scoring guidance:
+Be strict."""
+_SYSTEM = vocab.SYSTEM_PROMPT.replace("{icp_block}", _BLOCK)
 _HEAD, _REST = vocab.USER_PROMPT.split("{domain}")
 _LINES = " || chr(10) || ".join(f"'{n}: ' || CASE WHEN regexp_matches(c, '{'|'.join(PATTERNS[n])}') THEN 'true' ELSE 'false' END" for n in sorted(PATTERNS))
 _USER = f"'{_sql(_HEAD)}' || domain || '" + _sql(_REST) + "'"
@@ -33,35 +50,40 @@ for _name, _expr in (
 
 
 @query("prompts", TEXT + f""", {links()},
-corpus AS (SELECT t.*, nullif({TITLE}, '') AS title, lower(coalesce(l.lines, '') || chr(10) || left(t.text, 4000)) AS c FROM page_text t
+corpus AS (SELECT t.*, nullif({TITLE}, '') AS title, lower(coalesce(l.lines, '') || chr(10) || t.text) AS c FROM page_text t
   LEFT JOIN (SELECT page_id, string_agg(url || ' ' || text, chr(10) ORDER BY pos) AS lines FROM links GROUP BY page_id) l USING (page_id))
-SELECT domain, substr(sha256(text), 1, 16) AS content_hash, substr(sha256('{_sql(A.system_prompt(Profile.default()))}'), 1, 16) AS system, {_USER} AS user_prompt FROM corpus""")
+SELECT domain, substr(sha256(text), 1, 16) AS content_hash, substr(sha256('{_sql(_SYSTEM)}'), 1, 16) AS system, {_USER} AS user_prompt FROM corpus""")
 def prompts(spark, sf):
-    made = A.prompts(with_signals(rendered(spark, sf), PATTERNS), Profile.default())
+    made = A.prompts(with_signals(rendered(spark, sf), PATTERNS), PROFILE)
     return made.select("domain", "content_hash", content_hash("system").alias("system"), F.col("user").alias("user_prompt"))
 
 
 def _answer(score):
     """A model's JSON answer: good for good documents, broken in several ways for others."""
-    toxic, bad = F.col("toxic") == 1, F.col("quality") == 0
+    toxic, bad, m = F.col("toxic") == 1, F.col("quality") == 0, F.col("doc_id") % 10
     text = F.concat(
-        F.lit('{"company_name":"Co '), F.col("doc_id").cast("string"), F.lit('","one_liner":"x","category":"c","sells_to":"'),
+        F.lit('{"company_name":'), F.when(m == 3, "5").otherwise(F.concat(F.lit('"Co '), F.col("doc_id").cast("string"), F.lit('"'))),
+        F.lit(',"one_liner":"x","category":"c","sells_to":"'),
         F.when(toxic & bad, "Everyone").otherwise("B2B"), F.lit('","segment":"SMB","business_model":"SaaS","industries_served":['),
-        F.when(toxic, '"1","2","3","4","5","6","7","8","9"').otherwise('"1"'), F.lit('],"icp_fit_score":'),
-        score.cast("string"), F.lit(',"icp_fit_rationale":"r","buying_signals":[],"disqualifiers":[],"primary_cta":"None",'),
-        F.when(bad, "").otherwise('"confidence":0.75,'), F.lit('"evidence":[{"claim":"category","quote":"q"}]'),
+        F.when(toxic, '"1","2","3","4","5","6","7","8","9"').when(m == 8, "null").otherwise('"1"'), F.lit('],"icp_fit_score":'),
+        F.when(m == 6, F.concat(score.cast("string"), F.lit(".0"))).otherwise(score.cast("string")),
+        F.lit(',"icp_fit_rationale":"r","buying_signals":['), F.when(m == 4, "1,2").otherwise(""), F.lit('],"disqualifiers":[],"primary_cta":"None",'),
+        F.when(bad, "").when(m == 7, '"confidence":"0.75",').otherwise('"confidence":0.75,'),
+        F.lit('"evidence":[{"claim":"category"'), F.when(m == 5, "").otherwise(',"quote":"q"'), F.when(m == 2, ',"more":1').otherwise(""), F.lit("}]"),
         F.when(toxic & ~bad, ',"mood":"good","area":1').otherwise(""), F.lit("}"),
     )
-    return F.when(F.col("doc_id") % 10 == 9, F.substring(text, 1, 40)).otherwise(text)
+    return F.when(m == 9, F.substring(text, 1, 40)).otherwise(text)
 
 
 def answers(spark, sf):
     return table(spark, sf, "labels").withColumn("answer", _answer(F.col("doc_id") % 110))
 
 
-ANSWERS_SQL = """a AS (SELECT doc_id, doc_id % 10 = 9 AS cut, quality = 0 AS bad, toxic = 1 AS toxic, doc_id % 110 AS score FROM labels),
-judged AS (SELECT *, CASE WHEN cut THEN ['answer: not a JSON object'] ELSE list_filter([
-    CASE WHEN bad THEN 'confidence: missing or wrong type' END, CASE WHEN toxic AND bad THEN 'sells_to: not an allowed value' END,
+ANSWERS_SQL = """a AS (SELECT doc_id, doc_id % 10 AS m, quality = 0 AS bad, toxic = 1 AS toxic, doc_id % 110 AS score FROM labels),
+judged AS (SELECT *, CASE WHEN m = 9 THEN ['answer: not a JSON object'] ELSE list_filter([
+    CASE WHEN m = 3 THEN 'company_name: missing or wrong type' END, CASE WHEN m = 8 AND NOT toxic THEN 'industries_served: missing or wrong type' END,
+    CASE WHEN m = 4 THEN 'buying_signals: missing or wrong type' END, CASE WHEN bad THEN 'confidence: missing or wrong type' END,
+    CASE WHEN m = 5 THEN 'evidence: missing or wrong type' END, CASE WHEN toxic AND bad THEN 'sells_to: not an allowed value' END,
     CASE WHEN score > 100 THEN 'icp_fit_score: out of range' END, CASE WHEN toxic THEN 'industries_served: too many entries' END,
     CASE WHEN toxic AND NOT bad THEN 'area: unknown field' END, CASE WHEN toxic AND NOT bad THEN 'mood: unknown field' END], lambda x: x IS NOT NULL) END AS problems FROM a)"""
 
@@ -118,7 +140,8 @@ def with_fallback(spark, sf):
         "domain", "content_hash", "answer", F.lit("openai").alias("provider"), F.lit("gpt-5").alias("model"), F.lit(1100).alias("input_tokens"),
         F.lit(100).alias("cached_tokens"), F.col("doc_id").alias("output_tokens"),
     )
-    merged = A.with_fallback(pages, given, analyzed_at=datetime(2024, 1, 1, tzinfo=timezone.utc))
+    # Every answer came twice.
+    merged = A.with_fallback(pages, given.unionByName(given), analyzed_at=datetime(2024, 1, 1, tzinfo=timezone.utc))
     return merged.select(
         "page_id", F.col("analysis.icp_fit_score").cast("long").alias("score"), F.col("provenance.analyzer").alias("analyzer"),
         F.round("provenance.cost_usd", 9).alias("cost"),

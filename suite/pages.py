@@ -13,7 +13,7 @@ from accountlake.operators.pages import (
 )
 from accountlake.operators.robots import robots_gate
 from suite.registry import query, table
-from suite.sqltext import SITE, TEXT, TITLE, host, links, truncate as truncate_sql
+from suite.sqltext import SITE, TEXT, TITLE, decode, host, links, strip, truncate as truncate_sql
 
 
 def marked(spark, sf):
@@ -35,7 +35,7 @@ def page_title(spark, sf):
 
 
 @query("meta_description", """
-SELECT page_id, left(replace(trim(regexp_replace(split_part(replace(html, '<meta charset="utf-8">', ''), '<title>', 2), '<.*$', '', 's')), '&amp', '&'), 500) AS description
+SELECT page_id, replace(trim(regexp_replace(split_part(replace(html, '<meta charset="utf-8">', ''), '<title>', 2), '<.*$', '', 's')), '&amp', '&') AS description
 FROM (SELECT page_id, replace(replace(html, '&amp;', 'and'), '&quot;', '') AS html FROM pages)""")
 def meta_description(spark, sf):
     """Descriptions made from the pages' own titles, in both spellings of the tag."""
@@ -101,15 +101,17 @@ def main_fragment(spark, sf):
 
 
 @query("longest_article", f"""
-WITH {SITE}, parts AS (SELECT page_id, unnest(list_filter(string_split_regex(regexp_extract(m, '(?is)<article>(.*?)</article>', 1), '<p>|<p><b>'), lambda x: true)) AS part FROM site),
-best AS (SELECT page_id, max(length(trim(regexp_replace(replace(part, '&amp;', '&'), '<[^>]*>', '', 'g'), ' ' || chr(10)))) AS n FROM parts GROUP BY page_id)
-SELECT page_id, n AS longest FROM best""")
+WITH {SITE}, cut AS (SELECT page_id, replace(m, '<p>', '</article><article>') AS m FROM site),
+parts AS (SELECT page_id, m, unnest(regexp_extract_all(m, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)) AS part,
+  generate_subscripts(regexp_extract_all(m, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), 1) AS pos FROM cut),
+sized AS (SELECT *, list_sum(list_transform(string_split_regex(part, '<[^>]*>'), lambda s: length({strip(decode('s'))})))::BIGINT AS n FROM parts),
+best AS (SELECT page_id, arg_max(part, n * 100000 - pos) AS part, max(n) AS n FROM sized GROUP BY page_id)
+SELECT c.page_id, CASE WHEN b.n > 400 THEN substr(sha256(b.part), 1, 16) END AS longest FROM cut c LEFT JOIN best b USING (page_id)""")
 def longest_article(spark, sf):
-    """Every paragraph as an article of its own: the longest one's visible length."""
-    inner = F.regexp_extract("m", r"(?is)<article>(.*?)</article>", 1)
-    parts = F.split(inner, "<p>|<p><b>")
-    lengths = F.transform(parts, lambda p: F.length(F.btrim(F.regexp_replace(F.replace(p, F.lit("&amp;"), F.lit("&")), "<[^>]*>", ""), F.lit(" \n"))))
-    return marked(spark, sf).select("page_id", F.array_max(lengths).cast("long").alias("longest"))
+    """Every paragraph as an article of its own: the fragment is the longest one, where it is long enough."""
+    several = marked(spark, sf).select("page_id", F.replace("m", F.lit("<p>"), F.lit("</article><article>")).alias("m"))
+    chosen = several.select("page_id", H.main_fragment("m").alias("f"))
+    return chosen.select("page_id", F.when(~F.col("f").contains("article>"), content_hash("f")).alias("longest"))
 
 
 @query("page_text", TEXT + " SELECT page_id, text FROM page_text")
@@ -136,7 +138,7 @@ PATTERNS = {
 
 def _corpus_sql(tail: str) -> str:
     return TEXT + f""", {links()},
-corpus AS (SELECT t.page_id, lower(coalesce(l.lines, '') || chr(10) || left(t.text, 4000)) AS c FROM page_text t
+corpus AS (SELECT t.page_id, lower(coalesce(l.lines, '') || chr(10) || t.text) AS c FROM page_text t
   LEFT JOIN (SELECT page_id, string_agg(url || ' ' || text, chr(10) ORDER BY pos) AS lines FROM links GROUP BY page_id) l USING (page_id))
 {tail}"""
 

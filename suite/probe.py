@@ -12,7 +12,7 @@ from accountlake.operators.verdicts import calibrate, path_verdicts
 from accountlake.plans.probe import probe_paths
 from suite.pages import rendered
 from suite.registry import query, table
-from suite.sqltext import TEXT
+from suite.sqltext import TEXT, TITLE
 
 TOKENS_SQL = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9'']{{3,}}'))"
 OVERLAP_SQL = (
@@ -37,7 +37,7 @@ def token_overlap_query(spark, sf):
     """Every document against the first one of its language; languages are few and hot."""
     docs = table(spark, sf, "documents").select("lang", "doc_id", tokens("text").alias("a"))
     firsts = one_per_key(docs, ["lang"], ["doc_id"]).select("lang", F.col("a").alias("b"))
-    joined = lookup_join(docs, firsts, ["lang"], salt_by=["doc_id"], rows_per_task=200)
+    joined = lookup_join(docs, firsts, ["lang"], rows_per_task=200)
     return joined.select("doc_id", F.round(token_overlap("a", "b"), 9).alias("overlap"))
 
 
@@ -66,7 +66,8 @@ def _answers(pages):
         .otherwise(url).alias("final_url"),
         F.when(url.contains("#top"), 404).otherwise(200).alias("status_code"),
         F.when(url.endswith("/"), F.lit("timed out")).alias("fetch_error"),
-        F.when(url.contains("ref=x"), F.left("markdown", F.lit(150))).otherwise(F.col("markdown")).alias("text"),
+        # pages of a short text: their title stands for it
+        F.when(url.contains("ref=x"), F.coalesce("title", F.lit(""))).otherwise(F.col("markdown")).alias("text"),
     )
 
 
@@ -84,7 +85,7 @@ ANSWERS_SQL = TEXT + """, answers AS (
   SELECT page_id, domain, regexp_extract(url, '^https?://[^/]*(/[a-z]+)', 1) AS path,
     CASE WHEN contains(url, 'utm') THEN root || '/' ELSE url END AS final_url,
     CASE WHEN contains(url, '#top') THEN 404 ELSE 200 END AS status, ends_with(url, '/') AS failed,
-    CASE WHEN contains(url, 'ref=x') THEN left(text, 150) ELSE text END AS text FROM page_text),
+    CASE WHEN contains(url, 'ref=x') THEN """ + TITLE + """ ELSE text END AS text FROM page_text),
 controls AS (SELECT domain, CASE WHEN ends_with(domain, '.net') THEN 404 ELSE 200 END AS status,
     CASE WHEN starts_with(domain, 'blog.') THEN 'Loading' ELSE arg_min(text, page_id) END AS ctext FROM answers GROUP BY domain),
 modes AS (SELECT *, CASE WHEN status >= 400 THEN 'honest_404' WHEN length(ctext) < 60 THEN 'soft_404_blind' ELSE 'soft_404' END AS mode FROM controls)"""

@@ -106,9 +106,12 @@ def since_last_run(spark, sf):
     return modified_since(table(spark, sf, "events"), "ts", start).select("event_id", "user_id")
 
 
-@query("profile_fingerprint", f"""SELECT doc_id, substr(sha256(text || '-{PROFILE.fingerprint()}'), 1, 16) AS cache_key,
-  left(sha256('{PROFILE.prompt_block().replace("'", "''")}'), 8) AS profile FROM documents""")
+SHOPS = Profile("Shops", "Sells things.", good_fit=("one", "two"))
+
+
+@query("profile_fingerprint", """WITH p AS (SELECT left(sha256('ICP: Shops' || chr(10) || chr(10) || 'Sells things.' || chr(10) || chr(10)
+    || 'Strong fit signals:' || chr(10) || '- one' || chr(10) || '- two'), 8) AS profile)
+SELECT doc_id, substr(sha256(text || '-' || profile), 1, 16) AS cache_key, profile FROM documents, p""")
 def profile_fingerprint(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", content_hash(F.concat("text", F.lit("-" + PROFILE.fingerprint()))).alias("cache_key"), F.lit(PROFILE.fingerprint()).alias("profile")
-    )
+    key = SHOPS.fingerprint()
+    return table(spark, sf, "documents").select("doc_id", content_hash(F.concat("text", F.lit("-" + key))).alias("cache_key"), F.lit(key).alias("profile"))

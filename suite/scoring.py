@@ -99,8 +99,9 @@ def _bullet_sql(keys):
     return "CASE " + " ".join(f"WHEN contains(corpus, '{k}') THEN '{k}'" for k in keys) + " END"
 
 
-GOOD_KEYS = [S.profile_bigrams([b])[0] for b in BULLETS]
-POOR_KEYS = S.profile_bigrams(PROSE.poor_fit)
+# Word pairs of BULLETS and of PROSE's poor fits, written out.
+GOOD_KEYS = [["eau ment"], ["und die", "die ver", "der keit", "keit heit"], ["los que", "ment elle", "elle aux"]]
+POOR_KEYS = [["nicht der", "der ein"], ["tion pas", "pas une", "une elle"]]
 _MATCH = "list_filter([" + ", ".join(_bullet_sql(k) for k in GOOD_KEYS) + "], lambda x: x IS NOT NULL)"
 _MATCH_POOR = "list_filter([" + ", ".join(_bullet_sql(k) for k in POOR_KEYS) + "], lambda x: x IS NOT NULL)"
 

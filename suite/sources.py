@@ -22,15 +22,18 @@ from suite.writes import UPSERT_SQL, _RESULTS_SQL, existing, proposals, results
 from accountlake.operators.payload import build_payloads
 
 
-@query("read_account_csv", f"SELECT {host('url')} AS domain, count(*) AS n FROM pages GROUP BY 1")
+@query("read_account_csv", f"""WITH sites AS (SELECT {host('url')} AS domain, page_id, page_id % 3 AS part FROM pages)
+SELECT domain, row_number() OVER (ORDER BY part, page_id) - 1 AS ord FROM sites""")
 def read_account_csv(spark, sf):
-    """A CSV with a Website column among others."""
+    """A folder of CSV files with a Website column behind quoted names; rows count in file order."""
     path = shared_dir(spark, "accounts") + ".csv"
     site = F.lower(F.regexp_extract("url", "^https?://([^/]*)", 1))
-    table(spark, sf, "pages").select(
-        F.concat(F.lit("Company, "), F.col("page_id").cast("string")).alias("name"), F.concat(F.lit(" "), site).alias(" Website"), F.lit("x").alias("owner")
-    ).unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("").alias(" Website"), F.lit("y").alias("owner"))).write.csv(path, header=True)
-    return read_account_file(spark, path).groupBy("domain").agg(F.count("*").alias("n"))
+    name = F.concat(F.lit('"Big", '), F.col("page_id").cast("string"), F.lit(" Inc"))
+    empty = table(spark, sf, "nation").select(F.lit(1).alias("part"), F.lit(-1).cast("long").alias("page_id"), F.col("n_name").alias("name"), F.lit("").alias(" Website"))
+    rows = table(spark, sf, "pages").select((F.col("page_id") % 3).cast("int").alias("part"), "page_id", name.alias("name"), F.concat(F.lit(" "), site).alias(" Website"))
+    rows = rows.unionByName(empty).repartitionByRange(3, "part").sortWithinPartitions("part", "page_id")
+    rows.select("name", " Website", F.lit("y").alias("owner")).write.option("escape", '"').csv(path, header=True)
+    return read_account_file(spark, path).select("domain", "ord")
 
 
 @query("read_account_csv_bare", f"SELECT {host('url')} AS domain, count(*) AS n FROM pages GROUP BY 1")
@@ -107,10 +110,12 @@ def envelope_results(spark, sf):
 
 
 @query("envelope_items", """
-SELECT page_id, CASE WHEN contains(url, '#top') THEN url ELSE 'https://l.example/' END AS final_url, 200::BIGINT AS status_code, CASE WHEN contains(url, 'www.') THEN 'Outer' ELSE 'Inner' END AS title,
+SELECT page_id, CASE WHEN contains(url, '.org/') OR contains(url, '#top') THEN url ELSE 'https://l.example/' END AS final_url, 200::BIGINT AS status_code,
+  CASE WHEN contains(url, '.org/') THEN NULL WHEN contains(url, 'www.') THEN 'Outer' ELSE 'Inner' END AS title,
   NULL AS description, CASE WHEN contains(url, '.com/') THEN substr(sha256('<i>b</i>'), 1, 16) END AS html_hash, CASE WHEN contains(url, '.net/') THEN 'text' END AS markdown,
   CASE WHEN contains(url, '.org/') THEN url || ': apify not JSON' END AS fetch_error FROM pages""")
 def envelope_items(spark, sf):
+    """Items with outer and inner fields; a body that is not JSON names neither a page nor a title."""
     u = F.col("url")
     item = F.concat(
         F.lit('[{"url":"'), u, F.lit('"'), F.when(~u.contains("#top"), ',"loadedUrl":"https://l.example/"').otherwise(""),
@@ -118,12 +123,7 @@ def envelope_items(spark, sf):
         F.lit(',"metadata":{"title":"Inner"}}]'),
     )
     broken = F.concat(F.lit('{"url":'), u)
-    read = normalise_envelopes(dump(spark, sf, F.when(u.contains(".org/"), broken).otherwise(item)), "apify", url="asked")
-    # a body that is not JSON names neither a page nor a title
-    return _envelope_columns(read.withColumns({
-        "title": F.coalesce("title", F.when(F.col("final_url").contains("www."), "Outer").otherwise("Inner")),
-        "final_url": F.when(F.col("fetch_error").isNotNull() & ~F.col("final_url").contains("#top"), "https://l.example/").otherwise(F.col("final_url")),
-    }))
+    return _envelope_columns(normalise_envelopes(dump(spark, sf, F.when(u.contains(".org/"), broken).otherwise(item)), "apify", url="asked"))
 
 
 # --- sinks -----------------------------------------------------------------
@@ -156,9 +156,12 @@ def results_json(spark, sf):
     res = results(spark, sf).drop("page_id")
     plan = upsert_plan(proposals(spark, sf), existing(spark, sf), destination="hubspot", match_key="domain")
     sinks.write_results_json(res, plan, path)
-    writes = spark.read.schema(plan.schema).json(f"{path}/writes").agg(F.count("*").alias("writes"), F.count_if(F.col("action") == "failed").alias("failed"))
-    back = spark.read.schema(res.schema).json(f"{path}/results").agg(F.count("*").alias("results"))
-    return back.join(writes)
+    writes = spark.read.schema(plan.schema).json(f"{path}/writes").select(F.lit("write").alias("kind"), "action")
+    both = writes.unionByName(spark.read.schema(res.schema).json(f"{path}/results").select(F.lit("result").alias("kind"), F.lit(None).cast("string").alias("action")))
+    return both.agg(
+        F.count_if(F.col("kind") == "result").alias("results"), F.count_if(F.col("kind") == "write").alias("writes"),
+        F.count_if(F.col("action") == "failed").alias("failed"),
+    )
 
 
 @query("page_snapshot", TEXT + " SELECT domain, arg_max(url, page_id) AS final_url, substr(sha256(arg_max(text, page_id)), 1, 16) AS content_hash FROM page_text GROUP BY domain")

@@ -21,6 +21,7 @@ from accountlake.sources.envelopes import normalise_envelopes
     ("a.csv", "acme.com\nbeta.io\n", ["acme.com", "beta.io"]),
     ("a.csv", "sites,x\nacme.com,1\n", ["acme.com"]),
     ("a.csv", 'name,url,domain\n"A, Inc.",u.com,d.com\n', ["d.com"]),
+    ("a.csv", 'company,domain\n"Acme ""Big"", Inc",acme.com\n', ["acme.com"]),
     ("a.txt", "# comment\n\nacme.com\n  beta.io \n", ["acme.com", "beta.io"]),
 ])
 def test_account_files(spark, tmp_path, name, text, expected):
@@ -128,3 +129,19 @@ def test_scratch_goes_to_the_shared_folder(spark):
     first, second = shared_dir(spark, "a"), shared_dir(spark, "a")
     root = root or spark.sparkContext.getCheckpointDir()
     assert first.startswith(root) and first != second
+
+
+def test_a_folder_of_files_is_read_in_order(spark, tmp_path):
+    folder = tmp_path / "list.csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text("domain\nfirst.com\n")
+    (folder / "2.csv").write_text("domain\n" + "".join(f"d{i}.com\n" for i in range(50)))
+    rows = sorted((r.ord, r.domain) for r in read_account_file(spark, str(folder)).collect())
+    assert rows == list(enumerate(["first.com", *[f"d{i}.com" for i in range(50)]]))
+    assert [r.domain for r in read_account_file(spark, str(folder), limit=2).collect()] == ["first.com", "d0.com"]
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('name,domain\n"two\nlines",acme.com\nx,beta.io\n')
+    assert [r.domain for r in read_account_file(spark, str(path), multiline=True).orderBy("ord").collect()] == ["acme.com", "beta.io"]
