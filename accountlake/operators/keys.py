@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ROWS_PER_TASK = 2_000_000
 
@@ -27,37 +28,30 @@ def lookup_join(
     lookup: DataFrame,
     on: Sequence[str],
     *,
-    salt_by: Sequence[str],
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Equi-join of many rows to few rows per key, hot keys spread over several tasks.
 
     Keys with at least ``rows_per_task`` rows are counted first, on the key columns
-    alone. There are at most ``count(rows) / rows_per_task`` of them, which bounds the
-    broadcast list. A hot key's rows get a salt from ``salt_by`` and its lookup rows
+    alone; there are at most ``count(rows) / rows_per_task`` of them, and Spark picks the
+    join by their size. A hot key's rows get a salt from a hash of the whole row and its lookup rows
     are repeated once per salt; other keys join as they are. Null keys match nothing
-    and are only spread.
+    and are spread over as many salts as they have rows for. ``rows_per_task`` sets the layout, never the result.
     """
     on = list(on)
-    hot = (
-        rows.select(*on).dropna(subset=on).groupBy(*on).count()
-        .where(F.col("count") >= rows_per_task)
-        .select(*on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts"))
-    )
-    spread = F.xxhash64(*salt_by)
-    no_key = F.lit(False)
-    for key in on:
-        no_key = no_key | F.col(key).isNull()
-    salt = (
-        F.when(no_key, F.pmod(spread, F.lit(4096)))
-        .when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
-        .otherwise(0)
-        .cast("int")
-    )
-    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_salts")
+    counts = rows.select(*on).groupBy(*on).count().where(F.col("count") >= rows_per_task)
+    hot = counts.select(*[F.col(k).alias(f"_{k}") for k in on], F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts"))
+
+    def same(side: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, [side[k].eqNullSafe(hot[f"_{k}"]) for k in on])
+
+    hot_keys = [f"_{k}" for k in on]
+    kinds = {c.name: c.dataType.simpleString() for c in rows.schema}
+    plain = [name for name, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*plain), F.col("_salts"))).otherwise(0).cast("int")
+    salted = rows.join(hot, same(rows), "left").withColumn("_salt", salt).drop("_salts", *hot_keys)
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    repeated = (
-        lookup.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    )
+    repeated = lookup.dropna(subset=on)
+    repeated = repeated.join(hot, same(repeated), "left").withColumn("_salt", F.explode(copies)).drop("_salts", *hot_keys)
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

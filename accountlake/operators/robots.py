@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from accountlake.functions.text import col, let
 from accountlake.functions.urls import url_host
-from accountlake.operators.keys import lookup_join
+from accountlake.operators.keys import lookup_join, one_per_key
 
 _PATH_QUERY = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)"
 
@@ -72,14 +72,19 @@ def rules_for(body: Column | str, agent: str) -> Column:
     return let(rule_groups(body), pick)
 
 
+def unescaped(path: Column) -> Column:
+    """A path with its percent escapes read, so that ``/a%20b``, ``/a b`` and ``/%61 b`` are one path."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def allowed(rules: Column, url: Column | str) -> Column:
-    """First rule whose path starts the URL's path decides; no such rule allows."""
+    """First rule whose path starts the URL's path decides; no such rule allows. Escapes are read on both sides."""
     target = F.regexp_extract(col(url), _PATH_QUERY, 1)
     return let(
-        F.when(target == "", "/").otherwise(target),
+        unescaped(F.when(target == "", "/").otherwise(target)),
         lambda t: F.coalesce(
             F.get(
-                F.filter(rules, lambda r: (r["path"] == "*") | t.startswith(r["path"])), F.lit(0)
+                F.filter(rules, lambda r: (r["path"] == "*") | t.startswith(unescaped(r["path"]))), F.lit(0)
             )["allow"],
             F.lit(True),
         ),
@@ -87,15 +92,14 @@ def allowed(rules: Column, url: Column | str) -> Column:
 
 
 def robots_gate(urls: DataFrame, robots: DataFrame, agent: str, url: str = "url", **join) -> DataFrame:
-    """Add ``allowed``. ``robots`` has one row per host: ``host, status, body``.
+    """Add ``allowed``. ``robots`` has ``host, status, body``; of several good answers of a host the smallest counts.
 
     Rules travel as one array per host, so a URL meets its host's rules once instead
     of once per rule. A missing file, or one answered with an error, allows all.
     """
-    rules = robots.where("status < 400").select("host", rules_for("body", agent).alias("_rules"))
-    joined = lookup_join(
-        urls.withColumn("host", url_host(url)), rules, ["host"], salt_by=[url], **join
-    )
+    good = one_per_key(robots.where("status < 400").select("host", "status", "body"), ["host"], ["status", "body"])
+    rules = good.select("host", rules_for("body", agent).alias("_rules"))
+    joined = lookup_join(urls.withColumn("host", url_host(url)), rules, ["host"], **join)
     return joined.withColumn("allowed", allowed(F.col("_rules"), url)).drop("_rules").select(
         *urls.columns, "allowed"
     )

@@ -60,6 +60,21 @@ def _label_keys(website: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(pieces, endings)))
 
 
+GRAM = 3
+
+
+def _start_key(needle: Column) -> Column:
+    """The key of a text without a dot: its first characters, marked off from labels."""
+    return F.concat(F.lit("\x01"), F.left(needle, F.lit(GRAM)))
+
+
+def _start_keys(website: Column) -> Column:
+    """Every run of one to three characters inside a website text, as keys of ``_start_key``."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(website), F.lit(1)))
+    runs = [F.transform(places, lambda i, n=n: F.concat(F.lit("\x01"), F.substring(website, i, F.lit(n)))) for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(*runs))
+
+
 def _search_key(needle: Column) -> Column:
     """The key under which ``_label_keys`` lists every text that contains the needle."""
     pieces = F.split(needle, r"\.", -1)
@@ -72,19 +87,25 @@ def find_by_contains(payloads: DataFrame, existing: DataFrame, match_key: str, *
     """Payloads with ``_found``: the smallest-id record whose key text contains the bare domain.
 
     An equality join on label keys finds the possible pairs, ``contains`` settles
-    them; equal texts are reduced to one record first and hot keys are spread.
+    them; equal texts are reduced to one record first and hot keys are spread. Texts without a dot
+    have no label to look up; they are searched by their first three characters (one or two
+    by that many), which every text lists only if there are such searches.
     """
+    needle = F.lower(F.btrim(F.regexp_replace(F.col("match_value"), "^.*//", ""), F.lit("/")))
+    wanted = payloads.select(needle.alias("_needle")).where("_needle <> ''").distinct().withColumn(
+        "_label", F.when(F.col("_needle").contains("."), _search_key(F.col("_needle"))).otherwise(_start_key(F.col("_needle")))
+    )
+    # Only labels that are searched are kept, before anything is counted or shuffled further.
+    labels = wanted.select("_label").distinct()
     texts = (
         existing.select(F.lower(F.col(match_key)).alias("_text"), "record_id")
         .where("_text is not null")
         .groupBy("_text").agg(F.min("record_id").alias("_id"))
-        .select("_text", "_id", F.explode(_label_keys(F.col("_text"))).alias("_label"))
+        .select("_text", "_id", F.explode(F.concat(_label_keys(F.col("_text")), _start_keys(F.col("_text")))).alias("_label"))
+        .join(labels, "_label", "left_semi")
     )
-    needle = F.lower(F.btrim(F.regexp_replace(F.col("match_value"), "^.*//", ""), F.lit("/")))
-    wanted = payloads.select(needle.alias("_needle")).where(F.col("_needle").contains(".")).distinct()
-    wanted = wanted.withColumn("_label", _search_key(F.col("_needle")))
     hits = (
-        lookup_join(texts, wanted, ["_label"], salt_by=["_text"], how="inner", **join)
+        lookup_join(texts, wanted, ["_label"], how="inner", **join)
         .where(F.col("_text").contains(F.col("_needle")))
         .groupBy("_needle").agg(F.min("_id").alias("_id"))
     )

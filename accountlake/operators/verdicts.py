@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 from accountlake import vocab
 from accountlake.functions import probing as P
 from accountlake.functions.text import first_marker, token_overlap, tokens
-from accountlake.operators.keys import lookup_join
+from accountlake.operators.keys import lookup_join, one_per_key
 
 
 def calibrate(controls: DataFrame) -> DataFrame:
     """One row per domain: how the site answers an impossible path, and the words it uses.
 
-    ``controls``: one answer per ``domain`` with ``status_code, fetch_error, text``.
+    ``controls``: answers per ``domain`` with ``status_code, fetch_error, text``; of several the smallest counts.
     """
     mode = P.control_mode("fetch_error", "status_code", "text")
-    return controls.select("domain", mode.alias("mode"), F.col("text").alias("_text")).select(
+    asked = controls.select("domain", "status_code", "fetch_error", "text")
+    return one_per_key(asked, ["domain"], ["status_code", "fetch_error", "text"]).select("domain", mode.alias("mode"), F.col("text").alias("_text")).select(
         "domain", "mode", F.when(F.col("mode") == P.SOFT, tokens("_text")).alias("control_tokens")
     )
 
@@ -45,7 +46,7 @@ def path_verdicts(
         first_marker("text", missing_markers).alias("_missing"),
         P.on_topic("path", "text", topics).alias("_topic"),
     )
-    joined = lookup_join(facts, calibrate(controls), ["domain"], salt_by=["path", "final_url"], **join)
+    joined = lookup_join(facts, calibrate(controls), ["domain"], **join)
     compared = joined.withColumn(
         "similarity", F.when(F.col("mode") == P.SOFT, token_overlap("_tokens", "control_tokens"))
     )

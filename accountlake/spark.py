@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime SQL settings the operators rely on. Shuffle partition counts are left
 # to the cluster: AQE coalesces them, and splits skewed ones.
@@ -15,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Keep splitting skewed join partitions even when that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Of a JSON object's keys that repeat, the last counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -41,27 +42,11 @@ def local_session(cores: int | str = "*", memory: str = "16g", shuffle_partition
     return spark
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table for text-heavy work.
-
-    At scale the files have far more splits than the cluster has cores and are read as
-    they are. A table of few, large row groups would keep most cores idle while a few
-    tasks do all the string work, so its rows are dealt out first.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
-
-    Only a session without one (tests, local runs) gets a folder of this machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="accountlake-")
-        spark.sparkContext.setCheckpointDir(root)
+    """A new folder under the cluster's shared checkpoint folder, or under the session's warehouse without one."""
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
     return f"{root.rstrip('/')}/accountlake/{purpose}-{uuid.uuid4().hex}"

@@ -97,13 +97,14 @@ def dedupe_batch(jobs: DataFrame, order: list[str] | None = None) -> DataFrame:
 def resolve_event_domain(jobs: DataFrame, accounts: DataFrame, **join) -> DataFrame:
     """Fill in the domain of jobs that only know a record id.
 
-    ``accounts``: one row per ``record_id`` with its ``domain``. Streams join it as a
-    static table; in a batch the busiest record ids are spread.
+    ``accounts``: ``record_id`` and its ``domain``; of several domains the smallest counts. Streams
+    join it as a static table; in a batch the busiest record ids are spread.
     """
-    known = accounts.select("record_id", F.col("domain").alias("_known"))
+    known = accounts.select("record_id", blank_to_null("domain").alias("_known")).where("_known is not null")
+    known = one_per_key(known, ["record_id"], ["_known"])
     if jobs.isStreaming:
         joined = jobs.join(known, "record_id", "left")
     else:
-        joined = lookup_join(jobs, known, ["record_id"], salt_by=["key"], **join)
+        joined = lookup_join(jobs, known, ["record_id"], **join)
     domain = F.coalesce(blank_to_null("domain"), blank_to_null("_known")).alias("domain")
     return joined.select(*[domain if c == "domain" else F.col(c) for c in jobs.columns])

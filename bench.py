@@ -24,7 +24,9 @@ HEADLINES = (
 def main() -> None:
     from accountlake.spark import local_session
     from suite import QUERIES
+    from suite.registry import SPREAD
 
+    SPREAD["tasks"] = int(CPUS)
     spark = local_session(CPUS)
     spark.read.parquet(f"{SF_DIR}/events.parquet").groupBy("event_type").count().collect()
     times: dict[str, float] = {}
