@@ -73,25 +73,10 @@ def split_replays(events: DataFrame, sent: str, arrived: str) -> tuple[DataFrame
     return events.where(~old), events.where(old)
 
 
-def dedupe_stream(
-    jobs: DataFrame, *, time: str = "ingest_ts", ttl: str = f"{vocab.SEEN_TTL_HOURS} hours", salts: int = 16
-) -> DataFrame:
-    """First delivery of every key within ``ttl``; state older than that is dropped.
-
-    A streaming dedupe cannot reduce a key before its shuffle. So redeliveries are
-    first deduplicated per ``(key, salt)``, which spreads a key that arrives millions
-    of times over ``salts`` tasks, and the at most ``salts`` survivors per key.
-    """
-    watermarked = jobs.withWatermark(time, ttl)
-    if salts > 1:
-        salted = watermarked.withColumn("_salt", F.pmod(F.xxhash64(time), F.lit(salts)))
-        watermarked = salted.dropDuplicatesWithinWatermark(["key", "_salt"]).drop("_salt")
-    return watermarked.dropDuplicatesWithinWatermark(["key"])
-
-
 def dedupe_batch(jobs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """First delivery of every key in a bounded set."""
-    return one_per_key(jobs, ["key"], order or ["ingest_ts"])
+    """First delivery of every key in a bounded set; of deliveries at the same time the smallest."""
+    order = order or ["ingest_ts"]
+    return one_per_key(jobs, ["key"], [*order, *[c for c in jobs.columns if c not in ("key", *order)]])
 
 
 def resolve_event_domain(jobs: DataFrame, accounts: DataFrame, **join) -> DataFrame:

@@ -1,18 +1,124 @@
-"""Stream to enrichment to upsert, micro-batch by micro-batch."""
+"""A stream of jobs, micro-batch by micro-batch, against tables in the shared folder.
+
+What a stream has to remember - keys it has seen, jobs that wait for a website - is a table. Every
+micro-batch joins what arrived to it and writes the next version to a folder named after the batch, so a
+batch that is run again after a failure reads the version before and leaves the same files.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from accountlake import vocab
+from accountlake.functions.text import blank_to_null
 from accountlake.streaming.events import dedupe_batch, resolve_event_domain
+from accountlake.streaming.retry import due_after, no_website
+
+
+def _before(spark, folder: str, batch_id: int) -> DataFrame | None:
+    """The version the batch before this one wrote; none for the first batch."""
+    return spark.read.parquet(f"{folder}/batch={batch_id - 1}") if batch_id else None
+
+
+def _write(df: DataFrame, folder: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def new_jobs(arrived: DataFrame, seen: DataFrame | None, ttl_hours: float, time: str = "ingest_ts") -> DataFrame:
+    """First delivery of every key that was not seen within ``ttl_hours`` before it."""
+    first = dedupe_batch(arrived, [time])
+    if seen is None:
+        return first
+    last = seen.select(F.col("key").alias("_key"), F.col(time).alias("_seen"))
+    fresh = F.col("_seen") < F.col(time) - F.make_dt_interval(hours=F.lit(int(ttl_hours)))
+    known = first.join(last, F.col("key") == F.col("_key"), "left")
+    return known.where(F.col("_key").isNull() | fresh).drop("_key", "_seen")
+
+
+def _clock(arrived: DataFrame, before: DataFrame | None, time: str) -> datetime | None:
+    """The latest event time so far: one value."""
+    times = arrived.select(time) if before is None else arrived.select(time).unionByName(before.select(time))
+    return times.agg(F.max(time)).first()[0]
+
+
+def _started(stream: DataFrame, process, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
 
+def run_dedupe(
+    jobs: DataFrame, *, out: str, checkpoint: str, time: str = "ingest_ts", ttl_hours: float = vocab.SEEN_TTL_HOURS,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """The first delivery of every key, by arrival, in ``out/new``; keys are forgotten after ``ttl_hours``."""
+    def process(batch: DataFrame, batch_id: int) -> None:
+        seen = _before(batch.sparkSession, f"{out}/seen", batch_id)
+        fresh = new_jobs(batch, seen, ttl_hours, time)
+        _write(fresh, f"{out}/new", batch_id)
+        # Read back: later steps take what was written, whatever is run again.
+        fresh = batch.sparkSession.read.schema(fresh.schema).parquet(f"{out}/new/batch={batch_id}").select("key", time)
+        everything = fresh if seen is None else seen.unionByName(fresh)
+        newest = everything.groupBy("key").agg(F.max(time).alias(time))
+        clock = _clock(batch, seen, time)
+        kept = newest if clock is None else newest.where(F.col(time) >= F.lit(clock) - F.make_dt_interval(hours=F.lit(int(ttl_hours))))
+        _write(kept, f"{out}/seen", batch_id)
+
+    return _started(jobs, process, checkpoint, available_now)
 
-def job_domains(jobs: DataFrame, accounts: DataFrame, **join) -> DataFrame:
-    """Jobs of one micro-batch with their domains looked up."""
-    return resolve_event_domain(dedupe_batch(jobs), accounts, **join)
+
+def tried(
+    arrived: DataFrame, jobs: DataFrame | None, accounts: DataFrame, clock: datetime, *,
+    retry_seconds: int = vocab.RETRY_SECONDS, max_attempts: int = vocab.MAX_ATTEMPTS, ttl_hours: float = vocab.SEEN_TTL_HOURS,
+    **join,
+) -> DataFrame:
+    """Jobs that are tried in a micro-batch, with all their attempts up to ``clock``.
+
+    These are new jobs, waiting ones whose next attempt is due, and waiting ones whose record got a website by
+    an event of this batch. A website comes from the job, from such an event, or from ``accounts``, looked up anew.
+    A job without one fails at its last attempt; else it waits until ``run_after``.
+    """
+    fresh = new_jobs(arrived, jobs, ttl_hours).select(
+        "key", "system", "record_id", "domain", "event", "ingest_ts", F.lit(0).alias("attempts"))
+    named = arrived.select("record_id", blank_to_null("domain").alias("_named"), F.struct("ingest_ts", "key").alias("_at")).where(
+        "_named is not null and record_id is not null"
+    ).groupBy("record_id").agg(F.max_by("_named", "_at").alias("_named"))
+    ahead = fresh
+    if jobs is not None:
+        waiting = jobs.where("status = 'pending'").join(named, "record_id", "left").where(
+            (F.col("run_after") <= F.lit(clock)) | F.col("_named").isNotNull())
+        ahead = fresh.unionByName(waiting.select(*fresh.columns))
+    ahead = ahead.join(named, "record_id", "left").withColumn("domain", F.coalesce(blank_to_null("domain"), "_named")).drop("_named")
+    looked_up = resolve_event_domain(ahead.select(*fresh.columns), accounts, **join)
+    # Attempt n + 1 follows n * retry_seconds after attempt n; several may be due by now.
+    passed = sum(
+        (F.when(due_after("ingest_ts", n, retry_seconds) <= F.lit(clock), 1).otherwise(0) for n in range(1, max_attempts)), F.lit(1))
+    last = F.when(F.col("domain").isNotNull(), F.col("attempts") + 1).otherwise(F.greatest(passed, F.col("attempts") + 1))
+    return looked_up.withColumns({"first": F.col("attempts") + 1, "attempts": last}).withColumns({
+        "status": F.when(F.col("domain").isNotNull(), "ready").when(F.col("attempts") >= max_attempts, "failed").otherwise("pending"),
+    }).withColumns({
+        "run_after": F.when(F.col("status") == "pending", _due("ingest_ts", F.col("attempts"), retry_seconds)),
+        "last_error": F.when(F.col("domain").isNull(), no_website("record_id")),
+    })
+
+
+def _due(time: str, attempts: Column, retry_seconds: int) -> Column:
+    seconds = attempts * (attempts + 1) / 2 * retry_seconds
+    return F.col(time) + F.make_dt_interval(secs=seconds)
+
+
+def attempts_of(rows: DataFrame, retry_seconds: int = vocab.RETRY_SECONDS) -> DataFrame:
+    """One row per attempt of :func:`tried` rows, with the state the job was in after it."""
+    each = rows.withColumn("attempt", F.explode(F.sequence("first", "attempts")))
+    final = F.col("attempt") == F.col("attempts")
+    return each.select(
+        "key", "system", "record_id", "domain", "event", F.col("attempt").alias("attempts"),
+        F.when(final, F.col("status")).otherwise("pending").alias("status"),
+        F.when(final, F.col("run_after")).otherwise(_due("ingest_ts", F.col("attempt"), retry_seconds)).alias("run_after"), "last_error",
+    )
 
 
 def run_jobs(
@@ -22,27 +128,35 @@ def run_jobs(
     *,
     out: str,
     checkpoint: str,
+    retry_seconds: int = vocab.RETRY_SECONDS,
+    max_attempts: int = vocab.MAX_ATTEMPTS,
+    ttl_hours: float = vocab.SEEN_TTL_HOURS,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Enrich what each micro-batch names and write the planned upserts and job states.
+    """Redeliveries dropped, websites looked up and waited for, what is ready enriched and its writes planned.
 
-    ``accounts`` is read anew for every batch, ``write_plan`` gets ``domain, ord`` and
-    returns write rows. Results go to a folder named after the batch and replace it,
-    so a batch that is run again after a failure leaves the same files.
+    ``accounts`` is read anew for every batch; ``write_plan`` gets ``domain, ord`` and returns write rows.
+    Folders under ``out``: ``attempts`` (every attempt), ``jobs`` (state of the jobs tried), ``table`` (all jobs
+    remembered, the batch's version), ``writes``.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
-        looked_up = job_domains(batch, accounts()).persist()
-        try:
-            named = looked_up.where("domain is not null")
-            targets = named.groupBy("domain").agg(F.min(F.unix_micros("ingest_ts")).alias("ord"))
-            write_plan(targets).write.mode("overwrite").parquet(f"{out}/writes/batch={batch_id}")
-            states = looked_up.select(
-                "key", "system", "record_id", "domain", "event",
-                F.when(F.col("domain").isNull(), "pending").otherwise("done").alias("status"),
-            )
-            states.write.mode("overwrite").parquet(f"{out}/jobs/batch={batch_id}")
-        finally:
-            looked_up.unpersist()
-
-    writer = jobs.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+        spark = batch.sparkSession
+        table = _before(spark, f"{out}/table", batch_id)
+        clock = _clock(batch, table, "ingest_ts")
+        if clock is None:  # nothing has ever arrived
+            clock = datetime(1970, 1, 1)
+        rows = tried(batch, table, accounts(), clock, retry_seconds=retry_seconds, max_attempts=max_attempts, ttl_hours=ttl_hours)
+        _write(rows, f"{out}/tried", batch_id)
+        rows = spark.read.schema(rows.schema).parquet(f"{out}/tried/batch={batch_id}")
+        _write(attempts_of(rows, retry_seconds), f"{out}/attempts", batch_id)
+        ready = rows.where("status = 'ready'")
+        targets = ready.groupBy("domain").agg(F.min(F.unix_micros("ingest_ts")).alias("ord"))
+        _write(write_plan(targets), f"{out}/writes", batch_id)
+        state = rows.drop("first")
+        _write(state.withColumn("status", F.when(F.col("status") == "ready", "done").otherwise(F.col("status"))), f"{out}/jobs", batch_id)
+        if table is not None:
+            state = state.unionByName(table.join(rows.select("key"), "key", "left_anti").select(*state.columns))
+        remembered = F.col("ingest_ts") >= F.lit(clock) - F.make_dt_interval(hours=F.lit(int(ttl_hours)))
+        _write(state.where(remembered | (F.col("status") == "pending")), f"{out}/table", batch_id)
+
+    return _started(jobs, process, checkpoint, available_now)

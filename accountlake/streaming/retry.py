@@ -1,39 +1,32 @@
-"""Jobs whose record has no website yet: wait, look again, give up visibly."""
+"""Jobs whose record has no website yet: when they are tried again, and which may run."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from accountlake import vocab
 
-# The processor travels to the workers as code, so they need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_OUTPUT = "key string, system string, record_id string, event string, status string, attempts int, due_ms bigint"
-_Try = Row("key", "system", "record_id", "event", "status", "attempts", "due_ms")
-_STATE = "attempts int, system string, record_id string, event string"
-
 
 def no_website(record_id: Column | str) -> Column:
     c = F.col(record_id) if isinstance(record_id, str) else record_id
     return F.concat(F.lit("record "), F.coalesce(c, F.lit("None")), F.lit(" has no website yet"))
 
 
+def due_after(time: str, attempts: int, retry_seconds: int = vocab.RETRY_SECONDS) -> Column:
+    """When the attempt after ``attempts`` is due: attempt n waits n times ``retry_seconds`` for the next."""
+    return F.col(time) + F.make_dt_interval(secs=F.lit(float(retry_seconds * attempts * (attempts + 1) / 2)))
+
+
 def first_attempt(jobs: DataFrame, retry_seconds: int = vocab.RETRY_SECONDS, time: str = "ingest_ts") -> DataFrame:
     """Status of every job right after its first try: ready, or pending until ``run_after``."""
     has_domain = F.col("domain").isNotNull()
-    wait = F.make_dt_interval(secs=F.lit(float(retry_seconds)))
     return jobs.select(
         "key", "system", "record_id", "domain", "event",
         F.when(has_domain, "ready").otherwise("pending").alias("status"),
         F.lit(1).alias("attempts"),
-        F.when(~has_domain, F.col(time) + wait).alias("run_after"),
+        F.when(~has_domain, due_after(time, 1, retry_seconds)).alias("run_after"),
         F.when(~has_domain, no_website("record_id")).alias("last_error"),
     )
 
@@ -42,76 +35,3 @@ def ready_jobs(jobs: DataFrame, now: datetime, n: int = 0) -> DataFrame:
     """Pending jobs that may run now, oldest id first; ``n`` of them, 0 for all."""
     ready = jobs.where((F.col("status") == "pending") & (F.col("run_after") <= F.lit(now))).orderBy("id")
     return ready.limit(n) if n else ready
-
-
-class _WaitForWebsite(StatefulProcessor):
-    """One state per job: how often it was tried. Event-time timers bring it back."""
-
-    def __init__(self, retry_seconds: int, max_attempts: int) -> None:
-        self.retry_ms = retry_seconds * 1000
-        self.max_attempts = max_attempts
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", _STATE)
-
-    def _wait(self, key: str, job: tuple, attempts: int, now_ms: int) -> Row:
-        due = now_ms + self.retry_ms * attempts
-        self.job.update((attempts, *job))
-        self.handle.registerTimer(due)
-        return _Try(key, *job, "pending", attempts, due)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.job.exists():
-            return  # a job is one row; a repeat changes nothing
-        row = next(iter(rows), None)
-        if row is not None:
-            job = (row["system"], row["record_id"], row["event"])
-            yield self._wait(key[0], job, 1, row["arrived_ms"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.job.exists():
-            return
-        attempts, *job = self.job.get()
-        attempts += 1
-        if attempts >= self.max_attempts:
-            self.job.clear()
-            yield _Try(key[0], *job, "failed", attempts, None)
-        else:
-            yield self._wait(key[0], tuple(job), attempts, expiredTimerInfo.getExpiryTimeInMs())
-
-    def close(self) -> None:
-        pass
-
-
-def wait_for_website(
-    jobs: DataFrame,
-    *,
-    retry_seconds: int = vocab.RETRY_SECONDS,
-    max_attempts: int = vocab.MAX_ATTEMPTS,
-    time: str = "ingest_ts",
-) -> DataFrame:
-    """Status rows of domain-less jobs on a watermarked stream.
-
-    Grouped by the job's own key, which occurs once after dedupe, so a record with
-    very many events makes many small groups. A try that is due emits its row, and
-    the sink looks the record up again then; the last one is marked ``failed``.
-    """
-    # The condition names the event time so that it stays above the watermark: jobs
-    # that have a domain are dropped, but they too must move the clock.
-    no_domain = F.when(F.col(time).isNull(), F.lit("")).otherwise(F.col("domain")).isNull()
-    tries = (
-        jobs.where(no_domain)
-        .select("key", "system", "record_id", "event", time, F.unix_millis(time).alias("arrived_ms"))
-        .groupBy("key")
-        .transformWithState(
-            statefulProcessor=_WaitForWebsite(retry_seconds, max_attempts),
-            outputStructType=_OUTPUT,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
-    return tries.select(
-        "key", "system", "record_id", F.lit(None).cast("string").alias("domain"), "event", "status", "attempts",
-        F.timestamp_millis("due_ms").alias("run_after"), no_website("record_id").alias("last_error"),
-    )

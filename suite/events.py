@@ -11,8 +11,8 @@ from accountlake.operators import report
 from accountlake.plans.enrich import enrich_pages, plan_writes
 from accountlake.spark import shared_dir
 from accountlake.streaming import events as E
-from accountlake.streaming.jobs import run_jobs
-from accountlake.streaming.retry import first_attempt, ready_jobs, wait_for_website
+from accountlake.streaming.jobs import run_dedupe, run_jobs
+from accountlake.streaming.retry import first_attempt, ready_jobs
 from suite.pages import rendered
 from suite.registry import query, table
 
@@ -167,16 +167,27 @@ def stream_jobs(spark, sf):
     return drain(E.crm_jobs(crm_events(event_stream(spark, sf))), "jobs").drop("ingest_ts")
 
 
-@query("stream_dedupe", f"WITH {ACCOUNT_SQL} SELECT DISTINCT key, system FROM ajobs")
+def run_over(start, purpose):
+    """Run a job stream over everything there is; the folder it wrote to."""
+    def run(spark):
+        out = shared_dir(spark, purpose)
+        start(out, shared_dir(spark, f"{purpose}-checkpoint")).awaitTermination()
+        return out
+
+    return run
+
+
+@query("stream_dedupe", f"WITH {ACCOUNT_SQL} SELECT key, any_value(system) AS system, (list(domain ORDER BY ts, domain NULLS FIRST))[1] AS domain, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS arrived FROM ajobs GROUP BY key")
 def stream_dedupe(spark, sf):
-    """Redeliveries dropped; a record id counts once within the time it is remembered."""
+    """Redeliveries dropped: a record id counts once, as it first arrived."""
     raw = with_redeliveries(event_stream(spark, sf), "ts")
     jobs = E.account_jobs(raw.select(
         F.when(F.col("event_type").isin("view", "click"), F.col("user_id").cast("string")).alias("record_id"),
         F.when(F.col("event_type").isin("click", "signup"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example"))).alias("website"),
         F.col("ts").cast("timestamp").alias("ingest_ts"),
     ))
-    return drain(E.dedupe_stream(jobs), "dedupe").select("key", "system")
+    out = run_over(lambda out, mark: run_dedupe(jobs, out=out, checkpoint=mark), "dedupe")(spark)
+    return spark.read.parquet(f"{out}/new").select("key", "system", "domain", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss").alias("arrived"))
 
 
 @query("stream_resolve_domain", f"WITH {RESOLVED_SQL} SELECT key, record_id, domain, event FROM resolved")
@@ -185,27 +196,50 @@ def stream_resolve_domain(spark, sf):
     return drain(E.resolve_event_domain(jobs, accounts(spark, sf)), "resolved").select("key", "record_id", "domain", "event")
 
 
-@query("stream_wait_for_website", f"WITH {CRM_SQL}, keys AS (SELECT key, count(*) AS n FROM jobs WHERE domain IS NULL GROUP BY key) SELECT key, 1::BIGINT AS first_attempt FROM keys")
+TRIED_SQL = CRM_SQL + """,
+named AS (SELECT record_id, (list(domain ORDER BY ts DESC, key DESC))[1] AS named FROM jobs WHERE domain IS NOT NULL AND record_id IS NOT NULL GROUP BY record_id),
+firsts AS (SELECT key, min(ts) AS ts, (list(struct_pack(record_id, domain, event) ORDER BY ts))[1] AS j FROM jobs GROUP BY key),
+ready AS (SELECT f.key, f.ts, f.j.record_id AS record_id, f.j.event AS event,
+    coalesce(f.j.domain, n.named, CASE WHEN c_acctbal > 0 THEN lower(c_mktsegment) || c_custkey || '.example' END) AS domain
+  FROM firsts f LEFT JOIN named n ON n.record_id = f.j.record_id LEFT JOIN customer ON c_custkey::VARCHAR = f.j.record_id),
+clock AS (SELECT max(ts) + INTERVAL 1 HOUR AS now FROM jobs)"""
+
+
+@query("stream_wait_for_website", f"""WITH {TRIED_SQL},
+tries AS (SELECT r.*, now, unnest(CASE WHEN domain IS NOT NULL THEN [1] ELSE list_filter([1, 2, 3], lambda a: a = 1 OR ts + (a - 1) * a / 2 * 30 * INTERVAL 1 SECOND <= now) END) AS attempts FROM ready r, clock)
+SELECT key, attempts::BIGINT AS attempts, CASE WHEN domain IS NOT NULL THEN 'ready' WHEN attempts = 3 THEN 'failed' ELSE 'pending' END AS status, domain,
+  CASE WHEN domain IS NULL AND attempts < 3 THEN strftime(ts + attempts * (attempts + 1) / 2 * 30 * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') END AS run_after,
+  CASE WHEN domain IS NULL THEN 'record ' || record_id || ' has no website yet' END AS last_error FROM tries""")
 def stream_wait_for_website(spark, sf):
-    """Domain-less jobs; every job is seen, tried first at once, and never more than three times."""
-    jobs = E.crm_jobs(crm_events(event_stream(spark, sf))).withWatermark("ingest_ts", "10 minutes")
-    tries = drain(wait_for_website(jobs), "waiting")
-    return tries.groupBy("key").agg(F.min("attempts").cast("long").alias("first_attempt"), F.max("attempts").alias("_last")).where("_last <= 3").drop("_last")
+    """Every attempt of every job: looked up, completed by an event of the same record, waiting, given up."""
+    jobs = E.crm_jobs(with_redeliveries(crm_events(event_stream(spark, sf))))
+
+    def nothing(targets):
+        return targets.select("domain").limit(0)
+
+    out = run_over(lambda out, mark: run_jobs(jobs, lambda: accounts(spark, sf), nothing, out=out, checkpoint=mark), "waiting")(spark)
+    return spark.read.parquet(f"{out}/attempts").select(
+        "key", F.col("attempts").cast("long").alias("attempts"), "status", "domain",
+        F.date_format("run_after", "yyyy-MM-dd HH:mm:ss").alias("run_after"), "last_error",
+    )
 
 
-@query("stream_enrich_and_plan", f"WITH {RESOLVED_SQL} SELECT DISTINCT domain, 'would_create' AS action FROM resolved WHERE domain IS NOT NULL")
+@query("stream_enrich_and_plan", f"""WITH {TRIED_SQL}, d AS (SELECT DISTINCT domain FROM ready WHERE domain IS NOT NULL)
+SELECT domain, CASE WHEN regexp_extract(domain, '([0-9]+)', 1)::BIGINT % 2 = 0 THEN 'updated' ELSE 'created' END AS action,
+  CASE WHEN regexp_extract(domain, '([0-9]+)', 1)::BIGINT % 2 = 0 THEN 'R' || domain END AS record_id FROM d""")
 def stream_enrich_and_plan(spark, sf):
-    """Events to planned writes; every domain's homepage is the page numbered like its record."""
-    out, checkpoint = shared_dir(spark, "planned"), shared_dir(spark, "planned-checkpoint")
+    """Events to planned writes against existing records; every domain's homepage is the page numbered like its record."""
     mapping = Mapping.default()
+    pages = rendered(spark, sf).drop("domain")
+    number = F.regexp_extract("domain", "([0-9]+)", 1).cast("long")
+    n_pages = table(spark, sf, "pages").agg(F.max("page_id") + 1).first()[0]
 
     def write_plan(targets):
-        number = F.regexp_extract("domain", "([0-9]+)", 1).cast("long")
-        n_pages = rendered(spark, sf).agg(F.max("page_id")).first()[0] + 1
-        pages = targets.withColumn("page_id", number % n_pages).join(rendered(spark, sf).drop("domain"), "page_id")
-        pages = pages.drop("page_id").withColumn("error", F.lit(None).cast("string"))
-        return plan_writes(enrich_pages(pages, Profile.default()), mapping, "hubspot", None)
+        asked = targets.withColumn("page_id", number % n_pages)
+        found = asked.join(pages, "page_id").drop("page_id").withColumn("error", F.lit(None).cast("string"))
+        stored = targets.where(number % 2 == 0).select(F.concat(F.lit("R"), "domain").alias("record_id"), "domain")
+        return plan_writes(enrich_pages(found, Profile.default()), mapping, "hubspot", stored)
 
     jobs = E.crm_jobs(crm_events(event_stream(spark, sf)))
-    run_jobs(jobs, lambda: accounts(spark, sf), write_plan, out=out, checkpoint=checkpoint).awaitTermination()
-    return spark.read.parquet(f"{out}/writes").select("domain", "action")
+    out = run_over(lambda out, mark: run_jobs(jobs, lambda: accounts(spark, sf), write_plan, out=out, checkpoint=mark), "planned")(spark)
+    return spark.read.parquet(f"{out}/writes").select("domain", "action", "record_id")

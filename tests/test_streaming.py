@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from accountlake.config import Mapping, Profile
 from accountlake.plans.enrich import enrich_pages, plan_writes
 from accountlake.operators.pages import resolve_homepages
+from accountlake.operators.payload import build_payloads
 from accountlake.schemas import CRM_EVENT
 from accountlake.streaming import events as E
-from accountlake.streaming.jobs import run_jobs
-from accountlake.streaming.retry import first_attempt, ready_jobs, wait_for_website
+from accountlake.streaming.jobs import run_dedupe, run_jobs
+from accountlake.streaming.retry import first_attempt, ready_jobs
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -60,27 +61,33 @@ def stream(spark, path, df):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run(df, out, checkpoint):
-    df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
-
-
-@pytest.mark.parametrize("salts", [0, 16])
-def test_redeliveries_are_dropped_across_restarts(spark, crm, tmp_path, salts):
+def test_redeliveries_are_dropped_across_restarts(spark, crm, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     hours = 3600
     batches = [
-        [event(7), event(7, at=5), event(8, at=6)],
+        [event(7, value="late.com", at=9), event(7, value="first.com"), event(7, value="later.com", at=5), event(8, at=6)],
         [event(7, at=hours), event(9, at=2 * hours)],
         [event(8, at=70 * hours), event(10, at=400 * hours)],
-        [event(8, at=401 * hours)],
+        [event(8, value="again.com", at=401 * hours)],
         [event(11, at=500 * hours)],
     ]
     for rows in batches:
         jobs = E.crm_jobs(stream(spark, src, crm(*rows)))
-        run(E.dedupe_stream(jobs, salts=salts), out, ck)
-    keys = sorted(r.key for r in spark.read.parquet(out).collect())
+        run_dedupe(jobs, out=out, checkpoint=ck).awaitTermination()
+    got = sorted((r.key, r.domain) for r in spark.read.parquet(f"{out}/new").collect())
     # 8 comes back long after it was forgotten and is taken again
-    assert keys == ["hubspot:10", "hubspot:11", "hubspot:7", "hubspot:8", "hubspot:8", "hubspot:9"]
+    assert got == [
+        ("hubspot:10", "acme.com"), ("hubspot:11", "acme.com"), ("hubspot:7", "first.com"), ("hubspot:8", "acme.com"),
+        ("hubspot:8", "again.com"), ("hubspot:9", "acme.com"),
+    ]
+
+
+def test_the_first_of_many_deliveries_wins(spark, crm, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rows = [event(k, value=f"{at}.com", at=at) for k in range(1, 201) for at in range(20, 0, -1)]
+    run_dedupe(E.crm_jobs(stream(spark, src, crm(*rows))), out=out, checkpoint=ck).awaitTermination()
+    got = spark.read.parquet(f"{out}/new").collect()
+    assert len(got) == 200 and {r.domain for r in got} == {"1.com"}
 
 
 def test_first_delivery_wins(crm):
@@ -97,19 +104,48 @@ def test_domains_are_looked_up(spark, crm):
     assert states == {"hubspot:1": ("ready", 1), "hubspot:2": ("pending", 1), "hubspot:3": ("ready", 1)}
 
 
+def creation(i, at, obj):
+    return event(i, "company.creation", None, None, at=at, obj=obj)
+
+
 def test_three_tries_then_failed(spark, crm, tmp_path):
     """A job without a website is tried at once, 30 s and 60 s more later, then given up visibly."""
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    empty = event(1, "company.creation", None, None, obj=5)
-    for rows in ([empty], [event(2, at=40)], [event(3, at=100)], [event(4, at=200)], [event(5, at=300)]):
-        jobs = E.crm_jobs(stream(spark, src, crm(*rows))).withWatermark("ingest_ts", "0 seconds")
-        run(wait_for_website(jobs), out, ck)
-    got = sorted(((r.attempts, r.status, r.run_after, r.last_error) for r in spark.read.parquet(out).where("key = 'hubspot:1'").collect()))
+    none = spark.createDataFrame([], "record_id string, domain string")
+    for rows in ([creation(1, 0, 5)], [event(2, at=40)], [event(3, at=60)], [event(4, at=100)], [event(5, at=55 * 3600)]):
+        jobs = E.crm_jobs(stream(spark, src, crm(*rows)))
+        run_jobs(jobs, lambda: none, lambda t: t, out=out, checkpoint=ck).awaitTermination()
+    got = sorted((r.attempts, r.status, r.run_after, r.last_error) for r in spark.read.parquet(f"{out}/attempts").where("key = 'hubspot:1'").collect())
     at = lambda s: (T0 + timedelta(seconds=s)).replace(tzinfo=None)
     assert [(a, s, t) for a, s, t, _ in got] == [(1, "pending", at(30)), (2, "pending", at(90)), (3, "failed", None)]
     assert got[0][3] == "record 5 has no website yet"
 
 
+def test_attempts_that_fell_due_together(spark, crm, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    none = spark.createDataFrame([], "record_id string, domain string")
+    for rows in ([creation(1, 0, 5)], [event(2, at=1000)]):
+        run_jobs(E.crm_jobs(stream(spark, src, crm(*rows))), lambda: none, lambda t: t, out=out, checkpoint=ck).awaitTermination()
+    got = sorted((r.attempts, r.status) for r in spark.read.parquet(f"{out}/attempts").where("key = 'hubspot:1'").collect())
+    assert got == [(1, "pending"), (2, "pending"), (3, "failed")]
+
+
+def test_a_wait_ends_with_a_later_event_or_a_record(spark, crm, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    found = [[], [], [("6", "six.com")]]
+    batches = [[creation(1, 0, 5), creation(2, 0, 6)], [event(3, value="five.com", at=10, obj=5)], [event(4, at=35)]]
+    for rows, known in zip(batches, found, strict=True):
+        accounts = spark.createDataFrame(known, "record_id string, domain string")
+        run_jobs(E.crm_jobs(stream(spark, src, crm(*rows))), lambda a=accounts: a, lambda t: t, out=out, checkpoint=ck).awaitTermination()
+    got = sorted((r.key, r.attempts, r.status, r.domain) for r in spark.read.parquet(f"{out}/attempts").collect())
+    assert got == [
+        ("hubspot:1", 1, "pending", None), ("hubspot:1", 2, "ready", "five.com"), ("hubspot:2", 1, "pending", None),
+        ("hubspot:2", 2, "ready", "six.com"), ("hubspot:3", 1, "ready", "five.com"), ("hubspot:4", 1, "ready", "acme.com"),
+    ]
+    targets = sorted((r.domain, r.batch) for r in spark.read.parquet(f"{out}/writes").collect())
+    assert targets == [("acme.com", 2), ("five.com", 1), ("six.com", 2)]
+
+
 def test_ready_jobs(spark):
     rows = [(3, "pending", T0), (1, "pending", T0 + timedelta(hours=1)), (2, "done", T0), (4, "pending", T0 - timedelta(hours=1))]
     df = spark.createDataFrame(rows, "id int, status string, run_after timestamp")
@@ -118,19 +154,28 @@ def test_ready_jobs(spark):
 
 
 def test_events_to_planned_writes(spark, crm, tmp_path):
+    """New records are created; a second event about them reuses the analysis and writes nothing."""
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     rows = [("https://acme.com/", "https://acme.com/", 200, HOMEPAGE, NOW)]
     crawl = spark.createDataFrame(rows, "url string, final_url string, status_code int, html string, fetched_at timestamp")
     accounts = spark.createDataFrame([("99", "acme.com")], "record_id string, domain string")
+    stored = {"existing": None}
 
     def write_plan(domains):
-        results = enrich_pages(resolve_homepages(domains, crawl), Profile.default())
-        return plan_writes(results, Mapping.default(), "hubspot", None)
-
-    for batch in ([event(1), event(1, at=1), event(2, "company.creation", None, None, obj=99)], [event(3, "company.creation", None, None, obj=5)]):
-        jobs = E.crm_jobs(stream(spark, src, crm(*batch)))
-        run_jobs(jobs, lambda: accounts, write_plan, out=out, checkpoint=ck).awaitTermination()
-    writes = spark.read.parquet(f"{out}/writes").collect()
-    assert [(w.domain, w.action) for w in writes] == [("acme.com", "would_create")]
+        results = enrich_pages(resolve_homepages(domains, crawl), Profile.default(), analyzed_at=NOW)
+        payloads = build_payloads(results, Mapping.default(), "hubspot").where("error is null")
+        existing = stored["existing"]
+        if existing is None:
+            existing = payloads.select(F.lit("").alias("record_id"), "properties.*").limit(0)
+        plan = plan_writes(results, Mapping.default(), "hubspot", existing)
+        kept = payloads.select(F.concat(F.lit("R"), "domain").alias("record_id"), "properties.*").collect()
+        stored["next"] = spark.createDataFrame(kept, existing.schema) if kept else None
+        return plan
+
+    for batch in ([event(1), event(1, at=1), creation(2, 0, 99)], [creation(3, 2, 5), event(4, at=3)]):
+        run_jobs(E.crm_jobs(stream(spark, src, crm(*batch))), lambda: accounts, write_plan, out=out, checkpoint=ck).awaitTermination()
+        stored["existing"] = stored["next"] or stored["existing"]
+    writes = sorted((w.batch, w.domain, w.action) for w in spark.read.parquet(f"{out}/writes").collect())
+    assert writes == [(0, "acme.com", "created"), (1, "acme.com", "skipped")]
     states = {r.key: r.status for r in spark.read.parquet(f"{out}/jobs").collect()}
-    assert states == {"hubspot:1": "done", "hubspot:2": "done", "hubspot:3": "pending"}
+    assert states == {"hubspot:1": "done", "hubspot:2": "done", "hubspot:3": "pending", "hubspot:4": "done"}
