@@ -1,13 +1,14 @@
 """Toxicity scores: boosted trees over dense features of a text, calibrated to probabilities.
 
-Features are densities of a fixed lexicon, how near its words stand to a second person, capitals,
-punctuation and obfuscation. Trees and the isotonic calibration are fitted by Spark on a bounded
-sample of labelled rows; every text is scored.
+Features are densities of two lexicons, how near their words stand to a second person, capitals,
+punctuation and obfuscation. One lexicon is fixed; the other holds the words that labels single out. Lexicon,
+trees and the isotonic calibration are fitted by Spark on a bounded sample of labelled rows; every text is scored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -37,11 +38,13 @@ du dich dir dein deine deinen euch ihr
 
 NEAR = 5  # words between an insult and a second person that count as near
 FEATURES = (
-    "insults", "insults_per_100", "distinct_insults", "second_per_100", "near_share", "nearness", "capitals",
+    "learned", "learned_per_100", "distinct_learned", "insults", "insults_per_100", "distinct_insults", "second_per_100", "near_share", "nearness", "capitals",
     "capital_words", "punctuation", "exclamations", "symbols", "repeats", "obfuscated_per_100", "log_words",
 )
 SAMPLE = 20_000  # labelled rows used for fitting, at most
 THRESHOLD = 0.7
+LEXICON = 300  # learned words, at most
+LEAST_DOCS, LEAST_SHARE, LEAST_EVIDENCE = 4, 0.6, 20.0  # toxic texts with the word, their share, log-likelihood ratio
 
 _WORDS = re.compile(r"\w+")
 _TOKENS = re.compile(r"\S+")
@@ -63,59 +66,104 @@ def _uncovered(token: str) -> bool:
     return plain in INSULTS or "*" in word and _BARE.get(_VOWELS.sub("", plain)) is not None
 
 
-def features(text: str) -> list[float]:
+def features(text: str, learned: frozenset[str] = frozenset()) -> list[float]:
     """The dense features of one text, in the order of ``FEATURES``; all 0 for the empty text."""
     words = _WORDS.findall(text.lower())
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    hits = [i for i, w in enumerate(words) if w in INSULTS]
-    seconds = [i for i, w in enumerate(words) if w in SECOND] if hits else []
+    hits = [i for i, w in enumerate(words) if w in INSULTS or w in learned]
+    taught = [words[i] for i in hits if words[i] in learned]
+    plain = [words[i] for i in hits if words[i] in INSULTS]
+    seconds = [i for i, w in enumerate(words) if w in SECOND]
     per = 100.0 / n
     near, nearness = 0, 0.0
     at = 0
-    for i in hits:
+    for i in hits if seconds else ():
         while at + 1 < len(seconds) and abs(seconds[at + 1] - i) <= abs(seconds[at] - i):
             at += 1
-        if seconds:
-            d = abs(seconds[at] - i)
-            near += d <= NEAR
-            nearness = max(nearness, 1.0 / d if d else 1.0)
+        d = abs(seconds[at] - i)
+        near += d <= NEAR
+        nearness = max(nearness, 1.0 / max(d, 1))
     hidden = sum(map(_uncovered, _HIDDEN.findall(text))) if _HIDDEN.search(text) else 0
     size = len(text)
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
+    capitals = 0 if text.islower() else sum(map(str.isupper, text))
     signs = sum(map(text.count, ".,;:!?"))
     return [
-        float(len(hits) + hidden), (len(hits) + hidden) * per, float(len({words[i] for i in hits})),
-        sum(w in SECOND for w in words) * per, near / len(hits) if hits else 0.0, nearness,
+        float(len(taught)), len(taught) * per, float(len(set(taught))),
+        float(len(plain) + hidden), (len(plain) + hidden) * per, float(len(set(plain))),
+        len(seconds) * per, near / len(hits) if hits else 0.0, nearness,
         capitals / size, sum(w.isupper() and len(w) > 1 for w in text.split()) / n, signs / size, text.count("!") * per,
         sum(map(text.count, "#$%&*@^~")) / size, sum(1 for _ in _REPEAT.finditer(text)) * per, hidden * per,
         float(n.bit_length()),
     ]
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``features`` of every whole text; null and empty texts have all zeros."""
-    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float64()))])
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
-    def run(batches):
-        for batch in batches:
-            rows = [features(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, schema.field(1).type)], schema=schema)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, features array<double>")
+def _likeness_key(words: list[str]) -> int:
+    """The smallest hash of five words in a row: near copies mostly share it."""
+    runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return min(zlib.crc32(x.encode()) for x in runs)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text.alias("text"))
+def _evidence(pos, neg, all_pos, all_neg):
+    """Log-likelihood ratio of a word's counts in toxic and clean texts against one common rate."""
+    def part(x, rate):
+        return F.when(x > 0, x * F.log(x / rate)).otherwise(0.0)
+
+    total = all_pos + all_neg
+    seen = pos + neg
+    return 2 * (part(pos, seen * all_pos / total) + part(neg, seen * all_neg / total))
+
+
+def learned_words(sample: DataFrame) -> list[frozenset[str]]:
+    """Words that toxic texts have far more often than clean ones: of fold 0, of fold 1, of both.
+
+    Of near copies one text counts, else the words of a text that was copied would all stand out.
+    """
+    def run(batches):
+        for batch in batches:
+            keys, words = [], []
+            for text in batch.column(2).to_pylist():
+                found = _WORDS.findall(text.lower())
+                keys.append(_likeness_key(found) if found else 0)
+                words.append(list(set(found)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.string()))],
+                names=["fold", "label", "key", "words"])
+
+    kind = "fold int, label double, key long, words array<string>"
+    texts = saved(sample.select("fold", "label", "text").mapInArrow(run, kind), "toxic-words").dropDuplicates(["key", "label"])
+    texts = saved(texts, "toxic-texts")
+    toxic = F.col("label") == 1
+    counts = texts.select("fold", "label", F.explode("words").alias("word")).groupBy("word").agg(*[
+        F.count_if((F.col("fold") == f) & (toxic if y else ~toxic)).cast("double").alias(f"c{f}{y}") for f in (0, 1) for y in (0, 1)
+    ])
+    totals = {(r["fold"], int(r["label"])): float(r["n"]) for r in texts.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = saved(counts.where(F.col("c01") + F.col("c11") >= LEAST_DOCS), "toxic-counts")
+    out = []
+    for folds in ((0,), (1,), (0, 1)):
+        pos, neg = (sum((F.col(f"c{f}{y}") for f in folds), F.lit(0.0)) for y in (1, 0))
+        all_pos, all_neg = (sum(totals.get((f, y), 0.0) for f in folds) for y in (1, 0))
+        if not all_pos or not all_neg:
+            out.append(frozenset())
+            continue
+        strong = counts.select("word", pos.alias("pos"), neg.alias("neg")).withColumn(
+            "llr", _evidence(F.col("pos"), F.col("neg"), F.lit(all_pos), F.lit(all_neg))
+        ).where((F.col("pos") >= LEAST_DOCS) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))) & (F.col("llr") >= LEAST_EVIDENCE))
+        out.append(frozenset(r["word"] for r in strong.orderBy(F.desc("llr"), "word").limit(LEXICON).collect()))
+    return out
 
 
 class Scorer:
-    """Fitted trees and calibration; ``None`` inside where the labels had only one class."""
+    """The learned lexicon, fitted trees and calibration; no trees where the labels had only one class."""
 
-    def __init__(self, trees=None, calibration=None):
-        self.trees, self.calibration = trees, calibration
+    def __init__(self, learned: frozenset[str] = frozenset(), trees=None, calibration=None):
+        self.learned, self.trees, self.calibration = learned, trees, calibration
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``features``) and a ``score`` from 0 to 1.
@@ -123,7 +171,7 @@ class Scorer:
         Without a model the score is ``h / (h + 1)`` for ``h`` insults in 100 words.
         """
         if self.trees is None:
-            h = F.col("features")[1]
+            h = F.col("features")[FEATURES.index("insults_per_100")]
             return rows.withColumn("score", h / (h + 1.0))
         keep = rows.columns
         guess = self.trees.transform(rows.withColumn("_x", array_to_vector("features"))).withColumn(
@@ -134,34 +182,47 @@ class Scorer:
         ).drop("_p", "_score")
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 3, seed: int = 7) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 3, seed: int = 7) -> Scorer:
     """Fit on labelled rows whose ``crc32(doc_id) % 3`` is not 1.
 
-    At most about ``sample`` of them are used, chosen by a hash of their id. A quarter
-    of those is kept from the trees and fits the calibration. Null and repeated labels: a row without
-    a label is not used; a document with several labels counts once for each.
+    About ``sample`` labels are used, chosen by a hash of their id: all where there are fewer. Three
+    quarters go to the trees, in two folds; a row's learned lexicon is that of the other fold, so no row is
+    described by words its own label chose. The rest fits the calibration, with the lexicon of both folds,
+    as texts are scored. Null labels are not used; a document with several labels counts once for each.
     """
-    marks = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    train = (
-        rows.join(marks.where(fold(F.col("doc_id"), 3) != 1).withColumn("label", F.col("toxic").cast("double")), "doc_id")
-        .select("doc_id", "features", "label")
-    )
-    train = saved(train, "toxic-train")
-    total = train.count()
+    marks = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").select(
+        F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("double").alias("label"))
+    marks = marks.where(fold(F.col("_id"), 3) != 1)
+    total = marks.count()
     if total > sample:
-        train = train.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    train = train.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0).repartitionByRange(
-        4, "doc_id").sortWithinPartitions("doc_id", "label")
-    train = saved(train.withColumn("x", array_to_vector("features")).select("x", "label", "held"), "toxic-sample")
-    classes = {(r["held"], r["label"]) for r in train.select("held", "label").distinct().collect()}
+        marks = marks.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    part = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(8)).cast("int")
+    marks = marks.withColumn("fold", F.when(part < 3, 0).when(part < 6, 1).otherwise(2))
+    # The sample of labels is bounded, so it is sent to the texts; no text but the sample's is kept.
+    texts = _texts(docs)
+    train = saved(texts.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).drop("_id"), "toxic-train")
+    learned = learned_words(train.where("fold < 2"))
+
+    def run(batches):
+        for batch in batches:
+            folds, labels_, rows = (batch.column(i).to_pylist() for i in range(3))
+            # Fold 0 is described by the words of fold 1, fold 1 by those of fold 0, the rest by those of both.
+            marked = [features(x, learned[(1, 0, 2)[f]]) for f, x in zip(folds, rows, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f == 2 for f in folds], pa.bool_()), pa.array(labels_, pa.float64()), pa.array(marked, pa.list_(pa.float64()))],
+                names=["held", "label", "features"])
+
+    rows = train.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "label").select("fold", "label", "text")
+    rows = saved(rows.mapInArrow(run, "held boolean, label double, features array<double>"), "toxic-sample")
+    rows = rows.select(array_to_vector("features").alias("x"), "label", "held")
+    classes = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
     if len(classes) < 4:
         return Scorer()
-    model = GBTClassifier(
-        featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, subsamplingRate=1.0
-    ).fit(train.where("not held"))
-    held = model.transform(train.where("held")).select(vector_to_array("probability")[1].alias("_p"), "label")
+    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(
+        rows.where("not held"))
+    held = model.transform(rows.where("held")).select(vector_to_array("probability")[1].alias("_p"), "label")
     calibration = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_score").fit(held)
-    return Scorer(model.setFeaturesCol("_x").setPredictionCol("_class"), calibration)
+    return Scorer(learned[2], model.setFeaturesCol("_x").setPredictionCol("_class"), calibration)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -170,8 +231,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     One row per row of ``docs``; null and empty texts are scored as texts without words; a null id is
     never labelled and counts as the empty text for ``held_out``.
     """
-    rows = saved(with_features(docs), "toxic-features")
-    scored = fit(rows, labels).score(rows)
+    scorer = fit(docs, labels)
+    learned = scorer.learned
+
+    def run(batches):
+        for batch in batches:
+            marks = [features(x, learned) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(marks, pa.list_(pa.float64()))], names=["doc_id", "features"])
+
+    scored = scorer.score(_texts(docs).mapInArrow(run, "doc_id long, features array<double>"))
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
@@ -181,21 +250,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that score below the threshold.
 
-    Scores are a function of the features, so a row is scored where it stands: no join back.
+    Scores are a function of the text, so a row is scored where it stands: no join back.
     """
-    rows = saved(with_features(docs), "toxic-features")
-    scorer = fit(rows, labels)
-    columns = docs.columns
-    whole = packed(docs, "doc_id", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kinds = whole.schema
-    target = f"features array<double>, row {kinds['row'].dataType.simpleString()}"
+    scorer = fit(docs, labels)
+    learned = scorer.learned
+    whole = packed(docs, "doc_id", "text").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "row")
+    target = f"features array<double>, row {whole.schema['row'].dataType.simpleString()}"
 
     def run(batches):
         for batch in batches:
-            marks = [features(x) for x in batch.column("text").to_pylist()]
+            marks = [features(x, learned) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(marks, pa.list_(pa.float64())), batch.column("row")], names=["features", "row"]
-            )
+                [pa.array(marks, pa.list_(pa.float64())), batch.column(1)], names=["features", "row"])
 
-    scored = scorer.score(whole.select("text", "row").mapInArrow(run, target))
-    return unpacked(scored.where(F.col("score") < threshold), columns)
+    scored = scorer.score(whole.mapInArrow(run, target))
+    return unpacked(scored.where(F.col("score") < threshold), docs.columns)

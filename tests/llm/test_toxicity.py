@@ -40,6 +40,30 @@ def test_labels_of_held_out_rows_are_not_used(spark, docs, words):
     assert a == b
 
 
+def test_words_are_learned_from_labels(spark, docs, words):
+    """Toxic texts that only invented words give away; near copies of one text teach nothing."""
+    rnd = random.Random(2)
+    rows, marks = [], []
+    copied = words(60)
+    for i in range(600):
+        text = words(60)
+        if i % 5 == 0:
+            for _ in range(3):
+                text.insert(rnd.randrange(60), rnd.choice(["zorgel", "Quampf", "vilst"]))
+        elif i % 5 == 1 and i % 2:
+            text = [*copied, f"x{i}"]
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(i % 5 == 0 or text[:60] == copied)))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    learned = tx.learned_words(spark.createDataFrame(
+        [(i % 2, float(m), t) for (i, m), (_, t) in zip(marks, rows, strict=True)], "fold int, label double, text string"))
+    assert all({"zorgel", "quampf", "vilst"} == x for x in learned)
+    got = {r.doc_id: r for r in tx.toxicity(docs(rows), labels).collect()}
+    held = [i for i in got if got[i].held_out and i % 5 == 0]
+    assert sum(got[i].predicted for i in held) >= 0.95 * len(held)
+    assert not any(got[i].predicted for i in got if i % 5 > 1)
+
+
 def test_features():
     named = dict(zip(tx.FEATURES, tx.features("You IDIOT, you are a m0ron!! Go"), strict=True))
     assert named["insults"] == 2 and named["distinct_insults"] == 1 and named["nearness"] == 1.0
