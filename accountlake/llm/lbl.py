@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +140,7 @@ def vocabulary(counts: DataFrame, words: int = WORDS, classes: int = CLASSES, ta
 
 def _units(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Units of the words and the end, places in the table (-1: not in it), positions of those not in it."""
-    at = np.fromiter((v.table.get(w, -1) for w in words), np.int32, len(words))
+    at = np.fromiter(map(v.table.get, words, repeat(-1)), np.int32, len(words))
     rare = np.flatnonzero(at < 0).tolist()
     units = np.empty(len(words) + 1, np.int32)
     units[:-1] = v.units[at] if len(v.units) else v.other
