@@ -11,7 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from accountlake import vocab
-from accountlake.config import DAYS, NO_VALUE, Condition, FilterError, FilterSpec
+from accountlake.config import DAYS, NO_VALUE, OPERATORS, Condition, FilterError, FilterSpec
+from accountlake.functions.text import col
 
 TABLE = "table"
 
@@ -60,6 +61,25 @@ def condition(
     return clause | c.isNull() if cond.or_unknown else clause
 
 
+def condition_problem(op: Column | str, value: Column | str) -> Column:
+    """Why a condition would be refused, by its operator and its value as JSON text; null for a good one.
+
+    The messages are those of ``Condition``, for tables of conditions that are checked before a run.
+    """
+    op, value = col(op), col(value)
+    parsed = F.try_parse_json(value)
+    none = value.isNull() | parsed.isNull() | F.is_variant_null(parsed)
+    name = F.concat(F.lit("operator '"), op, F.lit("' "))
+    number = F.schema_of_variant(parsed).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return (
+        F.when(op.isNull() | ~op.isin(*OPERATORS), F.concat(
+            F.lit("unknown operator '"), F.coalesce(op, F.lit("None")), F.lit(f"'; use one of {', '.join(OPERATORS)}")))
+        .when(op.isin(*NO_VALUE) & ~none, F.concat(name, F.lit("takes no value")))
+        .when(~op.isin(*NO_VALUE) & none, F.concat(name, F.lit("needs a value")))
+        .when(op.isin(*DAYS) & ~number, F.concat(name, F.lit("needs a number of days")))
+    )
+
+
 def _all(clauses: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, clauses) if clauses else F.lit(True)
 

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from accountlake.config import Condition, FilterSpec
-from accountlake.operators.predicates import apply_filter, dnf_filter, modified_since, preflight, preview
+from accountlake.operators.predicates import apply_filter, condition_problem, dnf_filter, modified_since, preflight, preview
 from accountlake.sources.accounts import first_targets, read_accounts
 from suite.registry import query, table
 
@@ -165,3 +165,29 @@ def filter_preflight(spark, sf):
 def filter_preview(spark, sf):
     missing, rows = preview(accounts(spark, sf), PROSPECTS, 20, now=NOW)
     return rows.agg(F.count("*").alias("shown")).withColumn("ready", F.lit(not missing))
+
+
+OPS = (
+    "equals", "not_equals", "is_known", "is_unknown", "in", "not_in", "greater_than", "less_than", "contains", "older_than_days",
+    "newer_than_days", "like", "between",
+)
+VALUES = ("null", "5", '"5"', "[1,2]", "true", "2.5")
+_OP = "CASE event_id % 13 " + " ".join(f"WHEN {i} THEN '{op}'" for i, op in enumerate(OPS)) + " END"
+_VALUE = "CASE event_id // 13 % 6 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(VALUES)) + " END"
+
+
+@query("condition_problems", f"""WITH c AS (SELECT event_type, {_OP} AS op, {_VALUE} AS value FROM events),
+j AS (SELECT *, CASE WHEN op IN ('like', 'between') THEN 'unknown operator ''' || op || '''; use one of {', '.join(OPS[:11])}'
+  WHEN op IN ('is_known', 'is_unknown') THEN CASE WHEN value <> 'null' THEN 'operator ''' || op || ''' takes no value' END
+  WHEN value = 'null' THEN 'operator ''' || op || ''' needs a value'
+  WHEN ends_with(op, '_days') AND value NOT IN ('5', '2.5') THEN 'operator ''' || op || ''' needs a number of days' END AS problem FROM c)
+SELECT event_type, op, problem, count(*) AS n FROM j GROUP BY ALL""")
+def condition_problems(spark, sf):
+    """Every event as a condition of some operator and value, with what is wrong with it."""
+    def choose(values, number):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+    conditions = table(spark, sf, "events").select(
+        "event_type", choose(OPS, F.col("event_id")).alias("op"), choose(VALUES, F.floor(F.col("event_id") / len(OPS))).alias("value"))
+    judged = conditions.withColumn("problem", condition_problem("op", "value"))
+    return judged.groupBy("event_type", "op", "problem").agg(F.count("*").alias("n"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from accountlake.config import Condition, ConfigError, FilterError, FilterSpec, Mapping, Profile
-from accountlake.operators.predicates import apply_filter, dnf_filter, modified_since, predicate, preflight, preview, to_dnf
+from accountlake.operators.predicates import apply_filter, condition_problem, dnf_filter, modified_since, predicate, preflight, preview, to_dnf
 from accountlake.sources.accounts import read_accounts
 
 NOW = datetime(2026, 9, 10, 12, tzinfo=timezone.utc)
@@ -196,3 +197,14 @@ def test_problems_of_a_section_are_told_at_once():
         Profile.from_dict({"good_fit": ["a"]})
     with pytest.raises(ConfigError, match="a list is needed"):
         Mapping.from_dict({"objects": {}, "match_keys": {}, "fields": "x"})
+
+
+@pytest.mark.parametrize("value", [None, 5, 2.5, "5", True, [1, 2], [], ""])
+@pytest.mark.parametrize("op", ["equals", "is_known", "is_unknown", "in", "older_than_days", "newer_than_days", "like"])
+def test_table_of_conditions_is_judged_like_conditions(one, op, value):
+    try:
+        Condition("a", op, value)
+        want = None
+    except FilterError as exc:
+        want = str(exc)
+    assert one(condition_problem("op", "value"), op=op, value=json.dumps(value)) == want
