@@ -272,6 +272,22 @@ def _mark_links(fragment: Column) -> Column:
     )
 
 
+_NESTED_MARKS = {"**": "b|strong", "*": "i|em", "~~": "del|s"}
+_ENDS_INLINE = "|".join((*_BLOCK_TAGS, "h[1-6]", "li", "tr", "td", "th", "br", "blockquote"))
+
+
+def _mark_nested(fragment: Column) -> Column:
+    """Emphasis that holds other tags: ``<b>a <i>b</i></b>`` becomes ``<**>a <i>b</i><**>``, inside one block."""
+    def inner(names: str) -> str:
+        stop = rf"(?!</?(?:{names})\b|</?(?:{_ENDS_INLINE})\b)."
+        return rf"(?is)<({names})(?:\s[^>]*)?>(\s*)((?:{stop})*?<(?:{stop})*?)(\s*)</\1\s*>"
+
+    marked = fragment
+    for mark, names in _NESTED_MARKS.items():
+        marked = F.regexp_replace(marked, inner(names), f"$2<{mark}>$3<{mark}>$4")
+    return F.when(fragment.rlike(r"(?i)<(?:b|strong|i|em|del|s)(?:\s[^>]*)?>[^<]*<[^/]"), marked).otherwise(fragment)
+
+
 def _number_lists(fragment: Column) -> Column:
     """Items of ordered lists get their number."""
     def numbered(items: Column) -> Column:
@@ -331,6 +347,7 @@ def _render_tags(fragment: Column) -> Column:
                 .when(mark.isNotNull() & emphasised(this, after), opened)
                 .when(name.startswith("/") & closing.isNotNull() & emphasised(before, this), closed)
                 .when((name != "") | piece.rlike("^[/!?]"), plain)
+                .when(piece.rlike(r"^(?:\*{1,2}|~~)>"), F.concat(F.substring_index(piece, ">", 1), escape(text)))
                 .when(piece.startswith("[>"), F.concat(F.lit("["), escape(text)))
                 .when(piece.startswith("]("), F.concat(F.substring_index(piece, ">", 1), escape(text)))
                 .when(
@@ -369,13 +386,13 @@ def _tidy_lines(text: Column) -> Column:
 def render(fragment: Column | str) -> Column:
     """Markdown of an HTML fragment: headings, links, lists, emphasis, blank-line blocks.
 
-    Inline elements that are never closed, or that hold other tags, come out as plain text.
+    Inline elements that are never closed, or that hold blocks, come out as plain text.
     """
     tidy = let(col(fragment), _collapse_spaces)
     no_images = let(
         tidy, lambda x: F.when(x.rlike(r"(?i)<img\b"), F.regexp_replace(x, r"(?i)<img\b[^>]*>", "")).otherwise(x)
     )
-    return _tidy_lines(decode_entities(_render_tags(let(_mark_links(no_images), _number_lists))))
+    return _tidy_lines(decode_entities(_render_tags(let(let(_mark_links(no_images), _mark_nested), _number_lists))))
 
 
 def html_to_text(html: Column | str) -> Column:

@@ -272,3 +272,15 @@ def test_text_never_keeps_tags(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in pages.select(H.html_to_text("html").alias("t")).collect():
         assert not re.search(r"</?(p|div|li|ul|nav|article|script|h1)\b", r.t)
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<p>x <b>a <i>b</i> c</b> y</p>", "x **a *b* c** y"),
+    ("<p><i><b>x</b></i></p>", "***x***"),
+    ("<p><strong>see <a href='/u'>here</a> now</strong></p>", "**see [here](/u) now**"),
+    ("<p><a href='/u'>a <b>b</b></a></p>", "[a **b**](/u)"),
+    ("<p><b>open <i>it</i><p>next</p>", "open *it*\n\nnext"),
+    ("<p>1 * 2 <em>x <code>y</code></em></p>", "1 \\* 2 *x `y`*"),
+])
+def test_emphasis_with_tags_inside(one, html, text):
+    assert one(H.render("h"), h=html) == text
