@@ -329,8 +329,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "grp", F.greatest(F.ceil(F.col("g") / EXACT_BLOCK), F.ceil(F.col("bytes") / EXACT_BYTES)).cast("long").alias("b")
     ), "grp")
     kin = saved(kin.drop("n"), "kin")
+    # Both sides grow with the corpus, so the join is a merge at every size.
     of_text = texts.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key").join(
-        kin, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))
+        kin.hint("merge"), (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))
     ).select("text", "rep", "grp", "copies", "b")
     found = of_text.mapInArrow(_found, "found binary, rep long, grp long, copies long, b long")
     dealt = _blocks(found, F.col("b"), "grp").drop("b")
@@ -368,6 +369,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("k3"), "row")
     # Rows equal in id and text: one of them.
     keys = ["k1", "k2", "k3"]
-    kept = whole.join(stays, keys, "left_semi").withColumn(
+    kept = whole.join(stays.hint("merge"), keys, "left_semi").withColumn(
         "_i", F.row_number().over(Window.partitionBy(*keys).orderBy("k3")))
     return unpacked(kept.where("_i = 1"), docs.columns)
