@@ -212,8 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 2
                 [pa.array([f == 2 for f in folds], pa.bool_()), pa.array(labels_, pa.float64()), pa.array(marked, pa.list_(pa.float64()))],
                 names=["held", "label", "features"])
 
-    rows = train.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "label").select("fold", "label", "text")
-    rows = saved(rows.mapInArrow(run, "held boolean, label double, features array<double>"), "toxic-sample")
+    described = train.select("fold", "label", "text").mapInArrow(run, "held boolean, label double, features array<double>")
+    # A bounded table of a few megabytes, which the trees read again and again: few tasks, in a fixed order.
+    rows = saved(described, "toxic-sample").coalesce(4).sortWithinPartitions("label", "features")
     rows = rows.select(array_to_vector("features").alias("x"), "label", "held")
     classes = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
     if len(classes) < 4:
