@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from accountlake.llm.common import pick, shipped
 
 SPACE = "▁"
-INDEX_BYTES = 1 << 20  # words indexed together
-KNOWN_BYTES = 1 << 25  # words a task remembers before it starts anew
+INDEX_BYTES = 1 << 19  # words indexed together
+KNOWN_BYTES = 1 << 27  # memory of words a task remembers before it starts anew, by estimate
+ENTRY_BYTES = 250  # of that for each word beside its characters
 _END = 0xFF  # between words of the index; no UTF-8 text holds it
 _FREE, _START = -1, -2
 
@@ -327,7 +328,7 @@ class Encoder:
                         ids = self._run(spaces - (not alone)) + (ids[4:] if alone else ids)
                     out.append(ids)
             self.known[word] = b"".join(out)
-            self.held += len(word)
+            self.held += ENTRY_BYTES + len(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each, as the library gives them."""
@@ -336,7 +337,7 @@ class Encoder:
         for text in texts:
             group.append(text)
             size += len(text)
-            if size >= 4 * self.index_bytes:
+            if size >= 8 * self.index_bytes:
                 out += self._group(group)
                 group, size = [], 0
         return out + self._group(group)
