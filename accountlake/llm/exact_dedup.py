@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from accountlake.llm.common import packed, pick, saved, unpacked
 
 CAPACITY = 32 << 20  # bytes of text in a bucket before it is split
-LOCAL_BYTES = 32 << 20  # text a task holds while it combines its own rows
+LOCAL_BYTES = 16 << 20  # text a task holds while it combines its own rows
 LOCAL_ROWS = 200_000  # rows a task holds while it combines
 
 ENTRY = "kind int, entry long, key long, doc_id long, first boolean, bytes long, copies long, text_sha256 string"
