@@ -4,7 +4,7 @@ Tokens are lower-cased (A-Z) words, then one end per text. The model's units are
 words, the end, and classes of all other words by their last three bytes; a word of a class has
 probability (count + 1) / (words of the class + distinct ones + 1) inside it, unseen words together
 being one. Two context words give a vector by two matrices, and units are scored by its product with
-theirs. Tasks train on sampled positions of all training texts with shared noise words; their
+theirs. Tasks train on all positions of all training texts, in every round, with shared noise words; their
 parameters are averaged between rounds. Normalisers of all pairs of context units are batched
 matrix products, done once, so the log-probability of a token is three table look-ups.
 
@@ -15,6 +15,7 @@ looked up by a join; everything that is held or sent whole is bounded by a param
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -32,9 +33,10 @@ TABLE = 60_000  # words whose counts every task holds
 SIZE = 24  # length of the vectors
 NOISE = 64  # noise words, shared by a batch
 BATCH = 128
-EVERY = 16  # one position in so many is trained on, in every text
+EVERY = 1  # one position in so many is trained on: all
 ROUNDS = 2
 SHARD = 500_000  # positions a task trains on
+PIECE = 20_000  # positions a row holds
 FLUSH = 300_000  # distinct words a task counts before it sends them on
 ENDING = 3
 
@@ -195,18 +197,17 @@ def train(model: Model, positions: np.ndarray, noise: np.ndarray, rate: float =
     order = rng.permutation(len(positions))
     log_noise = np.log(noise).astype(np.float32) + np.float32(math.log(NOISE))
     edges = np.cumsum(noise)
+    columns = np.arange(SIZE)
 
-    def step(i, grad, rows=None):
+    def step(i, grad):
         x, g2 = m.arrays()[i], past[i]
-        if rows is None:
-            g2 += grad * grad
-            x -= rate * grad / np.sqrt(g2)
-            return
-        at, back = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(at), *grad.shape[1:]), np.float32)
-        np.add.at(total, back, grad)
-        g2[at] += total * total
-        x[at] -= rate * total / np.sqrt(g2[at])
+        g2 += grad * grad
+        x -= rate * grad / np.sqrt(g2)
+
+    def summed(rows, grad, n):
+        """Rows of ``grad`` added up by ``rows``, as one array of ``n`` rows."""
+        at = (rows[:, None] * SIZE + columns).ravel()
+        return np.bincount(at, grad.ravel(), n * SIZE).reshape(n, SIZE).astype(np.float32)
 
     for s in range(0, len(order), BATCH):
         far, near, word = positions[order[s : s + BATCH]].T.astype(np.int64)
@@ -214,46 +215,57 @@ def train(model: Model, positions: np.ndarray, noise: np.ndarray, rate: float =
         r_near, r_far = m.context[near], m.context[far]
         made = r_near @ m.near + r_far @ m.far
         real = (made * m.unit[word]).sum(1) + m.bias[word] - log_noise[word]
-        fake = made @ m.unit[drawn].T + m.bias[drawn] - log_noise[drawn]
+        fake = made @ m.unit[drawn].T + (m.bias[drawn] - log_noise[drawn])
         g_real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1).astype(np.float32)
         g_fake = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))).astype(np.float32)
         g_made = g_real[:, None] * m.unit[word] + g_fake @ m.unit[drawn]
         g_unit = np.concatenate([g_real[:, None] * made, g_fake.T @ made])
-        g_bias = np.concatenate([g_real, g_fake.sum(0)])
         rows = np.concatenate([word, drawn])
+        g_bias = np.bincount(rows, np.concatenate([g_real, g_fake.sum(0)]), len(m.bias)).astype(np.float32)
         g_context = np.concatenate([g_made @ m.near.T, g_made @ m.far.T])
         step(1, r_near.T @ g_made)
         step(2, r_far.T @ g_made)
-        step(0, g_context, np.concatenate([near, far]))
-        step(3, g_unit, rows)
-        step(4, g_bias, rows)
+        step(0, summed(np.concatenate([near, far]), g_context, len(m.context)))
+        step(3, summed(rows, g_unit, len(m.unit)))
+        step(4, g_bias)
     return m
 
 
 def sampled_positions(texts: DataFrame, vocab, every: int = EVERY) -> DataFrame:
-    """Of every text the positions ``offset, offset + every, ...``, the offset a hash of the text's batch place."""
+    """Units of all texts, up to ``PIECE`` a row behind the two before them; ``n`` of them are trained on.
+
+    Units that only serve as context, the two starts of every text among them, are written as their complement.
+    Of a text, position ``i`` is trained on if ``(i + crc32(text)) % every`` is 0.
+    """
     def run(batches):
-        v, serial = vocab(), 0
+        v = vocab()
+        starts = np.full(2, ~(v.end + 1), np.int16)
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                units, _, _ = _units(tokens(text), v)
-                start = v.end + 1
-                full = np.concatenate(([start, start], units))
-                at = np.arange((serial * 5) % every, len(units), every)
-                serial += 1
-                if len(at):
-                    out.append(np.stack([full[at], full[at + 1], full[at + 2]], axis=1).astype(np.int16))
+                units = _units(tokens(text), v)[0].astype(np.int16)
+                if every > 1:
+                    places = np.arange(len(units)) + zlib.crc32(text.encode("utf-8", "surrogatepass")) % every
+                    units = np.where(places % every == 0, units, ~units)
+                out += [starts, units]
             if out:
-                rows = np.concatenate(out)
-                pieces = [rows[s : s + 20_000] for s in range(0, len(rows), 20_000)]
+                full = np.concatenate(out)
+                pieces = [full[s - 2 : s + PIECE] for s in range(2, len(full), PIECE)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes() for x in pieces], pa.binary()), pa.array([len(x) for x in pieces], pa.int64())],
+                    [pa.array([x.tobytes() for x in pieces], pa.binary()),
+                     pa.array([int((x[2:] >= 0).sum()) for x in pieces], pa.int64())],
                     names=["rows", "n"])
 
     return texts.select("text").mapInArrow(run, "rows binary, n long")
 
 
+def _positions(piece: np.ndarray) -> np.ndarray:
+    """Far, near and target unit of every position of a piece that is trained on."""
+    units = np.where(piece < 0, ~piece, piece)
+    at = np.flatnonzero(piece[2:] >= 0)
+    return np.stack([units[at], units[at + 1], units[at + 2]], axis=1)
+
+
 def _mean(parts: DataFrame) -> tuple[np.ndarray, float] | None:
     """Weighted mean of parameter rows (``flat, n``), by a tree of at most 32 rows a task."""
     schema = pa.schema([("flat", pa.binary()), ("n", pa.float64())])
@@ -295,9 +307,9 @@ def fitted(texts: DataFrame, vocab, every: int = EVERY, rounds: int = ROUNDS) ->
         sent = shipped(texts.sparkSession, model)
 
         def run(batches, sent=sent, turn=turn):
-            rows = [np.frombuffer(x, np.int16).reshape(-1, 3) for b in batches for x in b.column(0).to_pylist()]
-            if rows:
-                here = np.concatenate(rows)
+            rows = [_positions(np.frombuffer(x, np.int16)) for b in batches for x in b.column(0).to_pylist()]
+            here = np.concatenate(rows) if rows else []
+            if len(here):
                 got = train(sent(), here, noise, rate=0.1 / (1 + turn), seed=turn)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([got.flat().tobytes()], pa.binary()), pa.array([float(len(here))], pa.float64())],

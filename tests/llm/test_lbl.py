@@ -69,6 +69,37 @@ def test_the_model_learns_context(docs):
     assert sum(r.score for r in out) > 0.97 * sum(r.base_score for r in out)
 
 
+def test_every_position_is_trained_on(docs):
+    """By default all of them, however texts are dealt out; with a share, short texts give their part."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices("abcdefg", k=rnd.choice([0, 1, 3, 7, 15, 40]))) + f" {i}" for i in range(800)] + ["a b c " * 9_000]
+    counts = lbl.saved(lbl.word_counts(lbl._texts(docs(texts))), "counts")
+    vocab, _ = lbl.vocabulary(counts)
+
+    def made(every, parts):
+        df = lbl.sampled_positions(lbl._texts(docs(texts)).repartition(parts), lambda: vocab, *every)
+        pieces = [lbl._positions(np.frombuffer(r["rows"], np.int16)) for r in df.collect()]
+        assert [len(p) for p in pieces] == [r["n"] for r in df.collect()]
+        return Counter(tuple(p) for p in np.concatenate(pieces).tolist())
+
+    want = Counter()
+    for text in texts:
+        units = lbl._units(lbl.tokens(text), vocab)[0].tolist()
+        full = [vocab.end + 1] * 2 + units
+        want.update(zip(full, full[1:], full[2:]))
+    assert made([], 3) == made([], 1) == want
+    some = made([16], 3)
+    assert some == made([16], 1) and some <= want
+    first = sum(n for (far, _, _), n in some.items() if far == vocab.end + 1)  # the first two of a text
+    assert 0.6 < first / (2 * len(texts) / 16) < 1.5
+
+
+def test_the_model_learns_context_by_default(docs):
+    got = columns(lbl.scores(docs(corpus(600))))
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > 0.8 * sum(r.base_score for r in out)
+
+
 def test_probabilities_sum_to_one(spark):
     rng = np.random.default_rng(2)
     model = lbl.Model.start(rng.integers(1, 100, 30).astype(float))
