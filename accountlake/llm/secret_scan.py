@@ -2,7 +2,7 @@
 
 Candidates are maximal runs of a character class. A window slides over each; its Shannon entropy
 follows from counts that change by one character in and one out. Windows at or above the class's
-threshold are merged into spans, unless an allow-list pattern covers the candidate or a pattern
+threshold are merged into spans, unless allow-list patterns cover the span or a pattern
 already reported the place.
 """
 
@@ -60,14 +60,30 @@ CLASSES = (
     CharClass("entropy_base32", _UPPER + b"234567", 24, 3.7, ("[2-7]", "[A-Z]")),
 )
 
-# Candidates that look random but are not secret. Matched against the candidate with its neighbourhood.
+# Strings that look random but are not secret. They end at quotes, commas, brackets, ``&`` and ``=``.
 ALLOWED = (
-    r"https?://\S+",  # addresses
+    r"""https?://[^\s"'`<>,()\[\]{}&=]+""",  # addresses
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",  # UUIDs
     r"[\w.+-]+@[\w-]+\.[\w.]+",  # mail addresses
-    r"\S*(?:EXAMPLE|[Ee]xample)\S*",  # samples from manuals
-    r"(?:sha(?:1|256|384|512)|md5)[-:=]\S+",  # checksums of public files
+    r"(?:sha(?:1|256|384|512)|md5)[-:=][A-Za-z0-9+/_-]+",  # checksums of public files
 )
+# A candidate with such a word is a sample from a manual, unless as much as a window is left beside the word.
+SAMPLE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]*(?:EXAMPLE|[Ee]xample)[A-Za-z0-9]*")
+LEAST = 16  # characters beside allowed strings that make a span of their own
+SAMPLE_LEAST = 24
+
+
+def left_over(span: tuple[int, int], ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of a span lies outside ``ranges``, which are sorted and apart."""
+    out, at = [], span[0]
+    for s, e in ranges:
+        if s < span[1] and at < e:
+            if at < s:
+                out.append((at, s))
+            at = max(at, e)
+    if at < span[1]:
+        out.append((at, span[1]))
+    return out
 
 
 def entropy_windows(text: str, width: int, bits: float) -> list[tuple[int, int]]:
@@ -141,11 +157,22 @@ class Scanner:
                 for a, b in entropy_windows(word, c.window, c.bits):
                     span = m.start() + a, m.start() + b
                     mixed = all(p.search(word, a, b) for p in parts)
-                    if mixed and not any(s < span[1] and span[0] < e for s, e in taken + allowed):
+                    if mixed and not any(s < span[1] and span[0] < e for s, e in taken) and self.secret(text, span, allowed, parts):
                         found.append((span[0], c.name, span[1]))
                         taken.append(span)
         return found
 
+    def secret(self, text: str, span: tuple[int, int], allowed: list[tuple[int, int]], parts: list[re.Pattern]) -> bool:
+        """Whether enough of a span lies outside what is allowed."""
+        def enough(ranges, least):
+            rest = left_over(span, ranges)
+            return rest == [span] or any(b - a >= least and all(p.search(text, a, b) for p in parts) for a, b in rest)
+
+        if not self.allowed:
+            return True
+        samples = [(span[0] + m.start(), span[0] + m.end()) for m in SAMPLE.finditer(text[slice(*span)])]
+        return enough(allowed, LEAST) and enough(samples, SAMPLE_LEAST)
+
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
         data = text.encode("utf-8", "surrogatepass")
         known = self.base(text, data)

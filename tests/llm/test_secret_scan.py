@@ -64,6 +64,26 @@ def test_random_strings_are_added_and_allowed_ones_are_not(docs):
     assert rows == ["entropy_base64:4:28", "", "", "", "", "", "assign:0:33", ""]
 
 
+def added(docs, texts):
+    """Texts of the added spans."""
+    rows = ss.secret_spans(docs(texts)).orderBy("doc_id").collect()
+    return [[t[s.start : s.end] for s in r.added] for t, r in zip(texts, rows, strict=True)]
+
+
+def test_allowed_strings_hide_only_themselves(docs):
+    key, uuid = "aB3xK9pQ2vL7mZ4wT8yR1nC6dE5f", "123E4567-e89b-12D3-a456-426614174000"
+    texts = [
+        '{"endpoint":"https://api.host.com/v1","key":"%s"}' % key, f"https://api.host.com/v1?sig={key}&x=1",
+        f'<a href="https://host.org/a">{key}</a>', f"(https://host.org/a,{key})", f'{{"name":"example","k":"{key}"}}',
+        f"sha256:{'0aB' * 20},{key}", f"a@b.org,{key}", f"/example/dir/{key}",
+    ]
+    for text, got in zip(texts, added(docs, texts), strict=True):
+        assert len(got) == 1 and key in got[0], text
+    quiet = [f"https://host.org/a/{key}", f"run-{uuid}", f"x{key}@host.org", f"sha512-{key}==",
+             "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    assert added(docs, quiet) == [[]] * len(quiet)
+
+
 def test_odd_rows(odd):
     rows = ss.digests(ss.secret_spans(odd)).collect()
     assert len(rows) == 11 and {r.spans for r in rows} == {""}
