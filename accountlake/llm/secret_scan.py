@@ -58,6 +58,13 @@ CLASSES = (
     CharClass("entropy_base64", _LOWER + _UPPER + _DIGITS + b"+/_-", 24, 3.9, ("[0-9]", "[A-Z]", "[a-z]")),
     CharClass("entropy_hex", _DIGITS + b"ABCDEF", 24, 3.0, ("[0-9]", "[A-F]")),
     CharClass("entropy_base32", _UPPER + b"234567", 24, 3.7, ("[2-7]", "[A-Z]")),
+    # Keys of 16 characters on. Digits stand between letters; capitals come more often than words begin.
+    CharClass("entropy_lower", _LOWER + _DIGITS, 16, 3.25, ("[0-9][a-z]+[0-9]", "[a-z][0-9]+[a-z]")),
+    CharClass("entropy_upper", _UPPER + _DIGITS, 16, 3.25, ("[0-9][A-Z]+[0-9]", "[A-Z][0-9]+[A-Z]")),
+    CharClass("entropy_letters", _LOWER + _UPPER, 16, 3.4, ("[A-Z]{2}", "(?:[a-z]{0,3}[A-Z]){5}", "(?:[a-z]{1,3}[A-Z]{1,3}){2}")),
+    CharClass("entropy_short", _LOWER + _UPPER + _DIGITS, 16, 3.45, ("[0-9]", "[A-Z]", "[a-z]")),
+    CharClass("entropy_short", _LOWER + _UPPER + _DIGITS + b"+/_-", 16, 3.45,
+              ("[A-Za-z][0-9]+[A-Za-z]", "[A-Z]", "[a-z]", "[a-z0-9+/_-][A-Z]+[a-z0-9+/_-]+[A-Z]")),
 )
 
 # Strings that look random but are not secret. They end at quotes, commas, brackets, ``&`` and ``=``.
@@ -157,21 +164,25 @@ class Scanner:
                 for a, b in entropy_windows(word, c.window, c.bits):
                     span = m.start() + a, m.start() + b
                     mixed = all(p.search(word, a, b) for p in parts)
-                    if mixed and not any(s < span[1] and span[0] < e for s, e in taken) and self.secret(text, span, allowed, parts):
+                    if not mixed or any(s < span[1] and span[0] < e for s, e in taken):
+                        continue
+                    if self.secret(text, span, m.span(), allowed, parts):
                         found.append((span[0], c.name, span[1]))
                         taken.append(span)
         return found
 
-    def secret(self, text: str, span: tuple[int, int], allowed: list[tuple[int, int]], parts: list[re.Pattern]) -> bool:
-        """Whether enough of a span lies outside what is allowed."""
-        def enough(ranges, least):
-            rest = left_over(span, ranges)
-            return rest == [span] or any(b - a >= least and all(p.search(text, a, b) for p in parts) for a, b in rest)
+    def secret(self, text: str, span: tuple[int, int], run: tuple[int, int], allowed: list[tuple[int, int]],
+               parts: list[re.Pattern]) -> bool:
+        """Whether enough of a span lies outside what is allowed, and enough of its run beside words of samples."""
+        def enough(whole, ranges, least):
+            rest = left_over(whole, ranges)
+            return rest == [whole] or any(
+                b - a >= least and a < span[1] and span[0] < b and all(p.search(text, a, b) for p in parts) for a, b in rest)
 
         if not self.allowed:
             return True
-        samples = [(span[0] + m.start(), span[0] + m.end()) for m in SAMPLE.finditer(text[slice(*span)])]
-        return enough(allowed, LEAST) and enough(samples, SAMPLE_LEAST)
+        samples = [(run[0] + m.start(), run[0] + m.end()) for m in SAMPLE.finditer(text[slice(*run)])]
+        return enough(span, allowed, LEAST) and enough(run, samples, SAMPLE_LEAST)
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
         data = text.encode("utf-8", "surrogatepass")

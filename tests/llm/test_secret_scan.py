@@ -84,6 +84,25 @@ def test_allowed_strings_hide_only_themselves(docs):
     assert added(docs, quiet) == [[]] * len(quiet)
 
 
+def test_keys_of_every_kind_and_length(docs):
+    """Keys of one case, of letters only, and of 16 characters on; not the words and names of clean texts."""
+    rnd = random.Random(7)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [lower + digits, upper + digits, lower + upper, lower + upper + digits]
+    named = ["k3m9x7q2w8z5t1r6y4n0p3s7v2h8j5l9", "aB3xK9pQ2vL7mZ4wT8yR"]
+    assert added(docs, [f"see {k}." for k in named]) == [[k] for k in named]
+    for alphabet in kinds:
+        for width, share in ((16, 0.65), (20, 0.8), (32, 0.95)):
+            found = added(docs, ["use " + "".join(rnd.choices(alphabet, k=width)) + " here" for _ in range(100)])
+            assert sum(map(bool, found)) >= share * 100, (alphabet, width)
+    clean = [
+        "Internationalization of counterrevolutionaries, Rechtsschutzversicherungsgesellschaften, COVID-19-Pandemie",
+        "getElementsByTagNameAndClass JavaScriptModuleLoader AbstractBeanFactory INTERNATIONALIZATION UTF-8 ISO-8859-1",
+        "20261201193502 2026-12-01T19:35:02 mother-in-law/father-in-law snake_case_names_are_long 1234567890123456",
+    ]
+    assert added(docs, clean) == [[]] * len(clean)
+
+
 def test_odd_rows(odd):
     rows = ss.digests(ss.secret_spans(odd)).collect()
     assert len(rows) == 11 and {r.spans for r in rows} == {""}
