@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from accountlake.llm.common import pick, saved
 
 WINDOW = 7
-LONGEST = 128  # characters of a signature; the last one covers all that is left
+LONGEST = 128  # characters of a signature
 FEWEST = 32  # chunks a text should have at its own level
 RUN = 7  # characters two signatures must share in a row
 BLOCK = 1 << 16  # bytes hashed at a time
@@ -82,7 +82,11 @@ def _triggers(data: bytes, level: int):
 def _signature(ends: np.ndarray, sums: np.ndarray, length: int, whole: np.uint64) -> str:
     if len(ends) and ends[-1] == length:
         ends, sums = ends[:-1], sums[:-1]
-    ends, sums = ends[: LONGEST - 1], sums[: LONGEST - 1]
+    # Of too many chunks, two, four, ... neighbours give one character: a signature spans the whole text.
+    each = 1
+    while len(ends) // each >= LONGEST:
+        each *= 2
+    ends, sums = ends[each - 1 :: each], sums[each - 1 :: each]
     starts = np.concatenate(([0], ends))
     high = np.concatenate((sums, [whole]))
     low = np.concatenate((np.zeros(1, np.uint64), sums))
@@ -111,6 +115,14 @@ def fingerprint(data: bytes) -> str:
             most, least = least, max(0, least - 4)
         signs = []
         first = max(0, level - 1)
+        # Where chunks are dense, the first level at which they fit; but where hardly any are left there (one passage
+        # again and again), the level before, by groups of chunks.
+        inner = bits[ends < n]
+        while np.count_nonzero((inner & np.uint64((1 << first) - 1)) == 0) >= LONGEST:
+            after = np.count_nonzero((inner & np.uint64((1 << (first + 1)) - 1)) == 0)
+            if after + 1 < FEWEST:
+                break
+            first += 1
         for x in (first, first + 1, first + 2):
             on = (bits & np.uint64((1 << x) - 1)) == 0
             signs.append(_signature(ends[on], sums[on], n, whole))

@@ -33,6 +33,16 @@ def test_chunks_follow_the_content():
     assert fp.likeness([(same, fp.fingerprint(other.encode()))])[0] < 0.2
 
 
+def test_signatures_span_the_whole_text():
+    rnd = random.Random(5)
+    one, two = ("".join(rnd.choices("abcdefghij ", k=300)).encode() for _ in range(2))
+    for k in (200, 400, 1000):
+        whole, half, last = (fp.fingerprint(x) for x in (one * 2 * k, one * k + two * k, one * (2 * k - 1) + two))
+        assert fp.likeness([(whole, half)])[0] < 0.7
+        assert 0.9 < fp.likeness([(whole, last)])[0] < 1
+        assert all(len(x) <= fp.LONGEST for x in whole.split(":")[1:])
+
+
 def test_long_texts_are_hashed_in_blocks_alike():
     data = bytes(random.Random(3).choices(range(97, 123), k=300_000))
     ends, bits, sums, whole = fp._triggers(data, 6)
