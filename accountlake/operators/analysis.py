@@ -73,8 +73,8 @@ def analyse(
         "_sells_to": S.sells_to("_raw", m["b2b"], m["b2c"]),
         "_segment": S.segment("_raw", m["enterprise"], m["smb"]),
         "_model": S.business_model("_raw", "page_signals", m["cart"], m["services"]),
-        "_industries": S.industries("_raw", verticals),
-        "_signals": S.buying_signals("_raw", "page_signals", signal_notes),
+        "_industries": S.industries("_raw", verticals, vocab.MAX_INDUSTRIES),
+        "_signals": S.buying_signals("_raw", "page_signals", signal_notes, vocab.MAX_BUYING_SIGNALS),
     })
     good, poor, possible = S.good_and_poor("_corpus", profile)
     staged = staged.withColumns({"_good": good, "_poor": poor})
@@ -89,10 +89,10 @@ def analyse(
         "icp_fit_score": S.fit_score("_good", "_poor", possible),
         "icp_fit_rationale": S.rationale("_good", "_poor"),
         "buying_signals": F.col("_signals"),
-        "disqualifiers": S.disqualifiers("_poor", "markdown"),
+        "disqualifiers": S.disqualifiers("_poor", "markdown", vocab.MAX_DISQUALIFIERS, vocab.MAX_POOR_TERMS),
         "primary_cta": S.primary_cta("page_signals"),
         "confidence": S.confidence("markdown"),
-        "evidence": S.evidence("meta_description", "_paragraph"),
+        "evidence": S.evidence("meta_description", "_paragraph", vocab.MAX_EVIDENCE),
     }
     analysis = F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in ANALYSIS])
     return staged.select(

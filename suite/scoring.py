@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from accountlake import vocab
 from accountlake.config import Profile
 from accountlake.functions import scoring as S
 from accountlake.functions import usage
@@ -170,7 +171,7 @@ def primary_cta(spark, sf):
 
 @query("industries", f"WITH {RAW} SELECT doc_id, array_to_string({found(AREAS, 'raw')}[1:8], '; ') AS industries FROM raw")
 def industries(spark, sf):
-    return docs(spark, sf).select("doc_id", F.array_join(S.industries("raw", AREAS), "; ").alias("industries"))
+    return docs(spark, sf).select("doc_id", F.array_join(S.industries("raw", AREAS, vocab.MAX_INDUSTRIES), "; ").alias("industries"))
 
 
 NOTES = {r"(eaux|und) [a-d]": "First kind", r"the (he|in|on)": "Second kind", r"zzz+": "Never"}
@@ -181,7 +182,7 @@ NOTES = {r"(eaux|und) [a-d]": "First kind", r"the (he|in|on)": "Second kind", r"
   CASE WHEN regexp_matches(raw, '(eaux|und) [a-d]') THEN 'First kind' END,
   CASE WHEN regexp_matches(raw, 'the (he|in|on)') THEN 'Second kind' END], lambda x: x IS NOT NULL), '; ') AS signals FROM raw""")
 def buying_signals(spark, sf):
-    return signalled(spark, sf).select("doc_id", F.array_join(S.buying_signals("raw", "signals", NOTES), "; ").alias("signals"))
+    return signalled(spark, sf).select("doc_id", F.array_join(S.buying_signals("raw", "signals", NOTES, vocab.MAX_BUYING_SIGNALS), "; ").alias("signals"))
 
 
 @query("disqualifiers", f"""WITH {CORPUS} SELECT doc_id, array_to_string(list_filter([
@@ -190,7 +191,7 @@ def buying_signals(spark, sf):
 FROM (SELECT doc_id, text, {found(POOR + GOOD)} AS p FROM corpus)""")
 def disqualifiers(spark, sf):
     h = corpora(spark, sf).select("doc_id", "text", contained(F.col("corpus"), POOR + GOOD).alias("p"))
-    return h.select("doc_id", F.array_join(S.disqualifiers("p", "text"), "; ").alias("notes"))
+    return h.select("doc_id", F.array_join(S.disqualifiers("p", "text", vocab.MAX_DISQUALIFIERS, vocab.MAX_POOR_TERMS), "; ").alias("notes"))
 
 
 @query("normalise_text", f"SELECT doc_id, substr(sha256({NORM}), 1, 16) AS digest, length({NORM}) AS chars FROM documents")

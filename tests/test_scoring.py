@@ -252,3 +252,15 @@ def test_prompts(page):
     assert "ICP: B2B video platform ICP" in r.system and "Strong fit signals:\n- B2B SaaS" in r.system
     assert r.user.startswith("Analyze the homepage of acme.example.\n") and "detected_vendors: HubSpot, Segment, WordPress\n" in r.user
     assert "has_blog: false\nhas_careers_page: true\n" in r.user and "{" not in r.user.split("<homepage_markdown>")[0]
+
+
+def test_lists_are_whole_unless_a_limit_is_asked_for(spark):
+    names = [f"area{c}" for c in "abcdefghijkl"]
+    row = spark.range(1).select(F.lit(" ".join(names)).alias("raw"), F.array(*map(F.lit, names)).alias("poor"),
+                                F.struct(F.lit(False).alias("has_careers_page")).alias("signals"))
+    got = row.select(
+        S.industries("raw", names).alias("all"), S.industries("raw", names, 8).alias("some"),
+        S.buying_signals("raw", "signals", {n: f"note {n}" for n in names}).alias("notes"),
+        S.disqualifiers("poor", "raw").alias("why")).first()
+    assert got["all"] == names and got["some"] == names[:8]
+    assert len(got["notes"]) == 12 and all(n in got["why"][0] for n in names)
