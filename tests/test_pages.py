@@ -205,7 +205,7 @@ def test_homepages_fall_back_and_explain(spark, homepage, crawl):
 
 
 def test_newest_crawl_of_a_homepage_counts(spark, homepage):
-    from conftest import NOW
+    from samples import NOW
     from datetime import timedelta
 
     rows = [("https://a.example/", "https://a.example/", 500, "x", NOW), ("https://a.example/", "https://a.example/v2", 200, homepage, NOW + timedelta(days=1))]

@@ -6,7 +6,7 @@ import json
 from dataclasses import replace
 
 import pytest
-from conftest import NOW
+from samples import NOW
 from pyspark.sql import functions as F
 
 from accountlake import vocab
@@ -23,7 +23,7 @@ from accountlake.plans.probe import probe_paths
 
 @pytest.fixture(scope="module")
 def page(spark):
-    from conftest import HOMEPAGE
+    from samples import HOMEPAGE
 
     df = spark.createDataFrame(
         [("acme.example", "https://acme.example/", HOMEPAGE, 200, NOW)],

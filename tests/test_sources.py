@@ -7,7 +7,7 @@ import json
 from datetime import timedelta
 
 import pytest
-from conftest import NOW
+from samples import NOW
 
 from accountlake.operators.reuse import last_run, latest_pages, watermarks
 from accountlake.sources import sinks

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from conftest import HOMEPAGE, NOW
+from samples import HOMEPAGE, NOW
 from pyspark.sql import functions as F
 
 from accountlake.config import Mapping, Profile

@@ -7,7 +7,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import NOW
+from samples import NOW
 from pyspark.sql import functions as F, types as T
 
 from accountlake.config import ConfigError, Mapping, Profile
@@ -22,7 +22,7 @@ from accountlake.plans.enrich import analyses_to_keep, enrich, in_input_order, p
 
 @pytest.fixture(scope="module")
 def crawl_rows(spark):
-    from conftest import HOMEPAGE
+    from samples import HOMEPAGE
 
     rows = [
         ("https://acme.example/", "https://acme.example/", 200, HOMEPAGE, NOW),
