@@ -4,8 +4,9 @@ Tokens are lower-cased (A-Z) words, then one end per text. The model's units are
 words, the end, and classes of all other words by their last three bytes; a word of a class has
 probability (count + 1) / (words of the class + distinct ones + 1) inside it, unseen words together
 being one. Two context words give a vector by two matrices, and units are scored by its product with
-theirs. Tasks train on all positions of all training texts, in every round, with shared noise words; their
-parameters are averaged between rounds. Normalisers of all pairs of context units are batched
+theirs. Texts become units once, in a table. Tasks train on all positions of all training texts, in every
+round, with shared noise words: equal positions of a task count once, by weight. Parameters are averaged
+between rounds. Normalisers of all pairs of context units are batched
 matrix products, done once, so the log-probability of a token is three table look-ups.
 
 Counts cover every training token. Words too rare for the table that tasks hold are
@@ -15,7 +16,6 @@ looked up by a join; everything that is held or sent whole is bounded by a param
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -29,13 +29,13 @@ from accountlake.llm.common import fold, pick, saved, shipped
 
 WORDS = 700  # words that are units of their own
 CLASSES = 320  # classes by ending
-TABLE = 60_000  # words whose counts every task holds
+TABLE = 250_000  # words whose counts every task holds
 SIZE = 24  # length of the vectors
 NOISE = 64  # noise words, shared by a batch
-BATCH = 128
-EVERY = 1  # one position in so many is trained on: all
-ROUNDS = 2
-SHARD = 500_000  # positions a task trains on
+BATCH = 320
+HEAVY = 8  # a position that occurs more often is trained on in several steps
+RATES = (0.15, 0.05)  # of the rounds
+SHARD = 4_000_000  # positions a task trains on
 PIECE = 20_000  # positions a row holds
 FLUSH = 300_000  # distinct words a task counts before it sends them on
 ENDING = 3
@@ -96,6 +96,16 @@ class Vocabulary:
     def other(self) -> int:
         return self.end - 1
 
+    @property
+    def contexts(self) -> int:
+        """Units and the start of a text."""
+        return self.end + 2
+
+    @property
+    def dtype(self) -> type:
+        """What holds any unit: tables of units grow with them, not with the widest type."""
+        return np.uint16 if self.contexts <= 1 << 16 else np.uint32
+
 
 def vocabulary(counts: DataFrame, words: int = WORDS, classes: int = CLASSES, table: int = TABLE) -> tuple[Vocabulary, int]:
     """Units, classes and the table of frequent words; and the smallest count that table holds all words of."""
@@ -186,84 +196,124 @@ class Model:
         return Model(*out)
 
 
-def train(model: Model, positions: np.ndarray, noise: np.ndarray, rate: float = 0.1, seed: int = 0) -> Model:
-    """One pass of noise-contrastive estimation over ``positions`` (rows of far, near and target unit), by Adagrad.
+def _codes(units: np.ndarray, lengths: np.ndarray, contexts: int) -> np.ndarray:
+    """Far, near and target unit of every position as one number; each piece of ``units`` begins with its two contexts."""
+    kind = np.int32 if contexts**3 < 1 << 31 else np.int64  # up to two million units
+    u = units.astype(kind)
+    codes = (u[:-2] * kind(contexts) + u[1:-1]) * kind(contexts) + u[2:]
+    ends = np.cumsum(lengths)[:-1]
+    over = np.ones(len(codes), bool)  # positions whose contexts lie in the piece before
+    over[ends - 1] = over[ends - 2] = False
+    return codes[over]
+
+
+def weighted(codes: np.ndarray, heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct positions and how often they occur, in equal steps of at most ``heavy``."""
+    found, n = np.unique(codes, return_counts=True)
+    steps = -(-n // heavy)
+    return np.repeat(found, steps), np.repeat((n / steps).astype(np.float32), steps)
+
+
+def train(model: Model, codes: np.ndarray, weights: np.ndarray, noise: np.ndarray, rate: float = 0.1, seed: int = 0) -> Model:
+    """One pass of noise-contrastive estimation over weighted positions, by Adagrad.
 
     Gradients are sums over a batch; squares start at 1, so that first steps are small.
     """
     rng = np.random.default_rng(seed)
     m = Model(*[x.copy() for x in model.arrays()])
     past = [np.ones(x.shape, np.float32) for x in m.arrays()]
-    order = rng.permutation(len(positions))
-    log_noise = np.log(noise).astype(np.float32) + np.float32(math.log(NOISE))
+    order = rng.permutation(len(codes))
+    codes, weights = codes[order], weights[order]
+    log_noise = (np.log(noise) + math.log(NOISE)).astype(np.float32)
     edges = np.cumsum(noise)
-    columns = np.arange(SIZE)
+    contexts = len(m.context)
+    cells = np.arange(contexts * SIZE).reshape(contexts, SIZE)
 
     def step(i, grad):
         x, g2 = m.arrays()[i], past[i]
         g2 += grad * grad
-        x -= rate * grad / np.sqrt(g2)
+        grad *= rate
+        grad /= np.sqrt(g2)
+        x -= grad
 
     def summed(rows, grad, n):
         """Rows of ``grad`` added up by ``rows``, as one array of ``n`` rows."""
-        at = (rows[:, None] * SIZE + columns).ravel()
-        return np.bincount(at, grad.ravel(), n * SIZE).reshape(n, SIZE).astype(np.float32)
+        total = np.bincount(cells.take(rows, 0).ravel(), grad.ravel(), n * SIZE)
+        return total.reshape(n, SIZE).astype(np.float32)
 
-    for s in range(0, len(order), BATCH):
-        far, near, word = positions[order[s : s + BATCH]].T.astype(np.int64)
+    for s in range(0, len(codes), BATCH):
+        pair, word = np.divmod(codes[s : s + BATCH], contexts)
+        far, near = np.divmod(pair, contexts)
+        w = weights[s : s + BATCH]
         drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE) * edges[-1]), len(edges) - 1)
-        r_near, r_far = m.context[near], m.context[far]
+        r_near, r_far = m.context.take(near, 0), m.context.take(far, 0)
         made = r_near @ m.near + r_far @ m.far
-        real = (made * m.unit[word]).sum(1) + m.bias[word] - log_noise[word]
-        fake = made @ m.unit[drawn].T + (m.bias[drawn] - log_noise[drawn])
-        g_real = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1).astype(np.float32)
-        g_fake = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))).astype(np.float32)
-        g_made = g_real[:, None] * m.unit[word] + g_fake @ m.unit[drawn]
+        u_word, u_drawn = m.unit.take(word, 0), m.unit.take(drawn, 0)
+        real = np.einsum("ij,ij->i", made, u_word) + (m.bias - log_noise).take(word)
+        fake = made @ u_drawn.T + (m.bias - log_noise).take(drawn)
+        g_real = -w / (1 + np.exp(np.clip(real, -30, 30)))
+        np.clip(fake, -30, 30, out=fake)
+        np.exp(np.negative(fake, out=fake), out=fake)
+        fake += 1
+        g_fake = np.divide(w[:, None], fake, out=fake)
+        g_made = g_real[:, None] * u_word + g_fake @ u_drawn
         g_unit = np.concatenate([g_real[:, None] * made, g_fake.T @ made])
         rows = np.concatenate([word, drawn])
         g_bias = np.bincount(rows, np.concatenate([g_real, g_fake.sum(0)]), len(m.bias)).astype(np.float32)
         g_context = np.concatenate([g_made @ m.near.T, g_made @ m.far.T])
         step(1, r_near.T @ g_made)
         step(2, r_far.T @ g_made)
-        step(0, summed(np.concatenate([near, far]), g_context, len(m.context)))
+        step(0, summed(np.concatenate([near, far]), g_context, contexts))
         step(3, summed(rows, g_unit, len(m.unit)))
         step(4, g_bias)
     return m
 
 
-def sampled_positions(texts: DataFrame, vocab, every: int = EVERY) -> DataFrame:
-    """Units of all texts, up to ``PIECE`` a row behind the two before them; ``n`` of them are trained on.
+ENCODED = (
+    "row_id long, doc_id long, units binary, places long, n_tokens long, known long, logs double, inside double, word binary, n long"
+)
+
 
-    Units that only serve as context, the two starts of every text among them, are written as their complement.
-    Of a text, position ``i`` is trained on if ``(i + crc32(text)) % every`` is 0.
+def encoded(texts: DataFrame, vocab) -> DataFrame:
+    """The units of every text, up to ``PIECE`` a row behind the two before them, and its words that the table lacks.
+
+    Rows with ``units`` (little-endian, ``vocab.dtype``) hold ``places`` positions; the first one of a text also its
+    tokens, how many of them are known, the sum of their logs and of what the classes make of the model's score.
+    Rows with ``word`` count one word whose count is not in the table; what its class divides by is in ``inside``.
     """
+    names = [x.split()[0] for x in ENCODED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.binary(), pa.int64()]
+
     def run(batches):
         v = vocab()
-        starts = np.full(2, ~(v.end + 1), np.int16)
+        end_log = math.log10(v.ends + 1)
+        start = np.full(2, v.end + 1, v.dtype)
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                units = _units(tokens(text), v)[0].astype(np.int16)
-                if every > 1:
-                    places = np.arange(len(units)) + zlib.crc32(text.encode("utf-8", "surrogatepass")) % every
-                    units = np.where(places % every == 0, units, ~units)
-                out += [starts, units]
-            if out:
-                full = np.concatenate(out)
-                pieces = [full[s - 2 : s + PIECE] for s in range(2, len(full), PIECE)]
+            rows = []
+            for row_id, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = tokens(text)
+                units, at, rare = _units(words, v)
+                there = at[at >= 0]
+                # Counts of rare words come by the join; what their class divides by is known here.
+                inside = float(v.inside[there].sum()) - float(v.class_logs[units[rare]].sum())
+                full = np.concatenate([start, units.astype(v.dtype)])
+                facts = (len(units), len(there) + (v.ends > 0), float(v.logs[there].sum()) + end_log, inside)
+                for s in range(2, len(full), PIECE):
+                    piece = full[s - 2 : s + PIECE]
+                    rows.append((row_id, doc_id, piece.tobytes(), len(piece) - 2, *facts, None, None))
+                    facts = (None,) * 4
+                rows += [(row_id, None, None, None, None, None, None, None, w, n) for w, n in Counter(words[i] for i in rare).items()]
+            if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes() for x in pieces], pa.binary()),
-                     pa.array([int((x[2:] >= 0).sum()) for x in pieces], pa.int64())],
-                    names=["rows", "n"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return texts.select("text").mapInArrow(run, "rows binary, n long")
+    return texts.select("row_id", "doc_id", "text").mapInArrow(run, ENCODED)
 
 
-def _positions(piece: np.ndarray) -> np.ndarray:
-    """Far, near and target unit of every position of a piece that is trained on."""
-    units = np.where(piece < 0, ~piece, piece)
-    at = np.flatnonzero(piece[2:] >= 0)
-    return np.stack([units[at], units[at + 1], units[at + 2]], axis=1)
+def _joined(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces of a column of units as one array, and their lengths."""
+    pieces = [np.frombuffer(x, dtype) for x in column.to_pylist()]
+    return np.concatenate(pieces), np.array([len(x) for x in pieces])
 
 
 def _mean(parts: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -292,28 +342,27 @@ def _mean(parts: DataFrame) -> tuple[np.ndarray, float] | None:
     return sum(np.frombuffer(r["flat"], np.float32).astype(np.float64) * r["n"] for r in rows) / n, n
 
 
-def fitted(texts: DataFrame, vocab, every: int = EVERY, rounds: int = ROUNDS) -> Model:
-    """The model after some rounds of local training and averaging, over positions of all training texts."""
+def fitted(pieces: DataFrame, vocab, rates: tuple[float, ...] = RATES) -> Model:
+    """The model after a round of local training and averaging per rate, over all positions of ``pieces`` (units, places)."""
     v = vocab()
     model = Model.start(v.unit_counts)
     noise = (v.unit_counts + 1) ** 0.75
     noise = noise / noise.sum()
-    places = saved(sampled_positions(texts, vocab, every), "positions")
-    total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = pieces.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
     if not total:
         return model
-    dealt = places.repartition(math.ceil(total / SHARD))
-    for turn in range(rounds):
-        sent = shipped(texts.sparkSession, model)
-
-        def run(batches, sent=sent, turn=turn):
-            rows = [_positions(np.frombuffer(x, np.int16)) for b in batches for x in b.column(0).to_pylist()]
-            here = np.concatenate(rows) if rows else []
-            if len(here):
-                got = train(sent(), here, noise, rate=0.1 / (1 + turn), seed=turn)
+    dealt = pieces.select("units").repartition(math.ceil(total / SHARD))
+    for turn, rate in enumerate(rates):
+        sent = shipped(pieces.sparkSession, model)
+
+        def run(batches, sent=sent, turn=turn, rate=rate):
+            v = vocab()
+            rows = [_codes(*_joined(b.column(0), v.dtype), v.contexts) for b in batches if b.num_rows]
+            if rows:
+                n = sum(map(len, rows))
+                got = train(sent(), *weighted(np.concatenate(rows)), noise, rate=rate, seed=turn)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([got.flat().tobytes()], pa.binary()), pa.array([float(len(here))], pa.float64())],
-                    names=["flat", "n"])
+                    [pa.array([got.flat().tobytes()], pa.binary()), pa.array([float(n)], pa.float64())], names=["flat", "n"])
 
         mean = _mean(dealt.mapInArrow(run, "flat binary, n double"))
         if mean is not None:
@@ -349,74 +398,60 @@ def tables(spark, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _scored(vocab, sent):
-    schema = pa.schema([
-        ("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-        ("logs", pa.float64()), ("model", pa.float64()), ("word", pa.binary()), ("n", pa.int64()),
-    ])
-
     def run(batches):
         v = vocab()
         near, far, z = sent()
-        end_log = math.log10(v.ends + 1)
         for batch in batches:
-            rows, rare_rows, rare_words, rare_counts = [], [], [], []
-            for row_id, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = tokens(text)
-                units, at, rare = _units(words, v)
-                start = v.end + 1
-                full = np.concatenate(([start, start], units))
-                a, b = full[:-2], full[1:-1]
-                p = float((near[b, units] + far[a, units] - z[a, b]).sum(dtype=np.float64)) / math.log(10)
-                there = at[at >= 0]
-                logs = float(v.logs[there].sum()) + end_log
-                p += float(v.inside[there].sum())
-                if rare:
-                    # Counts of rare words come by the join; what their class divides by is known here.
-                    p -= float(v.class_logs[units[rare]].sum())
-                    found = Counter(words[i] for i in rare)
-                    rare_rows += [row_id] * len(found)
-                    rare_words += found.keys()
-                    rare_counts += found.values()
-                rows.append((row_id, doc_id, len(units), len(there) + (v.ends > 0), logs, p))
-            if rows:
-                n, r = len(rows), len(rare_rows)
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(list(cols[0]) + rare_rows, pa.int64()),
-                    *[pa.array(list(c) + [None] * r, f.type) for c, f in zip(cols[1:], list(schema)[1:6], strict=True)],
-                    pa.array([None] * n + rare_words, pa.binary()), pa.array([None] * n + rare_counts, pa.int64()),
-                ], schema=schema)
+            if not batch.num_rows:
+                continue
+            units, lengths = _joined(batch.column(1), v.dtype)
+            at = units.astype(np.intp)
+            a, b, u = at[:-2], at[1:-1], at[2:]
+            logs = near[b, np.minimum(u, v.end)] + far[a, np.minimum(u, v.end)] - z[a, b]
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            for s in starts[1:]:  # what lies over the seam of two pieces is of neither
+                logs[s - 2 : s] = 0
+            sums = np.add.reduceat(logs.astype(np.float64), starts) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["row_id", "score"])
 
     return run
 
 
-def scores(docs: DataFrame, every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
+def scores(
+    docs: DataFrame, rates: tuple[float, ...] = RATES, words: int = WORDS, classes: int = CLASSES, table: int = TABLE,
+) -> DataFrame:
     """One row per row of ``docs``: held out or not, tokens, known ones, ``base_score`` and the model's ``score``.
 
     Trained on rows whose ``crc32(doc_id) % 7`` is not 2; a null id counts as the empty text. A null or empty
-    text is one end. Without training rows every word falls into one class of unseen words.
+    text is one end. Without training rows every word falls into one class of unseen words. Repeated rows are scored
+    and counted each; an empty table gives no rows; other columns, also ones that differ in case only, are not read.
+    Long texts are cut into pieces of ``PIECE`` positions that know the two units before them. ``words`` and ``classes``
+    are the model's units (their square bounds the table of normalisers), ``table`` the words whose counts tasks hold.
     """
     spark = docs.sparkSession
-    texts = _texts(docs)
-    training = texts.where(fold(F.col("doc_id"), 7) != 2)
-    counts = saved(word_counts(training), "counts")
-    vocab, least = vocabulary(counts)
+    texts = _texts(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    learnt = fold(F.col("doc_id"), 7) != 2
+    counts = saved(word_counts(texts.where(learnt)), "counts")
+    vocab, least = vocabulary(counts, words, classes, table)
     sent_vocab = shipped(spark, vocab)
-    model = fitted(training, sent_vocab, every, rounds)
-    sent_tables = shipped(spark, tables(spark, model))
-    run = _scored(sent_vocab, sent_tables)
-    scored = saved(
-        texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(
-            run, "row_id long, doc_id long, n_tokens long, known long, logs double, model double, word binary, n long"),
-        "scored")
-    rare = scored.where("word is not null").select("row_id", "word", "n").join(
-        counts.where((F.col("c") < least) & (F.length("word") > 0)), "word"
-    ).groupBy("row_id").agg(F.sum("n").alias("known_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"))
-    whole = scored.where("word is null").drop("word", "n").join(rare, "row_id", "left").na.fill(0, ["known_rare", "rare_logs"])
+    rows = saved(encoded(texts, sent_vocab), "units")
+    pieces = rows.where("units is not null")
+    sent_tables = shipped(spark, tables(spark, fitted(pieces.where(learnt), sent_vocab, rates)))
+    scored = pieces.select("row_id", "units").mapInArrow(_scored(sent_vocab, sent_tables), "row_id long, score double")
+    rare = rows.where("word is not null").select("row_id", "word", "n").join(
+        counts.where((F.col("c") < least) & (F.length("word") > 0)), "word")
+    rare_logs = F.col("n") * F.log10(F.col("c") + 1.0)
+    # Everything known of a text, in parts: sums of them are combined before the one shuffle by row.
+    parts = ("n_tokens", "known", "logs", "score")
+    facts = pieces.where("n_tokens is not null").select(
+        "row_id", "doc_id", "n_tokens", "known", "logs", F.col("inside").alias("score"))
+    parted = facts.unionByName(scored, allowMissingColumns=True).unionByName(
+        rare.select("row_id", F.col("n").alias("known"), rare_logs.alias("logs"), rare_logs.alias("score")),
+        allowMissingColumns=True)
+    whole = parted.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in parts])
     each = math.log10(vocab.train_tokens + vocab.distinct + 1)
     return whole.select(
-        "doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens",
-        (F.col("known") + F.col("known_rare")).alias("n_known"), F.lit(vocab.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        (F.col("model") + F.col("rare_logs")).alias("score"),
+        "doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
+        F.lit(vocab.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score",
     )

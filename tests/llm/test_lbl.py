@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from accountlake.llm import lbl
 
@@ -57,41 +58,88 @@ def test_base_scores(docs, monkeypatch):
     rows = corpus()
     same(columns(lbl.scores(docs(rows).repartition(3))), base_scores(rows))
     # With a small table most words come by the join.
-    vocabulary = lbl.vocabulary
-    monkeypatch.setattr(lbl, "vocabulary", lambda c: vocabulary(c, words=5, classes=4, table=20))
     monkeypatch.setattr(lbl, "FLUSH", 10)
-    same(columns(lbl.scores(docs(rows).repartition(3))), base_scores(rows))
+    same(columns(lbl.scores(docs(rows).repartition(3), words=5, classes=4, table=20)), base_scores(rows))
 
 
 def test_the_model_learns_context(docs):
-    got = columns(lbl.scores(docs(corpus(600)), every=1, rounds=3))
+    got = columns(lbl.scores(docs(corpus(600)), rates=(0.15, 0.05, 0.05)))
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > 0.97 * sum(r.base_score for r in out)
 
 
-def test_every_position_is_trained_on(docs):
-    """By default all of them, however texts are dealt out; with a share, short texts give their part."""
-    rnd = random.Random(4)
-    texts = [" ".join(rnd.choices("abcdefg", k=rnd.choice([0, 1, 3, 7, 15, 40]))) + f" {i}" for i in range(800)] + ["a b c " * 9_000]
+def known_vocabulary(docs, texts, **sizes):
     counts = lbl.saved(lbl.word_counts(lbl._texts(docs(texts))), "counts")
-    vocab, _ = lbl.vocabulary(counts)
+    return lbl.vocabulary(counts, **sizes)[0]
 
-    def made(every, parts):
-        df = lbl.sampled_positions(lbl._texts(docs(texts)).repartition(parts), lambda: vocab, *every)
-        pieces = [lbl._positions(np.frombuffer(r["rows"], np.int16)) for r in df.collect()]
-        assert [len(p) for p in pieces] == [r["n"] for r in df.collect()]
-        return Counter(tuple(p) for p in np.concatenate(pieces).tolist())
 
+def test_every_position_is_trained_on(docs, monkeypatch):
+    """All positions count, however texts are dealt out and cut into pieces, also those of a text of one token."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices("abcdefg", k=rnd.choice([0, 1, 3, 7, 15, 40]))) + f" {i}" for i in range(800)] + ["a b c " * 900]
+    vocab = known_vocabulary(docs, texts)
     want = Counter()
     for text in texts:
         units = lbl._units(lbl.tokens(text), vocab)[0].tolist()
         full = [vocab.end + 1] * 2 + units
         want.update(zip(full, full[1:], full[2:]))
-    assert made([], 3) == made([], 1) == want
-    some = made([16], 3)
-    assert some == made([16], 1) and some <= want
-    first = sum(n for (far, _, _), n in some.items() if far == vocab.end + 1)  # the first two of a text
-    assert 0.6 < first / (2 * len(texts) / 16) < 1.5
+
+    def made(parts):
+        df = lbl.encoded(lbl._texts(docs(texts)).withColumn("row_id", F.lit(1)).repartition(parts), lambda: vocab)
+        rows = df.where("units is not null").collect()
+        pieces = [np.frombuffer(r["units"], vocab.dtype) for r in rows]
+        assert [len(p) - 2 for p in pieces] == [r["places"] for r in rows]
+        codes = lbl._codes(np.concatenate(pieces), np.array([len(p) for p in pieces]), vocab.contexts)
+        found, weights = lbl.weighted(codes)
+        assert weights.max() <= lbl.HEAVY
+        total = Counter()
+        for c, w in zip(found.tolist(), weights.tolist(), strict=True):
+            pair, word = divmod(c, vocab.contexts)
+            total[(*divmod(pair, vocab.contexts), word)] += w
+        return {k: round(n, 3) for k, n in total.items()}
+
+    assert made(3) == made(1) == want
+    monkeypatch.setattr(lbl, "PIECE", 7)
+    assert made(3) == want
+
+
+def test_scores_are_those_of_the_model(docs, monkeypatch):
+    """Every token's probability in plain arithmetic: its unit by all units, then its share of the class."""
+    rows = corpus(60) + [(None, "x1 x2 Rare1 rare1 neverseen"), (900, None)]
+    sizes = {"words": 8, "classes": 5, "table": 30}
+    learnt = [(i, t) for i, t in rows if not held_out("" if i is None else i)]
+    vocab = known_vocabulary(docs, learnt, **sizes)
+    rng = np.random.default_rng(9)
+    model = lbl.Model.start(vocab.unit_counts)
+    model.context[:] = rng.normal(0, 1, model.context.shape)
+    monkeypatch.setattr(lbl, "fitted", lambda *_: model)
+    monkeypatch.setattr(lbl, "PIECE", 11)
+    counts = Counter(w for _, t in learnt for w in lbl.tokens(t or ""))
+    own = [w for w, u in ((w, vocab.units[i]) for w, i in vocab.table.items()) if u < sizes["words"]]
+    unit = lambda w: vocab.units[vocab.table[w]] if w in own else vocab.endings.get(w[-3:], vocab.other)
+    held = Counter()
+    for w, n in counts.items():
+        if w not in own:
+            held[unit(w)] += n + 1
+    m = [x.astype(float) for x in model.arrays()]
+    context, near, far, out, bias = m
+
+    def text_score(text):
+        a = b = vocab.end + 1
+        total = 0.0
+        for w in [*lbl.tokens(text or ""), None]:
+            u = vocab.end if w is None else unit(w)
+            s = (context[b] @ near + context[a] @ far) @ out.T + bias
+            total += (s[u] - math.log(np.exp(s).sum())) / math.log(10)
+            if w is not None and w not in own:
+                total += math.log10((counts[w] + 1) / (held[u] + 1))
+            a, b = b, u
+        return total
+
+    got = {(r.doc_id, r.n_tokens): r.score for r in columns(lbl.scores(docs(rows).repartition(3), **sizes))}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert abs(got[i, len(lbl.tokens(t or "")) + 1] - text_score(t)) < 1e-3 * (1 + abs(text_score(t)))
 
 
 def test_the_model_learns_context_by_default(docs):
@@ -116,7 +164,8 @@ def test_training_lowers_the_loss():
     rows = np.stack([np.zeros(len(word)), word, (word + 1) % n], axis=1).astype(np.int16)
     model = lbl.Model.start(np.full(n, 1000.0))
     noise = np.full(n, 1 / n)
-    got = lbl.train(model, rows, noise)
+    codes = (np.zeros(len(word), int) * (n + 1) + word) * (n + 1) + (word + 1) % n
+    got = lbl.train(model, codes, np.ones(len(codes), np.float32), noise)
 
     def likelihood(m):
         made = m.context[rows[:500, 1]] @ m.near + m.context[rows[:500, 0]] @ m.far
