@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accountlake.llm import exact_dedup, fingerprints, jaccard_join, lbl, mixing, revisits, secret_scan, suffix_pieces, token_counts, toxicity
+from accountlake.llm import (
+    exact_dedup, fingerprints, jaccard_join, lbl, mixing, revisits, secret_scan, suffix_pieces, token_counts, toxicity, whitening,
+)
 from accountlake.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE: dict[str, str] = {
