@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from accountlake.llm import (
-    exact_dedup, fingerprints, jaccard_join, lbl, mixing, revisits, secret_scan, suffix_pieces, token_counts, toxicity, whitening,
+    exact_dedup, fingerprints, jaccard_join, lbl, mixing, revisits, secret_scan, suffix_pieces, token_counts, toxicity, turn_repair,
+    whitening,
 )
 from accountlake.llm.common import prepare
 
@@ -63,6 +64,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
+    "op12_turn_repair": op12_turn_repair,
 }
 
 ORACLE: dict[str, str] = {
