@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from accountlake.llm import (
-    exact_dedup, fingerprints, jaccard_join, lbl, mixing, revisits, secret_scan, suffix_pieces, token_counts, toxicity, turn_repair,
-    whitening,
+    exact_dedup, fingerprints, jaccard_join, lbl, license_scan, mixing, revisits, secret_scan, suffix_pieces, token_counts, toxicity,
+    turn_repair, whitening,
 )
 from accountlake.llm.common import prepare
 
@@ -68,6 +68,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(_read(spark, sf_dir, "conversations"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digests(license_scan.license_spans(_read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
     "op12_turn_repair": op12_turn_repair,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE: dict[str, str] = {
