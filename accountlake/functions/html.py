@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from accountlake import vocab
+from accountlake.functions import tree
 from accountlake.functions.text import (
-    WHITESPACE, any_contained, any_matches, blank_to_null, col, decode_entities, let, lookup, shortened, squash, strip,
+    WHITESPACE, any_contained, any_matches, blank_to_null, col, decode_entities, let, shortened, squash, strip,
 )
 from accountlake.functions.urls import absolute_url
 
@@ -23,7 +24,6 @@ _SCRIPTS = "|".join((
     r"(<script\b[^>]*>).*?(?:</script\s*>|\z)",
     r"(<style\b[^>]*>).*?(?:</style\s*>|\z)",
 ))
-_RAW_TEXT_TAGS = ("script", "style")
 
 
 def markup(html: Column | str) -> Column:
@@ -189,61 +189,30 @@ def page_signals(corpus: Column | str, patterns: dict[str, tuple[str, ...]] | No
 
 # --- readable text ---------------------------------------------------------
 
-_NOISE = "|".join(t for t in vocab.NOISE_TAGS if t not in _RAW_TEXT_TAGS)
-_NOISE_BLOCKS = (
-    rf"(?is)<(?:{_NOISE})\b[^>]*/>|<({_NOISE})\b[^>]*>.*?</\1\s*>|</?(?:script|style)\b[^>]*>"
-)
-
-
 def text_length(fragment: Column) -> Column:
     """Characters of visible text, every text piece trimmed."""
     pieces = F.transform(F.split(fragment, _TAG), lambda p: F.length(strip(decode_entities(p))))
     return F.aggregate(pieces, F.lit(0), lambda total, n: total + n)
 
 
-def _element(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)"
-
-
 def main_fragment(marked: Column | str) -> Column:
-    """Where the copy is: ``<main>``, else the longest ``<article>``, else the body."""
+    """Where the copy is: ``<main>``, else the longest ``<article>``, else the body. Noise elements are left out."""
     def choose(page: Column) -> Column:
         articles = F.transform(
-            F.regexp_extract_all(page, F.lit(_element("article")), 1),
-            lambda a, i: F.struct(text_length(a).alias("n"), (-i).alias("i"), a.alias("html")),
+            page["articles"], lambda a, i: F.struct(text_length(a).alias("n"), (-i).alias("i"), a.alias("html"))
         )
-        longest = F.array_max(articles)
-        body = F.regexp_extract(page, r"(?is)<body\b[^>]*>(.*)", 1)
-        whole = F.when(page.rlike(r"(?i)<body\b"), F.regexp_replace(body, r"(?is)</body\s*>.*$", "")).otherwise(page)
         article = let(
-            longest, lambda a: F.when(a["n"] > vocab.MIN_ARTICLE_CHARS, a["html"])
+            F.array_max(articles), lambda a: F.when(a["n"] > vocab.MIN_ARTICLE_CHARS, a["html"])
         )
-        main = let(
-            F.regexp_extract(page, _element("main"), 1),
-            lambda m: F.when(text_length(m) > vocab.MIN_MAIN_CHARS, m),
-        )
-        return F.coalesce(main, article, whole)
+        whole = page["whole"]
+        body = F.regexp_extract(whole, r"(?is)<body\b[^>]*>(.*)", 1)
+        inside = F.when(whole.rlike(r"(?i)<body\b"), F.regexp_replace(body, r"(?is)</body\s*>.*$", "")).otherwise(whole)
+        main = F.when(text_length(page["main"]) > vocab.MIN_MAIN_CHARS, page["main"])
+        return F.coalesce(main, article, inside)
 
-    return let(F.regexp_replace(col(marked), _NOISE_BLOCKS, ""), choose)
+    return let(tree.parts(col(marked)), choose)
 
 
-_BLOCK_TAGS = (
-    "p", "div", "article", "section", "ul", "ol", "dl", "dt", "dd", "table", "pre",
-    "figcaption", "hr", "body", "head", "title",
-)
-# What a start or end tag leaves behind; every other tag leaves nothing.
-_TAG_TEXT = {
-    **{t: "\n\n" for name in _BLOCK_TAGS for t in (name, f"/{name}")},
-    **{f"h{n}": "\n\n" + "#" * n + " " for n in range(1, 7)},
-    **{f"/h{n}": "\n\n" for n in range(1, 7)},
-    "blockquote": "\n\n> ", "/blockquote": "\n\n",
-    "br": "\n", "/br": "\n", "li": "\n* ", "tr": "\n| ", "/td": " | ", "/th": " | ",
-}
-_MARKS = {
-    "b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~",
-    "code": "`", "kbd": "`", "samp": "`",
-}
-_HREF = r"""(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*"""
 _LINE_BREAKS = r"\r\n\x0b\x0c\x1c-\x1e\x85  "
 
 
@@ -256,124 +225,20 @@ def _collapse_spaces(fragment: Column) -> Column:
     ).otherwise(fragment)
 
 
-def _mark_links(fragment: Column) -> Column:
-    """``<a href="u">t</a>`` becomes ``<[>t<](u)>``: pieces that split like tags."""
-    marked = F.regexp_replace(
-        fragment, rf"(?is)<a\s{_HREF}>(\s*)(.*?)(\s*)</a\s*>", "$4<[>$5<]($1$2$3)>$6"
-    )
-    return let(
-        marked,
-        lambda x: F.when(
-            x.contains("<[>"),
-            F.regexp_replace(
-                F.regexp_replace(x, r"<\[><\]\([^>]*\)>", ""), r"<\[>([^<]+)<\]\(\1\)>", "<=$1>"
-            ),
-        ).otherwise(x),
-    )
-
-
-_NESTED_MARKS = {"**": "b|strong", "*": "i|em", "~~": "del|s"}
-_ENDS_INLINE = "|".join((*_BLOCK_TAGS, "h[1-6]", "li", "tr", "td", "th", "br", "blockquote"))
-
-
-def _mark_nested(fragment: Column) -> Column:
-    """Emphasis that holds other tags: ``<b>a <i>b</i></b>`` becomes ``<**>a <i>b</i><**>``, inside one block."""
-    def inner(names: str) -> str:
-        stop = rf"(?!</?(?:{names})\b|</?(?:{_ENDS_INLINE})\b)."
-        return rf"(?is)<({names})(?:\s[^>]*)?>(\s*)((?:{stop})*?<(?:{stop})*?)(\s*)</\1\s*>"
-
-    marked = fragment
-    for mark, names in _NESTED_MARKS.items():
-        marked = F.regexp_replace(marked, inner(names), f"$2<{mark}>$3<{mark}>$4")
-    return F.when(fragment.rlike(r"(?i)<(?:b|strong|i|em|del|s)(?:\s[^>]*)?>[^<]*<[^/]"), marked).otherwise(fragment)
-
-
-def _number_lists(fragment: Column) -> Column:
-    """Items of ordered lists get their number."""
-    def numbered(items: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                F.split(items, r"(?i)<li\b[^>]*>", -1),
-                lambda li, k: F.when(k == 0, li).otherwise(F.concat(F.lit("\n"), k.cast("string"), F.lit(". "), li)),
-            ),
-            "",
-        )
-
-    def block(piece: Column, i: Column) -> Column:
-        parts = F.split(piece, r"(?i)</ol\s*>", 2)
-        return F.when(i == 0, piece).otherwise(
-            F.concat(
-                F.lit("\n\n"), numbered(parts[0]), F.lit("\n\n"),
-                F.coalesce(F.get(parts, F.lit(1)), F.lit("")),
-            )
-        )
-
-    rewritten = F.array_join(F.transform(F.split(fragment, r"(?i)<ol\b[^>]*>", -1), block), "")
-    return F.when(fragment.rlike(r"(?i)<ol\b"), rewritten).otherwise(fragment)
-
-
-def _render_tags(fragment: Column) -> Column:
-    """Every tag to what it leaves behind, text escaped; one pass over the pieces between ``<``."""
-    def escape(text: Column) -> Column:
-        return F.replace(F.replace(text, F.lit("*"), F.lit("\\*")), F.lit("_"), F.lit("\\_"))
-
-    def parse(piece: Column) -> Column:
-        tag = F.substring_index(piece, ">", 1)
-        return F.struct(
-            F.lower(F.regexp_extract(tag, "^/?[A-Za-z][A-Za-z0-9]*", 0)).alias("name"),
-            F.substring(piece, F.length(tag) + 2, F.length(piece)).alias("text"),
-        )
-
-    def render_all(pieces: Column, tags: Column) -> Column:
-        def emphasised(start: Column, end: Column) -> Column:
-            """An inline element that is closed by the very next tag and has text."""
-            return (end["name"] == F.concat(F.lit("/"), start["name"])) & (F.btrim(start["text"], F.lit(" \n")) != "")
-
-        def edge(text: Column, pattern: str) -> Column:
-            return F.regexp_extract(text, pattern, 0)
-
-        def one(piece: Column, i: Column) -> Column:
-            this, after, before = F.get(tags, i), F.get(tags, i + 1), F.get(tags, i - 1)
-            name, text = this["name"], this["text"]
-            mark, closing = lookup(_MARKS, name), lookup(_MARKS, before["name"])
-            bare = F.btrim(text, F.lit(" \n"))
-            opened = F.concat(
-                edge(text, "^[ \n]*"), mark, F.when(mark == "`", bare).otherwise(escape(bare))
-            )
-            closed = F.concat(closing, edge(before["text"], "[ \n]*$"), escape(text))
-            plain = F.concat(F.coalesce(lookup(_TAG_TEXT, name), F.lit("")), escape(text))
-            return (
-                F.when(i == 0, escape(piece))
-                .when(mark.isNotNull() & emphasised(this, after), opened)
-                .when(name.startswith("/") & closing.isNotNull() & emphasised(before, this), closed)
-                .when((name != "") | piece.rlike("^[/!?]"), plain)
-                .when(piece.rlike(r"^(?:\*{1,2}|~~)>"), F.concat(F.substring_index(piece, ">", 1), escape(text)))
-                .when(piece.startswith("[>"), F.concat(F.lit("["), escape(text)))
-                .when(piece.startswith("]("), F.concat(F.substring_index(piece, ">", 1), escape(text)))
-                .when(
-                    piece.startswith("="),
-                    F.concat(F.lit("<"), F.substring(F.substring_index(piece, ">", 1), 2, F.length(piece)), F.lit(">"), escape(text)),
-                )
-                .otherwise(F.concat(F.lit("<"), escape(piece)))
-            )
-
-        return F.array_join(F.transform(pieces, one), "")
-
-    return let(
-        F.split(fragment, "<", -1),
-        lambda pieces: let(F.transform(pieces, parse), lambda tags: render_all(pieces, tags)),
-    )
-
-
 _SEPARATORS = ("|", "•", "·", ">", "-")
 
 
 def _tidy_lines(text: Column) -> Column:
-    """Lines trimmed, none of separators only, at most one blank line in a row."""
-    lines = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(_BLANKS)))
+    """Lines trimmed, none of separators only, at most one blank line in a row; list items keep their indentation."""
+    def trimmed(line: Column) -> Column:
+        bare = F.btrim(line, F.lit(_BLANKS + tree.INDENT))
+        width = F.length(F.regexp_extract(line, f"^{tree.INDENT}+", 0))
+        return F.when(line.startswith(tree.INDENT) & (bare != ""), F.concat(F.repeat(F.lit(" "), width), bare)).otherwise(bare)
+
+    lines = F.transform(F.split(text, "\n", -1), trimmed)
     kept = F.filter(
         lines,
-        lambda line: ~(F.left(line, F.lit(1)).isin(*_SEPARATORS) & line.rlike(r"^[\p{Zs}\t|•·>-]+$")),
+        lambda line: ~(F.left(F.ltrim(line), F.lit(1)).isin(*_SEPARATORS) & line.rlike(r"^[\p{Zs}\t|•·>-]+$")),
     )
     return let(
         kept,
@@ -384,15 +249,11 @@ def _tidy_lines(text: Column) -> Column:
 
 
 def render(fragment: Column | str) -> Column:
-    """Markdown of an HTML fragment: headings, links, lists, emphasis, blank-line blocks.
+    """Markdown of an HTML fragment: headings, links, nested lists, emphasis, blank-line blocks.
 
-    Inline elements that are never closed, or that hold blocks, come out as plain text.
+    Elements that are left open end with the one around them. Images leave nothing.
     """
-    tidy = let(col(fragment), _collapse_spaces)
-    no_images = let(
-        tidy, lambda x: F.when(x.rlike(r"(?i)<img\b"), F.regexp_replace(x, r"(?i)<img\b[^>]*>", "")).otherwise(x)
-    )
-    return _tidy_lines(decode_entities(_render_tags(let(let(_mark_links(no_images), _mark_nested), _number_lists))))
+    return _tidy_lines(decode_entities(tree.markdown(let(col(fragment), _collapse_spaces))))
 
 
 def html_to_text(html: Column | str) -> Column:

@@ -71,21 +71,26 @@ def build_pages(
     for name in ("markdown", "title", "description"):
         if name not in raw_pages.columns:
             raw_pages = raw_pages.withColumn(name, F.lit(None).cast("string"))
-    marked = raw_pages.withColumn("_markup", H.markup(blank_to_null("html")))
-    from_html = F.col("_markup").isNotNull()
-    base = F.col("final_url")
-    rendered = F.coalesce(
-        blank_to_null("markdown"), truncate(H.render(H.main_fragment("_markup")), max_chars), F.lit("")
-    )
-    facts = marked.select(
+    from_html, base = F.col("_markup").isNotNull(), F.col("final_url")
+    # One step each: the analyzer goes over a projection again and again until all of it is resolved.
+    steps = {
+        "_markup": H.markup(blank_to_null("html")),
+        "_copy": H.main_fragment("_markup"),
+        "_text": H.render("_copy"),
+        "_markdown": truncate(strip(F.coalesce(blank_to_null("markdown"), truncate("_text", max_chars), F.lit(""))), max_chars),
+        "_title": F.coalesce(blank_to_null("title"), H.page_title("_markup")),
+        "_description": F.coalesce(blank_to_null("description"), H.meta_description("_markup")),
+        "_links": F.when(from_html, H.extract_links("_markup", base)).otherwise(H.extract_links_markdown("markdown", base)),
+        "_vendors": F.when(from_html, H.detect_vendors(H.asset_urls("_markup", base), signatures)).otherwise(
+            F.array().cast("array<string>")),
+    }
+    facts = raw_pages
+    for name, column in steps.items():
+        facts = facts.withColumn(name, column)
+    facts = facts.select(
         *[c for c in raw_pages.columns if c not in ("html", "markdown", "title", "description")],
-        F.coalesce(blank_to_null("title"), H.page_title("_markup")).alias("title"),
-        F.coalesce(blank_to_null("description"), H.meta_description("_markup")).alias("meta_description"),
-        truncate(strip(rendered), max_chars).alias("markdown"),
-        F.when(from_html, H.extract_links("_markup", base))
-        .otherwise(H.extract_links_markdown("markdown", base)).alias("links"),
-        F.when(from_html, H.detect_vendors(H.asset_urls("_markup", base), signatures))
-        .otherwise(F.array().cast("array<string>")).alias("tech_signals"),
+        F.col("_title").alias("title"), F.col("_description").alias("meta_description"), F.col("_markdown").alias("markdown"),
+        F.col("_links").alias("links"), F.col("_vendors").alias("tech_signals"),
     )
     return facts.withColumn("content_hash", content_hash("markdown"))
 
