@@ -12,6 +12,7 @@ from accountlake.plans.enrich import enrich_pages, plan_writes
 from accountlake.spark import shared_dir
 from accountlake.streaming import events as E
 from accountlake.streaming.jobs import run_dedupe, run_jobs
+from accountlake.streaming.metrics import observed, observed_counts
 from accountlake.streaming.retry import first_attempt, ready_jobs
 from suite.pages import rendered
 from suite.registry import query, table
@@ -20,13 +21,13 @@ SUBSCRIPTION = "CASE event_type WHEN 'signup' THEN 'company.creation' WHEN 'erro
 PROPERTY = "CASE event_type WHEN 'click' THEN 'domain' WHEN 'purchase' THEN 'website' WHEN 'view' THEN 'phone' END"
 
 
-def crm_events(raw):
+def crm_events(raw, arrival="ts"):
     """Site events as change events of company records; expensive ones carry no id of their own."""
     return raw.select(
         F.when(F.col("value") <= 30, F.col("event_id")).alias("eventId"), F.col("user_id").alias("objectId"),
         F.expr(SUBSCRIPTION).alias("subscriptionType"), F.expr(PROPERTY).alias("propertyName"),
         F.when(F.col("value") < 5, "").when(F.col("event_type").isin("click", "purchase"), F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(".example"))).alias("propertyValue"),
-        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("occurredAt"), F.col("ts").cast("timestamp").alias("ingest_ts"),
+        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("occurredAt"), F.col(arrival).cast("timestamp").alias("ingest_ts"),
         "event_id",
     )
 
@@ -167,27 +168,55 @@ def stream_jobs(spark, sf):
     return drain(E.crm_jobs(crm_events(event_stream(spark, sf))), "jobs").drop("ingest_ts")
 
 
-def run_over(start, purpose):
-    """Run a job stream over everything there is; the folder it wrote to."""
-    def run(spark):
-        out = shared_dir(spark, purpose)
-        start(out, shared_dir(spark, f"{purpose}-checkpoint")).awaitTermination()
-        return out
+PERIODS, PERIOD_DAYS = 3, 10
+FIRST_DAY = "2024-01-01"
 
-    return run
 
+def stored(df, purpose):
+    """A table that several batches read, worked out once."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-@query("stream_dedupe", f"WITH {ACCOUNT_SQL} SELECT key, any_value(system) AS system, (list(domain ORDER BY ts, domain NULLS FIRST))[1] AS domain, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS arrived FROM ajobs GROUP BY key")
+
+def delivered(raw, start, purpose):
+    """Every event twice, an hour apart, in three deliveries by arrival, each read by a run of the stream that takes what is new.
+
+    The folder the runs wrote to.
+    """
+    arrivals = with_redeliveries(raw.withColumn("arrived", F.col("ts")), "arrived")
+    spark = arrivals.sparkSession
+    source, out, mark = (shared_dir(spark, f"{purpose}-{x}") for x in ("arrivals", "out", "checkpoint"))
+    period = F.floor(F.datediff(F.to_date("arrived"), F.to_date(F.lit(FIRST_DAY))) / PERIOD_DAYS)
+    for k in range(PERIODS):
+        due = period <= 0 if k == 0 else period >= k if k == PERIODS - 1 else period == k
+        arrivals.where(due).write.mode("append").parquet(source)
+        start(spark.readStream.schema(arrivals.schema).parquet(source), out, mark).awaitTermination()
+    return out
+
+
+BATCH_SQL = f"greatest(0, least({PERIODS - 1}, date_diff('day', DATE '{FIRST_DAY}', ts::DATE) // {PERIOD_DAYS}))"
+
+
+@query("stream_dedupe", f"""WITH RECURSIVE {ACCOUNT_SQL},
+arr AS (SELECT key, system, domain, ts FROM ajobs UNION ALL SELECT key, system, domain, ts + INTERVAL 1 HOUR FROM ajobs),
+accepted AS (SELECT key, min(ts) AS ts FROM arr GROUP BY key
+  UNION ALL SELECT d.key, min(d.ts) FROM accepted a JOIN arr d ON d.key = a.key AND d.ts > a.ts + INTERVAL 72 HOUR GROUP BY d.key)
+SELECT a.key, any_value(system) AS system, (list(domain ORDER BY domain NULLS FIRST))[1] AS domain, strftime(a.ts, '%Y-%m-%d %H:%M:%S.%g') AS arrived
+FROM accepted a JOIN arr d ON d.key = a.key AND d.ts = a.ts GROUP BY a.key, a.ts""")
 def stream_dedupe(spark, sf):
-    """Redeliveries dropped: a record id counts once, as it first arrived."""
-    raw = with_redeliveries(event_stream(spark, sf), "ts")
-    jobs = E.account_jobs(raw.select(
-        F.when(F.col("event_type").isin("view", "click"), F.col("user_id").cast("string")).alias("record_id"),
-        F.when(F.col("event_type").isin("click", "signup"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example"))).alias("website"),
-        F.col("ts").cast("timestamp").alias("ingest_ts"),
-    ))
-    out = run_over(lambda out, mark: run_dedupe(jobs, out=out, checkpoint=mark), "dedupe")(spark)
-    return spark.read.parquet(f"{out}/new").select("key", "system", "domain", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss").alias("arrived"))
+    """Redeliveries dropped over three batches: a record id counts at its first arrival, and again after 72 hours."""
+    def start(stream, out, mark):
+        jobs = E.account_jobs(stream.select(
+            F.when(F.col("event_type").isin("view", "click"), F.col("user_id").cast("string")).alias("record_id"),
+            F.when(F.col("event_type").isin("click", "signup"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example"))).alias("website"),
+            F.col("arrived").cast("timestamp").alias("ingest_ts"),
+        ))
+        return run_dedupe(jobs, out=out, checkpoint=mark)
+
+    out = delivered(events(spark, sf), start, "dedupe")
+    return spark.read.parquet(f"{out}/new").select(
+        "key", "system", "domain", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("arrived"))
 
 
 @query("stream_resolve_domain", f"WITH {RESOLVED_SQL} SELECT key, record_id, domain, event FROM resolved")
@@ -196,50 +225,107 @@ def stream_resolve_domain(spark, sf):
     return drain(E.resolve_event_domain(jobs, accounts(spark, sf)), "resolved").select("key", "record_id", "domain", "event")
 
 
-TRIED_SQL = CRM_SQL + """,
-named AS (SELECT record_id, (list(domain ORDER BY ts DESC, key DESC))[1] AS named FROM jobs WHERE domain IS NOT NULL AND record_id IS NOT NULL GROUP BY record_id),
-firsts AS (SELECT key, min(ts) AS ts, (list(struct_pack(record_id, domain, event) ORDER BY ts))[1] AS j FROM jobs GROUP BY key),
-ready AS (SELECT f.key, f.ts, f.j.record_id AS record_id, f.j.event AS event,
-    coalesce(f.j.domain, n.named, CASE WHEN c_acctbal > 0 THEN lower(c_mktsegment) || c_custkey || '.example' END) AS domain
-  FROM firsts f LEFT JOIN named n ON n.record_id = f.j.record_id LEFT JOIN customer ON c_custkey::VARCHAR = f.j.record_id),
-clock AS (SELECT max(ts) + INTERVAL 1 HOUR AS now FROM jobs)"""
+DAY = 86_400  # seconds between attempts: long enough to wait from batch to batch
+
+# One row per job: the batch it arrived in, the one it got a domain in (null: none), and how many attempts there are.
+TRIED_SQL = CRM_SQL + f""",
+arr AS (SELECT key, record_id, domain, event, ts, {BATCH_SQL} AS b FROM (
+  SELECT * FROM jobs UNION ALL SELECT * REPLACE (ts + INTERVAL 1 HOUR AS ts) FROM jobs)),
+clocks AS (SELECT b, max(ts) AS clock FROM arr GROUP BY b),
+named AS (SELECT record_id, b, (list(domain ORDER BY ts DESC, key DESC))[1] AS named FROM arr WHERE domain IS NOT NULL GROUP BY 1, 2),
+firsts AS (SELECT key, min(ts) AS ts, min(b) AS b, (list(struct_pack(record_id, domain, event) ORDER BY ts))[1] AS j FROM arr GROUP BY key),
+known AS (SELECT f.key, f.ts, f.b, f.j.record_id AS record_id, f.j.event AS event,
+    coalesce(f.j.domain, n.named, CASE WHEN c_acctbal > 0 THEN lower(c_mktsegment) || c_custkey || '.example' END) AS at_once
+  FROM firsts f LEFT JOIN named n ON n.record_id = f.j.record_id AND n.b = f.b LEFT JOIN customer ON c_custkey::VARCHAR = f.j.record_id),
+given AS (SELECT k.*, (SELECT min(c.b) FROM clocks c WHERE c.b >= k.b AND k.ts + 3 * {DAY} * INTERVAL 1 SECOND <= c.clock) AS fails,
+    (SELECT min(n.b) FROM named n WHERE n.record_id = k.record_id AND n.b > k.b) AS later FROM known k),
+settled AS (SELECT g.*, CASE WHEN at_once IS NOT NULL THEN g.b WHEN later <= coalesce(fails, later) THEN later END AS ready,
+    CASE WHEN at_once IS NOT NULL THEN at_once WHEN later <= coalesce(fails, later) THEN n.named END AS domain
+  FROM given g LEFT JOIN named n ON n.record_id = g.record_id AND n.b = g.later),
+tries AS (SELECT s.*, CASE WHEN at_once IS NOT NULL THEN 1 ELSE (ready IS NOT NULL)::INT
+    + 1 + (s.ts + {DAY} * INTERVAL 1 SECOND <= c.clock)::INT + (s.ts + 3 * {DAY} * INTERVAL 1 SECOND <= c.clock)::INT END AS n
+  FROM settled s LEFT JOIN clocks c ON c.b = coalesce(s.ready - 1, {PERIODS - 1}))"""
 
 
 @query("stream_wait_for_website", f"""WITH {TRIED_SQL},
-tries AS (SELECT r.*, now, unnest(CASE WHEN domain IS NOT NULL THEN [1] ELSE list_filter([1, 2, 3], lambda a: a = 1 OR ts + (a - 1) * a / 2 * 30 * INTERVAL 1 SECOND <= now) END) AS attempts FROM ready r, clock)
-SELECT key, attempts::BIGINT AS attempts, CASE WHEN domain IS NOT NULL THEN 'ready' WHEN attempts = 3 THEN 'failed' ELSE 'pending' END AS status, domain,
-  CASE WHEN domain IS NULL AND attempts < 3 THEN strftime(ts + attempts * (attempts + 1) / 2 * 30 * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') END AS run_after,
-  CASE WHEN domain IS NULL THEN 'record ' || record_id || ' has no website yet' END AS last_error FROM tries""")
+each AS (SELECT *, unnest(generate_series(1, n)) AS attempts FROM tries)
+SELECT key, attempts::BIGINT AS attempts, CASE WHEN ready IS NOT NULL AND attempts = n THEN 'ready' WHEN attempts = 3 THEN 'failed' ELSE 'pending' END AS status,
+  CASE WHEN attempts = n THEN domain END AS domain,
+  CASE WHEN attempts < 3 AND NOT (ready IS NOT NULL AND attempts = n) THEN strftime(ts + attempts * (attempts + 1) / 2 * {DAY} * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') END AS run_after,
+  CASE WHEN NOT (ready IS NOT NULL AND attempts = n) THEN 'record ' || record_id || ' has no website yet' END AS last_error FROM each""")
 def stream_wait_for_website(spark, sf):
-    """Every attempt of every job: looked up, completed by an event of the same record, waiting, given up."""
-    jobs = E.crm_jobs(with_redeliveries(crm_events(event_stream(spark, sf))))
-
-    def nothing(targets):
-        return targets.select("domain").limit(0)
+    """Every attempt of every job over three batches: looked up, completed by a later event of the same record, waiting, given up."""
+    def start(stream, out, mark):
+        return run_jobs(E.crm_jobs(crm_events(stream, "arrived")), lambda: accounts(spark, sf), lambda targets: targets.select("domain").limit(0),
+                        out=out, checkpoint=mark, retry_seconds=DAY)
 
-    out = run_over(lambda out, mark: run_jobs(jobs, lambda: accounts(spark, sf), nothing, out=out, checkpoint=mark), "waiting")(spark)
+    out = delivered(events(spark, sf), start, "waiting")
     return spark.read.parquet(f"{out}/attempts").select(
         "key", F.col("attempts").cast("long").alias("attempts"), "status", "domain",
         F.date_format("run_after", "yyyy-MM-dd HH:mm:ss").alias("run_after"), "last_error",
     )
 
 
-@query("stream_enrich_and_plan", f"""WITH {TRIED_SQL}, d AS (SELECT DISTINCT domain FROM ready WHERE domain IS NOT NULL)
-SELECT domain, CASE WHEN regexp_extract(domain, '([0-9]+)', 1)::BIGINT % 2 = 0 THEN 'updated' ELSE 'created' END AS action,
-  CASE WHEN regexp_extract(domain, '([0-9]+)', 1)::BIGINT % 2 = 0 THEN 'R' || domain END AS record_id FROM d""")
+@query("stream_enrich_and_plan", f"""WITH {TRIED_SQL}, d AS (SELECT DISTINCT ready AS batch, domain FROM tries WHERE ready IS NOT NULL)
+SELECT batch::INT AS batch, domain, CASE WHEN regexp_extract(domain, '([0-9]+)', 1)::BIGINT % 2 = 0 THEN 'updated' ELSE 'created' END AS action,
+  CASE WHEN regexp_extract(domain, '([0-9]+)', 1)::BIGINT % 2 = 0 THEN 'R' || domain END AS record_id,
+  row_number() OVER (PARTITION BY domain ORDER BY batch) > 1 AS from_cache FROM d""")
 def stream_enrich_and_plan(spark, sf):
-    """Events to planned writes against existing records; every domain's homepage is the page numbered like its record."""
-    mapping = Mapping.default()
-    pages = rendered(spark, sf).drop("domain")
+    """Events to planned writes over three batches: a page that was analysed in one is not analysed again in the next.
+
+    Every domain's homepage is the page numbered like its record.
+    """
+    mapping, profile = Mapping.default(), Profile.default()
+    pages = stored(rendered(spark, sf).drop("domain"), "rendered")
     number = F.regexp_extract("domain", "([0-9]+)", 1).cast("long")
     n_pages = table(spark, sf, "pages").agg(F.max("page_id") + 1).first()[0]
 
-    def write_plan(targets):
-        asked = targets.withColumn("page_id", number % n_pages)
-        found = asked.join(pages, "page_id").drop("page_id").withColumn("error", F.lit(None).cast("string"))
-        stored = targets.where(number % 2 == 0).select(F.concat(F.lit("R"), "domain").alias("record_id"), "domain")
-        return plan_writes(enrich_pages(found, Profile.default()), mapping, "hubspot", stored)
-
-    jobs = E.crm_jobs(crm_events(event_stream(spark, sf)))
-    out = run_over(lambda out, mark: run_jobs(jobs, lambda: accounts(spark, sf), write_plan, out=out, checkpoint=mark), "planned")(spark)
-    return spark.read.parquet(f"{out}/writes").select("domain", "action", "record_id")
+    def enrich(targets, prior):
+        found = targets.withColumn("page_id", number % n_pages).join(pages, "page_id").drop("page_id")
+        return enrich_pages(found.withColumn("error", F.lit(None).cast("string")), profile, prior=prior)
+
+    def write_plan(results):
+        stored = results.where(number % 2 == 0).select(F.concat(F.lit("R"), "domain").alias("record_id"), "domain")
+        return plan_writes(results, mapping, "hubspot", stored)
+
+    def start(stream, out, mark):
+        return run_jobs(E.crm_jobs(crm_events(stream, "arrived")), lambda: accounts(spark, sf), write_plan, out=out, checkpoint=mark, enrich=enrich,
+                        profile=profile, retry_seconds=DAY)
+
+    out = delivered(events(spark, sf), start, "planned")
+    cached = spark.read.parquet(f"{out}/results").select("batch", "domain", "from_cache")
+    return spark.read.parquet(f"{out}/writes").select("batch", "domain", "action", "record_id").join(cached, ["batch", "domain"])
+
+
+@query("stream_deliveries", f"""WITH {CRM_SQL}, arr AS (SELECT {BATCH_SQL.replace("ts::", "c.ts::")} AS batch, j.event_id FROM (
+  SELECT event_id, ts FROM crm UNION ALL SELECT event_id, ts + INTERVAL 1 HOUR FROM crm) c LEFT JOIN jobs j ON j.event_id = c.event_id)
+SELECT batch::BIGINT AS batch, count(*) AS received, count(event_id) AS queued, count(*) - count(event_id) AS skipped FROM arr GROUP BY 1""")
+def stream_deliveries(spark, sf):
+    """What each batch of the running stream received, queued and skipped, counted while it runs."""
+    counts = {}
+
+    def start(stream, out, mark):
+        e = crm_events(stream, "arrived")
+        seen = observed(e, E.event_wanted("subscriptionType", "propertyName"))
+        started = run_dedupe(E.crm_jobs(seen), out=out, checkpoint=mark)
+        started.awaitTermination()
+        counts.update(observed_counts(started))
+        return started
+
+    delivered(events(spark, sf), start, "counted")
+    rows = [(batch, *c) for batch, c in sorted(counts.items())]
+    return spark.createDataFrame(rows, "batch long, received long, queued long, skipped long")
+
+
+@query("stream_late_files", """SELECT event_type, count(*) AS n, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-07') AS late FROM events GROUP BY 1""")
+def stream_late_files(spark, sf):
+    """Read by checkpoint: a file that arrives last with the oldest events is read too, once; a run with nothing new reads nothing."""
+    raw = events(spark, sf)
+    source, out, mark = (shared_dir(spark, f"late-{x}") for x in ("arrivals", "out", "checkpoint"))
+    early = F.col("ts") < F.lit("2024-01-07").cast("timestamp")
+    for rows in (raw.where(~early), raw.where(early), raw.limit(0)):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(raw.schema).parquet(source)
+        stream.writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out).awaitTermination()
+    read = spark.read.schema(raw.schema).parquet(out)
+    return read.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(early).alias("late"))

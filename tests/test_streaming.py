@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -14,7 +16,8 @@ from accountlake.operators.pages import resolve_homepages
 from accountlake.operators.payload import build_payloads
 from accountlake.schemas import CRM_EVENT
 from accountlake.streaming import events as E
-from accountlake.streaming.jobs import run_dedupe, run_jobs
+from accountlake.streaming.jobs import new_jobs, run_dedupe, run_jobs, with_ticks
+from accountlake.streaming.metrics import DeliveryListener, observed, observed_counts
 from accountlake.streaming.retry import first_attempt, ready_jobs
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -90,6 +93,110 @@ def test_the_first_of_many_deliveries_wins(spark, crm, tmp_path):
     assert len(got) == 200 and {r.domain for r in got} == {"1.com"}
 
 
+def greedy(deliveries, hours):
+    """Accepted ``(key, time)`` of deliveries, one after the other."""
+    last, out = {}, []
+    for at, key in sorted((t, k) for k, t in deliveries):
+        if key not in last or at > last[key] + timedelta(hours=hours):
+            last[key] = at
+            out.append((key, at))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cuts", [0, 1, 5])
+def test_batches_do_not_change_what_is_accepted(spark, cuts):
+    """Two months of deliveries in one batch or in several; one key has a third of them."""
+    rnd = random.Random(3)
+    rows = sorted(
+        (T0 + timedelta(minutes=rnd.randrange(60 * 24 * 60)), rnd.choice(["hot", f"k{rnd.randrange(9)}", f"r{i}"])) for i in range(900))
+    rows += rows[::7]  # delivered again at the same time
+    want = greedy([(k, t) for t, k in rows], 72)
+    schema = "ingest_ts timestamp, key string, domain string"
+    seen, got = None, []
+    size = -(-len(rows) // (cuts + 1))
+    rows.sort()
+    for s in range(0, len(rows), size):
+        batch = spark.createDataFrame([(t, k, "x") for t, k in rows[s : s + size]], schema)
+        fresh = new_jobs(batch, seen, 72).select("key", "ingest_ts").collect()
+        got += [(r.key, r.ingest_ts.replace(tzinfo=timezone.utc)) for r in fresh]
+        seen = spark.createDataFrame([(k, t) for k, t in got], "key string, ingest_ts timestamp")
+    assert sorted(got) == want
+
+
+def test_a_batch_writes_its_own_keys_and_old_days_go(spark, crm, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    day = 24 * 3600
+    for k, rows in enumerate(([event(1), event(2)], [event(3, at=day)], [event(4, at=9 * day)])):
+        run_dedupe(E.crm_jobs(stream(spark, src, crm(*rows))), out=out, checkpoint=ck).awaitTermination()
+        log = spark.read.parquet(f"{out}/seen").where(F.col("batch") == k)
+        assert sorted(r.key for r in log.collect()) == sorted(f"hubspot:{r[0]}" for r in rows)
+    assert sorted(p.name for p in (tmp_path / "out" / "seen").glob("day=*")) == ["day=2026-01-10"]
+
+
+def test_time_passes_although_nothing_arrives(spark, crm, tmp_path):
+    """One event, then only a clock: the job is tried again and given up."""
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    none = spark.createDataFrame([], "record_id string, domain string")
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).option(
+        "startTimestamp", int(T0.timestamp() * 1000)).option("advanceMillisPerBatch", 40_000).load()
+    jobs = with_ticks(E.crm_jobs(stream(spark, src, crm(creation(1, 0, 5)))), ticks)
+    query = run_jobs(jobs, lambda: none, lambda t: t, out=out, checkpoint=ck, available_now=False)
+    try:
+        for _ in range(120):
+            time.sleep(1)
+            assert query.exception() is None
+            done = list((tmp_path / "out").glob("writes/batch=*/_SUCCESS"))
+            if len(done) >= 4:
+                break
+    finally:
+        query.stop()
+    got = sorted((r.attempts, r.status) for r in spark.read.parquet(f"{out}/attempts").collect())
+    assert got == [(1, "pending"), (2, "pending"), (3, "failed")]
+    assert len(list((tmp_path / "out").glob("waiting/batch=*"))) <= 3
+
+
+def test_counts_of_the_running_stream(spark, crm, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rows = [event(1), event(2, prop="phone"), event(3, "company.deletion", None, None), event(4)]
+    raw = observed(stream(spark, src, crm(*rows)), E.event_wanted("subscriptionType", "propertyName"))
+    heard = []
+    listener = DeliveryListener(lambda name, batch, counts: heard.append((batch, counts)))
+    spark.streams.addListener(listener)
+    try:
+        query = run_dedupe(E.crm_jobs(raw), out=out, checkpoint=ck)
+        query.awaitTermination()
+        for _ in range(50):
+            if heard:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert observed_counts(query) == {0: (4, 2, 2)}
+    assert heard == [(0, {"received": 4, "queued": 2, "skipped": 2})]
+
+
+def test_analyses_are_kept_from_batch_to_batch(spark, crm, tmp_path):
+    """A second event about an unchanged page reuses the analysis; a page that changed is analysed again."""
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    accounts = spark.createDataFrame([], "record_id string, domain string")
+    profile = Profile.default()
+    html = {"page": HOMEPAGE}
+
+    def enrich(domains, prior):
+        crawl = spark.createDataFrame(
+            [("https://acme.com/", "https://acme.com/", 200, html["page"], NOW)],
+            "url string, final_url string, status_code int, html string, fetched_at timestamp")
+        return enrich_pages(resolve_homepages(domains, crawl), profile, prior=prior, analyzed_at=NOW)
+
+    for k, page in enumerate((HOMEPAGE, HOMEPAGE, HOMEPAGE.replace("webinar", "seminar"))):
+        html["page"] = page
+        jobs = E.crm_jobs(stream(spark, src, crm(event(10 + k, at=k))))
+        run_jobs(jobs, lambda: accounts, lambda r: r.select("domain", "from_cache"), out=out, checkpoint=ck, enrich=enrich, profile=profile).awaitTermination()
+    got = sorted((r.batch, r.from_cache) for r in spark.read.parquet(f"{out}/writes").collect())
+    assert got == [(0, False), (1, True), (2, False)]
+    assert spark.read.parquet(f"{out}/analyses").count() == 2
+
+
 def test_first_delivery_wins(crm):
     got = E.dedupe_batch(E.crm_jobs(crm(event(7, value="late.com", at=9), event(7, value="first.com"), event(8)))).collect()
     assert sorted((r.key, r.domain) for r in got) == [("hubspot:7", "first.com"), ("hubspot:8", "acme.com")]
