@@ -1,17 +1,18 @@
-"""Token counts of whole texts under a public byte-level BPE vocabulary.
+"""Token counts of whole texts under a public tokenizer file.
 
-A byte-level pre-tokenizer never joins a character that is no white space with a space or line break
-after it, so a text may be cut there and the counts of its pieces add up. Texts are cut at all
-such places; the distinct pieces of a task are encoded once, in batches of about equal bytes.
+Texts are cut before spaces and line breaks that follow a character which is no white space, where the file's own rules
+cannot join what lies on both sides: the counts of the pieces then add up, and no text is too long. The distinct
+pieces a task has not met yet go to the library's batch encoding, in batches of about equal bytes; only lengths are kept.
+A file whose rules do not allow such cuts gets whole texts, in batches of about equal bytes too.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,29 +22,45 @@ BATCH_BYTES = 1 << 18  # text handed to the tokenizer at a time
 KNOWN_BYTES = 1 << 26  # pieces a task remembers, in characters, before it starts anew
 LIMIT = 1024
 
-# Fixed: the pattern that cuts text before the merges of byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def _byte_chars() -> dict[int, int]:
-    """Byte-level vocabularies write a byte as itself where it prints, else as a character from U+0100 on."""
-    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in prints]
-    return {b: 256 + i for i, b in enumerate(others)}
-
-
-_BYTE_CHARS = _byte_chars()
-
 # A cut lies between a character that is not white space and one of these.
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-# Pieces with these are left to the library as a whole: special tokens, control characters, and
-# characters whose class could differ between Unicode versions.
-_WHOLE = re.compile("<[|]|[\x00-\x08\x0b-\x1f\x7f-\xa0\u0250-\U0010ffff]")
 # A plain split at spaces would cut behind white space if one of these occurs.
 _DOUBLE = tuple(c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _UNSAFE = re.compile(r"\s ")
 
 
+def _cuts_are_safe(rules: dict) -> bool:
+    """Whether the rules of a tokenizer file keep what lies before a space or line break apart from what follows.
+
+    Byte-level splitting does, and so does dropping white space between words; a special token must not hold or take spaces.
+    """
+    plain = {"NFC", "NFKC", "Lowercase"}
+
+    def steps(part, inner):
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    def normal(step):
+        # Runs of white space become one space: the words beside them stay what they are.
+        squeezed = step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        return step["type"] in plain or squeezed
+
+    def split(step):
+        if step["type"] == "ByteLevel":
+            return not step["add_prefix_space"]
+        # Words are what a pattern without white space matches.
+        words = step["type"] == "Split" and step["behavior"] == "Removed" and step["invert"]
+        return words and not re.search(r"[ .]|\\[sSWD]", step["pattern"].get("Regex", " ").replace(r"[^\s", "["))
+
+    parts = steps(rules["pre_tokenizer"], "pretokenizers")
+    tokens = [t for t in rules["added_tokens"] if t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])]
+    byte_level = any(s["type"] == "ByteLevel" and s.get("use_regex", True) for s in parts)
+    removed = any(s["type"] == "Split" for s in parts)
+    return (
+        bool(parts) and (byte_level or removed) and all(map(split, parts)) and not tokens
+        and all(map(normal, steps(rules["normalizer"], "normalizers"))) and rules["model"]["type"] == "BPE"
+    )
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -70,42 +87,25 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.cut = pieces if _cuts_are_safe(json.loads(self.tokenizer.to_str())) else lambda text: [text]
         self.batch_bytes, self.known_bytes = batch_bytes, known_bytes
-        self.merges = self.tokenizer.model.tokenize
-        self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
-        self.words: dict[str, int] = {}
         self.held = 0
 
     def learn(self, new: list[str]) -> None:
-        """Count pieces; only lengths are kept.
-
-        Most pieces are cut by the vocabulary's own pattern and go to its merges; the others
-        are encoded as they stand, in batches of about ``batch_bytes``.
-        """
-        cut, words, known = self.pattern.findall, self.words, self.known
+        """Encode pieces in batches of about ``batch_bytes``; only lengths are kept."""
         batch, size = [], 0
         for piece in new:
-            self.held += 2 * len(piece)
-            if _WHOLE.search(piece):
-                batch.append(piece)
-                size += len(piece)
-                if size >= self.batch_bytes:
-                    self._whole(batch)
-                    batch, size = [], 0
-                continue
-            n = 0
-            for word in cut(piece):
-                c = words.get(word)
-                if c is None:
-                    c = words[word] = len(self.merges(word.encode().decode("latin-1").translate(_BYTE_CHARS)))
-                n += c
-            known[piece] = n
-        self._whole(batch)
-
-    def _whole(self, batch: list[str]) -> None:
-        for piece, x in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            self.known[piece] = len(x)
+            batch.append(piece)
+            size += len(piece) + 16
+            if size >= self.batch_bytes:
+                self._encode(batch)
+                batch, size = [], 0
+        self._encode(batch)
+        self.held += 2 * sum(map(len, new))
+
+    def _encode(self, batch: list[str]) -> None:
+        self.known.update(zip(batch, map(len, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; texts are taken together up to some bytes, so that few batches are small."""
@@ -121,8 +121,8 @@ class Counter:
 
     def _group(self, texts: list[str]) -> list[int]:
         if self.held > self.known_bytes:
-            self.known, self.words, self.held = {}, {}, 0
-        parts = [pieces(x) for x in texts]
+            self.known, self.held = {}, 0
+        parts = [self.cut(x) for x in texts]
         self.learn([x for x in set().union(*parts) if x not in self.known])
         known = self.known.__getitem__
         return [sum(map(known, x)) for x in parts]
@@ -131,8 +131,9 @@ class Counter:
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """``doc_id``, UTF-8 bytes, tokens and whether they are over the limit, for every whole text.
 
-    One pass, no shuffle. Null and empty texts have 0 bytes and 0 tokens. A special token's string
-    inside a text counts as the library counts it by default, as that token. ``path`` is a file every executor has.
+    One pass, no shuffle. Null and empty texts have 0 bytes and 0 tokens, null ids stay null, rows that repeat are counted each,
+    an empty table gives no rows; other columns, also ones that differ in case only, are not read. A special token's string
+    inside a text counts as the library counts it by default, as that token. ``path`` is a tokenizer file every executor has.
     """
     path = path or tokenizer_path()
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
