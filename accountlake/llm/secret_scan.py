@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,11 +69,16 @@ CLASSES = (
               ("[A-Za-z][0-9]+[A-Za-z]", "[A-Z]", "[a-z]", "[a-z0-9+/_-][A-Z]+[a-z0-9+/_-]+[A-Z]")),
 )
 
+# Words as names and addresses have them: a key has single letters between its digits and capitals. None of these patterns starts
+# inside a run of its own characters or goes back over one, so texts without spaces cost no more than others.
+_WORDS = r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++|[A-Za-z](?![A-Za-z0-9])|[._~%+-]++)"
+
 # Strings that look random but are not secret. They end at quotes, commas, brackets, ``&`` and ``=``.
 ALLOWED = (
-    r"""https?://[^\s"'`<>,()\[\]{}&=]+""",  # addresses
-    r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",  # UUIDs
-    r"[\w.+-]+@[\w-]+\.[\w.]+",  # mail addresses
+    # Addresses: scheme, host and the parts that are words. Names and passwords before a host are not allowed, nor keys in a path.
+    rf"""https?://[\w.-]++(?::[0-9]++)?+(?![\w.:@-])(?:[/?\#;]++{_WORDS}++(?=[/?\#;]|$|[\s"'`<>,()\[\]{{}}&=]))*+""",
+    r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",  # UUIDs
+    rf"(?<![\w.+:/-]){_WORDS}++@[\w-]+\.[\w.]+",  # mail addresses of names that are words
     r"(?:sha(?:1|256|384|512)|md5)[-:=][A-Za-z0-9+/_-]+",  # checksums of public files
 )
 # A candidate with such a word is a sample from a manual, unless as much as a window is left beside the word.
@@ -83,16 +90,42 @@ SAMPLE_LEAST = 24
 def left_over(span: tuple[int, int], ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What of a span lies outside ``ranges``, which are sorted and apart."""
     out, at = [], span[0]
-    for s, e in ranges:
-        if s < span[1] and at < e:
-            if at < s:
-                out.append((at, s))
-            at = max(at, e)
+    for i in range(bisect_right(ranges, span[0], key=itemgetter(1)), len(ranges)):
+        s, e = ranges[i]
+        if s >= span[1]:
+            break
+        if at < s:
+            out.append((at, s))
+        at = max(at, e)
     if at < span[1]:
         out.append((at, span[1]))
     return out
 
 
+class Taken:
+    """Places in a text that are reported already: sorted, apart, looked up by halving."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        """A span that touches none."""
+        i = bisect_right(self.ends, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def entropy_windows(text: str, width: int, bits: float) -> list[tuple[int, int]]:
     """Merged spans of all windows of ``width`` characters with at least ``bits`` of entropy.
 
@@ -150,7 +183,7 @@ class Scanner:
     def random(self, text: str, data: bytes, known: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
         """Spans of high entropy that touch neither a known span nor one of a class before."""
         found: list[tuple[int, str, int]] = []
-        taken = [(a, b) for a, _, b in known]
+        taken = Taken([(a, b) for a, _, b in known])
         allowed = None
         for c, pattern, table, run, parts in self.classes:
             if run not in data.translate(table):
@@ -164,11 +197,11 @@ class Scanner:
                 for a, b in entropy_windows(word, c.window, c.bits):
                     span = m.start() + a, m.start() + b
                     mixed = all(p.search(word, a, b) for p in parts)
-                    if not mixed or any(s < span[1] and span[0] < e for s, e in taken):
+                    if not mixed or taken.touches(*span):
                         continue
                     if self.secret(text, span, m.span(), allowed, parts):
                         found.append((span[0], c.name, span[1]))
-                        taken.append(span)
+                        taken.add(*span)
         return found
 
     def secret(self, text: str, span: tuple[int, int], run: tuple[int, int], allowed: list[tuple[int, int]],
@@ -201,7 +234,8 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 def secret_spans(docs: DataFrame, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` spans (code points, end exclusive) of every whole text.
 
-    One pass, no shuffle. Null and empty texts have no spans; repeated rows give repeated rows.
+    One pass, no shuffle, in proportion to the text, spaces or not. Null and empty texts have no spans; repeated rows give repeated rows,
+    null ids stay null, an empty table gives no rows; other columns, also ones that differ in case only, are not read.
     ``base`` is in order of start, then kind as listed; ``added`` in order of start.
     """
     def run(batches):

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from accountlake.llm import secret_scan as ss
@@ -61,7 +62,7 @@ def test_random_strings_are_added_and_allowed_ones_are_not(docs):
     texts = [f"see {KEY} there", f"https://example.org/{KEY}", "id 123e4567-e89b-12d3-a456-426614174000", f"sha256:{KEY}",
              "Donaudampfschifffahrtsgesellschaft", "thhethnonedtionerreorhaoning", f"password={KEY}", f"mail {KEY}@host.org"]
     rows = [r.spans for r in ss.digests(ss.secret_spans(docs(texts))).orderBy("doc_id").collect()]
-    assert rows == ["entropy_base64:4:28", "", "", "", "", "", "assign:0:33", ""]
+    assert rows == ["entropy_base64:4:28", "entropy_base64:16:44", "", "", "", "", "assign:0:33", "entropy_base64:5:29"]
 
 
 def added(docs, texts):
@@ -79,11 +80,42 @@ def test_allowed_strings_hide_only_themselves(docs):
     ]
     for text, got in zip(texts, added(docs, texts), strict=True):
         assert len(got) == 1 and key in got[0], text
-    quiet = [f"https://host.org/a/{key}", f"run-{uuid}", f"x{key}@host.org", f"sha512-{key}==",
-             "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    quiet = [f"run-{uuid}", f"sha512-{key}==", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
     assert added(docs, quiet) == [[]] * len(quiet)
 
 
+def test_keys_in_addresses_are_found_and_addresses_are_not(docs):
+    """Passwords of connection strings, keys as part of a path or as a mail name; not what addresses are made of."""
+    key = "aB3xK9pQ2vL7mZ4wT8yR1nC6dE5f"
+    texts = [
+        f"postgres://app:{key}@db.host.com/x", f"https://app:{key}@host.com/x", f"https://hooks.host.com/services/T00/B11/{key}",
+        f"https://host.org/a/{key}", f"https://host.org/v1/{key}/edit?x=1", f"https://host.org/a?token_id={key}", f"x{key}@host.org",
+    ]
+    for text, got in zip(texts, added(docs, texts), strict=True):
+        assert len(got) == 1 and key in got[0], text
+    quiet = [
+        "https://www.example-host.org/2026/12/01/some-long-article-name-about-things.html#Section-Two",
+        "https://en.host.org/wiki/Rechtsschutzversicherungsgesellschaft_(Disambiguation)", "http://127.0.0.1:8080/api/v2/users/1234567890123456",
+        "first.last-name_of2026@mail.some-host.co.uk", "https://cdn.host.org/Assets/JavaScript/ModuleLoader-3.11.0.min.js?version=20261201",
+    ]
+    assert added(docs, quiet) == [[]] * len(quiet)
+
+
+def test_texts_without_spaces_take_linear_time():
+    rnd = random.Random(9)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    scanner = ss.Scanner()
+    texts = [
+        "a" * 1_000_000, "".join(rnd.choices(alphabet, k=1_000_000)), "a_a_" * 250_000, "".join(rnd.choices("0123456789", k=500_000)),
+        "https://a.b/cd" * 40_000, "Ab1." * 200_000, "".join(f"{''.join(rnd.choices(alphabet, k=24))}@h.org," for _ in range(20_000)),
+        "https://" * 60_000, "token=" * 100_000,
+    ]
+    for text in texts:
+        start = time.process_time()
+        scanner.scan(text)
+        assert time.process_time() - start < 12, text[:20]
+
+
 def test_keys_of_every_kind_and_length(docs):
     """Keys of one case, of letters only, and of 16 characters on; not the words and names of clean texts."""
     rnd = random.Random(7)
