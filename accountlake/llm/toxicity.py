@@ -43,13 +43,13 @@ FEATURES = (
 )
 SAMPLE = 20_000  # labelled rows used for fitting, at most
 THRESHOLD = 0.7
-LEXICON = 300  # learned words, at most
 LEAST_DOCS, LEAST_SHARE, LEAST_EVIDENCE = 4, 0.6, 20.0  # toxic texts with the word, their share, log-likelihood ratio
 
 _WORDS = re.compile(r"\w+")
 _TOKENS = re.compile(r"\S+")
-# A letter with a sign or digit inside the word.
-_HIDDEN = re.compile(r"(?=\S*[0-9@$!*.+|_-])(?=\S*[A-Za-z])\S*\w[0-9@$!*.+|_-]+\w\S*")
+# A sign or digit inside a word.
+_HIDDEN = re.compile(r"\w[0-9@$!*.+|_-]+\w")
+_LETTER = re.compile("[A-Za-z]")
 _REPEAT = re.compile(r"(.)\1{2,}", re.DOTALL)
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i",
                         "*": "", ".": "", "-": "", "_": "", "+": ""})
@@ -85,7 +85,9 @@ def features(text: str, learned: frozenset[str] = frozenset()) -> list[float]:
         d = abs(seconds[at] - i)
         near += d <= NEAR
         nearness = max(nearness, 1.0 / max(d, 1))
-    hidden = sum(map(_uncovered, _HIDDEN.findall(text))) if _HIDDEN.search(text) else 0
+    hidden = 0
+    if _HIDDEN.search(text):
+        hidden = sum(_uncovered(t) for t in text.split() if _HIDDEN.search(t) and _LETTER.search(t))
     size = len(text)
     capitals = 0 if text.islower() else sum(map(str.isupper, text))
     signs = sum(map(text.count, ".,;:!?"))
@@ -104,10 +106,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
-def _likeness_key(words: list[str]) -> int:
-    """The smallest hash of five words in a row: near copies mostly share it."""
-    runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-    return min(zlib.crc32(x.encode()) for x in runs)
+def _likeness_keys(words: list[str]) -> list[int]:
+    """Three keys of a text: pairs of three smallest hashes of five words in a row. Near copies mostly share one."""
+    runs = [" ".join(words[i : i + 5]).encode() for i in range(max(1, len(words) - 4))]
+    least = [min(zlib.crc32(x, seed) for x in runs) for seed in (1, 2, 3)]
+    return [(least[a] << 32 | least[b]) - (1 << 63) ^ c for c, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))]
 
 
 def _evidence(pos, neg, all_pos, all_neg):
@@ -120,25 +123,32 @@ def _evidence(pos, neg, all_pos, all_neg):
     return 2 * (part(pos, seen * all_pos / total) + part(neg, seen * all_neg / total))
 
 
-def learned_words(sample: DataFrame) -> list[frozenset[str]]:
+def learned_words(sample: DataFrame, lexicon: int | None = None) -> list[frozenset[str]]:
     """Words that toxic texts have far more often than clean ones: of fold 0, of fold 1, of both.
 
-    Of near copies one text counts, else the words of a text that was copied would all stand out.
+    All words with enough evidence; the ``lexicon`` strongest where that is given. Of near copies one text counts, else the
+    words of a text that was copied would all stand out.
     """
     def run(batches):
         for batch in batches:
             keys, words = [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 found = _WORDS.findall(text.lower())
-                keys.append(_likeness_key(found) if found else 0)
+                keys.append(_likeness_keys(found))
                 words.append(list(set(found)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.string()))],
-                names=["fold", "label", "key", "words"])
-
-    kind = "fold int, label double, key long, words array<string>"
-    texts = saved(sample.select("fold", "label", "text").mapInArrow(run, kind), "toxic-words").dropDuplicates(["key", "label"])
-    texts = saved(texts, "toxic-texts")
+                [*[batch.column(i) for i in range(3)], pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))],
+                names=["fold", "label", "hash", "keys", "words"])
+
+    # Equal texts are one; of texts that share a key the one with the smallest hash teaches.
+    kind = "fold int, label double, hash long, keys array<long>, words array<string>"
+    single = sample.groupBy("label", "text").agg(F.min("fold").alias("fold")).select(
+        "fold", "label", F.xxhash64("text").alias("hash"), "text")
+    texts = saved(single.mapInArrow(run, kind), "toxic-words")
+    keyed = texts.select("label", "hash", F.explode("keys").alias("key"))
+    least = keyed.groupBy("label", "key").agg(F.min("hash").alias("least"))
+    copies = keyed.join(least, ["label", "key"]).where("hash > least").select("label", "hash").distinct()
+    texts = saved(texts.join(copies, ["label", "hash"], "left_anti"), "toxic-texts")
     toxic = F.col("label") == 1
     counts = texts.select("fold", "label", F.explode("words").alias("word")).groupBy("word").agg(*[
         F.count_if((F.col("fold") == f) & (toxic if y else ~toxic)).cast("double").alias(f"c{f}{y}") for f in (0, 1) for y in (0, 1)
@@ -155,12 +165,17 @@ def learned_words(sample: DataFrame) -> list[frozenset[str]]:
         strong = counts.select("word", pos.alias("pos"), neg.alias("neg")).withColumn(
             "llr", _evidence(F.col("pos"), F.col("neg"), F.lit(all_pos), F.lit(all_neg))
         ).where((F.col("pos") >= LEAST_DOCS) & (F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg"))) & (F.col("llr") >= LEAST_EVIDENCE))
-        out.append(frozenset(r["word"] for r in strong.orderBy(F.desc("llr"), "word").limit(LEXICON).collect()))
+        strong = strong if lexicon is None else strong.orderBy(F.desc("llr"), "word").limit(lexicon)
+        out.append(frozenset(r["word"] for r in strong.select("word").collect()))
     return out
 
 
 class Scorer:
-    """The learned lexicon, fitted trees and calibration; no trees where the labels had only one class."""
+    """The learned lexicon, fitted trees and calibration.
+
+    Where too few labels leave something out, the rest stands: trees without calibration give their own probability, and
+    without trees (labels of one class) the density of insults counts.
+    """
 
     def __init__(self, learned: frozenset[str] = frozenset(), trees=None, calibration=None):
         self.learned, self.trees, self.calibration = learned, trees, calibration
@@ -177,31 +192,38 @@ class Scorer:
         guess = self.trees.transform(rows.withColumn("_x", array_to_vector("features"))).withColumn(
             "_p", vector_to_array("probability")[1]
         )
+        if self.calibration is None:
+            return guess.select(*keep, F.col("_p").alias("score"))
         return self.calibration.transform(guess.select(*keep, "_p")).withColumn(
             "score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score")))
         ).drop("_p", "_score")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 3, seed: int = 7) -> Scorer:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 3, seed: int = 7, lexicon: int | None = None,
+) -> Scorer:
     """Fit on labelled rows whose ``crc32(doc_id) % 3`` is not 1.
 
-    About ``sample`` labels are used, chosen by a hash of their id: all where there are fewer. Three
+    About ``sample`` documents are used, chosen by a hash of their id: all where there are fewer. Three
     quarters go to the trees, in two folds; a row's learned lexicon is that of the other fold, so no row is
     described by words its own label chose. The rest fits the calibration, with the lexicon of both folds,
-    as texts are scored. Null labels are not used; a document with several labels counts once for each.
+    as texts are scored; where it has one class only, there is no calibration, and where the trees' part has, the trees take all rows.
+    Null labels are not used. A document labelled both ways counts once for each; of documents with one id the smallest text hash counts.
     """
     marks = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").select(
         F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("double").alias("label"))
-    marks = marks.where(fold(F.col("_id"), 3) != 1)
-    total = marks.count()
-    if total > sample:
-        marks = marks.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    marks = marks.where(fold(F.col("_id"), 3) != 1).distinct()
+    total = marks.select("_id").distinct().count()
+    if total > sample:  # two rows an id at most: what is sent to the texts is bounded
+        marks = marks.where(F.xxhash64("_id", F.lit(seed)) < (1 << 64) * sample // total - (1 << 63))
     part = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(8)).cast("int")
     marks = marks.withColumn("fold", F.when(part < 3, 0).when(part < 6, 1).otherwise(2))
     # The sample of labels is bounded, so it is sent to the texts; no text but the sample's is kept.
     texts = _texts(docs)
-    train = saved(texts.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).drop("_id"), "toxic-train")
-    learned = learned_words(train.where("fold < 2"))
+    joined = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("_id"))
+    train = joined.groupBy("_id", "label", "fold").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    train = saved(train.select("fold", "label", "text"), "toxic-train")
+    learned = learned_words(train.where("fold < 2"), lexicon)
 
     def run(batches):
         for batch in batches:
@@ -217,20 +239,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 2
     rows = saved(described, "toxic-sample").coalesce(4).sortWithinPartitions("label", "features")
     rows = rows.select(array_to_vector("features").alias("x"), "label", "held")
     classes = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
-    if len(classes) < 4:
+    if len({y for _, y in classes}) < 2:
         return Scorer()
+    apart = len({y for held, y in classes if not held}) == 2  # else the trees need the rows of the calibration
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(
-        rows.where("not held"))
-    held = model.transform(rows.where("held")).select(vector_to_array("probability")[1].alias("_p"), "label")
-    calibration = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_score").fit(held)
+        rows.where("not held") if apart else rows)
+    calibration = None
+    if apart and len({y for held, y in classes if held}) == 2:
+        held = model.transform(rows.where("held")).select(vector_to_array("probability")[1].alias("_p"), "label")
+        calibration = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_score").fit(held)
     return Scorer(learned[2], model.setFeaturesCol("_x").setPredictionCol("_class"), calibration)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 at the threshold or above) of every whole text.
 
-    One row per row of ``docs``; null and empty texts are scored as texts without words; a null id is
-    never labelled and counts as the empty text for ``held_out``.
+    One row per row of ``docs``, repeated ones too; null and empty texts are scored as texts without words; a null id is
+    never labelled and counts as the empty text for ``held_out``. An empty table gives no rows. Whole texts are read, in proportion
+    to their length, spaces or not; other columns, also ones that differ in case only, are not read.
     """
     scorer = fit(docs, labels)
     learned = scorer.learned
@@ -251,7 +277,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that score below the threshold.
 
-    Scores are a function of the text, so a row is scored where it stands: no join back.
+    Scores are a function of the text, so a row is scored where it stands: no join back. Repeated rows, null ids and columns
+    of any names are kept as they are; an empty table stays empty.
     """
     scorer = fit(docs, labels)
     learned = scorer.learned

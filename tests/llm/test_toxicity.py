@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 import zlib
 
+from pyspark.ml.linalg import DenseVector
+
 from accountlake.llm import toxicity as tx
 
 
@@ -64,6 +69,67 @@ def test_words_are_learned_from_labels(spark, docs, words):
     assert not any(got[i].predicted for i in got if i % 5 > 1)
 
 
+def test_scores_are_those_of_trees_and_steps_in_one_place(spark, docs, words):
+    """Every tree walked and every step of the calibration interpolated here, over features counted word by word."""
+    table, labels, _ = labelled(spark, docs, words, 240)
+    scorer = tx.fit(table, labels)
+    got = {r.doc_id: r.score for r in tx.toxicity(table, labels).collect()}
+    trees = [(w, t) for w, t in zip(scorer.trees.treeWeights, scorer.trees.trees, strict=True)]
+    steps = list(zip(scorer.calibration.boundaries.toArray(), scorer.calibration.predictions.toArray(), strict=True))
+
+    def calibrated(p):
+        if p <= steps[0][0]:
+            return steps[0][1]
+        for (x0, y0), (x1, y1) in zip(steps, steps[1:], strict=False):
+            if p <= x1:
+                return y1 if x1 == x0 else y0 + (y1 - y0) * (p - x0) / (x1 - x0)
+        return steps[-1][1]
+
+    for r in table.limit(60).collect():
+        marks = tx.features(r.text, scorer.learned)
+        found = [w for w in re.findall(r"\w+", r.text.lower())]
+        assert marks[tx.FEATURES.index("learned")] == sum(w in scorer.learned for w in found)
+        assert marks[tx.FEATURES.index("distinct_insults")] == len({w for w in found if w in tx.INSULTS and w not in scorer.learned} | {
+            w for w in found if w in tx.INSULTS})
+        margin = sum(w * t.predict(DenseVector(marks)) for w, t in trees)
+        want = calibrated(1 / (1 + math.exp(-2 * margin)))
+        assert abs(got[r.doc_id] - min(1.0, max(0.0, want))) < 1e-9
+
+
+def test_few_labels_go_as_far_as_they_can(spark, docs, words):
+    """Labels of both classes always give trees; a calibration where its part has both."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join([*words(20), *(["idiot", "scum", "you"] if i % 3 == 0 else [])])) for i in range(24)]
+    for n in (24, 9, 6):
+        labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+        scorer = tx.fit(docs(rows), labels)
+        assert scorer.trees is not None
+        scores = {r.doc_id: r.score for r in tx.toxicity(docs(rows), labels).collect()}
+        assert min(scores[i] for i in scores if i % 3 == 0) >= max(scores[i] for i in scores if i % 3)
+    one = spark.createDataFrame([(i, 1) for i in range(24)], "doc_id long, toxic int")
+    assert tx.fit(docs(rows), one).trees is None and rnd
+
+
+def test_texts_that_share_a_passage_teach_each(spark, words):
+    """One passage in texts that differ otherwise does not make them one; reruns learn the same."""
+    rnd = random.Random(4)
+    passage = " ".join(words(8))
+    rows = [(i % 2, float(i % 5 == 0), f"{passage} {' '.join(words(60))} {'zorgel vilst' if i % 5 == 0 else ''}") for i in range(400)]
+    rows += rows[:100]
+    table = spark.createDataFrame(rows, "fold int, label double, text string")
+    first = tx.learned_words(table)
+    assert all({"zorgel", "vilst"} <= x for x in first)
+    rnd.shuffle(rows)
+    assert tx.learned_words(spark.createDataFrame(rows, "fold int, label double, text string").repartition(5)) == first
+
+
+def test_texts_without_spaces_take_linear_time():
+    for text in ("a" * 1_000_000, "a_" * 500_000, "aB3x" * 250_000, "1" * 1_000_000, "a." * 300_000, "a....." * 150_000, "!" * 1_000_000):
+        start = time.process_time()
+        tx.features(text, frozenset({"x"}))
+        assert time.process_time() - start < 8, text[:6]
+
+
 def test_features():
     named = dict(zip(tx.FEATURES, tx.features("You IDIOT, you are a m0ron!! Go"), strict=True))
     assert named["insults"] == 2 and named["distinct_insults"] == 1 and named["nearness"] == 1.0
