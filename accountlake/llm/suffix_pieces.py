@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from accountlake.llm.common import pick, shipped
 
 SPACE = "▁"
+LONG = 1_000  # bytes of a word that is walked on its own
+STRETCH = 1 << 16  # bytes of a long word looked at together
 INDEX_BYTES = 1 << 19  # words indexed together
 KNOWN_BYTES = 1 << 27  # memory of words a task remembers before it starts anew, by estimate
 ENTRY_BYTES = 250  # of that for each word beside its characters
@@ -211,8 +213,59 @@ def _occurrences(v: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return places, ids
 
 
+def _stretch(v: Vocabulary, text: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (by place) and ids of the pieces that begin within ``width`` bytes from ``first``."""
+    places, ids = _occurrences(v, text[first : first + width + int(v.sizes.max())])
+    here = places < width
+    places, ids = places[here] + first, ids[here]
+    by_place = np.argsort(places, kind="stable")
+    return places[by_place], ids[by_place]
+
+
+def _relaxed_long(v: Vocabulary, word: bytes) -> bytes:
+    """Ids of one long word, place by place, in stretches of bounded size.
+
+    Which pieces stay apart is found for all neighbours of a stretch at once; the walk over them looks it up.
+    """
+    text = np.frombuffer(word, np.uint8)
+    n = len(v.pieces)
+    last = [_FREE] * (len(word) + 1)
+    last[0] = _START
+    apart: dict[int, bool] = {}
+    old_ends, old_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for first in range(0, len(word), STRETCH):
+        places, ids = _stretch(v, text, first, STRETCH)
+        ends = places + v.sizes[ids]
+        all_ends, all_ids = np.concatenate([old_ends, ends]), np.concatenate([old_ids, ids])
+        order = np.argsort(all_ends, kind="stable")
+        all_ends, all_ids = all_ends[order], all_ids[order]
+        low, high = np.searchsorted(all_ends, places, "left"), np.searchsorted(all_ends, places, "right")
+        count = high - low
+        before = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        pairs = np.unique(all_ids[before].astype(np.int64) * n + np.repeat(ids, count))
+        apart = dict(zip(pairs.tolist(), stay_apart(v, (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)).tolist(), strict=True))
+        for place, piece, end in zip(places.tolist(), ids.tolist(), ends.tolist(), strict=True):
+            prev = last[place]
+            if prev == _START or prev >= 0 and apart[prev * n + piece]:
+                last[end] = piece
+        over = ends > first + STRETCH - 1
+        old_ends, old_ids = ends[over], ids[over]
+    out, at = [], len(word)
+    while at:
+        out.append(last[at])
+        at -= int(v.sizes[last[at]])
+    return np.array(out[::-1], "<i4").tobytes()
+
+
 def _relaxed(v: Vocabulary, words: list[bytes]) -> list[bytes]:
-    """Ids (four bytes each) of words that hold known characters only."""
+    """Ids (four bytes each) of words that hold known characters only: short words all at once, by depth, long ones each."""
+    short = [w for w in words if len(w) <= LONG]
+    done = iter(_relaxed_short(v, short) if short else [])
+    return [next(done) if len(w) <= LONG else _relaxed_long(v, w) for w in words]
+
+
+def _relaxed_short(v: Vocabulary, words: list[bytes]) -> list[bytes]:
+    """One step per depth for all words."""
     sizes = np.array([len(w) for w in words])
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     text = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -31,6 +32,24 @@ def test_ids_are_the_librarys(vocab, library):
     assert [np.frombuffer(x, "<i4").tolist() for x in got] == library.encode(texts, num_threads=1)
 
 
+def test_long_words(vocab, library, monkeypatch):
+    """Words without spaces, over many stretches, as the library cuts them; a megabyte in seconds."""
+    rnd = random.Random(3)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    parts = [x for x in PARTS if not set(x) & set(" \n")]
+    texts = ["".join(rnd.choices(parts, k=2_000)), "a" * 3_001, "ab_" * 1_500, "".join(rnd.choices(alphabet, k=5_000)),
+             "Donaudampfschiff" * 300, "é" * 2_000, "x " + "thing" * 700 + " y", "中文" * 900]
+    monkeypatch.setattr(sp, "STRETCH", 257)
+    got = sp.Encoder(vocab).encode(texts)
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == library.encode(texts, num_threads=1)
+    monkeypatch.undo()
+    for text in ("".join(rnd.choices(alphabet, k=1_000_000)), "a" * 1_000_000, "a_a_" * 250_000):
+        start = time.process_time()
+        got = sp.Encoder(vocab).encode([text])[0]
+        assert time.process_time() - start < 30
+        assert np.frombuffer(got, "<i4").tolist() == library.encode(text, num_threads=1)
+
+
 def test_words_of_few_letters(vocab, library):
     rnd = random.Random(2)
     texts = ["".join(rnd.choices("abent ", k=rnd.randint(0, 40))) for _ in range(3000)]
