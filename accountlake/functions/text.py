@@ -99,6 +99,11 @@ def tokens(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"({vocab.TOKEN_PATTERN})"), 1))
 
 
+def token_hashes(text: Column | str) -> Column:
+    """The tokens of a text as 64-bit hashes: sets that are small to shuffle and quick to compare."""
+    return F.transform(tokens(text), lambda t: F.xxhash64(t))
+
+
 def token_overlap(a: Column | str, b: Column | str) -> Column:
     """Shared share of two token sets; 0 when either is empty."""
     a, b = col(a), col(b)

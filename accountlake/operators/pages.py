@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from accountlake import vocab
 from accountlake.functions import html as H
@@ -111,26 +111,27 @@ def resolve_homepages(
     ``crawl`` holds answers by requested ``url`` (several crawls of one URL: the
     newest counts). Only rows whose URL is a candidate homepage of their own domain
     are looked at. The newest per candidate is found on narrow rows, then joined to the
-    crawl, so no aggregate holds page text; one more lookup when ``robots`` rules
-    (``host, status, body``) are to be kept.
+    crawl by domain; what follows needs no other layout, so page text is shuffled once and no aggregate holds it. Where ``crawl``
+    says in ``domain`` whose pages they are (``lay_out_crawl``) and is bucketed by it, page text is not shuffled at all.
+    One more lookup when ``robots`` rules (``host, status, body``) are to be kept.
     """
     tried = let(candidate_urls("domain"), lambda urls: F.array_position(urls, F.col("url")))
-    crawl = crawl.withColumn("domain", domain_of("url"))
+    if "domain" not in crawl.columns:
+        crawl = crawl.withColumn("domain", domain_of("url"))
     c = crawl.withColumn("_try", tried.cast("int")).where("_try > 0")
     columns = [x for x in crawl.columns if x in RAW_PAGE.names]
-    # The newest answer is chosen on a few bytes a row; page texts travel once, for the chosen rows only.
+    # The newest answer is chosen on a few bytes a row; page texts travel once.
     stamp = F.xxhash64("html", "final_url")
     newest = c.select("domain", "_try", "fetched_at", stamp.alias("_stamp")).groupBy("domain", "_try").agg(
         F.max(F.struct("fetched_at", "_stamp")).alias("_m")
     ).select("domain", "_try", F.col("_m.fetched_at").alias("_when"), F.col("_m._stamp").alias("_stamp"))
     wanted = domains.join(newest, "domain", "left")
     answers = c.withColumn("_stamp", stamp).select(
-        "domain", "_try", F.col("fetched_at").alias("_when"), "_stamp", F.struct("_try", *columns).alias("_r")
-    )
-    same = (
-        (wanted["domain"] == answers["domain"]) & (wanted["_try"] == answers["_try"])
-        & wanted["_when"].eqNullSafe(answers["_when"]) & (wanted["_stamp"] == answers["_stamp"])
-    )
+        "domain", F.struct("_try", *columns).alias("_r"), F.struct("_try", F.col("fetched_at").alias("_when"), "_stamp").alias("_at"))
+    # Keys beside the domain are written as no equality, so that rows stay together by domain.
+    same = (wanted["domain"] == answers["domain"]) & ~(
+        F.struct(wanted["_try"], wanted["_when"], wanted["_stamp"]) < answers["_at"]
+    ) & ~(answers["_at"] < F.struct(wanted["_try"], wanted["_when"], wanted["_stamp"]))
     tries = wanted.join(answers, same, "left").select(*[wanted[x] for x in domains.columns], answers["_r"])
     asked = tries.select(*domains.columns, "_r.*").withColumn("allowed", F.lit(True))
     if robots is not None:
@@ -154,17 +155,21 @@ def resolve_homepages(
         "final_url", "status_code", "fetched_at", "title", "meta_description", "markdown",
         "links", "tech_signals", "content_hash",
     )
+    # At most the two candidate URLs per domain; an answer that was stored twice counts once.
     usable = F.col("_try").isNotNull() & F.col("_error").isNull()
-    best = pages.groupBy(*domains.columns).agg(
-        F.min_by(F.struct(*page_columns), F.when(usable, F.col("_try"))).alias("page"),
-        # at most the two candidate URLs per domain; an answer that was stored twice counts once
-        F.array_sort(
-            F.collect_set(F.when(F.col("_error").isNotNull(), F.struct("_try", "_error")))
-        ).alias("_errors"),
-    )
+    of_domain = Window.partitionBy("domain")
+    failed = F.collect_set(F.when(F.col("_error").isNotNull(), F.struct("_try", "_error"))).over(of_domain)
+    first = F.row_number().over(of_domain.orderBy((~usable).cast("int"), "_try"))
+    best = pages.withColumns({"_usable": usable, "_errors": F.array_sort(failed), "_first": first}).where("_first = 1")
     error = F.array_join(F.transform("_errors", lambda e: e["_error"]), "; ")
     nothing = F.concat(F.col("domain"), F.lit(": no candidate URL succeeded"))
     return best.select(
-        *domains.columns, "page.*",
-        F.when(F.col("page").isNull(), F.coalesce(blank_to_null(error), nothing)).alias("error"),
+        *domains.columns, *[F.when(F.col("_usable"), F.col(c)).alias(c) for c in page_columns],
+        F.when(~F.col("_usable"), F.coalesce(blank_to_null(error), nothing)).alias("error"),
     )
+
+
+def lay_out_crawl(crawl: DataFrame, table: str, buckets: int) -> None:
+    """Write a crawl as a table bucketed and sorted by ``domain``: lookups by domain then read pages where they lie."""
+    laid = crawl.withColumn("domain", domain_of("url")).where("domain is not null")
+    laid.repartition(buckets, "domain").write.mode("overwrite").bucketBy(buckets, "domain").sortBy("domain").saveAsTable(table)

@@ -8,14 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from accountlake import vocab
-from accountlake.operators.keys import one_per_key
+from accountlake.operators.keys import row_per_key
 
 ANALYSIS_KEY = ("domain", "content_hash", "analyzer", "profile")
 
 
 def latest_pages(snapshots: DataFrame, keys: Sequence[str] = ("domain",)) -> DataFrame:
     """The newest snapshot of every domain."""
-    return one_per_key(snapshots, keys, ["fetched_at"], last=True)
+    return row_per_key(snapshots, keys, ["fetched_at"], last=True)
 
 
 def stale_domains(
@@ -29,7 +29,7 @@ def stale_domains(
 
 
 def latest_analyses(prior: DataFrame) -> DataFrame:
-    return one_per_key(prior, ANALYSIS_KEY, ["analyzed_at"], last=True)
+    return row_per_key(prior, ANALYSIS_KEY, ["analyzed_at"], last=True)
 
 
 def _keyed(pages: DataFrame, analyzer: str, profile: str) -> DataFrame:

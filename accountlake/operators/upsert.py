@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from accountlake.functions.values import comparable
-from accountlake.operators.keys import lookup_join
+from accountlake.operators.keys import lookup_join, row_per_key
+from accountlake.spark import stored
 
 MAX_LABEL = 63
 
@@ -16,12 +17,8 @@ def _key(c: Column) -> Column:
 
 def _one_record_per_key(existing: DataFrame, key: Column) -> DataFrame:
     """The record with the smallest id for every key."""
-    return (
-        existing.withColumn("_key", key)
-        .where("_key is not null")
-        .groupBy("_key")
-        .agg(F.min_by(F.struct(*existing.columns), F.col("record_id")).alias("_found"))
-    )
+    keyed = row_per_key(existing.withColumn("_key", key), ["_key"], ["record_id"])
+    return keyed.select("_key", F.struct(*existing.columns).alias("_found"))
 
 
 def _nowhere() -> Column:
@@ -83,35 +80,66 @@ def _search_key(needle: Column) -> Column:
     return F.concat(first, F.lit("."), second)
 
 
+FILTER_WORDS = 1 << 16  # 64-bit words of the filter of searched labels: half a megabyte, whatever is searched
+
+
+def _bit(label: Column) -> tuple[Column, Column]:
+    """Word and bit of a label in the filter."""
+    at = F.pmod(F.xxhash64(label), F.lit(FILTER_WORDS * 64))
+    return F.floor(at / 64).cast("int"), F.pmod(at, F.lit(64)).cast("int")
+
+
+def _label_filter(labels: DataFrame) -> Column:
+    """A Bloom filter of labels, one hash each, as a scalar subquery: an array of words of fixed size."""
+    word, bit = _bit(F.col("_label"))
+    bits = labels.select(word.alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("w")).groupBy("i").agg(
+        F.bit_or("w").alias("w"))
+    every = labels.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("i")).join(bits, "i", "left")
+    words = F.array_sort(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0).cast("long")).alias("w"))))
+    return every.agg(F.transform(words, lambda x: x["w"]).alias("f")).scalar()
+
+
+def _may_be_searched(label: Column, words: Column) -> Column:
+    word, bit = _bit(label)
+    return F.getbit(F.get(words, word), bit) == 1
+
+
 def find_by_contains(payloads: DataFrame, existing: DataFrame, match_key: str, **join) -> DataFrame:
     """Payloads with ``_found``: the smallest-id record whose key text contains the bare domain.
 
     An equality join on label keys finds the possible pairs, ``contains`` settles
     them; equal texts are reduced to one record first and hot keys are spread. Texts without a dot
     have no label to look up; they are searched by their first three characters (one or two
-    by that many), which every text lists only if there are such searches.
+    by that many), which texts list only if there are such searches. What a text lists passes a
+    filter of the searched labels before anything is shuffled. Both tables are read twice: to search, and for the result. Of records with one
+    id and the same text the smallest counts.
     """
     needle = F.lower(F.btrim(F.regexp_replace(F.col("match_value"), "^.*//", ""), F.lit("/")))
-    wanted = payloads.select(needle.alias("_needle")).where("_needle <> ''").distinct().withColumn(
-        "_label", F.when(F.col("_needle").contains("."), _search_key(F.col("_needle"))).otherwise(_start_key(F.col("_needle")))
-    )
-    # Only labels that are searched are kept, before anything is counted or shuffled further.
+    plain = ~F.col("_needle").contains(".")
+    wanted = stored(
+        payloads.select(needle.alias("_needle")).where("_needle <> ''").distinct().withColumn(
+            "_label", F.when(plain, _start_key(F.col("_needle"))).otherwise(_search_key(F.col("_needle")))),
+        "searched")
     labels = wanted.select("_label").distinct()
+    any_plain = F.coalesce(wanted.agg(F.bool_or(plain).alias("p")).scalar(), F.lit(False))
+    text = F.col("_text")
+    listed = F.concat(_label_keys(text), F.when(any_plain, _start_keys(text)).otherwise(F.array().cast("array<string>")))
     texts = (
         existing.select(F.lower(F.col(match_key)).alias("_text"), "record_id")
         .where("_text is not null")
         .groupBy("_text").agg(F.min("record_id").alias("_id"))
-        .select("_text", "_id", F.explode(F.concat(_label_keys(F.col("_text")), _start_keys(F.col("_text")))).alias("_label"))
-        .join(labels, "_label", "left_semi")
+        .select("_text", "_id", F.explode(listed).alias("_label"))
+        .where(_may_be_searched(F.col("_label"), _label_filter(labels)))
     )
+    texts = stored(texts.join(labels, "_label", "left_semi"), "listed")
     hits = (
         lookup_join(texts, wanted, ["_label"], how="inner", **join)
-        .where(F.col("_text").contains(F.col("_needle")))
-        .groupBy("_needle").agg(F.min("_id").alias("_id"))
+        .where(text.contains(F.col("_needle")))
+        .groupBy("_needle").agg(F.min(F.struct("_id", "_text")).alias("_hit"))
+        .select("_needle", "_hit.*")
     )
-    found = hits.join(
-        existing.select(F.col("record_id").alias("_id"), F.struct(*existing.columns).alias("_found")), "_id"
-    ).select("_needle", "_found")
+    records = existing.select(F.col("record_id").alias("_id"), F.lower(F.col(match_key)).alias("_text"), F.struct(*existing.columns).alias("_found"))
+    found = hits.join(records, ["_id", "_text"]).groupBy("_needle").agg(F.min("_found").alias("_found"))
     return payloads.withColumn("_needle", F.coalesce(needle, _nowhere())).join(found, "_needle", "left").drop("_needle")
 
 

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from accountlake import vocab
 from accountlake.functions import probing as P
-from accountlake.functions.text import first_marker, token_overlap, tokens
-from accountlake.operators.keys import lookup_join, one_per_key
+from accountlake.functions.text import first_marker, token_hashes, token_overlap
+from accountlake.operators.keys import lookup_join, row_per_key
 
 
 def calibrate(controls: DataFrame) -> DataFrame:
     """One row per domain: how the site answers an impossible path, and the words it uses.
 
-    ``controls``: answers per ``domain`` with ``status_code, fetch_error, text``; of several the smallest counts.
+    ``controls``: answers per ``domain`` with ``status_code, fetch_error, text``; of several the one with the smallest status,
+    error and hash counts. Words are 64-bit hashes, a fraction of the text.
     """
     mode = P.control_mode("fetch_error", "status_code", "text")
     asked = controls.select("domain", "status_code", "fetch_error", "text")
-    return one_per_key(asked, ["domain"], ["status_code", "fetch_error", "text"]).select("domain", mode.alias("mode"), F.col("text").alias("_text")).select(
-        "domain", "mode", F.when(F.col("mode") == P.SOFT, tokens("_text")).alias("control_tokens")
-    )
+    one = row_per_key(asked, ["domain"], ["status_code", "fetch_error"]).withColumn("mode", mode)
+    return one.select("domain", "mode", F.when(F.col("mode") == P.SOFT, token_hashes("text")).alias("control_tokens"))
 
 
 def path_verdicts(
@@ -36,11 +36,11 @@ def path_verdicts(
     """``verdict, reason, confidence, similarity`` for every candidate.
 
     ``candidates``: ``domain, path, final_url, status_code, fetch_error, text``. All
-    that is read off the text is read before the join, so the text is not shuffled.
+    that is read off the text is read before the join, so neither the text nor its words are shuffled, only their hashes.
     """
     facts = candidates.select(
         *[c for c in candidates.columns if c != "text"],
-        tokens("text").alias("_tokens"),
+        token_hashes("text").alias("_tokens"),
         F.length(F.coalesce("text", F.lit(""))).alias("text_length"),
         first_marker("text", gated_markers).alias("_gated"),
         first_marker("text", missing_markers).alias("_missing"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from accountlake import vocab
 from accountlake.functions.text import blank_to_null
 from accountlake.functions.urls import url_path
-from accountlake.operators.keys import one_per_key
+from accountlake.operators.keys import row_per_key
 from accountlake.operators.verdicts import path_verdicts
 
 
@@ -29,7 +29,7 @@ def probe_paths(
     asked = controls.select("domain", F.explode(paths).alias("path")).withColumn(
         "url", F.concat(F.lit("https://"), F.col("domain"), F.col("path"))
     )
-    answers = one_per_key(
+    answers = row_per_key(
         crawl.where(url_path("url").isin(*topics)).select(
             "url", "final_url", "status_code", "fetch_error", "fetched_at",
             F.coalesce(blank_to_null("markdown"), "html").alias("text"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators rely on. Shuffle partition counts are left
 # to the cluster: AQE coalesces them, and splits skewed ones.
@@ -50,3 +50,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         or spark.conf.get("spark.sql.warehouse.dir")
     )
     return f"{root.rstrip('/')}/accountlake/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """A table written to the shared folder and read again: worked out once, however often it is used, lost executors or not."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from accountlake.config import Mapping, Profile
 from accountlake.operators import report
 from accountlake.plans.enrich import enrich_pages, plan_writes
-from accountlake.spark import shared_dir
+from accountlake.spark import shared_dir, stored
 from accountlake.streaming import events as E
 from accountlake.streaming.jobs import run_dedupe, run_jobs
 from accountlake.streaming.metrics import observed, observed_counts
@@ -172,13 +172,6 @@ PERIODS, PERIOD_DAYS = 3, 10
 FIRST_DAY = "2024-01-01"
 
 
-def stored(df, purpose):
-    """A table that several batches read, worked out once."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def delivered(raw, start, purpose):
     """Every event twice, an hour apart, in three deliveries by arrival, each read by a run of the stream that takes what is new.
 

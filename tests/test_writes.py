@@ -14,7 +14,7 @@ from accountlake.config import ConfigError, Mapping, Profile
 from accountlake.functions import values as V
 from accountlake.functions.usage import summary_line
 from accountlake.operators import report, reuse
-from accountlake.operators.keys import lookup_join, one_per_key
+from accountlake.operators.keys import lookup_join, one_per_key, row_per_key
 from accountlake.operators.payload import MappingError, build_payloads, field_catalogue, resolve
 from accountlake.operators.upsert import find_by_contains, to_write, upsert_plan
 from accountlake.plans.enrich import analyses_to_keep, enrich, in_input_order, plan_writes
@@ -165,6 +165,42 @@ def test_contains_match_equals_brute_force(spark, rows_per_task):
     assert got == expected and sum(v is not None for v in got.values()) > 50
 
 
+def test_contains_match_of_repeated_records(spark):
+    """Records with one id, and equal records: one row per payload."""
+    rows = [("1", "https://acme.com/a", "x"), ("1", "https://acme.com/a", "x"), ("1", "https://acme.com/a", "y"), ("1", "https://other.io", "z"),
+            ("2", "https://acme.com", "w"), (None, "https://acme.com", "v")]
+    old = spark.createDataFrame(rows, "record_id string, Website string, name string")
+    wanted = spark.createDataFrame([("acme.com", "https://acme.com"), ("other.io", "other.io"), ("acm", "acm"), ("no", "zz")], "domain string, match_value string")
+    found = find_by_contains(wanted, old, "Website").select("domain", "_found.record_id", "_found.name").collect()
+    assert sorted((r.domain, r.record_id, r.name) for r in found if r.domain != "no") == [("acm", "1", "x"), ("acme.com", "1", "x"), ("other.io", "1", "z")]
+    assert len(found) == 4
+
+
+def test_contains_match_drops_labels_nobody_searches(spark, tmp_path):
+    """Of some sixty labels a text lists, those that are not searched go before the shuffle; no scan more than twice."""
+    spark.range(3000).selectExpr("cast(id as string) as record_id", "concat('https://shop', id, '.example.com/path/index.html') as Website").write.parquet(
+        str(tmp_path / "old"))
+    spark.createDataFrame([("shop7.example.com",)], "domain string").selectExpr("domain", "domain as match_value").write.parquet(str(tmp_path / "new"))
+    old, wanted = spark.read.parquet(str(tmp_path / "old")), spark.read.parquet(str(tmp_path / "new"))
+    found = find_by_contains(wanted, old, "Website")
+    assert [r._found.record_id for r in found.collect()] == ["7"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    listed = [c for c in (tmp_path / "old", tmp_path / "new")]
+    assert plan.count("Relation") <= 5 and listed
+
+
+def test_row_per_key_picks_like_an_aggregate(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "a", "b", None, f"k{i % 40}"]), rng.choice([1, 2, None]), rng.choice("xyz")) for i in range(600)]
+    df = spark.createDataFrame(rows * 2, "k string, at int, wide string").repartition(5)
+    for last in (False, True):
+        got = row_per_key(df, ["k"], ["at"], last=last)
+        have = {(r.k, r.at) for r in got.collect()}
+        want = {(r.k, r.at) for r in one_per_key(df.where("k is not null"), ["k"], ["at"], last=last).collect()}
+        assert have == want and got.count() == len(want)
+        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # --- hot keys --------------------------------------------------------------
 
 
