@@ -68,8 +68,11 @@ def _start_key(needle: Column) -> Column:
 def _start_keys(website: Column) -> Column:
     """Every run of one to three characters inside a website text, as keys of ``_start_key``."""
     places = F.sequence(F.lit(1), F.greatest(F.length(website), F.lit(1)))
-    runs = [F.transform(places, lambda i, n=n: F.concat(F.lit("\x01"), F.substring(website, i, F.lit(n)))) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(n: int) -> Column:
+        return F.transform(places, lambda i: F.concat(F.lit("\x01"), F.substring(website, i, F.lit(n))))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAM + 1)]))
 
 
 def _search_key(needle: Column) -> Column:

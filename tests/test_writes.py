@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -185,8 +186,7 @@ def test_contains_match_drops_labels_nobody_searches(spark, tmp_path):
     found = find_by_contains(wanted, old, "Website")
     assert [r._found.record_id for r in found.collect()] == ["7"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    listed = [c for c in (tmp_path / "old", tmp_path / "new")]
-    assert plan.count("Relation") <= 5 and listed
+    assert plan.count("Relation") <= 4
 
 
 def test_row_per_key_picks_like_an_aggregate(spark):
@@ -198,7 +198,8 @@ def test_row_per_key_picks_like_an_aggregate(spark):
         have = {(r.k, r.at) for r in got.collect()}
         want = {(r.k, r.at) for r in one_per_key(df.where("k is not null"), ["k"], ["at"], last=last).collect()}
         assert have == want and got.count() == len(want)
-        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Aggregate.*wide", plan)
 
 
 # --- hot keys --------------------------------------------------------------
