@@ -179,10 +179,12 @@ def _index(rows: DataFrame, text_field: int, capacity: int, with_rows: bool) ->
     entries = saved(rows.mapInArrow(_combiner(text_field), f"{ENTRY}, row {ddl}"), "entries")
     texts = entries.where("kind = 1")
     buckets, depth = directory(texts.select("key", "bytes"), capacity)
+    # As many owners as the directory asks for, whatever the session's number of shuffle partitions.
+    owners = 2 * max(1, buckets.agg(F.count_distinct("bucket")).first()[0])
     dealt = (
         texts.withColumn("prefix", prefix(F.col("key"), depth)).join(buckets, "prefix")
         .select("bucket", "key", "entry", "doc_id", "copies", "text_sha256", "row")
-        .repartition("bucket").sortWithinPartitions("bucket", "key", "entry")
+        .repartition(owners, "bucket").sortWithinPartitions("bucket", "key", "entry")
     )
     found = dealt.mapInArrow(_owner(text_field, with_rows), FOUND + (f", row {ddl}" if with_rows else ""))
     return entries, found
@@ -206,7 +208,11 @@ def exact_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Rows travel with their entries: there is no join back."""
+    """The rows of ``docs`` that stay, all columns. Rows travel with their entries: there is no join back.
+
+    Null texts count as empty, null ids are the smallest, of rows equal in id and text one stays; an empty table stays empty; columns
+    of any names are kept. Texts of any length are compared whole.
+    """
     at = docs.columns.index("text")
     rows = packed(docs, "doc_id", "text").select(
         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"),
