@@ -324,7 +324,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # Exact likeness inside them.
     kin = loose.select(F.col("id").alias("rep"), F.col("root").alias("grp")).join(
         reps.select("rep", "doc_id", "text_key", "n", "copies"), "rep")
-    sizes = kin.groupBy("grp").agg(F.count(F.lit(1)).alias("g"), (F.sum("n") * 8).alias("bytes"))
+    # Written before they are joined: with nothing but a shuffle on either side, the join may split a large group.
+    sizes = saved(kin.groupBy("grp").agg(F.count(F.lit(1)).alias("g"), (F.sum("n") * 8).alias("bytes")), "sizes")
     kin = kin.join(sizes.select(
         "grp", F.greatest(F.ceil(F.col("g") / EXACT_BLOCK), F.ceil(F.col("bytes") / EXACT_BYTES)).cast("long").alias("b")
     ), "grp")
@@ -349,11 +350,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "kinds")
     named = rows.select("row_id", "doc_id", "text_key", "hi", "lo").join(kinds, ["hi", "lo"])
     named = saved(named, "named")
-    classes = named.groupBy("root").agg(
+    classes = saved(named.groupBy("root").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")).alias("best"),
-    )
-    return named.join(classes, "root").select(
+    ), "classes")
+    return named.join(classes.hint("merge"), "root").select(
         "row_id", "doc_id", "text_key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size",
         (F.col("best.row_id") == F.col("row_id")).alias("stays"),
     )
