@@ -157,6 +157,20 @@ def run_dedupe(
     return _started(jobs, process, checkpoint, available_now)
 
 
+def run_resolve(
+    jobs: DataFrame, accounts: Callable[[], DataFrame], *, out: str, checkpoint: str, rows_per_task: int = ROWS_PER_TASK,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Jobs with the domains their records are known by, in ``out/resolved``; the busiest records of a batch are spread over tasks.
+
+    A plain join of a stream to a table puts all events of one record into one task; here each batch finds its own busy ones.
+    """
+    def process(batch: DataFrame, batch_id: int) -> None:
+        _write(resolve_event_domain(batch, accounts(), rows_per_task=rows_per_task), f"{out}/resolved", batch_id)
+
+    return _started(jobs, process, checkpoint, available_now)
+
+
 # --- jobs that wait --------------------------------------------------------
 
 

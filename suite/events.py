@@ -11,7 +11,7 @@ from accountlake.operators import report
 from accountlake.plans.enrich import enrich_pages, plan_writes
 from accountlake.spark import shared_dir, stored
 from accountlake.streaming import events as E
-from accountlake.streaming.jobs import run_dedupe, run_jobs
+from accountlake.streaming.jobs import run_dedupe, run_jobs, run_resolve
 from accountlake.streaming.metrics import observed, observed_counts
 from accountlake.streaming.retry import first_attempt, ready_jobs
 from suite.pages import rendered
@@ -212,10 +212,15 @@ def stream_dedupe(spark, sf):
         "key", "system", "domain", F.date_format("ingest_ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("arrived"))
 
 
-@query("stream_resolve_domain", f"WITH {RESOLVED_SQL} SELECT key, record_id, domain, event FROM resolved")
+@query("stream_resolve_domain", f"""WITH {RESOLVED_SQL} SELECT key, record_id, domain, event FROM resolved
+UNION ALL SELECT key, record_id, domain, event FROM resolved""")
 def stream_resolve_domain(spark, sf):
-    jobs = E.crm_jobs(crm_events(event_stream(spark, sf)))
-    return drain(E.resolve_event_domain(jobs, accounts(spark, sf)), "resolved").select("key", "record_id", "domain", "event")
+    """Every delivery with its record's domain, over three batches; the busiest records are spread over several tasks."""
+    def start(stream, out, mark):
+        return run_resolve(E.crm_jobs(crm_events(stream, "arrived")), lambda: accounts(spark, sf), out=out, checkpoint=mark, rows_per_task=100)
+
+    out = delivered(events(spark, sf), start, "resolved")
+    return spark.read.parquet(f"{out}/resolved").select("key", "record_id", "domain", "event")
 
 
 DAY = 86_400  # seconds between attempts: long enough to wait from batch to batch

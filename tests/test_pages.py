@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from accountlake.functions import html as H
 from accountlake.functions import text as T
 from accountlake.functions import urls as U
-from accountlake.operators.pages import build_pages, resolve_homepages, targets, with_signals
+from accountlake.operators.pages import build_pages, lay_out_crawl, resolve_homepages, targets, with_signals
 from accountlake.operators.robots import robots_gate
 
 
@@ -218,6 +218,25 @@ def test_homepages_fall_back_and_explain(spark, homepage, crawl):
     assert sorted((r.domain, r.ord, r.error) for r in rejects.collect()) == [("nope", 1, "Not a domain: 'nope'"), ("nope", 5, "Not a domain: 'nope'")]
 
 
+def test_a_crawl_laid_out_by_domain_is_not_shuffled(spark, homepage, crawl):
+    """Pages are read where they lie: no exchange holds html, and the result is that of the loose crawl."""
+    rows = [(f"https://{'www.' * (i % 2)}d{i}.example/", None, 200, "text/html", homepage) for i in range(20)]
+    loose = crawl(rows)
+    lay_out_crawl(loose, "crawl_by_domain", 4)
+    domains, _ = targets(spark.createDataFrame([(f"d{i}.example", i) for i in range(25)], "domain string, ord long"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = resolve_homepages(domains, spark.table("crawl_by_domain"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any("html" in line for line in plan.split("\n") if "Exchange" in line)
+        assert not re.search("Aggregate.*html", plan)
+        got = {r.domain: (r.final_url, r.error) for r in found.collect()}
+        assert got == {r.domain: (r.final_url, r.error) for r in resolve_homepages(domains, loose).collect()} and len(got) == 25
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE crawl_by_domain")
+
+
 def test_newest_crawl_of_a_homepage_counts(spark, homepage):
     from samples import NOW
     from datetime import timedelta

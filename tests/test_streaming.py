@@ -16,7 +16,7 @@ from accountlake.operators.pages import resolve_homepages
 from accountlake.operators.payload import build_payloads
 from accountlake.schemas import CRM_EVENT
 from accountlake.streaming import events as E
-from accountlake.streaming.jobs import new_jobs, run_dedupe, run_jobs, with_ticks
+from accountlake.streaming.jobs import new_jobs, run_dedupe, run_jobs, run_resolve, with_ticks
 from accountlake.streaming.metrics import DeliveryListener, observed, observed_counts
 from accountlake.streaming.retry import first_attempt, ready_jobs
 
@@ -253,6 +253,23 @@ def test_a_wait_ends_with_a_later_event_or_a_record(spark, crm, tmp_path):
     assert targets == [("acme.com", 2), ("five.com", 1), ("six.com", 2)]
 
 
+def test_a_busy_record_is_spread(spark, crm, tmp_path):
+    """One record with a third of the events lies in several files; rows are those of a plain join."""
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rows = [creation(i, i, 7 if i % 3 == 0 else 100 + i) for i in range(1, 301)]
+    accounts = spark.createDataFrame([("7", "seven.com"), ("101", "one.com")], "record_id string, domain string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        run_resolve(E.crm_jobs(stream(spark, src, crm(*rows))), lambda: accounts, out=out, checkpoint=ck, rows_per_task=10).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = spark.read.parquet(f"{out}/resolved")
+    assert {(r.record_id, r.domain) for r in got.collect()} == {
+        (str(7 if i % 3 == 0 else 100 + i), {7: "seven.com", 101: "one.com"}.get(7 if i % 3 == 0 else 100 + i)) for i in range(1, 301)}
+    assert got.count() == 300
+    assert got.where("record_id = '7'").select(F.input_file_name()).distinct().count() > 1
+
+
 def test_ready_jobs(spark):
     rows = [(3, "pending", T0), (1, "pending", T0 + timedelta(hours=1)), (2, "done", T0), (4, "pending", T0 - timedelta(hours=1))]
     df = spark.createDataFrame(rows, "id int, status string, run_after timestamp")
