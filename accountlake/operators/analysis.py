@@ -80,7 +80,7 @@ def analyse(
     staged = staged.withColumns({"_good": good, "_poor": poor})
     fields = {
         "company_name": F.col("_company"),
-        "one_liner": S.one_liner("meta_description", "_paragraph", "_company"),
+        "one_liner": S.one_liner("meta_description", "_paragraph", "_company", vocab.MAX_QUOTE),
         "category": F.col("_category"),
         "sells_to": F.col("_sells_to"),
         "segment": F.col("_segment"),
@@ -92,7 +92,7 @@ def analyse(
         "disqualifiers": S.disqualifiers("_poor", "markdown", vocab.MAX_DISQUALIFIERS, vocab.MAX_POOR_TERMS),
         "primary_cta": S.primary_cta("page_signals"),
         "confidence": S.confidence("markdown"),
-        "evidence": S.evidence("meta_description", "_paragraph", vocab.MAX_EVIDENCE),
+        "evidence": S.evidence("meta_description", "_paragraph", vocab.MAX_EVIDENCE, vocab.MAX_QUOTE),
     }
     analysis = F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in ANALYSIS])
     return staged.select(

@@ -11,6 +11,7 @@ from accountlake import vocab
 from accountlake.config import FilterSpec
 from accountlake.functions.text import strip
 from accountlake.operators.predicates import TABLE, predicate
+from accountlake.spark import stored
 
 
 def _in_file_order(lines: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def _in_file_order(lines: DataFrame) -> DataFrame:
     place in the block: blocks are counted, and a block's rows are numbered on from those before it.
     """
     block = ["_file", "_block"]
-    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    placed = lines if "_at" in lines.columns else lines.withColumn("_at", F.monotonically_increasing_id())
     counts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -28,35 +29,60 @@ def _in_file_order(lines: DataFrame) -> DataFrame:
     return placed.withColumn("_i", inside).join(starts, block).withColumn("ord", F.col("_start") + F.col("_i") - 1)
 
 
+_CELL = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,"]*))'
+
+
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """The first line of every CSV file: ``_file``, its ``cells``, and ``column``, the place of the first known name (null: none)."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    first = lines.where("_block = 0").withColumn("_at", F.monotonically_increasing_id()).groupBy("_file").agg(F.min_by("value", "_at").alias("line"))
+    line = F.regexp_replace("line", "^\ufeff|\r$", "")
+    cells = F.zip_with(
+        F.regexp_extract_all(line, F.lit(_CELL), 1), F.regexp_extract_all(line, F.lit(_CELL), 2),
+        lambda quoted, bare: F.when(quoted != "", F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(bare))
+    names = F.transform("cells", lambda c: F.lower(F.trim(c)))
+    known = F.coalesce(*[F.nullif(F.array_position("_names", name), F.lit(0)) for name in vocab.DOMAIN_COLUMNS])
+    return first.select("_file", cells.alias("cells")).withColumn("_names", names).select("_file", "cells", known.cast("int").alias("column"))
+
+
+def _csv_domains(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """``domain, _file, _block, _at`` of CSV files, each by its own header."""
+    heads = stored(_heads(spark, path), "heads")
+    widths = heads.agg(F.coalesce(F.max(F.size("cells")), F.lit(1))).first()[0]
+    columns = [f"_c{i}" for i in range(widths)]
+    rows = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(
+        path, header=True, enforceSchema=True, quote='"', escape='"', multiLine=multiline)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn(
+        "_at", F.monotonically_increasing_id())
+    # Where all files agree, only that column is read.
+    places = [r[0] for r in heads.select(F.coalesce("column", F.lit(1))).distinct().collect()]
+    if len(places) == 1:
+        named = rows.withColumn("domain", F.col(columns[places[0] - 1]))
+    else:
+        at = heads.select("_file", F.coalesce("column", F.lit(1)).alias("_place"))
+        named = rows.join(at, "_file").withColumn("domain", F.element_at(F.array(*columns), F.col("_place")))
+    # A first line that names nothing known is a row, if there is a domain in it.
+    firsts = heads.where(F.col("column").isNull() & F.get("cells", F.lit(0)).contains(".")).select(
+        F.get("cells", F.lit(0)).alias("domain"), "_file", F.lit(0).cast("long").alias("_block"), F.lit(-1).cast("long").alias("_at"))
+    return named.select("domain", "_file", "_block", "_at").unionByName(firsts)
+
+
 def read_account_file(spark: SparkSession, path: str, limit: int = 0, *, multiline: bool = False) -> DataFrame:
-    """``domain, source, ord`` from a CSV or a plain list.
+    """``domain, source, ord`` from CSV files or plain lists: a file, or all files of a folder.
 
-    A CSV's domain column is the first known name in its header; without one it is
+    A CSV's domain column is the first known name in its own header; without one it is
     the first column, whose first row counts when it has a dot in it. Quotes inside quoted
     fields are doubled. ``multiline`` reads quoted line breaks too, at the price of one task per file. In any other
     file every line is a domain, but for blank lines and ``#`` comments. A folder's files count in order of
     their names; ``limit`` keeps the first rows.
     """
-    here = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    if not path.lower().endswith(".csv"):
-        lines = spark.read.text(path).select(F.col("value").alias("domain"), *here)
-        found = lines.where(~F.col("domain").startswith("#"))
+    if path.lower().endswith(".csv"):
+        found = _csv_domains(spark, path, multiline)
     else:
-        options = {"quote": '"', "escape": '"', "multiLine": multiline}
-        # One header line is read on the driver; it decides which column to read.
-        first = spark.read.csv(path, header=False, **options).limit(1).collect()
-        header = [(c or "") for c in first[0]] if first else []
-        names = [c.strip().lower() for c in header]
-        column = next((c for c in vocab.DOMAIN_COLUMNS if c in names), None)
-        if not header:
-            found = spark.createDataFrame([], "domain string, _file string, _block long")
-        elif column is None:
-            keep_first = "." in header[0]
-            table = spark.read.csv(path, header=not keep_first, **options)
-            found = table.select(F.col(f"`{table.columns[0]}`").alias("domain"), *here)
-        else:
-            table = spark.read.csv(path, header=True, enforceSchema=True, **options)
-            found = table.select(F.col(f"`{table.columns[names.index(column)]}`").alias("domain"), *here)
+        lines = spark.read.text(path).select(
+            F.col("value").alias("domain"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        found = lines.where(~F.col("domain").startswith("#"))
     found = _in_file_order(found.withColumn("domain", strip("domain")).where("domain <> ''"))
     found = found.select("domain", F.lit("file").alias("source"), "ord")
     return found.orderBy("ord").limit(limit) if limit else found

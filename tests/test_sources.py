@@ -145,3 +145,16 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('name,domain\n"two\nlines",acme.com\nx,beta.io\n')
     assert [r.domain for r in read_account_file(spark, str(path), multiline=True).orderBy("ord").collect()] == ["acme.com", "beta.io"]
+
+
+def test_every_file_of_a_folder_has_its_own_header(spark, tmp_path):
+    """Another column in each file, quoted names, no header at all, an empty file."""
+    folder = tmp_path / "lists.csv"
+    folder.mkdir()
+    for name, text in {
+        "a.csv": "Name,Domain\nAcme,acme.com\nBeta,beta.io\n", "b.csv": 'url,"name, full"\nhttps://c.org/x,"C, Inc."\n',
+        "c.csv": "d.net,first\ne.net,second\n", "d.csv": "company\nplain\n", "e.csv": "", "f.csv": 'id,"website"\n7,"f.com"\n8,\n',
+    }.items():
+        (folder / name).write_text(text)
+    got = [r.domain for r in read_account_file(spark, str(folder)).orderBy("ord").collect()]
+    assert got == ["acme.com", "beta.io", "https://c.org/x", "d.net", "e.net", "plain", "f.com"]
