@@ -361,7 +361,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of every class the one of the smallest ``doc_id``."""
+    """The rows of ``docs`` that stay, all columns: of every class the one of the smallest ``doc_id``.
+
+    Null ids come last, null texts are texts without words, of rows equal in id and text one stays; columns of any names are
+    kept, an empty table stays empty.
+    """
     stays = near_copies(docs).where("stays").select(
         F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2"), F.col("text_key").alias("k3"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -138,7 +138,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, as often as the mix takes them.
 
-    Sources without words stay once. Texts are not shuffled while the table of sources is small enough
+    Sources without words stay once. Null and empty texts have no words, a null source comes last, rows equal in id and text are
+    taken alike, columns of any names are kept, an empty table stays empty. Texts are not shuffled while the table of sources is small enough
     for Spark to broadcast it; else the join is split where a source is hot.
     """
     plan, ends = plan_mix(saved(_sized(docs), "sized"))

@@ -416,7 +416,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id`` and ``ids`` of every whole text; null and empty texts have none. One pass, no shuffle."""
+    """``doc_id`` and ``ids`` of every whole text; null and empty texts have none. One pass, no shuffle.
+
+    Repeated rows and null ids give a row each, an empty table none; other columns are not read.
+    """
     sent = shipped(docs.sparkSession, vocabulary(path or model_path()))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -449,7 +452,9 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 def piece_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Every whole text encoded and decoded again: pieces, the hash of their ids, and the hash of the decoded text.
 
-    One row per row of ``docs``. ``ids_sha256`` is over the ids as 32-bit little-endian numbers. ``same`` tells
+    One row per row of ``docs``, repeated ones too; null and empty texts have no pieces, null ids stay null, an empty table gives no
+    rows, and other columns, also ones that differ in case only, are not read. Words of any length take time in proportion.
+    ``ids_sha256`` is over the ids as 32-bit little-endian numbers. ``same`` tells
     whether decoding gave the text, its U+2581 counted as spaces, as the vocabulary has them.
     """
     sent = shipped(docs.sparkSession, vocabulary(path or model_path()))
