@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from accountlake.llm.common import packed, pick, saved, unpacked
+from accountlake.llm.common import packed, pick, ranked, saved, unpacked
 
 CAPACITY = 32 << 20  # bytes of text in a bucket before it is split
 LOCAL_BYTES = 16 << 20  # text a task holds while it combines its own rows
@@ -179,12 +179,13 @@ def _index(rows: DataFrame, text_field: int, capacity: int, with_rows: bool) ->
     entries = saved(rows.mapInArrow(_combiner(text_field), f"{ENTRY}, row {ddl}"), "entries")
     texts = entries.where("kind = 1")
     buckets, depth = directory(texts.select("key", "bytes"), capacity)
-    # As many owners as the directory asks for, whatever the session's number of shuffle partitions.
-    owners = 2 * max(1, buckets.agg(F.count_distinct("bucket")).first()[0])
+    # One owner task per bucket, whatever the session's number of shuffle partitions: no two buckets meet in a task.
+    named = saved(ranked(buckets.select("bucket").distinct(), [F.col("bucket")], "owner"), "owners")
+    owners = max(1, named.count())
     dealt = (
-        texts.withColumn("prefix", prefix(F.col("key"), depth)).join(buckets, "prefix")
-        .select("bucket", "key", "entry", "doc_id", "copies", "text_sha256", "row")
-        .repartition(owners, "bucket").sortWithinPartitions("bucket", "key", "entry")
+        texts.withColumn("prefix", prefix(F.col("key"), depth)).join(buckets.join(named, "bucket"), "prefix")
+        .select("owner", "bucket", "key", "entry", "doc_id", "copies", "text_sha256", "row")
+        .repartitionById(owners, F.col("owner").cast("int")).drop("owner").sortWithinPartitions("bucket", "key", "entry")
     )
     found = dealt.mapInArrow(_owner(text_field, with_rows), FOUND + (f", row {ddl}" if with_rows else ""))
     return entries, found
