@@ -182,8 +182,9 @@ def _index(rows: DataFrame, text_field: int, capacity: int, with_rows: bool) ->
     # One owner task per bucket, whatever the session's number of shuffle partitions: no two buckets meet in a task.
     named = saved(ranked(buckets.select("bucket").distinct(), [F.col("bucket")], "owner"), "owners")
     owners = max(1, named.count())
+    buckets = saved(buckets.join(named, "bucket"), "owned")
     dealt = (
-        texts.withColumn("prefix", prefix(F.col("key"), depth)).join(buckets.join(named, "bucket"), "prefix")
+        texts.withColumn("prefix", prefix(F.col("key"), depth)).join(buckets, "prefix")
         .select("owner", "bucket", "key", "entry", "doc_id", "copies", "text_sha256", "row")
         .repartitionById(owners, F.col("owner").cast("int")).drop("owner").sortWithinPartitions("bucket", "key", "entry")
     )
