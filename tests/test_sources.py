@@ -6,9 +6,12 @@ import csv
 import json
 from datetime import timedelta
 
+import duckdb
 import pytest
 from samples import NOW
 
+from accountlake.config import Mapping
+from accountlake.operators.payload import field_catalogue
 from accountlake.operators.reuse import last_run, latest_pages, watermarks
 from accountlake.sources import sinks
 from accountlake.sources.accounts import read_account_file
@@ -158,3 +161,26 @@ def test_every_file_of_a_folder_has_its_own_header(spark, tmp_path):
         (folder / name).write_text(text)
     got = [r.domain for r in read_account_file(spark, str(folder)).orderBy("ord").collect()]
     assert got == ["acme.com", "beta.io", "https://c.org/x", "d.net", "e.net", "plain", "f.com"]
+
+
+def test_every_field_of_the_catalogue_is_counted(spark, tmp_path):
+    """A row per field, filled or not: vendors in assets, notes on thin pages, pages without markup, failed pages, ids that repeat."""
+    from suite import ORACLE, QUERIES
+
+    page = "<html><head><title>Co</title>{}</head><body><article>" + "<p>words of a page that goes on</p>" * 40 + "{}</article></body></html>"
+    rows = [
+        (1, "https://a.example.com/1", page.format("", "")),
+        (2, "https://b.example.com/2", page.format('<script async src="//cdn.segment.com/v2/k.js"></script><link rel="x" href=/wp-content/a.css>', "eaux der Ein")),
+        (2, "https://b.example.com/2", page.format("", '<a href="/in/us">We</a>')),
+        (3, "https://c.example.com/3", "<html><body><p>Thin nicht</p></body></html>"),
+        (4, "https://d.example.com/4", None), (5, "https://e.example.com/5#top", page.format('<img src="https://js.stripe.com/x">', "")), (6, None, page.format("", "")),
+    ]
+    pages = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(pages)
+    got = {(r.source, r.property): r.filled for r in QUERIES["field_fill"](spark, str(tmp_path)).collect()}
+    catalogue = field_catalogue(spark, Mapping.default(), "hubspot").collect()
+    some = {"gtm_industries_served": 4, "gtm_buying_signals": 2, "gtm_disqualifiers": 2, "gtm_tech_signals": 1}
+    assert got == {(f.source, f.property): some.get(f.property, 5) for f in catalogue} and len(got) == 21
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{pages}/*.parquet')")
+    assert {(source, name): n for name, source, n in con.execute(ORACLE["field_fill"]).fetchall()} == got
